@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, media, mixing, token_count
+from . import bpe, exact_dedup, media, mixing, near_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, similarity=0.8)
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.sniff(media.store(table(spark, sf_dir, "documents"))).drop("carved")
 
@@ -45,6 +49,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_count": op1_token_count,
+    "op4_near_dedup": op4_near_dedup,
     "op5_media": op5_media,
     "op6_mix": op6_mix,
     "op7_exact_dedup": op7_exact_dedup,
