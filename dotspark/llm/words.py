@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII punctuation.
+LOOSE = WHITE.copy()
+LOOSE[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -69,14 +72,14 @@ def _windows(raw: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the n+1 offsets of each row's words."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the n+1 offsets of each row's words; ``white`` marks the bytes between words."""
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     hashes, starts = [], []
     for a, b in _windows(raw, window):
         piece = raw[a:b]
-        inside = ~WHITE[piece]
+        inside = ~white[piece]
         first = inside.copy()
         first[1:] &= ~inside[:-1] | edge[a + 1 : b]
         where = np.flatnonzero(first)
