@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, language_id, media, mixing, near_dedup, token_count, toxicity
+from . import bpe, chat_format, exact_dedup, language_id, lm_score, media, mixing, near_dedup, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.conversations(table(spark, sf_dir, "conversations"))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_count": op1_token_count,
     "op2_language_id": op2_language_id,
@@ -64,9 +72,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix": op6_mix,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_chat_format": op9_chat_format,
+    "op10_lm_score": op10_lm_score,
 }
 
-ORACLES = {
+ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
         g AS (SELECT norm, count(*) AS group_size, max(points) AS most FROM n GROUP BY norm),
@@ -86,4 +96,34 @@ ORACLES = {
         c AS (SELECT d.*, source_size, target, passes, rest, sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS same FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
         SELECT doc_id, size, source_size, target, (size * passes + CASE WHEN upto <= rest THEN size WHEN upto - same < rest THEN floor(size * (rest - (upto - same))::DOUBLE / same) ELSE 0 END)::BIGINT AS taken FROM c
     """,
+    "op10_lm_score": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        t AS (SELECT doc_id, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+        u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+        b AS (SELECT p, w, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, w HAVING count(*) >= 2),
+        s AS (SELECT t.doc_id, CASE WHEN b.c IS NOT NULL THEN ln(b.c / up.c::DOUBLE) ELSE ln(u.c / (SELECT count(*) FROM t)::DOUBLE) + CASE WHEN t.p IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END END AS x, b.c IS NULL AND t.p IS NOT NULL AS backed
+              FROM t JOIN u ON t.w = u.w LEFT JOIN u up ON t.p = up.w LEFT JOIN b ON b.p = t.p AND b.w = t.w)
+        SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, count_if(s.backed)::BIGINT AS n_backoff, round(coalesce(sum(s.x), 0), 3) AS log_score, round(sum(s.x) / len(d.ws), 6) AS mean_log
+        FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id, len(d.ws)
+    """,
+    "op9_chat_format": r"""
+        WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        l AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\r?\n')) AS line FROM m),
+        h AS (SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS level,
+              trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+', '')), '\s+', ' ', 'g')) AS norm FROM l),
+        f AS (SELECT q.conv_id, q.turn, q.norm, q.level, q.n, (SELECT max(s.turn) FROM h s WHERE s.conv_id = q.conv_id AND s.level = q.level - 1 AND s.norm = q.norm AND s.turn < q.turn) AS source
+              FROM (SELECT conv_id, turn, norm, level, count(*) AS n FROM h WHERE level > 0 AND norm <> '' GROUP BY ALL) q),
+        v AS (SELECT conv_id, turn, source, sum(n) AS votes FROM f WHERE source IS NOT NULL GROUP BY ALL),
+        k AS (SELECT conv_id, turn, arg_max(source, votes * 1000000 + source) AS link FROM v GROUP BY ALL),
+        t AS (SELECT d.conv_id, d.turn, lag(d.turn) OVER (PARTITION BY d.conv_id ORDER BY d.turn) AS previous, k.link FROM (SELECT DISTINCT conv_id, turn FROM m) d LEFT JOIN k ON k.conv_id = d.conv_id AND k.turn = d.turn),
+        o AS (SELECT *, CASE WHEN link IS NOT NULL AND link <> previous THEN turn END AS opens FROM t),
+        b AS (SELECT conv_id, turn, coalesce(link, previous) AS reply_to, coalesce(max(opens) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS branch, opens IS NOT NULL AS first FROM o),
+        e AS (SELECT x.conv_id, x.turn AS branch, x.reply_to AS spot, p.branch AS under FROM b x JOIN b p ON p.conv_id = x.conv_id AND p.turn = x.reply_to WHERE x.first),
+        r AS (SELECT conv_id, branch, lpad(spot::VARCHAR, 10, '0') AS prefix, 1 AS depth FROM e WHERE under = -1
+              UNION ALL SELECT e.conv_id, e.branch, r.prefix || '.' || lpad(e.spot::VARCHAR, 10, '0'), r.depth + 1 FROM e JOIN r ON r.conv_id = e.conv_id AND r.branch = e.under),
+        c AS (SELECT m.conv_id, m.turn, m.role, b.reply_to, coalesce(r.depth, 0) AS depth, concat_ws('.', r.prefix, lpad(m.turn::VARCHAR, 10, '0')) AS reply_path,
+              trim(array_to_string(list_filter(regexp_split_to_array(m.text, '\r?\n'), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), ' ') AS text
+              FROM m JOIN b ON b.conv_id = m.conv_id AND b.turn = m.turn LEFT JOIN r ON r.conv_id = b.conv_id AND r.branch = b.branch)
+        SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' AS formatted FROM c
+    """,
 }
