@@ -1,15 +1,67 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline over ``documents``: language, exact copies, near copies, source mix, tokens."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-STAGES: list = []
+from dotspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup
+from dotspark.llm.queries import tokenizer_path
+from dotspark.llm.scratch import materialise
+
+#: Documents whose best language has less than this part of all languages' shares are rejected.
+MIN_SCORE = 0.25
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: no text, no letter, or no language ahead of the others.
+
+    The filters are learned from the rows that are not held out. Rows with a null id are kept or rejected
+    like any other: rows of one text share a verdict.
+    """
+    filters = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, filters)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are equal without white space."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs, shingle=5, similarity=0.8)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by source: a document comes as often as its whole passes, once more below the threshold.
+
+    The document that straddles a source's budget counts as taken when half of it or more is.
+    """
+    taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int").alias("_times"))
+    times = taken.groupBy("_id").agg(F.max("_times").alias("_times")).where("_times > 0")
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return joined.drop("_id", "_times", "_copy")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    path = tokenizer_path()
+    coded = bpe.decode(bpe.encode(docs, path), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mix", mixed), ("bpe", tokens)]
+
+#: SQL has no byte-level BPE and no near-duplicate components over learned decisions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's rows written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .token_count import PATTERN, WHITE, byte_letters
 
-#: Units kept by a worker before it begins anew; with their tokens some 130 MB.
-KEPT = 800_000
+#: Units kept by a worker before it begins anew; with their tokens some 90 MB.
+KEPT = 500_000
 #: Bytes of matrix cells merged at a time.
 CELLS = 1 << 19
 NONE = np.int32(2**31 - 1)
