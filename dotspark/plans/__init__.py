@@ -1,6 +1,6 @@
 """Registered queries: each module binds operators to the driver's tables, with a DuckDB form beside."""
 
-from . import boxes, names
+from . import boxes, matches, names
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "boxes", "names"]
+__all__ = ["ORACLES", "QUERIES", "boxes", "matches", "names"]
