@@ -4,13 +4,16 @@
    ``ROWS`` MinHash values each, and an odd sketch: the MinHash samples folded into a parity bitmap. Two
    sketches differ in few bits when the sets are similar: a sample in which they differ flips two bits.
 2. Equal sets (equal size and 128-bit fingerprint) become one class; only its smallest id goes on.
-3. A bucket is a band key shared by two classes or more. Rounds link its members to a leader: pairs whose
-   sketches pass (XOR population count) are confirmed on the full sets, and the components grow. Pairs
-   inside one component are not looked at again, so a bucket of thousands of near copies costs its size
-   and not its square. The last round takes every remaining pair of a bucket that lies across components.
-
-With 48 bands of 5 rows a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^5)^48 < 1e-8;
-``SLACK`` standard deviations in the sketch bound lose about as few.
+3. A bucket is a band key shared by two classes or more. Within a bucket, pairs whose sketches pass (XOR
+   population count) belong together; a spanning forest of them is kept, never the pairs. The forests of
+   all buckets join to clusters.
+4. Within a cluster, full sets are compared through an inverted index, and a spanning forest of the links is
+   kept: a member that is already linked to the cluster's largest part is compared no more, all others are
+   compared with every member. The forests join to components.
+
+Buckets and clusters that are too large for a task are cut into blocks, and each pair of blocks is a tile
+of its own. With 48 bands of 5 rows a pair at similarity 0.8 shares no bucket with probability
+(1 - 0.8^5)^48 < 1e-8; the sketch bound, ``SLACK`` standard deviations off, loses fewer than 1e-6 there.
 """
 
 from __future__ import annotations
@@ -29,17 +32,21 @@ from .words import mix, ngram_hashes, utf8, word_hashes
 BANDS, ROWS = 48, 5
 #: Bits of an odd sketch, in 64-bit words.
 WORDS = 8
-SLACK = 6.0
+SLACK = 5.0
+#: Members of a bucket, and shingles of a cluster's sets, that one block holds.
+BUCKET_BLOCK, CLUSTER_BLOCK = 4096, 1 << 20
 
 
 def sketch_limit(similarity: float, samples: int = BANDS * ROWS, bits: int = 64 * WORDS) -> int:
     """The most differing bits that a pair of at least this similarity shows, ``SLACK`` deviations allowed.
 
-    Of the samples about (1 - J) differ; two parity bits flip for each, and flips may cancel.
+    About samples * (1 - J) samples differ, give or take their binomial deviation; each flips two parity
+    bits, and flips that meet cancel, which adds the deviation of a parity count.
     """
-    differ = samples * (1 - similarity) + SLACK * (samples * similarity * (1 - similarity)) ** 0.5
-    expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * differ))
-    return int(expected + SLACK * (bits * 0.25) ** 0.5 * (1 - np.exp(-4 * differ / bits)) ** 0.5)
+    differ = samples * (1 - similarity)
+    fade = float(np.exp(-4 * differ / bits))
+    spread = (2 * fade) ** 2 * differ * similarity + bits / 4 * (1 - fade * fade)
+    return int(bits / 2 * (1 - fade) + SLACK * spread**0.5)
 
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -99,92 +106,123 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.binary())], ["_id", "_set"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys from batches sorted by them, across batch ends."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([a, b]))
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _close(x: str, y: str, limit: int) -> Column:
-    """Whether two odd sketches differ in at most ``limit`` bits."""
-    return sum((F.bit_count(F.col(f"{x}._s{i}").bitwiseXOR(F.col(f"{y}._s{i}"))) for i in range(WORDS)), F.lit(0)) <= limit
-
-
-class _Linker:
-    """Rounds of candidates, sketches and confirmation over the classes' smallest ids."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> None:
-        self.percent, self.limit, self.shingle = round(100 * similarity), sketch_limit(similarity), shingle
-        self.sketches = reps.select("_id", *(f"_s{i}" for i in range(WORDS)))
-        banded = reps.select("_id", F.explode("_bands").alias("_key"))
-        shared = banded.groupBy("_key").agg(F.count(F.lit(1)).alias("_many"), F.min("_id").alias("_low")).where("_many > 1").drop("_many")
-        #: (``_id``, ``_key``) in buckets of two classes or more, with the bucket's smallest id.
-        self.members = materialise(banded.join(shared, "_key"), "near-members")
-        ids = self.members.select("_id").distinct()
-        self.sets = materialise(docs.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).mapInArrow(functools.partial(_sets, shingle=shingle), f"_id {docs.schema['_id'].dataType.simpleString()}, _set binary"), "near-sets")
-        self.id_type = docs.schema["_id"].dataType.simpleString()
-        self.links: DataFrame | None = None
-        self.tested: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def passing(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct (a, b) those whose sketches are close enough."""
-        x, y = self.sketches.alias("x"), self.sketches.alias("y")
-        return pairs.join(x, F.col("a") == F.col("x._id")).join(y, F.col("b") == F.col("y._id")).where(_close("x", "y", self.limit)).select("a", "b")
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Confirm (a, b) on full sets and let the components grow."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
-        x, y = (self.sets.select(F.col("_id").alias(k), F.col("_set").alias(v)) for k, v in (("a", "_x"), ("b", "_y")))
-        found = materialise(pairs.join(x, "a").join(y, "b").mapInArrow(functools.partial(_confirm, percent=self.percent), f"a {self.id_type}, b {self.id_type}"), "near-links")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = materialise(connected_components(self.links), "near-labels")
-
-    def open_members(self) -> DataFrame:
-        """Members, with their component, of buckets that still hold two components or more."""
-        now = self.members.join(self.labels, self.members["_id"] == self.labels["id"], "left").select("_key", "_id", F.coalesce("component", "_id").alias("_c"))
-        several = now.groupBy("_key").agg(F.min("_c").alias("_least"), F.max("_c").alias("_most")).where("_least <> _most").select("_key")
-        return materialise(now.join(several, "_key", "left_semi"), "near-open")
-
-    def star(self, opened: DataFrame, leader: Column) -> None:
-        """Confirm each bucket's leader against the members of other components."""
-        lead = opened.groupBy("_key").agg(F.min_by(F.struct("_id", "_c"), leader).alias("_lead"))
-        pairs = opened.join(lead, "_key").where("_c <> _lead._c").select(F.least("_id", "_lead._id").alias("a"), F.greatest("_id", "_lead._id").alias("b")).distinct()
-        self.confirm(self.passing(pairs))
-
-    def rest(self, opened: DataFrame) -> None:
-        """Confirm every pair of a bucket that lies across components and whose sketches pass."""
-        full = materialise(opened.join(self.sketches, "_id"), "near-rest")
-        x, y = full.alias("x"), full.alias("y")
-        same = (F.col("x._key") == F.col("y._key")) & (F.col("x._id") < F.col("y._id")) & (F.col("x._c") != F.col("y._c"))
-        self.confirm(x.join(y, same & _close("x", "y", self.limit)).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct())
-
-    def run(self) -> DataFrame:
-        """(``id``, ``component``) of all linked ids."""
-        stars = self.members.where("_id <> _low").select(F.col("_low").alias("a"), F.col("_id").alias("b")).distinct()
-        x, y = self.sketches.alias("x"), self.sketches.alias("y")
-        apart = sum((F.bit_count(F.col(f"x._s{i}").bitwiseXOR(F.col(f"y._s{i}"))) for i in range(WORDS)), F.lit(0))
-        scored = stars.join(x, F.col("a") == F.col("x._id")).join(y, F.col("b") == F.col("y._id")).select("a", "b", apart.alias("_d")).where(F.col("_d") <= self.limit)
-        # First each member with the leader it looks most like, which joins almost all that belongs together.
-        self.confirm(scored.groupBy("b").agg(F.min_by("a", F.struct("_d", "a")).alias("a")).select("a", "b"))
-        for leader in (F.col("_id"), -F.col("_id"), F.xxhash64("_id")):
-            opened = self.open_members()
-            if opened.isEmpty():
-                return self.labels
-            self.star(opened, leader)
-        opened = self.open_members()
-        if not opened.isEmpty():
-            self.rest(opened)
-        return self.labels
+        if not len(batch):
+            continue
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        same = np.ones(len(batch) - 1, bool)
+        for k in keys:
+            column = batch.column(k).to_numpy(zero_copy_only=False)
+            same &= column[1:] == column[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(batch)]])
+        for i, (x, y) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            if i:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _forest(ids: np.ndarray, sketches: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Edges that connect all pairs of a bucket whose sketches pass."""
+    n = len(ids)
+    root = np.arange(n)
+    for at in range(n):
+        # The first member is compared with all; then only those that are not yet with it.
+        if at and root[at] == root[0]:
+            continue
+        near = np.bitwise_count(sketches ^ sketches[at]).sum(axis=1) <= limit
+        for other in np.unique(root[near]):
+            if other != root[at]:
+                to = int(np.flatnonzero(near & (root == other))[0])
+                yield int(ids[at]), int(ids[to])
+                root[root == other] = root[at]
+
+
+def _bucket_edges(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    names = [f"_s{i}" for i in range(WORDS)]
+    for tile in grouped(batches, ["_key", "_i", "_j"]):
+        ids = tile.column("_id").to_numpy()
+        sketches = np.column_stack([tile.column(c).to_numpy() for c in names]).view(np.uint64)
+        edges = list(_forest(ids, sketches, limit))
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges]), pa.array([b for _, b in edges])], ["a", "b"])
+
+
+def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with 100 * intersection >= percent * union, as places in ``sets``."""
+    sizes = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(codes, kind="stable")
+    holders = owners[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(codes))])
+    ends = np.cumsum(sizes)
+    root, tested, out = np.arange(len(sets)), np.zeros(len(sets), bool), []
+    while True:
+        main = np.bincount(root).argmax()
+        # What is with the largest part needs no test of its own: all others are tested against it.
+        open_ = np.flatnonzero(~tested & (root != main))
+        if not len(open_):
+            return out
+        if not tested.any():
+            open_ = open_[:1] if len(sets) > 2 else open_
+        for at in open_:
+            if root[at] == main and len(open_) > 1:
+                continue
+            mine = codes[ends[at] - sizes[at] : ends[at]]
+            n = first[mine + 1] - first[mine]
+            spots = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(holders[spots], minlength=len(sets))
+            near = 100 * shared >= percent * (sizes + sizes[at] - shared)
+            tested[at] = True
+            own, joined = root[at], np.unique(root[near])
+            out += [(int(at), int(np.flatnonzero(near & (root == other))[0])) for other in joined if other != own]
+            # The main part keeps its name, so that members joined to it are passed over.
+            root[np.isin(root, joined)] = main if main in joined else own
+
+
+def _cluster_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for tile in grouped(batches, ["_cluster", "_i", "_j"]):
+        ids = tile.column("_id").to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in tile.column("_set")]
+        links = links_of(sets, percent)
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[[a for a, _ in links]]), pa.array(ids[[b for _, b in links]])], ["a", "b"])
+
+
+def tiled(rows: DataFrame, key: str, blocks: Column, id_col: str = "_id") -> DataFrame:
+    """``rows`` with tile numbers ``_i`` <= ``_j``: each row goes to the tiles of its block with every block of its key."""
+    own = F.pmod(F.xxhash64(id_col, F.lit(5)), blocks).cast("int")
+    cut = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    return cut.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_own", "_other")
+
+
+def _linked(docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(``id``, ``component``) of all representatives that link with another one."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    id_type = docs.schema["_id"].dataType.simpleString()
+    banded = reps.select("_id", F.explode("_bands").alias("_key"))
+    shared = banded.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1")
+    members = tiled(banded.join(shared, "_key"), "_key", F.ceil(F.col("_many") / BUCKET_BLOCK)).drop("_many")
+    sketched = members.join(reps.select("_id", *(f"_s{i}" for i in range(WORDS))), "_id")
+    tiles = sketched.repartition(parts, "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
+    edges = tiles.mapInArrow(functools.partial(_bucket_edges, limit=sketch_limit(similarity)), f"a {id_type}, b {id_type}")
+    clusters = connected_components(edges)
+    clusters = materialise(clusters.select(F.col("id").alias("_id"), F.col("component").alias("_cluster")), "near-clusters")
+    sizes = clusters.join(reps.select("_id", "_n"), "_id").groupBy("_cluster").agg(F.ceil(F.sum("_n") / CLUSTER_BLOCK).cast("int").alias("_blocks"))
+    placed = tiled(clusters.join(sizes, "_cluster"), "_cluster", F.col("_blocks")).drop("_blocks")
+    wanted = clusters.select("_id")
+    sets = docs.join(wanted, "_id", "left_semi").mapInArrow(functools.partial(_sets, shingle=shingle), f"_id {id_type}, _set binary")
+    spread = placed.join(sets.dropDuplicates(["_id"]), "_id").repartition(parts, "_cluster", "_i", "_j").sortWithinPartitions("_cluster", "_i", "_j")
+    links = spread.mapInArrow(functools.partial(_cluster_links, percent=round(100 * similarity)), f"a {id_type}, b {id_type}")
+    return materialise(connected_components(links), "near-labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -206,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row per representative: its set is the class's set.
     reps = signed.join(classes.select("_n", "_p", "_q", F.col("_rep").alias("_id")), ["_id", "_n", "_p", "_q"], "left_semi")
     reps = materialise(reps.dropDuplicates(["_id"]), "near-reps")
-    labels = _Linker(rows.where(F.col("_id").isNotNull()), reps, shingle, similarity).run()
+    labels = _linked(rows.where(F.col("_id").isNotNull()), reps, shingle, similarity)
     of_class = classes.join(labels, classes["_rep"] == labels["id"], "left").select("_n", "_p", "_q", F.coalesce("component", "_rep").alias("_component"))
     out = signed.join(of_class, ["_n", "_p", "_q"], "left")
     component = F.when(F.col("_n") > 0, F.col("_component")).otherwise(F.col("_id"))
