@@ -25,7 +25,7 @@ from .words import LOOSE, mix, ngram_hashes, utf8, word_hashes
 #: Coordinates; the last stands for the constant.
 BITS = 20
 #: Labelled documents that are learned from, in expectation.
-TRAIN_DOCS = 16_000
+TRAIN_DOCS = 8_000
 SHARDS, ROUNDS = 4, 5
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 2.0, 0.01
 
@@ -73,6 +73,17 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_shard"), batch.column("_order"), batch.column("_label"), lists], ["_shard", "_order", "_label", "_at"])
 
 
+def _prune(rows: pd.DataFrame) -> pd.DataFrame:
+    """A shard's documents without the features that only one of them has: these cannot tell a class."""
+    rows = rows.sort_values("_order")
+    sizes = [len(at) for at in rows["_at"]]
+    every = np.concatenate([np.asarray(at, np.int64) for at in rows["_at"]])
+    shared = np.bincount(every, minlength=1 << BITS)[every] > 1
+    parts = np.split(every, np.cumsum(sizes)[:-1])
+    kept = [part[keep].astype(np.int32) for part, keep in zip(parts, np.split(shared, np.cumsum(sizes)[:-1]), strict=True)]
+    return rows.assign(_at=kept)
+
+
 def _pass(rows: pd.DataFrame, state: State) -> pd.DataFrame:
     """One pass over a shard from the common state; how the coordinates it touched moved."""
     new, constant = State(state.z.copy(), state.n.copy()), np.array([(1 << BITS) - 1])
@@ -99,8 +110,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     many = known.count()
     chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, train_docs / max(many, 1)) * (1 << 20)))
     order = F.xxhash64("_id", F.lit(11))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").select(F.pmod(order, F.lit(SHARDS)).cast("int").alias("_shard"), order.alias("_order"), "_label", "_text")
-    train = materialise(rows.mapInArrow(_featured, "_shard int, _order long, _label int, _at array<int>"), "toxicity-train")
+    # The sample's ids are bounded by ``train_docs``, so they may go to every task; the texts stay where they are.
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select(F.pmod(order, F.lit(SHARDS)).cast("int").alias("_shard"), order.alias("_order"), "_label", "_text")
+    shape = "_shard int, _order long, _label int, _at array<int>"
+    train = materialise(rows.mapInArrow(_featured, shape).groupBy("_shard").applyInPandas(_prune, shape), "toxicity-train")
     state = State()
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(state)
