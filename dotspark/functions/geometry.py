@@ -54,10 +54,10 @@ def min_square(cx: Column, cy: Column, x: Column, y: Column, w: Column, h: Colum
 
 
 def box_to_norm(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
-    """``cx cy w h`` as fractions of the frame with ten decimals, clipped; null where nothing is left."""
+    """``cx cy w h`` as fractions of the frame with ten decimals, clipped; null where nothing is left or a value is null."""
     box = clip_box(x, y, w, h, width, height)
     values = [(box.x + box.w / 2.0) / width, (box.y + box.h / 2.0) / height, box.w / width, box.h / height]
-    return F.when((box.w > 0) & (box.h > 0), F.format_string("%.10f %.10f %.10f %.10f", *[v.cast("double") for v in values]))
+    return F.when((x + y + w + h).isNotNull() & (box.w > 0) & (box.h > 0), F.format_string("%.10f %.10f %.10f %.10f", *[v.cast("double") for v in values]))
 
 
 def gather(pixels: Column, width: Column, height: Column, x0: Column, y0: Column, w: int, h: int, mode: str) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries: each module binds operators to the driver's tables, with a DuckDB form beside."""
 
-from . import boxes, components, matches, names
+from . import boxes, catalogs, components, matches, models, names, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "boxes", "components", "matches", "names"]
+__all__ = ["ORACLES", "QUERIES", "boxes", "catalogs", "components", "matches", "models", "names", "streams"]
