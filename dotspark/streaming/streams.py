@@ -113,8 +113,8 @@ class TrackLinker(StatefulProcessor):
                     active.append(track)
                 track.update(t=t, x=x, y=y)
                 out.append((key[0], key[1], det, t, track["track"]))
-        self.buffer.put([r for r in held if r[1] >= end])
-        self.open.put([(a["track"], a["t"], a["x"], a["y"]) for a in active])
+        for state, rows in ((self.buffer, [r for r in held if r[1] >= end]), (self.open, [(a["track"], a["t"], a["x"], a["y"]) for a in active])):
+            state.put(rows) if rows else state.clear()
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")])
 
     def close(self) -> None:
