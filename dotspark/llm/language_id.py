@@ -19,7 +19,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import materialise
-from .words import mix, utf8
+from .words import mix, text_slices, utf8
 
 #: Bytes of an n-gram, with a space at a word's ends.
 ORDERS = (2, 3, 4)
@@ -70,7 +70,7 @@ def _row_of(offsets: np.ndarray) -> np.ndarray:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(language, n-gram, count) of a batch, summed over its documents."""
-    for batch in batches:
+    for batch in text_slices(batches):
         langs = batch.column("_lang")
         for lang in pc.unique(langs):
             data, offsets = _lowered(batch.column("_text").filter(pc.equal(langs, lang)))
@@ -157,7 +157,7 @@ def shares(column: pa.Array, filters: Filters) -> np.ndarray:
 
 def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     filters: Filters = shared.value
-    for batch in batches:
+    for batch in text_slices(batches):
         column = batch.column("_text")
         # A text without a letter has no language.
         lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in column.to_pylist()], bool)

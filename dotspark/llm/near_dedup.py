@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
 from .scratch import materialise
-from .words import mix, ngram_hashes, utf8, word_hashes
+from .words import mix, ngram_hashes, text_slices, utf8, word_hashes
 
 BANDS, ROWS = 48, 5
 #: Bits of an odd sketch, in 64-bit words.
@@ -77,7 +77,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_slices(batches):
         raw, offsets = utf8(batch.column("_text"))
         grams, bounds = ngram_hashes(*word_hashes(raw, offsets), shingle, short_rows=True)
         n = len(batch)
@@ -99,7 +99,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """The sorted distinct shingle hashes of each text, as bytes."""
-    for batch in batches:
+    for batch in text_slices(batches):
         raw, offsets = utf8(batch.column("_text"))
         grams, bounds = ngram_hashes(*word_hashes(raw, offsets), shingle, short_rows=True)
         sets = [np.unique(grams[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

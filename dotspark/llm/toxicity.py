@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .language_id import held_out
 from .scratch import materialise
-from .words import LOOSE, mix, ngram_hashes, utf8, word_hashes
+from .words import LOOSE, mix, ngram_hashes, text_slices, utf8, word_hashes
 
 #: Coordinates; the last stands for the constant.
 BITS = 20
@@ -65,7 +65,7 @@ class State:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_slices(batches):
         at, rows = features(batch.column("_text"))
         pairs = np.unique(rows.astype(np.int64) << 32 | at)
         ends = np.searchsorted(pairs, np.arange(len(batch) + 1, dtype=np.int64) << 32).astype(np.int32)
@@ -130,7 +130,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.
     places, values = shared.value
     weights = np.zeros(1 << BITS, np.float32)
     weights[places] = values
-    for batch in batches:
+    for batch in text_slices(batches):
         at, rows = features(batch.column("_text"))
         heavy = np.flatnonzero(weights[at])
         pairs = np.unique(rows[heavy].astype(np.int64) << 32 | at[heavy])

@@ -59,6 +59,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - base
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "_text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches cut to runs of rows with about ``most`` bytes of text, one row at least: bounds what a step holds."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def _windows(raw: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
     """Spans of about ``window`` bytes that end before white space or at the end."""
     at = 0
