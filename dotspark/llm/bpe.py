@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .token_count import PATTERN, WHITE, byte_letters
 
-#: Units kept by a worker before it begins anew; with their tokens some 90 MB.
-KEPT = 500_000
+#: Units kept by a task before it begins anew; with their tokens some 60 MB.
+KEPT = 300_000
 #: Bytes of matrix cells merged at a time.
 CELLS = 1 << 19
 NONE = np.int32(2**31 - 1)
@@ -169,11 +169,16 @@ class Merges:
 LONG = 96
 
 
+@functools.cache
+def merges(path: str) -> Merges:
+    return Merges(path)
+
+
 class Encoder:
     """Merges with a store of the units met so far."""
 
     def __init__(self, path: str, kept: int = KEPT) -> None:
-        self.merges, self.kept = Merges(path), kept
+        self.merges, self.kept = merges(path), kept
         self.units = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self._clear()
 
@@ -254,16 +259,6 @@ class Encoder:
         return ids, ends[np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])]
 
 
-@functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
-@functools.cache
-def merges(path: str) -> Merges:
-    return Merges(path)
-
-
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` characters, one row at least."""
     start, total = 0, 0
@@ -277,7 +272,7 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tool = encoder(path)
+    tool = Encoder(path)  # its store goes with the task
     for batch in batches:
         texts = pc.fill_null(batch.column("_text"), "").to_pylist()
         for a, b in _slices([len(t) for t in texts], 1 << 20):

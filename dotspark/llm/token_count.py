@@ -137,7 +137,7 @@ def _huge_counts(huge: DataFrame, path: str, chunk: int, overlap: int) -> DataFr
         nxt = F.lead(F.struct("_head", "_n")).over(W.partitionBy("_id").orderBy("_part"))
         # A splice takes a part's tokens up to the common place and drops as many from the next part's head.
         common = F.expr("filter(_tail, t -> exists(_next._head, h -> h.at = t.at))")
-        spliced = materialise(coded.withColumn("_next", nxt).withColumn("_at", F.get(common, F.lit(0))).withColumn("_skip", F.expr("filter(_next._head, h -> h.at = _at.at)[0].n")).groupBy("_id").agg(
+        spliced = materialise(coded.withColumn("_next", nxt).withColumn("_at", F.get(common, F.lit(0))).withColumn("_skip", F.expr("get(filter(_next._head, h -> h.at = _at.at), 0).n")).groupBy("_id").agg(
             F.sum(F.when(F.col("_next").isNull(), F.col("_n")).otherwise(F.col("_at.n") - F.col("_skip"))).alias("n_tokens"),
             F.count_if(F.col("_next").isNotNull() & F.col("_at").isNull()).alias("_failed")), "token-splices")
         good = huge.join(spliced.where("_failed = 0"), huge["_row"] == spliced["_id"]).select(huge["_id"], "n_bytes", "n_tokens")
