@@ -27,6 +27,8 @@ BITS = 20
 #: Labelled documents that are learned from, in expectation.
 TRAIN_DOCS = 8_000
 SHARDS, ROUNDS = 4, 5
+#: A shard's features that fewer of its documents have (or fewer than two) cannot tell a class.
+MIN_SHARE = 0.002
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 2.0, 0.01
 
 
@@ -74,11 +76,11 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prune(rows: pd.DataFrame) -> pd.DataFrame:
-    """A shard's documents without the features that only one of them has: these cannot tell a class."""
+    """A shard's documents without the features that are too rare in it."""
     rows = rows.sort_values("_order")
     sizes = [len(at) for at in rows["_at"]]
     every = np.concatenate([np.asarray(at, np.int64) for at in rows["_at"]])
-    shared = np.bincount(every, minlength=1 << BITS)[every] > 1
+    shared = np.bincount(every, minlength=1 << BITS)[every] >= max(2, MIN_SHARE * len(rows))
     parts = np.split(every, np.cumsum(sizes)[:-1])
     kept = [part[keep].astype(np.int32) for part, keep in zip(parts, np.split(shared, np.cumsum(sizes)[:-1]), strict=True)]
     return rows.assign(_at=kept)
@@ -90,7 +92,7 @@ def _pass(rows: pd.DataFrame, state: State) -> pd.DataFrame:
     for _, label, at in rows.sort_values("_order")[["_order", "_label", "_at"]].itertuples(index=False):
         new.learn(np.concatenate([np.asarray(at, np.int64), constant]), int(label))
     moved = np.flatnonzero(new.n != state.n)
-    return pd.DataFrame({"_at": moved, "_z": new.z[moved] - state.z[moved], "_n": new.n[moved] - state.n[moved]})
+    return pd.DataFrame({"_at": moved.astype(np.int32), "_z": (new.z[moved] - state.z[moved]).astype(np.float32), "_n": (new.n[moved] - state.n[moved]).astype(np.float32)})
 
 
 def _shard_pass(shared: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     state = State()
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(state)
-        moved = train.groupBy("_shard").applyInPandas(_shard_pass(shared), "_at long, _z double, _n double")
+        moved = train.groupBy("_shard").applyInPandas(_shard_pass(shared), "_at int, _z float, _n float")
         table = moved.groupBy("_at").agg((F.sum("_z") / SHARDS).alias("_z"), (F.sum("_n") / SHARDS).alias("_n")).toArrow()
         at = table.column("_at").to_numpy()
         state.z[at] += table.column("_z").to_numpy()
