@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dotspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup
@@ -41,8 +43,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int").alias("_times"))
     times = taken.groupBy("_id").agg(F.max("_times").alias("_times")).where("_times > 0")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return joined.drop("_id", "_times", "_copy")
+    joined = docs.alias("d").join(times.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m._id")))
+    copy = f"copy_{uuid.uuid4().hex}"  # no column of docs has this name
+    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("m._times"))).alias(copy)).drop(copy)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
