@@ -103,7 +103,7 @@ def hill_shape(rows: DataFrame, value: str, edge_low: float = 0.0, edge_high: fl
     rise, fall = F.col("_i") < F.col("_peak"), (F.col("_i") >= F.col("_peak")) & F.col("_step").isNotNull()
     s = marked.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.max("_peak").alias("_peak"), F.count_if(rise & (F.col("_step") > eps)).alias("_up"), F.count_if(fall & (F.col("_step") < -eps)).alias("_down"), F.count_if(rise & (F.col("_step") >= -eps)).alias("_mono_up"), F.count_if(fall & (F.col("_step") <= eps)).alias("_mono_down"))
     last, p = F.col("n") - 1, F.col("_peak")
-    inside: Column = (p > 0) & (p < last) & (p / last >= edge_low) & (p / last <= edge_high)
+    inside: Column = (p > 0) & (p < last) & (p >= edge_low * last) & (p <= edge_high * last)
     shape = (F.col("_up") >= min_up) & (F.col("_down") >= min_down) & (F.col("_mono_up") >= monotone * p) & (F.col("_mono_down") >= monotone * (last - p))
     return s.select("track_id", "n", F.coalesce(inside & shape, F.lit(False)).alias("is_hill"))
 
