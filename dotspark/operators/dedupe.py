@@ -1,7 +1,7 @@
 """Component dedupe and proximity merges of detections.
 
 Tables have ``video_id``, ``t``, an id, ``x``, ``y`` and a weight. Everything is local to a frame, so the
-grouped steps see one frame's contested rows at a time; rows without a neighbour stay in SQL.
+Python steps see one frame's contested rows at a time; rows without a neighbour stay in SQL.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .matching import KEYS, distance_pairs
+from .matching import KEYS, by_frame, distance_pairs
 
 
 def _neighbours(rows: DataFrame, radius: float) -> DataFrame:
@@ -38,7 +38,7 @@ def _roots(edges: pd.DataFrame) -> pd.DataFrame:
 def components(rows: DataFrame, radius: float) -> DataFrame:
     """``rows`` with ``component``: the smallest id that chains of neighbours in the frame reach."""
     edges = _neighbours(rows, radius)
-    found = edges.select(*KEYS, "a", "b").groupBy(*KEYS).applyInPandas(_roots, "video_id long, t long, det_id long, component long")
+    found = by_frame(edges.select(*KEYS, "a", "b"), _roots, "video_id long, t long, det_id long, component long")
     return rows.join(found, [*KEYS, "det_id"], "left").withColumn("component", F.coalesce("component", "det_id"))
 
 
@@ -75,7 +75,7 @@ def proximity_merge(base: DataFrame, new: DataFrame, radius: float) -> DataFrame
     """Rows of ``new`` farther than ``radius`` from every base row and from every earlier kept new row, by id."""
     taken = distance_pairs(new, base.withColumnRenamed("det_id", "base_id"), radius, "det_id", "base_id").select(*KEYS, "det_id").distinct()
     free = new.join(taken, [*KEYS, "det_id"], "left_anti")
-    crowded = _neighbours(free, radius).select(*KEYS, "a", "b").groupBy(*KEYS).applyInPandas(_spread, "video_id long, t long, det_id long")
+    crowded = by_frame(_neighbours(free, radius).select(*KEYS, "a", "b"), _spread, "video_id long, t long, det_id long")
     return free.join(crowded, [*KEYS, "det_id"], "left_anti")
 
 

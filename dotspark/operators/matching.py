@@ -6,9 +6,12 @@ Point tables have ``video_id``, ``t``, an id and ``x``, ``y``.
 from __future__ import annotations
 
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 KEYS = ["video_id", "t"]
 
@@ -29,24 +32,27 @@ def distance_pairs(left: DataFrame, right: DataFrame, radius: float, left_id: st
     return a.join(b, [*KEYS, "_cx", "_cy"]).select(*KEYS, left_id, right_id, d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Walk a frame's pairs by (distance, left id, right id) and keep those with both ends free."""
-    pairs = pairs.sort_values(["d2", "gt_id", "det_id"], kind="stable")
-    left, right, keep = set(), set(), []
-    for g, d in zip(pairs["gt_id"], pairs["det_id"], strict=True):
-        free = g not in left and d not in right
-        keep.append(free)
-        if free:
-            left.add(g)
-            right.add(d)
-    return pairs[keep]
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk sorted pairs, frame by frame, and keep those with both ends free; state lasts for one frame."""
+    frame, left, right = None, set(), set()
+    for batch in batches:
+        keep = []
+        for v, t, g, d in zip(*(batch[c].tolist() for c in (*KEYS, "gt_id", "det_id")), strict=True):
+            if (v, t) != frame:
+                frame, left, right = (v, t), set(), set()
+            free = g not in left and d not in right
+            keep.append(free)
+            if free:
+                left.add(g)
+                right.add(d)
+        yield batch[keep]
 
 
 def greedy_match(gt: DataFrame, preds: DataFrame, radius: float) -> DataFrame:
     """(video_id, t, gt_id, det_id, d2) of the greedy one-to-one matching of each frame.
 
     Pairs are taken nearest first, ties by gt id and det id. A pair whose ends have no other partner is
-    matched in SQL; only contested frames go through grouped Arrow. As pairs come nearest first, the
+    matched in SQL; only contested ones are walked in Python. As pairs come nearest first, the
     matching at a smaller radius is the part of this one within it: one pass serves every threshold.
     """
     pairs = distance_pairs(gt, preds, radius)
@@ -54,7 +60,9 @@ def greedy_match(gt: DataFrame, preds: DataFrame, radius: float) -> DataFrame:
     marked = pairs.withColumn("_g", by("gt_id")).withColumn("_d", by("det_id"))
     lone = marked.where("_g = 1 AND _d = 1").drop("_g", "_d")
     contested = marked.where("_g > 1 OR _d > 1").drop("_g", "_d")
-    return lone.unionByName(contested.groupBy(*KEYS).applyInPandas(_greedy, pairs.schema))
+    # Frames are dealt to partitions and sorted there by Spark; Python sees a stream of pairs, not groups.
+    walked = contested.repartition(*KEYS).sortWithinPartitions(*KEYS, "d2", "gt_id", "det_id").mapInPandas(_greedy, pairs.schema)
+    return lone.unionByName(walked)
 
 
 def _window(column: str):  # noqa: ANN202
@@ -63,6 +71,28 @@ def _window(column: str):  # noqa: ANN202
     return Window.partitionBy(*KEYS, column)
 
 
+def by_frame(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType) -> DataFrame:
+    """Apply ``fn`` to the rows of each frame. Spark deals and sorts the frames; a partition is one stream of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            keys = batch[KEYS].to_numpy()
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)]
+            # The last frame may go on in the next batch.
+            out = [fn(batch.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            held = batch.iloc[starts[-1] :]
+            if out:
+                yield pd.concat(out)
+        if held is not None and len(held):
+            yield fn(held)
+
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(run, schema)
+
+
 def hungarian(cost: np.ndarray) -> np.ndarray:
     """Column of each row in the cheapest full assignment of a square matrix (potentials and augmenting paths)."""
     n = len(cost)
@@ -106,7 +136,7 @@ def _optimal(pairs: pd.DataFrame) -> pd.DataFrame:
 def optimal_match(gt: DataFrame, preds: DataFrame, radius: float) -> DataFrame:
     """The matching of each frame with the most pairs within the radius and then the least total distance."""
     pairs = distance_pairs(gt, preds, radius)
-    return pairs.groupBy(*KEYS).applyInPandas(_optimal, pairs.schema)
+    return by_frame(pairs, _optimal, pairs.schema)
 
 
 def nearest(rows: DataFrame, others: DataFrame, row_id: str, other_id: str) -> DataFrame:
