@@ -19,13 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, folders: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a DataFrame that reads it.
 
     The plan behind the result is a plain scan: a lost executor costs the re-read of some files, never
-    the recomputation of what came before.
+    the recomputation of what came before. The columns of ``folders`` become folders.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=folders)
     return spark.read.schema(df.schema).parquet(path)

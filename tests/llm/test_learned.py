@@ -96,3 +96,12 @@ def test_toxicity_edges(spark, edge, edge_docs, empty):
 def test_weights_are_sparse(docs):
     weights = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
     assert 0 < np.count_nonzero(weights) < 500
+
+
+def test_a_rare_toxic_word_is_learned(spark):
+    """A word in a dozen of the sample's 12,000 or so documents, three of a shard, is enough."""
+    rare = {i for i in range(16000) if i % 1000 == 1}
+    rows = [(i, f"plain {i % 7} words {i % 11}" + (" zyxw" if i in rare else ""), int(i in rare)) for i in range(16000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    weights = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert weights[toxicity.features(pa.array(["zyxw"]))[0][0]] > 0
