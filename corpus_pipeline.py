@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dotspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from dotspark.llm.queries import tokenizer_path
-from dotspark.llm.scratch import materialise
+from dotspark.llm.scratch import keyed, materialise
 
 #: Documents whose best language has less than this part of all languages' shares are rejected.
 MIN_SCORE = 0.25
@@ -18,12 +18,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: no text, no letter, or no language ahead of the others.
 
     The filters are learned from the rows that are not held out. Rows with a null id are kept or rejected
-    like any other: rows of one text share a verdict.
+    like any other, and so are rows that repeat an id: each by its own text.
     """
     filters = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
-    found = language_id.predict(docs, filters)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    docs, key = keyed(docs, "language-rows")
+    found = language_id.predict(docs, filters, id_col=key)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(key)
+    return docs.join(kept, key, "left_semi").drop(key)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

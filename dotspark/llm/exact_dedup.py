@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import materialise
+from .scratch import keyed, materialise
 
 #: The characters that do not count: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -39,7 +39,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text != last:
                 last, digest = text, hashlib.sha256(text.encode()).hexdigest()
             digests.append(digest)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_points"), pa.array(digests, pa.string())], ["_id", "_points", "_digest"])
+        names = [name for name in batch.schema.names if name != "_norm"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(digests, pa.string())], [*names, "_digest"])
+
+
+def _found(rows: DataFrame, text_col: str, partitions: int | None) -> DataFrame:
+    """The columns of ``rows`` but the text, with ``_points`` and the ``_digest`` of the normalised text."""
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(*(c for c in rows.columns if c != text_col), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("_points"), normalised(F.col(text_col)).alias("_norm"))
+    key = [F.substring("_norm", 1, PREFIX), F.xxhash64("_norm")]
+    ordered = rows.repartitionByRange(n, *key, F.col("_id")).sortWithinPartitions(*key, "_norm", "_id")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_norm")
+    return materialise(ordered.mapInArrow(_runs, f"{shape}, _digest string"), "exact-runs")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
@@ -50,13 +61,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     count in ``group_size`` and share its verdict. A null id loses every tie and has ``kept`` false unless
     all ids of its group are null. Other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("_points"), normalised(F.col(text_col)).alias("_norm"))
-    key = [F.substring("_norm", 1, PREFIX), F.xxhash64("_norm")]
-    ordered = rows.repartitionByRange(n, *key, F.col("_id")).sortWithinPartitions(*key, "_norm", "_id")
-    id_type = rows.schema["_id"].dataType.simpleString()
-    found = materialise(ordered.mapInArrow(_runs, f"_id {id_type}, _points long, _digest string"), "exact-runs")
+    found = _found(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", partitions)
     best = F.struct(F.col("_points"), F.col("_id").isNotNull().alias("known"), (-F.col("_id")).alias("low"))
     groups = found.groupBy(F.col("_digest")).agg(F.max(best).alias("_best"), F.count(F.lit(1)).alias("group_size"))
     out = found.join(groups, "_digest")
@@ -67,6 +72,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts; all columns stay as they are."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """``docs`` with one row of each group of equal texts; all columns stay as they are.
+
+    The row is that of ``exact_duplicates``; of rows that repeat its id and length, the first as written. Ids
+    may be null or repeat: rows are told apart by a number of their own.
+    """
+    docs, key = keyed(docs, "exact-rows")
+    found = _found(docs.select(F.col(id_col).alias("_id"), F.col(key).alias("_row"), F.col(text_col).alias("_text")), "_text", None)
+    best = F.struct(F.col("_points"), F.col("_id").isNotNull().alias("known"), (-F.col("_id")).alias("low"), (-F.col("_row")).alias("row"))
+    kept = found.groupBy("_digest").agg(F.max(best).alias("_best")).select((-F.col("_best.row")).alias(key))
+    return docs.join(kept, key, "left_semi").drop(key)

@@ -1,5 +1,15 @@
 """Intermediate tables in the folder that all executors share."""
 
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
+
 from ..sources.scratch import materialise, shared_dir
 
-__all__ = ["materialise", "shared_dir"]
+__all__ = ["keyed", "materialise", "shared_dir"]
+
+
+def keyed(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number that only one row has, and that column's name, which no column of ``docs`` has."""
+    key = f"row_{uuid.uuid4().hex}"
+    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), label), key

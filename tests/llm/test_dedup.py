@@ -45,6 +45,13 @@ def test_exact_drop(edge, edge_docs):
     assert {r.doc_id for r in got.collect()} == {i for i, keep, _, kept, _ in brute_exact(edge_docs) if kept}
 
 
+def test_exact_drop_keeps_one_row(spark):
+    """Repeated rows of the winner, an id with two texts, and null ids: one row of each text."""
+    rows = [(1, "a b"), (1, "a b"), (2, "ab"), (3, "c d"), (3, "e"), (4, "c  d"), (None, "f"), (None, "f"), (None, "e"), (None, "g")]
+    got = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a b"), (3, "e"), (4, "c  d"), (None, "f"), (None, "g")]))
+
+
 def shingles(text, n):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     if not words:

@@ -56,3 +56,10 @@ def test_extra_columns_stay(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, wide, "")
         assert out.columns == wide.columns and out.count() > 0
+
+
+def test_language_judges_each_row(spark):
+    docs, rows = make(spark)
+    twice = docs.unionByName(docs.where("doc_id = 7").selectExpr("doc_id", "'12 34' AS text", "lang", "source", "n_chars"))
+    got = corpus_pipeline.language(spark, twice, "").where("doc_id = 7").collect()
+    assert [r.text for r in got] == [rows[7][1]]
