@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
-from .scratch import materialise
+from .scratch import keyed, materialise
 from .words import mix, ngram_hashes, text_slices, utf8, word_hashes
 
 BANDS, ROWS = 48, 5
@@ -76,6 +76,11 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
 
 
+def _print(unique: np.ndarray) -> tuple[int, int]:
+    """128 bits that equal sets share."""
+    return tuple(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (unique, mix(unique))) if len(unique) else (0, 0)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         raw, offsets = utf8(batch.column("_text"))
@@ -87,7 +92,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
             unique = np.unique(grams[bounds[row] : bounds[row + 1]])
             sizes[row] = len(unique)
             if len(unique):
-                prints[row] = unique.sum(dtype=np.uint64).view(np.int64), mix(unique).sum(dtype=np.uint64).view(np.int64)
+                prints[row] = _print(unique)
                 samples[row] = minhash(unique)
         keys = np.zeros((n, BANDS), np.uint64)
         for j in range(ROWS):
@@ -98,12 +103,14 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """The sorted distinct shingle hashes of each text, as bytes."""
+    """The sorted distinct shingle hashes of each text, as bytes, with their number and fingerprint."""
     for batch in text_slices(batches):
         raw, offsets = utf8(batch.column("_text"))
         grams, bounds = ngram_hashes(*word_hashes(raw, offsets), shingle, short_rows=True)
-        sets = [np.unique(grams[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.binary())], ["_id", "_set"])
+        sets = [np.unique(grams[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        prints = np.array([_print(s) for s in sets], np.int64).reshape(-1, 2)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["_id", "_n", "_p", "_q", "_set"])
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -219,8 +226,10 @@ def _linked(docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -
     sizes = clusters.join(reps.select("_id", "_n"), "_id").groupBy("_cluster").agg(F.ceil(F.sum("_n") / CLUSTER_BLOCK).cast("int").alias("_blocks"))
     placed = tiled(clusters.join(sizes, "_cluster"), "_cluster", F.col("_blocks")).drop("_blocks")
     wanted = clusters.select("_id")
-    sets = docs.join(wanted, "_id", "left_semi").mapInArrow(functools.partial(_sets, shingle=shingle), f"_id {id_type}, _set binary")
-    spread = placed.join(sets.dropDuplicates(["_id"]), "_id").repartition(parts, "_cluster", "_i", "_j").sortWithinPartitions("_cluster", "_i", "_j")
+    sets = docs.join(wanted, "_id", "left_semi").mapInArrow(functools.partial(_sets, shingle=shingle), f"_id {id_type}, _n long, _p long, _q long, _set binary")
+    # Of rows that repeat an id only those of the representative's set: these are equal.
+    own = sets.join(reps.select("_id", "_n", "_p", "_q"), ["_id", "_n", "_p", "_q"], "left_semi").select("_id", "_set").dropDuplicates(["_id"])
+    spread = placed.join(own, "_id").repartition(parts, "_cluster", "_i", "_j").sortWithinPartitions("_cluster", "_i", "_j")
     links = spread.mapInArrow(functools.partial(_cluster_links, percent=round(100 * similarity)), f"a {id_type}, b {id_type}")
     return materialise(connected_components(links), "near-labels")
 
@@ -232,27 +241,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sequences, or its whole sequence if it has fewer words. Documents link when 100 * intersection >=
     100 * similarity * union, confirmed on the full sets (as 64-bit hashes); ``component_id`` is the smallest
     id reachable. A document without words or text has size 0 and links with nothing, its component being
-    itself. Rows that repeat an id are one document (the row with the greatest set counts for links). A null
-    id gets a null component and ``kept`` false. Other columns are not read; an empty table gives no rows.
+    itself. Rows that repeat an id are one document: the row with the greatest set counts for links, of equally
+    great ones that with the greatest fingerprint, and all share its component. A null id gets a null component and ``kept`` false. Other columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
     words = ", ".join(f"_s{i} long" for i in range(WORDS))
     signed = materialise(rows.mapInArrow(functools.partial(_signatures, shingle=shingle), f"_id {id_type}, _n long, _p long, _q long, _bands array<long>, {words}"), "near-signatures")
     real = signed.where("_n > 0 AND _id IS NOT NULL")
-    classes = materialise(real.groupBy("_n", "_p", "_q").agg(F.min("_id").alias("_rep")), "near-classes")
-    # One row per representative: its set is the class's set.
+    tops = real.groupBy("_id").agg(F.max(F.struct("_n", "_p", "_q")).alias("_top")).select("_id", "_top.*")
+    tops = materialise(tops, "near-tops")
+    classes = materialise(tops.groupBy("_n", "_p", "_q").agg(F.min("_id").alias("_rep")), "near-classes")
+    # One row per representative, which has one class: rows that remain of its id have the class's set.
     reps = signed.join(classes.select("_n", "_p", "_q", F.col("_rep").alias("_id")), ["_id", "_n", "_p", "_q"], "left_semi")
     reps = materialise(reps.dropDuplicates(["_id"]), "near-reps")
     labels = _linked(rows.where(F.col("_id").isNotNull()), reps, shingle, similarity)
     of_class = classes.join(labels, classes["_rep"] == labels["id"], "left").select("_n", "_p", "_q", F.coalesce("component", "_rep").alias("_component"))
-    out = signed.join(of_class, ["_n", "_p", "_q"], "left")
-    component = F.when(F.col("_n") > 0, F.col("_component")).otherwise(F.col("_id"))
-    out = out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), component).alias("component_id"))
+    of_id = tops.join(of_class, ["_n", "_p", "_q"]).select("_id", "_component")
+    out = signed.select("_id", "_n").join(of_id, "_id", "left")
+    out = out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with the smallest id of each component; all columns stay as they are."""
-    kept = near_duplicates(docs, id_col, text_col, shingle, similarity).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+    """``docs`` with one row of each component; all columns stay as they are.
+
+    Each row is a document of its own here, also where its id is null or repeated, with a number of its own as
+    vertex. The smallest id of a component stays, a null id only if all of its ids are null; of rows that
+    repeat the id the first as written. A row without words is a component.
+    """
+    docs, key = keyed(docs, "near-rows")
+    found = near_duplicates(docs.select(F.col(key).alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", shingle, similarity).select("_row", "component_id")
+    named = found.join(docs.select(F.col(key).alias("_row"), F.col(id_col).alias("_id")), "_row")
+    best = F.min(F.struct(F.col("_id").isNull().alias("unknown"), F.col("_id"), F.col("_row")))
+    kept = named.groupBy("component_id").agg(best.alias("_best")).select(F.col("_best._row").alias(key))
+    return docs.join(kept, key, "left_semi").drop(key)

@@ -113,6 +113,23 @@ def test_null_ids(spark):
     assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_duplicates(docs).collect()} == {(None, 3, False), (None, None, True), (3, 3, True), (4, 3, False)}
 
 
+def test_near_drop_keeps_null_ids(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    rows = [(None, "one two three"), (None, "four five six"), (None, " ".join(near)), (5, " ".join(near[:-1])), (6, "seven eight nine"), (6, "ten eleven twelve")]
+    got = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=2).collect()
+    assert sorted(r.text for r in got) == sorted(t for _, t in (rows[i] for i in (0, 1, 3, 4, 5)))
+
+
+def test_near_repeated_id_with_two_texts(spark):
+    """Id 1 has two texts: its greater set counts for links, and the others' links do not hang on it."""
+    words = [f"w{i}" for i in range(80)]
+    small = [f"v{i}" for i in range(40)]
+    docs = [(1, " ".join(words)), (1, " ".join(small)), (2, " ".join(small)), (3, " ".join(small[:-1])), (4, " ".join(words[:-1]))]
+    for parts in (1, 2, 5):
+        got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts), shingle=2)
+        assert {(r.doc_id, r.component_id) for r in got.collect()} == {(1, 1), (2, 2), (3, 2), (4, 1)}
+
+
 def test_empty_tables(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert exact_dedup.exact_duplicates(empty).count() == 0
