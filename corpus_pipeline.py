@@ -10,8 +10,8 @@ from dotspark.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from dotspark.llm.queries import tokenizer_path
 from dotspark.llm.scratch import keyed, materialise
 
-#: Documents whose best language has less than this part of all languages' shares are rejected.
-MIN_SCORE = 0.25
+#: Documents whose best language's share is ahead of the next best by no more than this are rejected.
+MIN_LEAD = 0.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     docs, key = keyed(docs, "language-rows")
     found = language_id.predict(docs, filters, id_col=key)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(key)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("lead") > MIN_LEAD)).select(key)
     return docs.join(kept, key, "left_semi").drop(key)
 
 

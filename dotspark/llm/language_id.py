@@ -165,14 +165,17 @@ def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[p
             found = shares(column, filters)
             best, total = found.argmax(axis=1), found.sum(axis=1)
             score = np.where(lettered, found.max(axis=1) / np.maximum(total, 1e-9), 0.0)
+            # With one language there is none to be ahead of.
+            lead = np.where(lettered, found.max(axis=1) - (np.partition(found, -2, axis=1)[:, -2] if len(filters.langs) > 1 else 0.0), 0.0)
             names = [filters.langs[i] if ok else "und" for i, ok in zip(best, lettered, strict=True)]
         else:
-            score, names = np.zeros(len(batch)), ["und"] * len(batch)
-        yield pa.RecordBatch.from_arrays([*(c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "_text"), pa.array(names, pa.string()), pa.array(score)], [*(n for n in batch.schema.names if n != "_text"), "lang_pred", "score"])
+            score, lead, names = np.zeros(len(batch)), np.zeros(len(batch)), ["und"] * len(batch)
+        yield pa.RecordBatch.from_arrays([*(c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "_text"), pa.array(names, pa.string()), pa.array(score), pa.array(lead)], [*(n for n in batch.schema.names if n != "_text"), "lang_pred", "score", "lead"])
 
 
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``lang_pred``, ``score`` (the best language's part of all corrected shares).
+    """One row per input row: id, ``lang_pred``, ``score`` (the best language's part of all corrected shares),
+    ``lead`` (the best share less the next best).
 
     Only the text is looked at. ``und`` with score 0 for a null text, one without a letter, or if no language
     was learned; with letters but no known n-gram the first language, score 0. Ties go to the language first
@@ -181,7 +184,7 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     id_type = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(functools.partial(_predict, shared=shared), f"_id {id_type}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(functools.partial(_predict, shared=shared), f"_id {id_type}, lang_pred string, score double, lead double").withColumnRenamed("_id", id_col)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from dotspark.llm import mixing
 from tests.llm.test_dedup import brute_near
@@ -63,3 +65,14 @@ def test_language_judges_each_row(spark):
     twice = docs.unionByName(docs.where("doc_id = 7").selectExpr("doc_id", "'12 34' AS text", "lang", "source", "n_chars"))
     got = corpus_pipeline.language(spark, twice, "").where("doc_id = 7").collect()
     assert [r.text for r in got] == [rows[7][1]]
+
+
+@pytest.mark.parametrize("many", [2, 4, 12])
+def test_related_languages(spark, many):
+    """A clean document has most n-grams in common with all languages; one that has only these is rejected."""
+    shared = "the quick brown fox jumps over lazy dogs and runs far away from home today"
+    own = ["baka", "ciki", "dodo", "fufu", "gegi", "haho", "jiju", "keko", "lalu", "mimo", "nuna", "popi"]
+    rows = [(i, f"{shared} {own[i % many]} {own[i % many]}", f"l{i % many}") for i in range(30 * many)]
+    rows += [(10_000, "the quick brown fox", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == list(range(30 * many))
