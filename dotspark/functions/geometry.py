@@ -28,17 +28,20 @@ def to_center(x: Column, size: Column, semantics: Column) -> Column:
 
 
 def crop_box(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column) -> Box:
-    """Box of (w, h) around a center, its corners rounded and clamped into the frame; at least 1 by 1."""
-    x0 = F.least(F.greatest(F.bround(cx - w / 2.0).cast("int"), F.lit(0)), width - 1)
-    y0 = F.least(F.greatest(F.bround(cy - h / 2.0).cast("int"), F.lit(0)), height - 1)
-    x1 = F.least(x0 + F.greatest(w, F.lit(1)), width)
-    y1 = F.least(y0 + F.greatest(h, F.lit(1)), height)
-    return Box(x0, y0, x1 - x0, y1 - y0)
+    """Box of (w, h) around a center, its size rounded and its corner too, moved inside the frame.
+
+    The size stays (at least 1 by 1, at most the frame): a box at the edge is shifted, not shrunk.
+    """
+    w, h = (F.greatest(F.bround(n.cast("double")).cast("int"), F.lit(1)) for n in (w, h))
+    x0 = F.greatest(F.lit(0), F.least(F.bround(cx - w / 2.0).cast("int"), width - w))
+    y0 = F.greatest(F.lit(0), F.least(F.bround(cy - h / 2.0).cast("int"), height - h))
+    return Box(x0, y0, F.least(w, width), F.least(h, height))
 
 
 def clamp_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Box:
-    """Keep the size and move the box inside the frame."""
-    return Box(F.greatest(F.lit(0), F.least(x, width - w)), F.greatest(F.lit(0), F.least(y, height - h)), w, h)
+    """Whole numbers (fractions are cut), a size of 1 up to the frame's, and the box moved inside the frame."""
+    w, h = (F.greatest(F.lit(1), F.least(n.cast("int"), most)) for n, most in ((w, width), (h, height)))
+    return Box(F.greatest(F.lit(0), F.least(x.cast("int"), width - w)), F.greatest(F.lit(0), F.least(y.cast("int"), height - h)), w, h)
 
 
 def clip_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Box:
@@ -48,9 +51,10 @@ def clip_box(x: Column, y: Column, w: Column, h: Column, width: Column, height:
 
 
 def min_square(cx: Column, cy: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
-    """Side of the smallest square centered on (cx, cy) that covers the box's pixels."""
-    reach = F.greatest(cx - x, x + w - 1 - cx, cy - y, y + h - 1 - cy)
-    return F.ceil(2 * reach + 1)
+    """struct<side, x0, y0>: the smallest square centered on (cx, cy) that covers the box's pixels, and its corner."""
+    reach = F.greatest(F.abs(cx - x), F.abs(x + w - 1 - cx), F.abs(cy - y), F.abs(y + h - 1 - cy))
+    side = F.ceil(2 * reach + 1).cast("int")
+    return F.struct(side.alias("side"), F.bround(cx - side / 2.0).cast("int").alias("x0"), F.bround(cy - side / 2.0).cast("int").alias("y0"))
 
 
 def box_to_norm(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:

@@ -5,51 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def _stripped(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def safe_name(text: Column) -> Column:
-    """Characters other than letters, digits, ``.``, ``_`` and ``-`` become ``_``; runs are one; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text), "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
+    """Characters other than letters, digits, ``.``, ``_`` and ``-`` become ``_``; runs of ``_`` are one; none at the ends."""
+    return F.regexp_replace(F.regexp_replace(_stripped(text), "[^A-Za-z0-9.-]+", "_"), "^_+|_+$", "")
 
 
 def slug(text: Column) -> Column:
-    """Lower case, everything else than letters and digits as one ``_``, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """Lower case, everything else than letters and digits as one ``-``, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def group_token(text: Column) -> Column:
-    return F.regexp_replace(slug(text), "_+", "-")
+    """A group's name as it stands in file names: its slug."""
+    return slug(text)
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, "([^/]*)$", 1)
+    """The last path part; a slash at the end does not count."""
+    return F.regexp_extract(path, "([^/]*)/*$", 1)
 
 
 def stem(path: Column) -> Column:
-    """The last path part without its last extension."""
-    return F.regexp_replace(base_name(path), r"\.[^.]*$", "")
+    """A video's stem: the last path part without ``.mp4`` in any case; other endings stay."""
+    return F.regexp_replace(base_name(_stripped(path)), r"(?i)\.mp4$", "")
+
+
+def file_stem(path: Column) -> Column:
+    """The last path part without its last ending; a leading dot starts no ending."""
+    return F.regexp_replace(base_name(path), r"(?<=[^/])\.[^.]+$", "")
 
 
 def short_key(group: Column, name: Column, length: int = 120) -> Column:
-    """``group__name`` with the name cut and a hash of the whole name behind it."""
-    return F.concat(group, F.lit("__"), F.substring(name, 1, length), F.lit("__"), F.substring(F.sha1(name), 1, 10))
+    """``group__name__hash`` of safe names: the name cut, and a hash of the whole safe name."""
+    whole = safe_name(name)
+    cut = F.when(F.length(whole) > length, F.regexp_replace(F.substring(whole, 1, length), "_+$", "")).otherwise(whole)
+    return F.concat(safe_name(group), F.lit("__"), cut, F.lit("__"), F.substring(F.sha1(whole.cast("binary")), 1, 10))
 
 
 def has_token(text: Column, token: str | Column) -> Column:
-    """Whether the slug of ``text`` has ``token`` as whole words."""
-    wanted = F.lit(token) if isinstance(token, str) else token
-    return F.concat(F.lit("_"), slug(text), F.lit("_")).contains(F.concat(F.lit("_"), wanted, F.lit("_")))
+    """Whether the slug of ``text`` has the slug of ``token`` as whole words; an empty token is in no text."""
+    wanted = slug(F.lit(token) if isinstance(token, str) else token)
+    return (wanted != "") & F.concat(F.lit("-"), slug(text), F.lit("-")).contains(F.concat(F.lit("-"), wanted, F.lit("-")))
+
+
+#: Words that name a route (fixed values).
+ROUTE_WORDS = {"day": ("day", "daytime", "day_time"), "night": ("night", "nighttime", "night_time")}
 
 
 def route_hint(text: Column) -> Column:
     """``day``, ``night``, ``conflict`` if both are named, else null."""
-    day, night = has_token(text, "day") | has_token(text, "daytime"), has_token(text, "night") | has_token(text, "nighttime")
-    return F.when(day & night, "conflict").when(day, "day").when(night, "night")
+    named = {}
+    for route, words in ROUTE_WORDS.items():
+        named[route] = has_token(text, words[0])
+        for word in words[1:]:
+            named[route] = named[route] | has_token(text, word)
+    return F.when(named["day"] & named["night"], "conflict").when(named["day"], "day").when(named["night"], "night")
 
 
 def parse_frame(name: Column, which: str = "last") -> Column:
-    """Frame number: a numeric text itself, else its ``last`` or ``first`` group of digits, else null."""
-    groups = F.regexp_extract_all(name, F.lit(r"(\d+)"), F.lit(1))
+    """Frame number: a numeric text rounded (halves to even), else the ``last`` group of digits of its last path
+    part, or the ``first`` group of digits of the text, else null."""
+    number = _stripped(name).try_cast("double")
+    whole = F.when(~F.isnan(number) & (F.abs(number) < 9e18), F.bround(number).cast("long"))
+    groups = F.regexp_extract_all(base_name(name) if which == "last" else name, F.lit(r"(\d+)"), F.lit(1))
     pick = F.get(groups, F.size(groups) - 1) if which == "last" else F.get(groups, F.lit(0))
-    return F.coalesce(F.trim(name).try_cast("double").cast("long"), pick.try_cast("long"))
+    return F.coalesce(whole, pick.try_cast("long"))
 
 
 def parse_crop_name(name: Column) -> Column:
@@ -90,18 +115,56 @@ def parse_version(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"^v(\d+)(?:_.*)?$", 1), F.lit("")).try_cast("int")
 
 
-def label_from_name(name: Column) -> Column:
-    """``positive`` or ``negative`` from the name's last word; positive if it names neither."""
-    return F.coalesce(F.nullif(F.regexp_extract(F.lower(stem(name)), "(positive|negative)$", 1), F.lit("")), F.lit("positive"))
+def label_from_name(name: Column, video: Column | None = None) -> Column:
+    """``positive`` or ``negative`` if that is the name's whole last word between ``_``; else positive.
+
+    With a ``video`` whose name starts the file's (as it is, or with ``-``, ``(``, ``)`` as ``_``), only what
+    follows it counts, so that a video called ``a_negative`` has a positive table of that name.
+    """
+
+    def plain(text: Column) -> Column:
+        return F.lower(F.regexp_replace(F.regexp_replace(text, "[-()_]+", "_"), "^_+|_+$", ""))
+
+    def behind(text: Column, start: Column) -> Column:
+        found = (start != "") & ((text == start) | F.startswith(text, F.concat(start, F.lit("_"))))
+        return F.when(found, F.substring(text, F.length(start) + 1, F.length(text)))
+
+    raw, key = F.lower(_stripped(file_stem(name))), plain(_stripped(file_stem(name)))
+    rest = key
+    if video is not None:
+        start = F.lower(_stripped(F.coalesce(video, F.lit(""))))
+        rest = F.coalesce(behind(raw, start), behind(key, plain(start)), key)
+    word = F.regexp_extract(rest, "(?:^|_)(positive|negative)_*$", 1)
+    return F.coalesce(F.nullif(word, F.lit("")), F.lit("positive"))
 
 
 def parse_metrics(text: Column) -> Column:
-    """``tp=1 fp=2 precision=0.5 ...`` or ``ERROR: ...`` -> struct<status, tp, fp, fn, precision, recall, f1>."""
-    pairs = F.str_to_map(F.trim(text), F.lit(" "), F.lit("="))
-    failed = F.startswith(F.trim(text), F.lit("ERROR:"))
-    status = F.when(text.isNull() | (F.trim(text) == ""), "empty").when(failed, "error").otherwise("ok")
-    value = lambda k, kind: F.when(status == "ok", F.try_element_at(pairs, F.lit(k)).try_cast(kind)).alias(k)
-    return F.struct(status.alias("status"), *(value(k, "long") for k in ("tp", "fp", "fn")), *(value(k, "double") for k in ("precision", "recall", "f1")))
+    """``tp=1 fp=2 fn=0 precision=0.5 ...`` -> struct<status, error, tp, fp, fn, precision, recall, accuracy, f1>.
+
+    ``not_run`` for an empty text, ``error`` for ``ERROR: reason`` and for a text without all three whole
+    counts, else ``ok``. Recall always follows from the counts; precision, accuracy and f1 do where they are
+    not given. Of a key given twice the last counts.
+    """
+    plain = F.coalesce(_stripped(text), F.lit(""))
+    words = F.filter(F.split(plain, r"\s+"), lambda w: w.contains("="))
+
+    def given(key: str, kind: str) -> Column:
+        mine = F.filter(words, lambda w: F.startswith(w, F.lit(key + "=")))
+        value = F.substring(F.get(mine, F.size(mine) - 1), len(key) + 2, 1 << 20)
+        return F.when(value.rlike(r"^[+-]?\d+$"), value.try_cast("long")) if kind == "long" else value.try_cast("double")
+
+    failed = F.startswith(plain, F.lit("ERROR:"))
+    tp, fp, fn = (given(k, "long") for k in ("tp", "fp", "fn"))
+    counted = tp.isNotNull() & fp.isNotNull() & fn.isNotNull()
+    status = F.when(plain == "", "not_run").when(failed | ~counted, "error").otherwise("ok")
+    error = F.when(failed, _stripped(F.substring(plain, 7, 1 << 20))).when((plain != "") & ~counted, F.concat(F.lit("unable to parse metric summary: "), plain)).otherwise("")
+    share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    recall = share(tp, tp + fn)
+    precision = F.coalesce(given("precision", "double"), share(tp, tp + fp))
+    accuracy = F.coalesce(given("accuracy", "double"), share(tp, tp + fp + fn))
+    f1 = F.coalesce(given("f1", "double"), share(2.0 * precision * recall, precision + recall))
+    fields = {"tp": tp, "fp": fp, "fn": fn, "precision": precision, "recall": recall, "accuracy": accuracy, "f1": f1}
+    return F.struct(status.alias("status"), error.alias("error"), *(F.when(status == "ok", v).alias(k) for k, v in fields.items()))
 
 
 def threshold_name(threshold: Column) -> Column:

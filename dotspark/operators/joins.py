@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import naming
 from .matching import KEYS, distance_pairs
 
 
@@ -27,9 +28,14 @@ def sync_keys(slim: DataFrame, main: DataFrame, keep: bool = True) -> DataFrame:
     return keyed.join(main.select(*rounded_key()).distinct(), [*KEYS, "_kx", "_ky"], "left_semi" if keep else "left_anti").drop("_kx", "_ky")
 
 
-def rebuild_slim(main: DataFrame, order: str, values: list[str]) -> DataFrame:
-    """One row per (video, t, integer x, integer y): the last by ``order``."""
-    keyed = main.select(*KEYS, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), order, *values)
+def rebuild_slim(main: DataFrame, order: str, values: list[str], class_col: str = "class") -> DataFrame:
+    """One row per (video, t, x, y) of the positive rows, x and y rounded half-even: the last by ``order``.
+
+    If there is a class column, rows of another class or without one are left out; without it all rows count.
+    """
+    if class_col in main.columns:
+        main = main.where(F.lower(F.trim(F.col(class_col))) == "positive")
+    keyed = main.select(*KEYS, F.bround("x").cast("long").alias("x"), F.bround("y").cast("long").alias("y"), order, *values)
     return keyed.groupBy(*KEYS, "x", "y").agg(*(F.max_by(v, order).alias(v) for v in values))
 
 
@@ -58,21 +64,27 @@ def prefix_pair(names: DataFrame, stems: DataFrame, name: str = "name", stem: st
     return names.select(name).distinct().join(best, name, "left")
 
 
-def token_groups(paths: DataFrame, groups: DataFrame, path: str = "path", slug: Column | None = None) -> DataFrame:
-    """Each path with the longest group token in it; null if none. Tokens are runs of a path's words, so this too is an equi-join."""
-    words = F.filter(F.split(slug if slug is not None else F.col(path), "_"), lambda w: w != "")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.transform(F.sequence(i, F.size("_w")), lambda j: F.array_join(F.slice("_w", i, j - i + 1), "_"))))
-    exploded = paths.select(path, words.alias("_w")).where(F.size("_w") > 0).select(path, F.explode(runs).alias("grp")).distinct()
-    best = exploded.join(groups.select("grp").distinct(), "grp").groupBy(path).agg(F.max_by("grp", F.struct(F.length("grp"), "grp")).alias("grp"))
+def token_groups(paths: DataFrame, groups: DataFrame, path: str = "path", group: str = "grp") -> DataFrame:
+    """Each path with the group whose slug is the longest in the path's slug, as words or within a word; null if none.
+
+    Of groups with slugs of equal length the first by name is taken; a group whose slug is empty is in no path.
+    Groups have few distinct slug lengths; a path's slug is cut to its pieces of these lengths, and the
+    pieces are joined by equality: no path meets all groups.
+    """
+    known = groups.select(F.col(group).alias("_group"), naming.slug(F.col(group)).alias("_piece")).where("_piece <> ''").distinct()
+    lengths = known.agg(F.collect_set(F.length("_piece")).alias("_lengths"))  # one row
+    slugs = paths.select(path, naming.slug(F.col(path)).alias("_slug")).distinct().join(F.broadcast(lengths))
+    sized = slugs.select(path, "_slug", F.explode("_lengths").alias("_n")).where(F.col("_n") <= F.length("_slug"))
+    pieces = sized.select(path, "_slug", "_n", F.explode(F.sequence(F.lit(1), F.length("_slug") - F.col("_n") + 1)).alias("_at")).select(path, F.substring("_slug", F.col("_at"), F.col("_n")).alias("_piece")).distinct()
+    best = pieces.join(known, "_piece").groupBy(path).agg(F.min_by("_group", F.struct(-F.length("_piece"), "_group")).alias(group))
     return paths.select(path).distinct().join(best, path, "left")
 
 
 def catalog_label(videos: DataFrame, known: DataFrame) -> DataFrame:
-    """``label``: training if (group, stem) is known, ``training_other_group`` if the stem is known elsewhere, else inference."""
-    exact = known.select("grp", "stem").distinct().withColumn("_same", F.lit(True))
-    any_ = known.select("stem").distinct().withColumn("_any", F.lit(True))
-    joined = videos.join(exact, ["grp", "stem"], "left").join(any_, "stem", "left")
-    return joined.withColumn("label", F.when(F.col("_same"), "training").when(F.col("_any"), "training_other_group").otherwise("inference")).drop("_same", "_any")
+    """``label``: training if the stem is known in the video's group or in any other, else inference; ``same_group`` tells which."""
+    stems = known.groupBy("stem").agg(F.collect_set("grp").alias("_groups"))
+    joined = videos.join(stems, "stem", "left")
+    return joined.withColumn("label", F.when(F.col("_groups").isNotNull(), "training").otherwise("inference")).withColumn("same_group", F.coalesce(F.array_contains("_groups", F.col("grp")), F.lit(False))).drop("_groups")
 
 
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,20 +103,41 @@ def best_image(images: DataFrame) -> DataFrame:
     return images.groupBy("stem").agg(F.min_by("path", F.struct(~F.endswith("path", F.lit(".png")), F.length("path"), "path")).alias("path"))
 
 
-def collision_plan(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """(path, stem, ``action``, ``target``): skip equal content, rename another content under a taken stem, else copy.
+def collision_plan(incoming: DataFrame, existing: DataFrame, source: str) -> DataFrame:
+    """(path, stem, ``action``, ``target``) of incoming files: copy, skip or rename.
 
-    Incoming rows that share a stem are numbered by path; the first takes the bare stem if it is free.
+    A stem that is free is copied. Under a taken stem the names ``stem``, ``stem__src_<source>``,
+    ``stem__src_<source>__dup2`` and so on are looked at in order up to the first free one: equal content on the
+    way is a skip, else the free name is taken. Incoming files of one stem go one after another by path, so
+    that equal ones among them are skips as well. Existing names behind a gap count as taken, not as equal.
     """
-    taken = existing.groupBy("stem").agg(F.collect_set("hash").alias("_hashes"))
-    fresh = incoming.join(taken, "stem", "left").withColumn("_same", F.coalesce(F.array_contains("_hashes", F.col("hash")), F.lit(False)))
-    # Of incoming rows with one stem and content, the first by path counts.
-    again = F.row_number().over(W.partitionBy("stem", "hash").orderBy("path"))
-    marked = fresh.withColumn("_skip", F.col("_same") | (again > 1))
-    number = F.row_number().over(W.partitionBy("stem", "_skip").orderBy("path")) - F.when(F.col("_hashes").isNull(), 1).otherwise(0)
-    out = marked.withColumn("_n", number)
-    action = F.when(F.col("_skip"), "skip").when(F.col("_n") > 0, "rename").otherwise("copy")
-    return out.select("path", "stem", action.alias("action"), F.when(~F.col("_skip"), F.when(F.col("_n") > 0, F.concat_ws("__", "stem", F.col("_n").cast("string"))).otherwise(F.col("stem"))).alias("target"))
+    base = F.concat(F.col("stem"), F.lit(f"__src_{source}"))
+    # Place of an existing name in the order of its stem's names: 0, 1, and n for __dupN.
+    taken = existing.select(F.col("stem").alias("_name"), F.col("hash").alias("_hash")).distinct()
+    parsed = taken.withColumn("stem", F.regexp_replace("_name", rf"__src_{source}(__dup[0-9]+)?$", ""))
+    place = F.when(F.col("_name") == F.col("stem"), 0).when(F.col("_name") == base, 1).otherwise(F.regexp_extract("_name", "__dup([0-9]+)$", 1).try_cast("int"))
+    # A name that ends like a renamed one is also a stem of its own.
+    names = parsed.withColumn("_place", place).unionByName(taken.where(F.col("_name").rlike(rf"__src_{source}(__dup[0-9]+)?$")).select("_name", "_hash", F.col("_name").alias("stem"), F.lit(0).alias("_place")))
+    held = names.groupBy("stem").agg(F.sort_array(F.collect_set("_place")).alias("_places"), F.collect_set(F.struct("_place", "_hash")).alias("_held"))
+    fresh = incoming.join(held, "stem", "left")
+    # Free places before the equal name that is met first; null without one. 0: it is met at once.
+    below = lambda p: F.size(F.filter("_places", lambda q: q < p))
+    equal = F.array_min(F.transform(F.filter("_held", lambda h: h["_hash"] == F.col("hash")), lambda h: h["_place"] - below(h["_place"])))
+    again = F.row_number().over(W.partitionBy("stem", "hash").orderBy("path")) > 1
+    marked = fresh.withColumn("_gap", equal).withColumn("_skip", again).withColumn("_skip", F.col("_skip") | F.coalesce(F.col("_gap") == 0, F.lit(False)))
+    marked = marked.withColumn("_nth", F.row_number().over(W.partitionBy("stem", "_skip").orderBy("path")) - 1)
+    # An equal name behind free places is met once files before have filled these: at most one file for each name held.
+    waiting = marked.where("NOT _skip AND _gap > 0").groupBy("stem").agg(F.sort_array(F.collect_list(F.struct("_nth", "_gap"))).alias("_waiting"))
+    none = F.array().cast("array<int>")
+    met = F.aggregate(F.coalesce("_waiting", F.array().cast("array<struct<_nth:int,_gap:int>>")), none, lambda done, w: F.when(w["_gap"] <= w["_nth"] - F.size(done), F.array_append(done, w["_nth"])).otherwise(done))
+    settled = marked.join(waiting, "stem", "left").withColumn("_met", met)
+    settled = settled.withColumn("_skip", F.col("_skip") | F.array_contains("_met", F.col("_nth"))).withColumn("_nth", F.col("_nth") - F.size(F.filter("_met", lambda m: m < F.col("_nth"))))
+    # The n-th free place: every taken place at or before it moves it on by one.
+    free = F.aggregate(F.coalesce("_places", none), F.col("_nth"), lambda at, p: F.when(p <= at, at + 1).otherwise(at))
+    out = settled.withColumn("_at", free)
+    target = F.when(F.col("_at") == 0, F.col("stem")).when(F.col("_at") == 1, base).otherwise(F.concat(base, F.lit("__dup"), F.col("_at").cast("string")))
+    action = F.when(F.col("_skip"), "skip").when(F.col("_at") > 0, "rename").otherwise("copy")
+    return out.select("path", "stem", action.alias("action"), F.when(~F.col("_skip"), target).alias("target"))
 
 
 def backfill(rows: DataFrame, extra: DataFrame, key: str, columns: list[str]) -> DataFrame:

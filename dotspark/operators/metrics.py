@@ -59,10 +59,11 @@ def best_threshold(metrics: DataFrame, keys: list[str] | None = None) -> DataFra
 
 
 def group_rollup(results: DataFrame) -> DataFrame:
-    """Micro-aggregate per group with status ok, partial, error or empty, and the sorted error list."""
-    total = results.groupBy("grp").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")), F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_error"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("status") == "error", F.col("error")))), ";").alias("errors"))
+    """Micro-aggregate per group: videos, counts, status ok, partial, error or empty, the sorted error list, the rates."""
+    total = results.groupBy("grp").agg(F.count(F.lit(1)).alias("videos_total"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")), F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_error"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("status") == "error", F.col("error")))), ";").alias("errors"))
     status = F.when((F.col("n_ok") > 0) & (F.col("n_error") > 0), "partial").when(F.col("n_ok") > 0, "ok").when(F.col("n_error") > 0, "error").otherwise("empty")
-    return total.select("grp", "tp", "fp", "fn", "n_ok", "n_error", "errors", status.alias("status"), *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+    accuracy = ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")).alias("accuracy")
+    return total.select("grp", "videos_total", "tp", "fp", "fn", "n_ok", "n_error", "errors", status.alias("status"), *prf(F.col("tp"), F.col("fp"), F.col("fn")), accuracy)
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -116,8 +117,9 @@ def infer_offset(gt: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def distribution(column: str) -> list[Column]:
-    """min, p25, mean, p75, max with linear interpolation. (``percentile_approx`` instead, where exactness does not pay.)"""
-    return [F.min(column).alias("min"), F.percentile(column, 0.25).alias("p25"), F.avg(column).alias("mean"), F.percentile(column, 0.75).alias("p75"), F.max(column).alias("max")]
+    """min, p25, p50, mean, p75, max with linear interpolation. (``percentile_approx`` instead, where exactness does not pay.)"""
+    at = lambda q: F.percentile(column, q)
+    return [F.min(column).alias("min"), at(0.25).alias("p25"), at(0.5).alias("p50"), F.avg(column).alias("mean"), at(0.75).alias("p75"), F.max(column).alias("max")]
 
 
 def per_frame_distribution(rows: DataFrame, spine: DataFrame) -> DataFrame:
@@ -127,10 +129,10 @@ def per_frame_distribution(rows: DataFrame, spine: DataFrame) -> DataFrame:
 
 
 def class_weights(rows: DataFrame, label: str, labels: DataFrame) -> DataFrame:
-    """total / (classes * count) of each class of ``labels``; 0 for one without rows."""
+    """total / count of each class of ``labels``; 0 for one without rows. The total counts rows of these classes."""
     counts = labels.join(rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = F.sum("n").over(W.partitionBy())
-    return counts.select(label, "n", F.when(F.col("n") > 0, total / (F.count(F.lit(1)).over(W.partitionBy()) * F.col("n"))).otherwise(0.0).alias("weight"))
+    total = counts.agg(F.sum("n").alias("_total"))  # one row
+    return counts.join(F.broadcast(total)).select(label, "n", F.when(F.col("n") > 0, F.col("_total") / F.col("n")).otherwise(0.0).alias("weight"))
 
 
 def share_of_total(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

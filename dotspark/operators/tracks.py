@@ -79,37 +79,52 @@ def profile(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"track_size": F.count(F.lit(1)).over(track), "turn": F.row_number().over(track.orderBy("t", "det_id")) - 1, "rel_t": F.col("t") - F.min("t").over(track)})
 
 
+def _smoothed(value: str, window: int) -> Column:
+    """Centered moving average along each track; a window of 1 or less, or a track of two rows, changes nothing."""
+    at = W.partitionBy("track_id").orderBy("t", "det_id")
+    if window <= 1:
+        return F.col(value).cast("double")
+    # Rounded far below any difference that counts, so that equal means are equal whatever the order of the sum.
+    mean = F.round(F.avg(value).over(at.rowsBetween(-(window // 2), window // 2)), 9)
+    return F.when(F.count(F.lit(1)).over(W.partitionBy("track_id")) <= 2, F.col(value).cast("double")).otherwise(mean)
+
+
 def moving_average(rows: DataFrame, value: str, window: int) -> DataFrame:
-    """Centered moving average along each track, truncated at its ends."""
-    at = W.partitionBy("track_id").orderBy("t", "det_id").rowsBetween(-(window // 2), window // 2)
-    return rows.withColumn("smooth", F.avg(value).over(at))
+    """``smooth``: the centered moving average along each track, truncated at its ends.
+
+    A window of 1 or less changes nothing, nor does any window in a track of one or two rows.
+    """
+    return rows.withColumn("smooth", _smoothed(value, window))
 
 
 def intensity_range(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("track_id").agg((F.max(value) - F.min(value)).alias("intensity_range"), F.count(F.lit(1)).alias("n"))
 
 
-def hill_shape(rows: DataFrame, value: str, edge_low: float = 0.0, edge_high: float = 1.0, min_up: int = 1, min_down: int = 1, monotone: float = 0.6, eps: float = 1e-6) -> DataFrame:
-    """(track_id, n, ``is_hill``): the curve rises to its first maximum and falls behind it.
+def hill_shape(rows: DataFrame, value: str, window: int = 3, edge_low: float = 0.1, edge_high: float = 0.9, min_up: int = 2, min_down: int = 2, monotone: float = 0.6, eps: float = 1e-6) -> DataFrame:
+    """(track_id, n, ``is_hill``): the smoothed curve rises to its first maximum and falls behind it.
 
-    The peak lies strictly inside and between the edge fractions; at least ``min_up`` and ``min_down`` steps
-    rise and fall by more than ``eps``, and at least the share ``monotone`` of the steps on a side go its way.
+    With n rows the peak lies strictly between floor(edge_low (n - 1)) and ceil(edge_high (n - 1)). Steps of
+    at most ``eps`` are flat and count for nothing; of the others at least ``min_up`` rise before and
+    ``min_down`` fall behind the peak, and at least the share ``monotone`` of each side's go its way. Tracks of
+    fewer than three rows are no hills.
     """
-    at = W.partitionBy("track_id").orderBy("t", "det_id")
-    numbered = rows.select("track_id", F.col(value).alias("_v"), (F.row_number().over(at) - 1).alias("_i"), (F.lead(value).over(at) - F.col(value)).alias("_step"))
-    track = W.partitionBy("track_id")
-    peak = F.min_by("_i", F.struct(-F.col("_v"), F.col("_i"))).over(track)
-    marked = numbered.withColumn("_peak", peak)
-    rise, fall = F.col("_i") < F.col("_peak"), (F.col("_i") >= F.col("_peak")) & F.col("_step").isNotNull()
-    s = marked.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.max("_peak").alias("_peak"), F.count_if(rise & (F.col("_step") > eps)).alias("_up"), F.count_if(fall & (F.col("_step") < -eps)).alias("_down"), F.count_if(rise & (F.col("_step") >= -eps)).alias("_mono_up"), F.count_if(fall & (F.col("_step") <= eps)).alias("_mono_down"))
+    at, track = W.partitionBy("track_id").orderBy("t", "det_id"), W.partitionBy("track_id")
+    smooth = rows.select("track_id", "t", "det_id", _smoothed(value, window).alias("_v"))
+    numbered = smooth.select("track_id", "_v", (F.row_number().over(at) - 1).alias("_i"), (F.lead("_v").over(at) - F.col("_v")).alias("_step"))
+    marked = numbered.withColumn("_peak", F.min_by("_i", F.struct(-F.col("_v"), F.col("_i"))).over(track))
+    rise, fall = F.col("_i") < F.col("_peak"), F.col("_i") >= F.col("_peak")
+    up, down = F.col("_step") > eps, F.col("_step") < -eps
+    counts = {"_up": rise & up, "_before": rise & (up | down), "_down": fall & down, "_after": fall & (up | down)}
+    s = marked.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.max("_peak").alias("_peak"), *(F.count_if(c).alias(k) for k, c in counts.items()))
     last, p = F.col("n") - 1, F.col("_peak")
-    inside: Column = (p > 0) & (p < last) & (p >= edge_low * last) & (p <= edge_high * last)
-    shape = (F.col("_up") >= min_up) & (F.col("_down") >= min_down) & (F.col("_mono_up") >= monotone * p) & (F.col("_mono_down") >= monotone * (last - p))
-    return s.select("track_id", "n", F.coalesce(inside & shape, F.lit(False)).alias("is_hill"))
+    inside: Column = (F.col("n") >= 3) & (p > F.floor(edge_low * last)) & (p < F.ceil(edge_high * last)) & (F.col("_before") > 0) & (F.col("_after") > 0)
+    shape = (F.col("_up") >= min_up) & (F.col("_down") >= min_down) & (F.col("_up") >= monotone * F.col("_before")) & (F.col("_down") >= monotone * F.col("_after"))
+    return s.select("track_id", "n", (inside & shape).alias("is_hill"))
 
 
-def select_tracks(rows: DataFrame, value: str, min_points: int, min_range: float) -> DataFrame:
-    """Rows with ``selected``: their track has the points, the intensity range and the hill shape."""
-    good = intensity_range(rows, value).join(hill_shape(rows, value).select("track_id", "is_hill"), "track_id")
+def select_tracks(rows: DataFrame, value: str, min_points: int, min_range: float, **shape: float) -> DataFrame:
+    """Rows with ``selected``: their track has the points, the intensity range and the hill shape (options of ``hill_shape``)."""
+    good = intensity_range(rows, value).join(hill_shape(rows, value, **shape).select("track_id", "is_hill"), "track_id")
     flag = (F.col("n") >= min_points) & (F.col("intensity_range") >= min_range) & F.col("is_hill")
     return rows.join(good.select("track_id", flag.alias("selected")), "track_id")

@@ -18,11 +18,12 @@ def to_center(t: Tables) -> DataFrame:
     return filters.with_center(t.det).select("det_id", "cx", "cy")
 
 
-@query("crop_box_clamped", """SELECT det_id, bx, byy, least(bx + greatest(w, 1), 64) - bx AS bw, least(byy + greatest(h, 1), 48) - byy AS bh FROM (
-    SELECT *, least(greatest(round_even(x - w / 2.0, 0)::INT, 0), 63) AS bx, least(greatest(round_even(y - h / 2.0, 0)::INT, 0), 47) AS byy FROM {det})""")
+@query("crop_box_clamped", """SELECT det_id, greatest(0, least(round_even(x - w / 2.0, 0)::INT, 64 - w)) AS bx, greatest(0, least(round_even(y - h / 2.0, 0)::INT, 48 - h)) AS byy, least(w, 64) AS bw, least(h, 48) AS bh
+    FROM (SELECT det_id, x, y, w + CASE WHEN det_id % 10 = 0 THEN 60 ELSE 0 END AS w, h FROM {det})""")
 def crop_box_clamped(t: Tables) -> DataFrame:
     box = geometry.crop_box(F.col("x"), F.col("y"), F.col("w"), F.col("h"), *_size())
-    return filters.with_box(t.det.select("det_id", "x", "y", "w", "h"), box, "b").select("det_id", "bx", F.col("by").alias("byy"), "bw", "bh")
+    some_wide = F.expr("w + CASE WHEN det_id % 10 = 0 THEN 60 ELSE 0 END").alias("w")
+    return filters.with_box(t.det.select("det_id", "x", "y", some_wide, "h"), box, "b").select("det_id", "bx", F.col("by").alias("byy"), "bw", "bh")
 
 
 _CROP = """SELECT t, list_transform(range(0, 16), lambda i: {pixel}) AS crop FROM (SELECT t, pixels, (t % 11 - 3)::INT AS x0, (t % 13 - 4)::INT AS y0 FROM {frame})"""
@@ -40,9 +41,9 @@ def crop_wrap(t: Tables) -> DataFrame:
     return t.frame.select("t", crop.alias("crop"))
 
 
-@query("box_clamp", "SELECT det_id, greatest(0, least(x + 7, 64 - w)) AS x, greatest(0, least(y + 11, 48 - h)) AS y, w, h FROM {det}")
+@query("box_clamp", "SELECT det_id, greatest(0, least(trunc(x + 7)::INT, 64 - w)) AS x, greatest(0, least(trunc(y + 11)::INT, 48 - h)) AS y, w, h FROM (SELECT det_id, x, y, w, greatest(1, least(h * 6, 48)) AS h FROM {det})")
 def box_clamp(t: Tables) -> DataFrame:
-    return filters.with_box(t.det, geometry.clamp_box(F.col("x") + 7, F.col("y") + 11, F.col("w"), F.col("h"), *_size())).select("det_id", "x", "y", "w", "h")
+    return filters.with_box(t.det, geometry.clamp_box(F.col("x") + 7, F.col("y") + 11, F.col("w"), F.col("h") * 6, *_size())).select("det_id", "x", "y", "w", "h")
 
 
 @query("box_clip", """SELECT * FROM (SELECT det_id, greatest(x - 4, 0) AS x, greatest(y - 3, 0) AS y, least(x - 4 + w, 50) - greatest(x - 4, 0) AS w, least(y - 3 + h, 30) - greatest(y - 3, 0) AS h FROM {det}) WHERE w > 0 AND h > 0""")

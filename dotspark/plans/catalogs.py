@@ -32,10 +32,10 @@ def scan_alias(t: Tables) -> DataFrame:
     return tables.with_frame(_raw(t)).select(F.col("Extra").alias("extra_id"), F.col("t").try_cast("long").alias("t"))
 
 
-@query("gt_normalize", "SELECT event_id, x, y, coalesce(try_cast(f AS BIGINT), try_cast(regexp_extract_all(f, '\\d+')[-1] AS BIGINT)) AS t FROM (SELECT event_id, x, y, CASE WHEN event_id % 11 = 0 THEN 'garbage' WHEN event_id % 5 = 0 THEN t::VARCHAR ELSE 'clip2_' || lpad(t::VARCHAR, 5, '0') || '.png' END AS f FROM {named}) WHERE f <> 'garbage'")
+@query("gt_normalize", "SELECT event_id, round_even(x / 2.0, 0)::BIGINT AS x, y, coalesce(try_cast(f AS BIGINT), try_cast(regexp_extract_all(f, '\\d+')[-1] AS BIGINT)) AS t FROM (SELECT event_id, x, y, CASE WHEN event_id % 11 = 0 THEN 'garbage' WHEN event_id % 5 = 0 THEN t::VARCHAR ELSE 'clip2_' || lpad(t::VARCHAR, 5, '0') || '.png' END AS f FROM {named}) WHERE f <> 'garbage'")
 def gt_normalize(t: Tables) -> DataFrame:
     frame = F.expr("CASE WHEN event_id % 11 = 0 THEN 'garbage' WHEN event_id % 5 = 0 THEN cast(t AS string) ELSE concat('clip2_', lpad(cast(t AS string), 5, '0'), '.png') END")
-    return tables.normalize_gt(t.named.select("event_id", "x", "y", "w", "h", frame.alias("frame")))
+    return tables.normalize_gt(t.named.select("event_id", F.expr("concat(x / 2.0D, ' ')").alias("x"), "y", "w", "h", frame.alias("frame")))
 
 
 _HEADERS = "CASE page_id % 4 WHEN 0 THEN 'X,Y,W,H,Frame' WHEN 1 THEN 'x,y,w,h' WHEN 2 THEN 'x, y ,w,h,time,label' ELSE 'x,y,t' END"
@@ -198,14 +198,15 @@ def prefix_pair(t: Tables) -> DataFrame:
     return joins.prefix_pair(names, stems)
 
 
-_TOKENS = "(VALUES ('alpha'), ('alpha_day'), ('beta'), ('gamma'), ('day')) g(grp)"
+_TOKENS = "(VALUES ('Alpha'), ('alpha day'), ('bet'), ('gamma'), ('day'), ('--')) g(grp)"
 
 
-@query("infer_group", "SELECT path, arg_max(grp, length(grp) * 1000 + 0) AS grp FROM (SELECT p.path, g.grp FROM (SELECT DISTINCT '/data/' || grp_text || '/' || video AS path FROM {named}) p LEFT JOIN " + _TOKENS + " ON '_' || trim(regexp_replace(lower(p.path), '[^a-z0-9]+', '_', 'g'), '_') || '_' LIKE '%\\_' || replace(g.grp, '_', '\\_') || '\\_%' ESCAPE '\\') GROUP BY path")
+@query("infer_group", "SELECT path, arg_max(grp, length(grp) * 1000 + 0) AS grp FROM (SELECT p.path, g.grp FROM (SELECT DISTINCT '/data/' || grp_text || '/' || video AS path FROM {named}) p LEFT JOIN (SELECT * FROM " + _TOKENS + " WHERE grp <> '--') g ON contains(regexp_replace(lower(p.path), '[^a-z0-9]+', '-', 'g'), replace(lower(g.grp), ' ', '-'))) GROUP BY path")
 def infer_group(t: Tables) -> DataFrame:
+    """The group of a path by the longest name in it; 'bet' is found within 'beta' too."""
     paths = t.named.select(F.concat(F.lit("/data/"), "grp_text", F.lit("/"), "video").alias("path"))
-    groups = t.spark.sql("SELECT * FROM VALUES ('alpha'), ('alpha_day'), ('beta'), ('gamma'), ('day') AS g(grp)")
-    return joins.token_groups(paths, groups, slug=naming.slug(F.col("path")))
+    groups = t.spark.sql("SELECT * FROM VALUES ('Alpha'), ('alpha day'), ('bet'), ('gamma'), ('day'), ('--') AS g(grp)")
+    return joins.token_groups(paths, groups)
 
 
 _STEMS = "(SELECT page_id, grp, route, category, path, 's' || page_id % 60 AS stem FROM {video})"
@@ -215,9 +216,9 @@ def _stems(t: Tables) -> DataFrame:
     return t.video.select("page_id", "grp", "route", "category", "path", F.expr("concat('s', page_id % 60)").alias("stem"))
 
 
-@query("catalog_label", f"SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM {_STEMS} k WHERE k.page_id % 4 = 0 AND k.grp = v.grp AND k.stem = v.stem) THEN 'training' WHEN EXISTS (SELECT 1 FROM {_STEMS} k WHERE k.page_id % 4 = 0 AND k.stem = v.stem) THEN 'training_other_group' ELSE 'inference' END AS label FROM {_STEMS} v")
+@query("catalog_label", f"SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM {_STEMS} k WHERE k.page_id % 40 < 9 AND k.stem = v.stem) THEN 'training' ELSE 'inference' END AS label, EXISTS (SELECT 1 FROM {_STEMS} k WHERE k.page_id % 40 < 9 AND k.grp = v.grp AND k.stem = v.stem) AS same_group FROM {_STEMS} v")
 def catalog_label(t: Tables) -> DataFrame:
-    return joins.catalog_label(_stems(t), _stems(t).where("page_id % 4 = 0")).select("page_id", "label")
+    return joins.catalog_label(_stems(t), _stems(t).where("page_id % 40 < 9")).select("page_id", "label", "same_group")
 
 
 @query("ingest_pending", f"SELECT page_id FROM {_STEMS} v WHERE NOT EXISTS (SELECT 1 FROM {_STEMS} k WHERE k.page_id % 6 = 0 AND k.grp = v.grp AND k.stem = v.stem)")
@@ -259,13 +260,32 @@ def label_manifest(t: Tables) -> DataFrame:
 _FILES = "(SELECT doc_id, 's' || doc_id % 300 AS stem, 'in/' || lpad(doc_id::VARCHAR, 9, '0') AS path, sha256(text) AS hash FROM documents)"
 
 
-@query("collision_plan", f"""WITH e AS (SELECT DISTINCT stem, hash FROM {_FILES} WHERE doc_id % 7 = 0), i AS (SELECT * FROM {_FILES} WHERE doc_id % 7 > 0),
-    m AS (SELECT i.*, EXISTS (SELECT 1 FROM e WHERE e.stem = i.stem) AS taken, EXISTS (SELECT 1 FROM e WHERE e.stem = i.stem AND e.hash = i.hash) OR row_number() OVER (PARTITION BY stem, hash ORDER BY path) > 1 AS skip FROM i),
-    n AS (SELECT *, row_number() OVER (PARTITION BY stem, skip ORDER BY path) - CASE WHEN taken THEN 0 ELSE 1 END AS n FROM m)
-    SELECT path, stem, CASE WHEN skip THEN 'skip' WHEN n > 0 THEN 'rename' ELSE 'copy' END AS action, CASE WHEN skip THEN NULL WHEN n > 0 THEN stem || '__' || n ELSE stem END AS target FROM n""")
+def _planned(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Incoming files, and those of a data set: some stems taken under the bare name, some also under the next names."""
+    name = "CASE doc_id % 21 WHEN 7 THEN concat('s', doc_id % 300, '__src_web') WHEN 14 THEN concat('s', doc_id % 300, '__src_web__dup2') ELSE concat('s', doc_id % 300) END"
+    files = t.read("documents").select("doc_id", F.expr(name).alias("name"), F.expr("concat('s', doc_id % 300)").alias("stem"), F.expr("concat('in/', lpad(cast(doc_id AS string), 9, '0'))").alias("path"), F.sha2(F.concat("text", F.lit("")), 256).alias("hash"))
+    held = files.where("doc_id % 7 = 0").groupBy(F.col("name").alias("stem")).agg(F.min("hash").alias("hash"))
+    # A few incoming files repeat a held content.
+    again = held.withColumn("path", F.concat(F.lit("in/z"), "stem")).withColumn("stem", F.regexp_replace("stem", "__.*", ""))
+    return files.where("doc_id % 7 > 0").select("path", "stem", "hash").unionByName(again.select("path", "stem", "hash")), held
+
+
+#: The files go one after another: a step looks at the names in order, up to the first free one or an equal one.
+_COLLISION = """WITH RECURSIVE f AS (SELECT doc_id, 's' || doc_id % 300 AS stem, CASE doc_id % 21 WHEN 7 THEN 1 WHEN 14 THEN 2 ELSE 0 END AS place, 'in/' || lpad(doc_id::VARCHAR, 9, '0') AS path, sha256(text) AS hash FROM documents),
+    e AS (SELECT stem, place, min(hash) AS hash FROM f WHERE doc_id % 7 = 0 AND hash IS NOT NULL GROUP BY ALL),
+    i AS (SELECT stem, path, hash FROM f WHERE doc_id % 7 > 0 UNION ALL SELECT stem, 'in/z' || stem || CASE place WHEN 0 THEN '' WHEN 1 THEN '__src_web' ELSE '__src_web__dup2' END, hash FROM e),
+    o AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY path) AS k FROM i),
+    s AS (SELECT DISTINCT i.stem FROM i),
+    w AS (SELECT s.stem, 0::BIGINT AS k, coalesce((SELECT list({'p': e.place, 'h': e.hash} ORDER BY e.place) FROM e WHERE e.stem = s.stem), []) AS held, ''::VARCHAR AS path, -1 AS spot, false AS skip FROM s
+        UNION ALL SELECT n.stem, n.k, CASE WHEN n.skip THEN n.held ELSE list_append(n.held, {'p': n.free, 'h': n.hash}) END, n.path, n.free, n.skip FROM (
+            SELECT o.stem, o.k, o.path, o.hash, w.held, fr.free, len(list_filter(w.held, lambda q: q.p < fr.free AND q.h = o.hash)) > 0 AS skip
+            FROM w JOIN o ON o.stem = w.stem AND o.k = w.k + 1, LATERAL (SELECT list_min(list_filter(range(0, len(w.held) + 1), lambda p: NOT list_contains(list_transform(w.held, lambda q: q.p), p)))::INT AS free) fr) n)
+    SELECT path, stem, CASE WHEN skip THEN 'skip' WHEN spot > 0 THEN 'rename' ELSE 'copy' END AS action, CASE WHEN skip THEN NULL WHEN spot = 0 THEN stem WHEN spot = 1 THEN stem || '__src_web' ELSE stem || '__src_web__dup' || spot END AS target FROM w WHERE k > 0"""
+
+
+@query("collision_plan", _COLLISION)
 def collision_plan(t: Tables) -> DataFrame:
-    files = t.read("documents").select("doc_id", F.expr("concat('s', doc_id % 300)").alias("stem"), F.expr("concat('in/', lpad(cast(doc_id AS string), 9, '0'))").alias("path"), naming.content_hash(F.col("text")).alias("hash"))
-    return joins.collision_plan(files.where("doc_id % 7 > 0").drop("doc_id"), files.where("doc_id % 7 = 0"))
+    return joins.collision_plan(*_planned(t), "web")
 
 
 @query("metric_backfill", "SELECT r.page_id, coalesce(CASE WHEN r.page_id % 3 > 0 THEN r.page_id % 50 END, b.tp) AS tp FROM {video} r LEFT JOIN (SELECT grp, max(page_id) AS tp FROM {video} WHERE page_id % 2 = 0 GROUP BY 1) b USING (grp)")
@@ -305,9 +325,9 @@ def missing_outputs(t: Tables) -> DataFrame:
 _RESULTS = "(SELECT grp, CASE page_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN page_id % 5 = 0 THEN 'E' || page_id % 3 END AS error, CASE WHEN page_id % 5 > 1 THEN page_id % 17 END AS tp, CASE WHEN page_id % 5 > 1 THEN page_id % 7 END AS fp, CASE WHEN page_id % 5 > 1 THEN page_id % 11 END AS fn FROM {video} WHERE grp <> 'src3' OR page_id % 5 = 1)"
 
 
-@query("group_rollup", f"""SELECT grp, tp, fp, fn, n_ok, n_error, errors, CASE WHEN n_ok > 0 AND n_error > 0 THEN 'partial' WHEN n_ok > 0 THEN 'ok' WHEN n_error > 0 THEN 'error' ELSE 'empty' END AS status, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM (
+@query("group_rollup", f"""SELECT grp, videos_total, CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) ELSE 0 END AS accuracy, tp, fp, fn, n_ok, n_error, errors, CASE WHEN n_ok > 0 AND n_error > 0 THEN 'partial' WHEN n_ok > 0 THEN 'ok' WHEN n_error > 0 THEN 'error' ELSE 'empty' END AS status, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM (
     SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM (
-    SELECT grp, coalesce(sum(tp), 0) AS tp, coalesce(sum(fp), 0) AS fp, coalesce(sum(fn), 0) AS fn, count_if(status = 'ok') AS n_ok, count_if(status = 'error') AS n_error, coalesce(string_agg(DISTINCT error, ';' ORDER BY error), '') AS errors FROM {_RESULTS} GROUP BY 1))""")
+    SELECT grp, count(*) AS videos_total, coalesce(sum(tp), 0) AS tp, coalesce(sum(fp), 0) AS fp, coalesce(sum(fn), 0) AS fn, count_if(status = 'ok') AS n_ok, count_if(status = 'error') AS n_error, coalesce(string_agg(DISTINCT error, ';' ORDER BY error), '') AS errors FROM {_RESULTS} GROUP BY 1))""")
 def group_rollup(t: Tables) -> DataFrame:
     case = lambda e: F.expr(f"CASE WHEN page_id % 5 > 1 THEN {e} END")
     rows = t.video.where("grp <> 'src3' OR page_id % 5 = 1").select("grp", F.expr("CASE page_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'empty' ELSE 'ok' END").alias("status"), F.expr("CASE WHEN page_id % 5 = 0 THEN concat('E', page_id % 3) END").alias("error"), case("page_id % 17").alias("tp"), case("page_id % 7").alias("fp"), case("page_id % 11").alias("fn"))
@@ -325,7 +345,7 @@ def catalog_rollup(t: Tables) -> DataFrame:
     return t.video.cube("route", "category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("grp").alias("n_groups"))
 
 
-@query("class_weights", "SELECT label, n, CASE WHEN n > 0 THEN sum(n) OVER () / (count(*) OVER () * n) ELSE 0 END AS weight FROM (SELECT l AS label, count(e.vec_id) AS n FROM range(0, 12) x(l) LEFT JOIN embeddings e ON e.label = l GROUP BY 1)")
+@query("class_weights", "SELECT label, n, CASE WHEN n > 0 THEN sum(n) OVER () / n ELSE 0 END AS weight FROM (SELECT l AS label, count(e.vec_id) AS n FROM range(0, 12) x(l) LEFT JOIN embeddings e ON e.label = l GROUP BY 1)")
 def class_weights(t: Tables) -> DataFrame:
     return metrics.class_weights(t.read("embeddings"), "label", t.spark.range(12).select(F.col("id").cast("int").alias("label")))
 

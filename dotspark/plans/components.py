@@ -92,15 +92,20 @@ def intensity_range(t: Tables) -> DataFrame:
     return tracks.intensity_range(_tracks(t), "weight")
 
 
-@query("moving_average", f"SELECT det_id, avg(weight) OVER (PARTITION BY track_id ORDER BY t, det_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM {_TRACKS}")
+_SMOOTH = "CASE WHEN count(*) OVER (PARTITION BY track_id) <= 2 THEN weight ELSE round(avg(weight) OVER (PARTITION BY track_id ORDER BY t, det_id ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING), 9) END"
+
+
+@query("moving_average", f"SELECT det_id, {_SMOOTH.replace('{half}', '2')} AS smooth, weight AS raw FROM {_TRACKS}")
 def moving_average(t: Tables) -> DataFrame:
-    return tracks.moving_average(_tracks(t), "weight", 5).select("det_id", "smooth")
+    five = tracks.moving_average(_tracks(t), "weight", 5).withColumnRenamed("smooth", "five")
+    return tracks.moving_average(five, "weight", 1).select("det_id", F.col("five").alias("smooth"), F.col("smooth").alias("raw"))
 
 
-_HILL = f"""(WITH a AS (SELECT track_id, weight AS v, row_number() OVER w - 1 AS i, lead(weight) OVER w - weight AS s FROM {_TRACKS} WINDOW w AS (PARTITION BY track_id ORDER BY t, det_id)),
+_HILL = f"""(WITH y AS (SELECT track_id, t, det_id, {_SMOOTH.replace('{half}', '1')} AS v FROM {_TRACKS}),
+    a AS (SELECT track_id, v, row_number() OVER w - 1 AS i, lead(v) OVER w - v AS d FROM y WINDOW w AS (PARTITION BY track_id ORDER BY t, det_id)),
     p AS (SELECT track_id, i AS peak FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY v DESC, i) AS n FROM a) WHERE n = 1),
-    k AS (SELECT track_id, count(*) AS n, max(peak) AS peak, count_if(i < peak AND s > 1e-6) AS up, count_if(i >= peak AND s < -1e-6) AS down, count_if(i < peak AND s >= -1e-6) AS mu, count_if(i >= peak AND s <= 1e-6) AS md FROM a JOIN p USING (track_id) GROUP BY 1)
-    SELECT track_id, n, peak > 0 AND peak < n - 1 AND up >= 1 AND down >= 1 AND mu >= 0.6 * peak AND md >= 0.6 * (n - 1 - peak) AS is_hill FROM k)"""
+    k AS (SELECT track_id, count(*) AS n, max(peak) AS peak, count_if(i < peak AND d > 1e-6) AS up, count_if(i < peak AND abs(d) > 1e-6) AS before, count_if(i >= peak AND d < -1e-6) AS down, count_if(i >= peak AND abs(d) > 1e-6) AS after FROM a JOIN p USING (track_id) GROUP BY 1)
+    SELECT track_id, n, n >= 3 AND peak > floor(0.1::DOUBLE * (n - 1)) AND peak < ceil(0.9::DOUBLE * (n - 1)) AND before > 0 AND after > 0 AND up >= 2 AND down >= 2 AND up >= 0.6::DOUBLE * before AND down >= 0.6::DOUBLE * after AS is_hill FROM k)"""
 
 
 @query("hill_shape", f"SELECT * FROM {_HILL}")

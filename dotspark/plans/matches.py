@@ -129,7 +129,7 @@ def logits_sync_anti(t: Tables) -> DataFrame:
     return joins.sync_keys(t.det, t.det.where("weight > 40"), keep=False).select("det_id")
 
 
-@query("logits_rebuild", "SELECT video_id, t, trunc(x / 8)::BIGINT AS x, trunc(y / 8)::BIGINT AS y, arg_max(weight, det_id) AS weight, arg_max(confidence, det_id) AS confidence FROM {det} GROUP BY ALL")
+@query("logits_rebuild", "SELECT video_id, t, round_even(x / 8, 0)::BIGINT AS x, round_even(y / 8, 0)::BIGINT AS y, arg_max(weight, det_id) AS weight, arg_max(confidence, det_id) AS confidence FROM {det} WHERE lower(trim(class)) = 'positive' GROUP BY ALL")
 def logits_rebuild(t: Tables) -> DataFrame:
     coarse = t.det.withColumn("x", F.col("x") / 8).withColumn("y", F.col("y") / 8)
     return joins.rebuild_slim(coarse, "det_id", ["weight", "confidence"])
@@ -194,7 +194,7 @@ def infer_frame_cap(t: Tables) -> DataFrame:
     return _bounded(t).select("video_id", "frame_cap")
 
 
-_DIST = "min({c}) AS min, quantile_cont({c}, 0.25) AS p25, avg({c}) AS mean, quantile_cont({c}, 0.75) AS p75, max({c}) AS max"
+_DIST = "min({c}) AS min, quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, avg({c}) AS mean, quantile_cont({c}, 0.75) AS p75, max({c}) AS max"
 
 
 @query("score_summary", "SELECT video_id, " + _DIST.replace("{c}", "confidence") + " FROM {det} GROUP BY 1")

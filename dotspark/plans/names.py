@@ -43,7 +43,7 @@ def recenter_box(t: Tables) -> DataFrame:
     return at.select("t", *(v.alias(k) for k, v in box._asdict().items()))
 
 
-@query("refine_center", "SELECT t, bx + cx AS x, byy + cy AS y, 10 AS w, 10 AS h, 'center' AS xy_semantics FROM (SELECT t, least(greatest(round_even(t % 60 - 4.0, 0)::INT, 0), 63) AS bx, least(greatest(round_even(t % 44 - 4.0, 0)::INT, 0), 47) AS byy FROM {frame}) JOIN (" + _MASS.replace("{g}", "exp(-(((i % 8) - 3.5) ** 2 + ((i // 8) - 3.5) ** 2) / 4.5)").replace("{fx}", "4.0").replace("{fy}", "4.0") + ") USING (t)")
+@query("refine_center", "SELECT t, bx + cx AS x, byy + cy AS y, 10 AS w, 10 AS h, 'center' AS xy_semantics FROM (SELECT t, greatest(0, least(round_even(t % 60 - 4.0, 0)::INT, 56)) AS bx, greatest(0, least(round_even(t % 44 - 4.0, 0)::INT, 40)) AS byy FROM {frame}) JOIN (" + _MASS.replace("{g}", "exp(-(((i % 8) - 3.5) ** 2 + ((i // 8) - 3.5) ** 2) / 4.5)").replace("{fx}", "4.0").replace("{fy}", "4.0") + ") USING (t)")
 def refine_center(t: Tables) -> DataFrame:
     """The center of a detection moves to the weighted centroid of the patch around it."""
     box = geometry.crop_box(F.expr("cast(t % 60 AS double)"), F.expr("cast(t % 44 AS double)"), F.lit(SIDE), F.lit(SIDE), F.lit(WIDTH), F.lit(HEIGHT))
@@ -78,25 +78,26 @@ def snap_to_bright(t: Tables) -> DataFrame:
     return spread.groupBy("t").agg(F.min_by(F.struct(px.alias("px"), py.alias("py")), F.struct(-F.col("v"), d2, "i")).alias("b")).select("t", "b.*")
 
 
-@query("min_square", "SELECT det_id, ceil(2 * greatest(x + 1.5 - x, x + w - 1 - (x + 1.5), y + 1.25 - y, y + h - 1 - (y + 1.25)) + 1)::BIGINT AS side FROM {det}")
+@query("min_square", """SELECT det_id, side, round_even(x + 1.5 - side / 2.0, 0)::INT AS x0, round_even(y + 1.25 - side / 2.0, 0)::INT AS y0 FROM (
+    SELECT det_id, x, y, ceil(2 * greatest(1.5, abs(w - 1 - 1.5), 1.25, abs(h - 1 - 1.25)) + 1)::INT AS side FROM {det})""")
 def min_square(t: Tables) -> DataFrame:
-    side = geometry.min_square(F.col("x") + 1.5, F.col("y") + 1.25, F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    return t.det.select("det_id", side.alias("side"))
+    square = geometry.min_square(F.col("x") + 1.5, F.col("y") + 1.25, F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+    return t.det.select("det_id", square.alias("s")).select("det_id", "s.*")
 
 
-_FRAMES = "CASE WHEN event_id % 11 = 0 THEN 'garbage' WHEN event_id % 5 = 0 THEN (t || '.0') ELSE 'clip' || (event_id % 4) || '_frame_' || lpad(t::VARCHAR, 6, '0') || '.png' END"
+_FRAMES = "CASE WHEN event_id % 11 = 0 THEN 'garbage' WHEN event_id % 5 = 0 THEN (' ' || t || CASE event_id % 3 WHEN 0 THEN '.5' WHEN 1 THEN '.7' ELSE '' END) WHEN event_id % 7 = 0 THEN 'run12/plain' ELSE 'clip' || (event_id % 4) || '_frame_' || lpad(t::VARCHAR, 6, '0') || '.png' END"
 
 
 def _frame_names(t: Tables) -> DataFrame:
     return t.named.select("event_id", F.expr(_FRAMES.replace("t::VARCHAR", "cast(t AS string)")).alias("name"))
 
 
-@query("parse_frame_last", f"SELECT event_id, coalesce(try_cast(name AS DOUBLE)::BIGINT, try_cast(regexp_extract_all(name, '\\d+')[-1] AS BIGINT)) AS frame FROM (SELECT event_id, {_FRAMES} AS name FROM {{named}})")
+@query("parse_frame_last", f"SELECT event_id, coalesce(round_even(try_cast(trim(name) AS DOUBLE), 0)::BIGINT, try_cast(regexp_extract_all(split_part(name, '/', -1), '\\d+')[-1] AS BIGINT)) AS frame FROM (SELECT event_id, {_FRAMES} AS name FROM {{named}})")
 def parse_frame_last(t: Tables) -> DataFrame:
     return _frame_names(t).select("event_id", naming.parse_frame(F.col("name")).alias("frame"))
 
 
-@query("parse_frame_first", f"SELECT event_id, coalesce(try_cast(name AS DOUBLE)::BIGINT, try_cast(regexp_extract_all(name, '\\d+')[1] AS BIGINT)) AS frame FROM (SELECT event_id, {_FRAMES} AS name FROM {{named}})")
+@query("parse_frame_first", f"SELECT event_id, coalesce(round_even(try_cast(trim(name) AS DOUBLE), 0)::BIGINT, try_cast(regexp_extract_all(name, '\\d+')[1] AS BIGINT)) AS frame FROM (SELECT event_id, {_FRAMES} AS name FROM {{named}})")
 def parse_frame_first(t: Tables) -> DataFrame:
     return _frame_names(t).select("event_id", naming.parse_frame(F.col("name"), "first").alias("frame"))
 
@@ -131,41 +132,46 @@ def parse_version(t: Tables) -> DataFrame:
     return t.named.select("event_id", naming.parse_version(name).alias("version"))
 
 
-@query("safe_name", "SELECT event_id, regexp_replace(regexp_replace(trim('/' || grp_text || ' (' || video || ')!'), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM {named}")
+_SAFE = "trim(regexp_replace(regexp_replace({text}, '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '_')"
+_SLUG = "trim(regexp_replace(lower({text}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query("safe_name", "SELECT event_id, " + _SAFE.replace("{text}", "' _/' || grp_text || ' _(' || video || ')!'") + " AS name FROM {named}")
 def safe_name(t: Tables) -> DataFrame:
-    return t.named.select("event_id", naming.safe_name(F.expr("concat('/', grp_text, ' (', video, ')!')")).alias("name"))
+    return t.named.select("event_id", naming.safe_name(F.expr("concat(' _/', grp_text, ' _(', video, ')!')")).alias("name"))
 
 
-@query("slug", "SELECT event_id, regexp_replace(regexp_replace(lower(grp_text || ' #' || video), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM {named}")
+@query("slug", "SELECT event_id, " + _SLUG.replace("{text}", "grp_text || ' #' || video || '-'") + " AS slug FROM {named}")
 def slug(t: Tables) -> DataFrame:
-    return t.named.select("event_id", naming.slug(F.expr("concat(grp_text, ' #', video)")).alias("slug"))
+    return t.named.select("event_id", naming.slug(F.expr("concat(grp_text, ' #', video, '-')")).alias("slug"))
 
 
-@query("group_token", "SELECT event_id, replace(regexp_replace(lower(grp_text), '[^a-z0-9]+', '_', 'g'), '_', '-') AS token FROM {named}")
+@query("group_token", "SELECT event_id, replace(replace(lower(grp_text), ' ', '-'), '_', '-') AS token FROM {named}")
 def group_token(t: Tables) -> DataFrame:
     return t.named.select("event_id", naming.group_token(F.col("grp_text")).alias("token"))
 
 
-@query("stem", "SELECT page_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem FROM (SELECT page_id, path || CASE page_id % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '.tar.gz' ELSE '' END AS path FROM {video})")
+@query("stem", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN name WHEN 1 THEN name || '.tar.gz' WHEN 2 THEN name ELSE name || '.mp4.csv' END AS stem FROM (SELECT page_id, split_part(path, '/', -1) AS name FROM {video})")
 def stem(t: Tables) -> DataFrame:
-    return t.video.select("page_id", naming.stem(F.expr("concat(path, CASE page_id % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '.tar.gz' ELSE '' END)")).alias("stem"))
+    return t.video.select("page_id", naming.stem(F.expr("concat(path, CASE page_id % 4 WHEN 0 THEN '.mp4' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '.MP4' ELSE '.mp4.csv' END)")).alias("stem"))
 
 
-@query("short_key", "SELECT page_id, grp || '__' || substr(url || url || url, 1, 120) || '__' || substr(sha1(url || url || url), 1, 10) AS key FROM {video}")
+@query("short_key", "SELECT page_id, grp || '__' || CASE WHEN length(n) > 120 THEN rtrim(substr(n, 1, 120), '_') ELSE n END || '__' || substr(sha1(n), 1, 10) AS key FROM (SELECT page_id, grp, " + _SAFE.replace("{text}", "CASE WHEN page_id % 3 = 0 THEN url ELSE url || ' ' || url || url END") + " AS n FROM {video})")
 def short_key(t: Tables) -> DataFrame:
-    return t.video.select("page_id", naming.short_key(F.col("grp"), F.expr("concat(url, url, url)")).alias("key"))
+    return t.video.select("page_id", naming.short_key(F.col("grp"), F.expr("CASE WHEN page_id % 3 = 0 THEN url ELSE concat(url, ' ', url, url) END")).alias("key"))
 
 
-_ROUTE = "CASE WHEN s LIKE '%!_day!_%' ESCAPE '!' THEN CASE WHEN s LIKE '%!_night!_%' ESCAPE '!' THEN 'conflict' ELSE 'day' END WHEN s LIKE '%!_night!_%' ESCAPE '!' THEN 'night' END"
-_TEXT = "CASE WHEN event_id % 9 = 0 THEN 'day and night' ELSE grp_text END"
+_DAY, _NIGHT = "(s LIKE '%-day-%' OR s LIKE '%-daytime-%' OR s LIKE '%-day-time-%')", "(s LIKE '%-night-%' OR s LIKE '%-nighttime-%' OR s LIKE '%-night-time-%')"
+_ROUTE = f"CASE WHEN {_DAY} AND {_NIGHT} THEN 'conflict' WHEN {_DAY} THEN 'day' WHEN {_NIGHT} THEN 'night' END"
+_TEXT = "CASE WHEN event_id % 9 = 0 THEN 'day and night' WHEN event_id % 9 = 1 THEN 'x_DayTime' WHEN event_id % 9 = 2 THEN 'nightly' ELSE grp_text END"
 
 
-@query("route_hint", f"SELECT event_id, {_ROUTE} AS hint FROM (SELECT event_id, '_' || regexp_replace(lower({_TEXT}), '[^a-z0-9]+', '_', 'g') || '_' AS s FROM {{named}})")
+@query("route_hint", f"SELECT event_id, {_ROUTE} AS hint FROM (SELECT event_id, '-' || regexp_replace(lower({_TEXT}), '[^a-z0-9]+', '-', 'g') || '-' AS s FROM {{named}})")
 def route_hint(t: Tables) -> DataFrame:
     return t.named.select("event_id", naming.route_hint(F.expr(_TEXT)).alias("hint"))
 
 
-@query("resolve_route", f"""SELECT event_id, coalesce(o.route, h.hint, g.route, 'night') AS route FROM (SELECT event_id, video, grp_text, {_ROUTE} AS hint FROM (SELECT *, '_' || regexp_replace(lower(grp_text), '[^a-z0-9]+', '_', 'g') || '_' AS s FROM {{named}})) h
+@query("resolve_route", f"""SELECT event_id, coalesce(o.route, h.hint, g.route, 'night') AS route FROM (SELECT event_id, video, grp_text, {_ROUTE} AS hint FROM (SELECT *, '-' || regexp_replace(lower(grp_text), '[^a-z0-9]+', '-', 'g') || '-' AS s FROM {{named}})) h
     LEFT JOIN (VALUES ('clip1_b0', 'night'), ('clip2_b1', 'day')) o(video, route) ON o.video = h.video LEFT JOIN (VALUES ('Gamma', 'day')) g(grp_text, route) ON g.grp_text = h.grp_text""")
 def resolve_route(t: Tables) -> DataFrame:
     """A stem's own route, else the hint in its group's name, else the group's route, else night."""
@@ -175,9 +181,12 @@ def resolve_route(t: Tables) -> DataFrame:
     return joined.select("event_id", F.coalesce("by_stem", naming.route_hint(F.col("grp_text")), "by_group", F.lit("night")).alias("route"))
 
 
-@query("label_from_name", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'negative' ELSE 'positive' END AS label FROM {named}")
+@query("label_from_name", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'negative' ELSE 'positive' END AS label, CASE event_id % 5 WHEN 0 THEN 'negative' WHEN 3 THEN 'negative' ELSE 'positive' END AS by_suffix FROM {named}")
 def label_from_name(t: Tables) -> DataFrame:
-    return t.named.select("event_id", naming.label_from_name(F.expr("concat('a/', video, CASE event_id % 3 WHEN 0 THEN '_Negative' WHEN 1 THEN '_positive' ELSE '_other' END, '.csv')")).alias("label"))
+    """With the video's name (which may itself end in a label), and by the last word alone."""
+    video = F.expr("CASE event_id % 5 WHEN 3 THEN concat(video, '(a)_negative') ELSE video END")
+    name = F.concat(F.lit("a/"), F.expr("CASE event_id % 5 WHEN 3 THEN concat(video, '-a-_negative') ELSE video END"), F.expr("CASE event_id % 5 WHEN 0 THEN '_x_Negative' WHEN 1 THEN '_positive' WHEN 2 THEN '_nonnegative' WHEN 3 THEN '' ELSE '_negative_x' END"), F.lit(".csv"))
+    return t.named.select("event_id", naming.label_from_name(name, video).alias("label"), naming.label_from_name(name).alias("by_suffix"))
 
 
 @query("box_to_norm", """SELECT det_id, CASE WHEN w > 0 AND h > 0 THEN printf('%.10f %.10f %.10f %.10f', (x + w / 2.0) / 50.0::DOUBLE, (y + h / 2.0) / 30.0::DOUBLE, w / 50.0::DOUBLE, h / 30.0::DOUBLE) END AS line FROM (
@@ -196,9 +205,13 @@ def format_names(t: Tables) -> DataFrame:
     return t.named.select("event_id", naming.threshold_name(F.floor(F.col("value") * 2) / 2).alias("folder"), naming.signed_offset(F.expr("event_id % 7 - 3")).alias("shift"))
 
 
-_METRICS = "CASE event_id % 4 WHEN 0 THEN 'ERROR: no ground truth' WHEN 1 THEN '' ELSE 'tp=' || x || ' fp=' || y || ' fn=x precision=0.5 f1=' || w END"
+_METRICS = "CASE event_id % 6 WHEN 0 THEN 'ERROR: no ground truth' WHEN 1 THEN ' ' WHEN 2 THEN 'tp=' || x || ' fp=x fn=1' WHEN 3 THEN 'tp=' || x || '  fp=' || y || ' fn=' || w ELSE 'tp=0 tp=' || x || ' fp=' || y || ' fn=' || w || ' precision=0.5 accuracy=0.25 f1=' || h END"
 
 
-@query("parse_metrics", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN event_id % 4 > 1 THEN x END AS tp, CASE WHEN event_id % 4 > 1 THEN y END AS fp, NULL::BIGINT AS fn, CASE WHEN event_id % 4 > 1 THEN 0.5 END::DOUBLE AS precision, NULL::DOUBLE AS recall, CASE WHEN event_id % 4 > 1 THEN w END::DOUBLE AS f1 FROM {named}")
+@query("parse_metrics", f"""WITH c AS (SELECT event_id, {_METRICS} AS text, event_id % 6 AS k, x AS tp, y AS fp, w AS fn, h FROM {{named}}),
+    r AS (SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN k > 3 THEN 0.5 WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END::DOUBLE AS precision, CASE WHEN k > 3 THEN 0.25 WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) ELSE 0 END::DOUBLE AS accuracy FROM c)
+    SELECT event_id, CASE k WHEN 0 THEN 'error' WHEN 1 THEN 'not_run' WHEN 2 THEN 'error' ELSE 'ok' END AS status, CASE k WHEN 0 THEN 'no ground truth' WHEN 2 THEN 'unable to parse metric summary: ' || text ELSE '' END AS error,
+    CASE WHEN k > 2 THEN tp END AS tp, CASE WHEN k > 2 THEN fp END AS fp, CASE WHEN k > 2 THEN fn END AS fn, CASE WHEN k > 2 THEN precision END AS precision, CASE WHEN k > 2 THEN recall END AS recall, CASE WHEN k > 2 THEN accuracy END AS accuracy,
+    CASE WHEN k > 3 THEN h::DOUBLE WHEN k = 3 THEN CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END END AS f1 FROM r""")
 def parse_metrics(t: Tables) -> DataFrame:
     return t.named.select("event_id", naming.parse_metrics(F.expr(_METRICS)).alias("m")).select("event_id", "m.*")

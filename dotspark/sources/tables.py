@@ -45,7 +45,10 @@ def with_frame(rows: DataFrame) -> DataFrame:
 
 
 def normalize_gt(rows: DataFrame, which: str = "last") -> DataFrame:
-    """Ground truth of either schema, (x, y, t) or (x, y, w, h, frame), as (x, y, t); x and y are taken as centers."""
+    """Ground truth of either schema, (x, y, t) or (x, y, w, h, frame), as (x, y, t); x and y are taken as centers.
+
+    Numbers are rounded, halves to even; rows in which one is missing or no number are left out.
+    """
     columns = rows.columns
     if not all(resolve(columns, c) for c in "xy"):
         raise ValueError("ground truth needs x and y")
@@ -53,8 +56,9 @@ def normalize_gt(rows: DataFrame, which: str = "last") -> DataFrame:
     frame = resolve(columns, "frame")
     if point is None and not (frame and resolve(columns, "w") and resolve(columns, "h")):
         raise ValueError("ground truth needs t, or w, h and frame")
-    t = F.col(point).cast("string").try_cast("long") if point else naming.parse_frame(F.col(frame).cast("string"), which)
-    whole = lambda c: F.col(resolve(columns, c)).cast("double").cast("long").alias(c)
+    number = lambda c: F.trim(F.col(c).cast("string")).try_cast("double")
+    t = F.bround(number(point)).cast("long") if point else naming.parse_frame(F.col(frame).cast("string"), which)
+    whole = lambda c: F.bround(number(resolve(columns, c))).cast("long").alias(c)
     return rows.withColumn("t", t).select(*(c for c in columns if c.lower() not in ("x", "y", "t", "w", "h", "frame")), whole("x"), whole("y"), "t").where("x IS NOT NULL AND y IS NOT NULL AND t IS NOT NULL")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dotspark.functions import geometry, naming, pixels, scores
+from dotspark.functions import geometry, pixels, scores
 from dotspark.operators import datasets, detectors, joins, metrics, regions, sequences, sets, stacking
 from dotspark.sources import tables
 
@@ -25,8 +25,8 @@ def test_csv_scan_keeps_extra_columns_and_drops_bad_rows(spark, tmp_path):
 
 def test_ground_truth_schemas(spark):
     boxes = spark.createDataFrame([("2.7", "3", "10", "10", "frame_009019.png"), ("1", "1", "1", "1", "clip2_00031.png"), ("1", "1", "1", "1", "none"), ("1", "1", "1", "1", "12.0")], "x string, y string, w string, h string, frame string")
-    assert values(tables.normalize_gt(boxes)) == [(2, 3, 9019), (1, 1, 31), (1, 1, 12)]
-    assert values(tables.normalize_gt(boxes, "first")) == [(2, 3, 9019), (1, 1, 2), (1, 1, 12)]
+    assert values(tables.normalize_gt(boxes)) == [(3, 3, 9019), (1, 1, 31), (1, 1, 12)]
+    assert values(tables.normalize_gt(boxes, "first")) == [(3, 3, 9019), (1, 1, 2), (1, 1, 12)]
     assert values(tables.normalize_gt(spark.createDataFrame([(1, 2, 3)], "x int, y int, t int"))) == [(1, 2, 3)]
     with pytest.raises(ValueError, match="needs t, or"):
         tables.normalize_gt(boxes.drop("w"))
@@ -69,13 +69,9 @@ def test_coco_files(spark, tmp_path):
     assert got == {"a.png": ["0 0.9000000000 0.9000000000 0.2000000000 0.2000000000"], "b.png": []}
 
 
-def test_boxes(spark):
+def test_clip_and_center(spark):
     lit = lambda *v: [F.lit(x) for x in v]
     one = spark.range(1)
-    # Halves round to even: 2.5 - 0.0 and 3.5 - 0.0.
-    assert values(one.select(*geometry.crop_box(*lit(3.5, 4.5, 2, 2, 20, 20)))) == [(2, 4, 2, 2)]
-    assert values(one.select(*geometry.crop_box(*lit(-5.0, 30.0, 4, 4, 20, 20)))) == [(0, 19, 4, 1)]
-    assert values(one.select(*geometry.clamp_box(*lit(18, -3, 5, 5, 20, 20)))) == [(15, 0, 5, 5)]
     assert values(one.select(*geometry.clip_box(*lit(18, -3, 5, 5, 20, 20)))) == [(18, 0, 2, 2)]
     assert values(one.select(geometry.to_center(F.lit(4), F.lit(3), F.lit(" Center ")), geometry.to_center(F.lit(4), F.lit(3), F.lit(None).cast("string")))) == [(4.0, 5.5)]
 
@@ -85,15 +81,6 @@ def test_scores(spark):
     assert [r[0] for r in got.collect()] == [0.5, 1.0, 0.5, 0.5]
 
 
-def test_names(spark):
-    rows = spark.createDataFrame([("Today's  Take (1)/day",), ("night",), ("day & night",), (None,)], "s string")
-    assert [r[0] for r in rows.select(naming.route_hint(F.col("s"))).collect()] == ["day", "night", "conflict", None]
-    assert [r[0] for r in rows.select(naming.slug(F.col("s"))).collect()] == ["today_s_take_1_day", "night", "day_night", None]
-    texts = spark.createDataFrame([("tp=1 fp=2 fn=x f1=0.5",), ("ERROR: x=y",), ("  ",), (None,)], "s string")
-    got = texts.select(naming.parse_metrics(F.col("s")).alias("m")).select("m.status", "m.tp", "m.fn", "m.f1")
-    assert values(got) == [("ok", 1, None, 0.5), ("error", None, None, None), ("empty", None, None, None), ("empty", None, None, None)]
-
-
 def test_pixels(spark):
     rows = spark.createDataFrame([([0, 0, 0, 0],), ([0, 9, 9, 0],)], "p array<int>")
     got = rows.select(pixels.centroid(F.col("p"), 2, 2, 0, "middle").alias("c"), pixels.brightest_pixel(F.col("p"), 2).alias("b"))
