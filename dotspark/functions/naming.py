@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -145,26 +147,39 @@ def parse_metrics(text: Column) -> Column:
     counts, else ``ok``. Recall always follows from the counts; precision, accuracy and f1 do where they are
     not given. Of a key given twice the last counts.
     """
-    plain = F.coalesce(_stripped(text), F.lit(""))
-    words = F.filter(F.split(plain, r"\s+"), lambda w: w.contains("="))
 
-    def given(key: str, kind: str) -> Column:
+    def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+        """``then`` of a value that is computed once."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def given(words: Column, key: str) -> Column:
         mine = F.filter(words, lambda w: F.startswith(w, F.lit(key + "=")))
-        value = F.substring(F.get(mine, F.size(mine) - 1), len(key) + 2, 1 << 20)
-        return F.when(value.rlike(r"^[+-]?\d+$"), value.try_cast("long")) if kind == "long" else value.try_cast("double")
-
-    failed = F.startswith(plain, F.lit("ERROR:"))
-    tp, fp, fn = (given(k, "long") for k in ("tp", "fp", "fn"))
-    counted = tp.isNotNull() & fp.isNotNull() & fn.isNotNull()
-    status = F.when(plain == "", "not_run").when(failed | ~counted, "error").otherwise("ok")
-    error = F.when(failed, _stripped(F.substring(plain, 7, 1 << 20))).when((plain != "") & ~counted, F.concat(F.lit("unable to parse metric summary: "), plain)).otherwise("")
-    share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
-    recall = share(tp, tp + fn)
-    precision = F.coalesce(given("precision", "double"), share(tp, tp + fp))
-    accuracy = F.coalesce(given("accuracy", "double"), share(tp, tp + fp + fn))
-    f1 = F.coalesce(given("f1", "double"), share(2.0 * precision * recall, precision + recall))
-    fields = {"tp": tp, "fp": fp, "fn": fn, "precision": precision, "recall": recall, "accuracy": accuracy, "f1": f1}
-    return F.struct(status.alias("status"), error.alias("error"), *(F.when(status == "ok", v).alias(k) for k, v in fields.items()))
+        return F.substring(F.get(mine, F.size(mine) - 1), len(key) + 2, 1 << 20)
+
+    def fields(words: Column) -> Column:
+        counts = (F.when(given(words, k).rlike(r"^[+-]?\d+$"), given(words, k).try_cast("long")).alias(k) for k in ("tp", "fp", "fn"))
+        return F.struct(*counts, *(given(words, k).try_cast("double").alias(k) for k in ("precision", "accuracy", "f1")))
+
+    def rates(s: Column) -> Column:
+        tp, fp, fn = s["tp"], s["fp"], s["fn"]
+        share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+        return F.struct(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.coalesce(s["precision"], share(tp, tp + fp)).alias("precision"), share(tp, tp + fn).alias("recall"), F.coalesce(s["accuracy"], share(tp, tp + fp + fn)).alias("accuracy"), s["f1"].alias("f1"), (tp + fp + fn).isNotNull().alias("counted"))
+
+    def result(plain: Column) -> Column:
+        words = F.filter(F.split(plain, r"\s+"), lambda w: w.contains("="))
+        return bound(bound(bound(words, fields), rates), lambda s: finished(plain, s))
+
+    def finished(plain: Column, s: Column) -> Column:
+        failed = F.startswith(plain, F.lit("ERROR:"))
+        status = F.when(plain == "", "not_run").when(failed | ~s["counted"], "error").otherwise("ok")
+        error = F.when(failed, _stripped(F.substring(plain, 7, 1 << 20))).when((plain != "") & ~s["counted"], F.concat(F.lit("unable to parse metric summary: "), plain)).otherwise("")
+        both = s["precision"] + s["recall"]
+        f1 = F.coalesce(s["f1"], F.when(both > 0, 2.0 * s["precision"] * s["recall"] / both).otherwise(F.lit(0.0)))
+        good = s["counted"] & ~failed
+        known = (F.when(good, v).alias(k) for k, v in {**{k: s[k] for k in ("tp", "fp", "fn", "precision", "recall", "accuracy")}, "f1": f1}.items())
+        return F.struct(status.alias("status"), error.alias("error"), *known)
+
+    return bound(F.coalesce(_stripped(text), F.lit("")), result)
 
 
 def threshold_name(threshold: Column) -> Column:
