@@ -1,10 +1,13 @@
 import hashlib
+import random
+import time
 
 import pytest
 from tokenizers import Tokenizer
 
 from dotspark.llm import bpe, token_count
 from dotspark.llm.queries import tokenizer_path
+from dotspark.llm.scratch import materialise
 
 PATH = tokenizer_path()
 
@@ -27,6 +30,43 @@ def test_counts_with_any_chunks(edge, edge_docs, library, chunk, overlap):
     assert got == want
 
 
+def test_very_long_texts(spark, library):
+    """A million characters of blanks, of line ends, of one word, and of words between blobs without a space."""
+    r = random.Random(5)
+    blob = lambda: "".join(r.choice("abcdefghij0123456789+/'") for _ in range(40_000))
+    texts = ["a" + " " * 1_000_000 + "b", "\n" * 600_001 + "b", "ab" * 400_000, "".join("the cat sat on it " * 3000 + blob() for _ in range(10)), " \t\u00a0\u3000" * 100_000, "x<|endoftext|>'s " * 60_000]
+    start = time.monotonic()
+    got = {r.doc_id: r.n_tokens for r in token_count.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
+    assert time.monotonic() - start < 120
+    assert got == {i: len(ids(library, t)) for i, t in enumerate(texts)}
+
+
+def test_only_what_fails_goes_round_again(spark, monkeypatch):
+    """Of a text with one blob the stretch around it alone is encoded a second time."""
+    seen = []
+    monkeypatch.setattr(token_count, "materialise", lambda df, label: seen.append((label, materialise(df, label))) or seen[-1][1])
+    text = "some words to cut " * 20_000 + "ab" * 40_000 + " and more of them " * 20_000
+    assert token_count.token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).count() == 1
+    again = [df for label, df in seen if label == "token-stretches"]
+    assert again and sum(len(r._text) for r in again[0].collect()) < 80_000 + 4 * token_count.CHUNK
+
+
+def test_places_are_stable(library):
+    """Texts cut at any of their stable places have the same tokens."""
+    tool = token_count.ByteBPE(PATH)
+    text = "don't  we'll\n\n\r\n 'tis!!'s  it's\u00a0 \u3000x 12 345 ab<|endoftext|>'re é日本 \t end  "
+    places, _ = token_count.stable_places(text, tool)
+    assert len(places) > 10
+    for i in places:
+        assert ids(library, text[:i]) + ids(library, text[i:]) == ids(library, text)
+
+
+def test_long_words_encode_as_the_library(library):
+    mine, r = bpe.Encoder(PATH), random.Random(6)
+    for text in ("ab" * 50_000, " " * 60_000 + "b", "\n" * 50_001, "".join(r.choice("abcdefgh") for _ in range(60_000))):
+        assert mine.encode([text])[0].tolist() == ids(library, text)
+
+
 def test_encode_and_decode_as_the_library(edge, edge_docs, library):
     rows = bpe.decode(bpe.encode(edge, PATH), PATH).collect()
     got = sorted((r.doc_id, hashlib.sha256(str(list(r.ids)).encode()).hexdigest(), r.decoded) for r in rows)
