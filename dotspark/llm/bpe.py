@@ -131,20 +131,25 @@ class Merges:
             ranks[live[ok], prev[ok]] = self.rank(ids[live[ok], prev[ok]], ids[live[ok], at[ok]])
         return ids, (ids >= 0).sum(axis=1)
 
+    @functools.cached_property
+    def merged(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and made token of each pair, for words that are merged pair by pair."""
+        full = self.keys >= 0
+        return {(int(k) >> 32, int(k) & 0xFFFFFFFF): (int(r), int(self.made[r])) for k, r in zip(self.keys[full], self.ranks[full], strict=True)}
+
     def long_word(self, ids: list[int]) -> list[int]:
         """The same merging for one long word: a heap gives the minimum instead of a scan."""
         import heapq
 
-        n = len(ids)
+        n, merged = len(ids), self.merged
         after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
         stamp = [0] * n
 
         def push(i: int) -> None:
             stamp[i] += 1
-            if after[i] < n:
-                rank = int(self.rank(np.array([ids[i]]), np.array([ids[after[i]]]))[0])
-                if rank != NONE:
-                    heapq.heappush(heap, (rank, i, stamp[i]))
+            found = merged.get((ids[i], ids[after[i]])) if after[i] < n else None
+            if found:
+                heapq.heappush(heap, (found[0], i, stamp[i]))
 
         first = self.rank(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)) if n > 1 else []
         heap = [(int(r), i, 0) for i, r in enumerate(first) if r != NONE]
@@ -302,7 +307,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """id and ``ids`` (array of int): the tokens of each whole text, no special token added.
 
     A special string inside a text is its one token. A null text counts as empty and has no tokens. One
-    row per input row, repeated ids included; other columns are not read.
+    row per input row, repeated ids included; other columns are not read. An empty table gives no rows. A text
+    is worked as a whole; a run of a million characters without white space, or of it, takes seconds.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
