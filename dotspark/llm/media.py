@@ -8,11 +8,13 @@ confirmed at offset 0, and what else is confirmed is carved as (type, offset, le
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -39,8 +41,80 @@ SIGNATURES = {
 }
 
 
-def _wav(data: bytes, at: int) -> int:
+class Bytes:
+    """The bytes of one medium with what several signatures ask for, each found once: the work stays linear.
+
+    A repeated magic word without its end mark costs a look into a list and no search to the end.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.chains: dict[tuple[str, int], int] = {}
+
+    def places(self, mark: bytes) -> list[int]:
+        return [m.start() for m in re.finditer(re.escape(mark), self.data)]
+
+    @functools.cached_property
+    def scan_ends(self) -> list[int]:
+        """Markers that end JPEG scan data: no stuffed byte, no restart, no fill."""
+        return [m.start() for m in re.finditer(rb"\xff[\x01-\xcf\xd8-\xfe]", self.data)]
+
+    @functools.cached_property
+    def zeros(self) -> list[int]:
+        return self.places(b"\0")
+
+    @functools.cached_property
+    def archives(self) -> dict[int, int]:
+        """Start of each ZIP archive -> its end: the end record tells the start, and the directory must be there. The last end wins."""
+        out = {}
+        for end in self.places(b"PK\x05\x06"):
+            if end + 22 <= len(self.data):
+                size, start, note = struct.unpack_from("<IIH", self.data, end + 12)
+                at = end - start - size
+                if at >= 0 and self.data[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(self.data):
+                    out[at] = end + 22 + note
+        return out
+
+    @functools.cached_property
+    def documents(self) -> dict[int, int]:
+        """Start of each PDF -> its end. An end mark names the place of the cross-reference that it belongs to, counted
+        from the document's start; so it tells the start, and a document that was updated ends at its last mark."""
+        heads = [m.start() for m in re.finditer(rb"%PDF-[12]\.", self.data)]
+        known, out, fallback = set(heads), {}, {}
+        tables = [m.start() for m in re.finditer(rb"(?<!start)xref\b|\b\d+ \d+ obj\b", self.data)]
+        for m in re.finditer(rb"startxref\s+(\d{1,12})\s+%%EOF", self.data):
+            offset, before = int(m[1]), bisect.bisect_left(tables, m.start())
+            head = heads[bisect.bisect_left(heads, m.start()) - 1] if heads and heads[0] < m.start() else None
+            if offset and before and tables[before - 1] - offset in known:
+                out[tables[before - 1] - offset] = m.end()
+            elif head is not None and offset and re.match(rb"xref\b|\d+ \d+ obj\b", self.data[head + offset : head + offset + 40]):
+                out[head] = m.end()
+            elif head is not None:
+                fallback.setdefault(head, m.end())
+        return fallback | out
+
+
+def _chain(b: Bytes, kind: str, at: int, step: Callable[[int], tuple[int, bool]]) -> int:
+    """End of a chain of parts from ``at`` on, 0 if it breaks; ``step`` gives a part's end and whether it is the last.
+
+    Where a chain ends does not depend on where it began, so every place is walked once.
+    """
+    seen = []
+    while (kind, at) not in b.chains:
+        seen.append(at)
+        stop, last = step(at)
+        if last or not stop:
+            b.chains[kind, at] = stop
+            break
+        at = stop
+    end = b.chains[kind, at]
+    b.chains.update({(kind, spot): end for spot in seen})
+    return end
+
+
+def _wav(b: Bytes, at: int) -> int:
     """Length of a RIFF/WAVE file of PCM samples at ``at``; 0 if its chunks do not add up."""
+    data = b.data
     if len(data) < at + 44 or data[at + 8 : at + 12] != b"WAVE":
         return 0
     end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
@@ -54,100 +128,211 @@ def _wav(data: bytes, at: int) -> int:
     return end - at if spot in (end, end + 1) and {b"fmt ", b"data"} <= seen else 0
 
 
-def _png(data: bytes, at: int) -> int:
-    """Chunks with right checksums from IHDR to IEND."""
+def _png(b: Bytes, at: int) -> int:
+    """IHDR first, chunks up to IEND, and then every chunk's checksum."""
+    data = b.data
+
+    def step(spot: int) -> tuple[int, bool]:
+        stop = spot + 12 + int.from_bytes(data[spot : spot + 4], "big")
+        return (stop, data[spot + 4 : spot + 8] == b"IEND") if spot + 12 <= len(data) and stop <= len(data) else (0, True)
+
+    end = _chain(b, "png", at + 8, step) if data[at + 8 : at + 16] == b"\0\0\0\rIHDR" else 0
     spot = at + 8
-    while spot + 12 <= len(data):
-        size = int.from_bytes(data[spot : spot + 4], "big")
-        stop = spot + 12 + size
-        if stop > len(data) or zlib.crc32(data[spot + 4 : stop - 4]) != int.from_bytes(data[stop - 4 : stop], "big"):
+    while 0 < spot < end:
+        stop = step(spot)[0]
+        if zlib.crc32(data[spot + 4 : stop - 4]) != int.from_bytes(data[stop - 4 : stop], "big"):
             return 0
-        if data[spot + 4 : spot + 8] == b"IEND":
-            return stop - at
         spot = stop
-    return 0
+    return end - at if end else 0
 
 
-def _gif(data: bytes, at: int) -> int:
+def _gif(b: Bytes, at: int) -> int:
     """Screen descriptor, colour tables and blocks up to the trailer."""
+    data = b.data
+
+    def step(spot: int) -> tuple[int, bool]:
+        kind = data[spot]
+        if kind == 0x3B:
+            return spot + 1, True
+        if kind == 0x21:
+            spot += 2
+        elif kind == 0x2C:
+            flags = data[spot + 9]
+            spot += 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
+        else:
+            return 0, True
+        while data[spot]:
+            spot += data[spot] + 1
+        return spot + 1, False
+
     try:
         flags = data[at + 10]
-        spot = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-        while True:
-            kind = data[spot]
-            if kind == 0x3B:
-                return spot + 1 - at
-            if kind == 0x21:
-                spot += 2
-            elif kind == 0x2C:
-                flags = data[spot + 9]
-                spot += 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-            else:
-                return 0
-            while data[spot]:
-                spot += data[spot] + 1
-            spot += 1
+        end = _chain(b, "gif", at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0), step)
     except IndexError:
         return 0
+    return end - at if end else 0
+
 
+def _jpeg(b: Bytes, at: int) -> int:
+    """Marker segments with lengths and scans between them, up to the end marker; a picture has a scan."""
+    data = b.data
 
-def _jpeg(data: bytes, at: int) -> int:
-    """Marker segments with lengths, then scan data up to the end marker."""
-    spot = at + 2
-    while spot + 4 <= len(data) and data[spot] == 0xFF:
+    def step(spot: int) -> tuple[int, bool]:
+        if spot + 2 > len(data) or data[spot] != 0xFF:
+            return 0, True
+        if data[spot + 1] == 0xD9:
+            return spot + 2, True
         size = int.from_bytes(data[spot + 2 : spot + 4], "big")
-        if size < 2:
-            return 0
+        if size < 2 or spot + 2 + size > len(data):
+            return 0, True
+        stop = spot + 2 + size
         if data[spot + 1] == 0xDA:
-            end = data.find(b"\xff\xd9", spot + 2 + size)
-            return end + 2 - at if end >= 0 else 0
-        spot += 2 + size
-    return 0
+            place = bisect.bisect_left(b.scan_ends, stop)
+            stop = b.scan_ends[place] if place < len(b.scan_ends) else 0
+        return stop, False
 
+    end = _chain(b, "jpeg", at + 2, step)
+    return end - at if end and b"\xff\xda" in data[at:end] else 0
 
-def _pdf(data: bytes, at: int) -> int:
-    if data[at + 5 : at + 6] not in (b"1", b"2") or data[at + 6 : at + 7] != b".":
-        return 0
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data.find(b"startxref", at, end) >= 0 else 0
 
+def _pdf(b: Bytes, at: int) -> int:
+    return b.documents.get(at, at) - at
 
-def _zip(data: bytes, at: int) -> int:
-    """The end record must point back to a directory that begins with its own signature."""
-    end = data.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", data, end + 12)
-    if at + start + size != end or data[at + start : at + start + 4] != b"PK\x01\x02":
+
+def _zip(b: Bytes, at: int) -> int:
+    return b.archives.get(at, at) - at
+
+
+def _gzip(b: Bytes, at: int) -> int:
+    """Header fields by the flags, then deflate data whose checksum and size are right."""
+    data = b.data
+    flags, spot = data[at + 3] if at + 10 <= len(data) else 0xFF, at + 10
+    if flags & 0xE0:
         return 0
-    return end + 22 + note - at if end + 22 + note <= len(data) else 0
+    if flags & 4:
+        spot += 2 + int.from_bytes(data[spot : spot + 2], "little")
+    for _ in range(bool(flags & 8) + bool(flags & 16)):  # a name and a comment, each up to a zero
+        place = bisect.bisect_left(b.zeros, spot)
+        spot = b.zeros[place] + 1 if place < len(b.zeros) else len(data)
+    spot += 2 if flags & 2 else 0
+
+    def inflate(start: int) -> tuple[int, bool]:
+        tool, check, size = zlib.decompressobj(-15), 0, 0
+        feed = memoryview(data)
+        try:
+            for x in range(start, len(data), 1 << 16):
+                out = tool.decompress(feed[x : x + (1 << 16)])
+                check, size = zlib.crc32(out, check), size + len(out)
+                if tool.eof:
+                    end = min(len(data), x + (1 << 16)) - len(tool.unused_data)
+                    return (end + 8 if data[end : end + 8] == struct.pack("<II", check, size & 0xFFFFFFFF) else 0), True
+        except zlib.error:
+            pass
+        return 0, True
+
+    end = _chain(b, "gzip", spot, inflate)
+    return end - at if end else 0
 
 
-def _gzip(data: bytes, at: int) -> int:
-    tool = zlib.decompressobj(31)
-    try:
-        feed = memoryview(data)[at:]
-        for spot in range(0, len(feed), 1 << 16):
-            tool.decompress(feed[spot : spot + (1 << 16)])
-            if tool.eof:
-                return min(len(feed), spot + (1 << 16)) - len(tool.unused_data)
-    except zlib.error:
-        pass
-    return 0
-
-
-def _ogg(data: bytes, at: int) -> int:
-    """Consecutive pages; their segment tables give the lengths."""
-    spot = at
-    while data[spot : spot + 5] == b"OggS\x00" and spot + 27 <= len(data):
+@functools.cache
+def _crc_table(bits: int, polynomial: int) -> list[int]:
+    """Bytewise table of a checksum that takes the high bit first: one shift-and-subtract for each entry."""
+    top, full = 1 << (bits - 1), (1 << bits) - 1
+    table = []
+    for value in range(256):
+        rest = value << (bits - 8)
+        for _ in range(8):
+            rest = (rest << 1 ^ polynomial) & full if rest & top else rest << 1 & full
+        table.append(rest)
+    return table
+
+
+def crc(data: bytes, bits: int, polynomial: int, rest: int = 0) -> int:
+    table, shift, full = _crc_table(bits, polynomial), bits - 8, (1 << bits) - 1
+    for byte in data:
+        rest = rest << 8 & full ^ table[rest >> shift ^ byte]
+    return rest
+
+
+#: Each byte with its bits in reverse.
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def ogg_crc(data: bytes) -> int:
+    """Checksum of an Ogg page: that of zlib, high bit first, nothing inverted."""
+    return int(f"{zlib.crc32(data.translate(_REVERSED), 0xFFFFFFFF) ^ 0xFFFFFFFF:032b}"[::-1], 2)
+
+
+def _ogg(b: Bytes, at: int) -> int:
+    """Consecutive pages of one stream with right checksums; their segment tables give the lengths."""
+    data, serial = b.data, b.data[at + 14 : at + 18]
+
+    def step(spot: int) -> tuple[int, bool]:
+        if spot + 27 > len(data) or data[spot : spot + 5] != b"OggS\x00":
+            return 0, True
         lacing = data[spot + 27 : spot + 27 + data[spot + 26]]
-        spot += 27 + len(lacing) + sum(lacing)
-    return spot - at if at < spot <= len(data) else 0
+        stop = spot + 27 + data[spot + 26] + sum(lacing)
+        if stop > len(data) or ogg_crc(data[spot : spot + 22] + b"\0\0\0\0" + data[spot + 26 : stop]) != int.from_bytes(data[spot + 22 : spot + 26], "little"):
+            return 0, True
+        # The next page belongs to the stream if it has its serial number and this one is not the last.
+        more = not data[spot + 5] & 4 and data[stop : stop + 5] == b"OggS\x00" and data[stop + 14 : stop + 18] == serial
+        return (stop, not more)
+
+    end = _chain(b, "ogg", at, step)
+    return end - at if end else 0
+
+
+#: Block sizes by code in a FLAC frame header (fixed values); 6 and 7: given behind the frame's number.
+FLAC_BLOCKS = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608} | {8 + i: 256 << i for i in range(8)}
 
 
-def _flac(data: bytes, at: int) -> int:
-    """A STREAMINFO block of 34 bytes first; the audio runs to the end."""
-    return len(data) - at if data[at + 4 : at + 8] in (b"\x00\x00\x00\x22", b"\x80\x00\x00\x22") and len(data) >= at + 42 else 0
+def _flac_frame(data: bytes, at: int) -> tuple[int, int]:
+    """(samples, header length) of a frame header with a right checksum; (0, 0) if there is none."""
+    head = data[at : at + 16]
+    if len(head) < 6 or head[0] != 0xFF or head[1] & 0xFE != 0xF8:
+        return 0, 0
+    block, rate = head[2] >> 4, head[2] & 15
+    lead = head[4]
+    size = 5 + (0 if lead < 0x80 else max(0, 7 - (lead ^ 0xFF).bit_length()))
+    samples = FLAC_BLOCKS.get(block, 0)
+    if block in (6, 7):
+        samples = int.from_bytes(head[size : size + block - 5], "big") + 1
+        size += block - 5
+    size += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    return (samples, size + 1) if samples and size < len(head) and crc(head[:size], 8, 0x07) == head[size] else (0, 0)
+
+
+def _flac(b: Bytes, at: int) -> int:
+    """STREAMINFO of 34 bytes, metadata blocks, then frames until its number of samples is reached.
+
+    A frame ends where its 16-bit checksum comes out and, but for the last, another frame header begins.
+    """
+    data = b.data
+    if data[at + 4 : at + 8] not in (b"\x00\x00\x00\x22", b"\x80\x00\x00\x22"):
+        return 0
+    total = int.from_bytes(data[at + 21 : at + 26], "big") & (1 << 36) - 1
+    spot, last = at + 4, False
+    while not last and spot + 4 <= len(data):
+        last = data[spot] >= 0x80
+        spot += 4 + int.from_bytes(data[spot + 1 : spot + 4], "big")
+    if not last or spot > len(data):
+        return 0
+    done, table = 0, _crc_table(16, 0x8005)
+    while done < total or not total:
+        samples, size = _flac_frame(data, spot)
+        if not samples:
+            return spot - at if not total and done else 0
+        rest, end, place = 0, 0, spot
+        for byte in memoryview(data)[spot:]:
+            rest = rest << 8 & 0xFFFF ^ table[rest >> 8 ^ byte]
+            place += 1
+            if not rest and place - spot > size + 2 and (done + samples >= total > 0 or place == len(data) or _flac_frame(data, place)[0]):
+                end = place
+                break
+        if not end:
+            return 0
+        done, spot = done + samples, end
+    return spot - at
 
 
 VALIDATORS = {"audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "audio/ogg": _ogg, "audio/flac": _flac}
@@ -163,18 +348,21 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def confirmed(data: bytes) -> list[tuple[str, int, int]]:
-    """(type, offset, length) of every confirmed medium, in order of offset; parts of a carved one are not searched for its own type's pieces."""
+    """(type, offset, length) of every confirmed medium, in order of offset, those inside others as well.
+
+    Only what a format repeats by itself is passed over: the pages of one Ogg stream.
+    """
     found: list[tuple[str, int, int]] = []
-    inside: dict[str, int] = {}
+    held, pages = Bytes(data), 0
     for last, (size, kind) in _automaton().iter(data.decode("latin-1")):
         at = last + 1 - size
-        if at < inside.get(kind, 0):
+        if kind == "audio/ogg" and at < pages:
             continue
-        length = VALIDATORS[kind](data, at)
+        length = VALIDATORS[kind](held, at)
         if length:
             found.append((kind, at, length))
-            inside[kind] = at + length
-    return found
+            pages = at + length if kind == "audio/ogg" else pages
+    return sorted(found, key=lambda f: f[1])
 
 
 def wav_payload(data: bytes) -> bytes:
@@ -230,7 +418,8 @@ def sniff(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     ``type`` is the confirmed type at offset 0 (the declared one if none is confirmed), ``carved`` lists all
     other confirmed media, ``feature`` is type, sample count, mean sample and the carved types in short.
-    A null medium has no payload: lengths 0, digests of nothing.
+    A null medium has no payload: lengths 0, digests of nothing. Rows that repeat an id are read each; an empty
+    table gives no rows.
     """
     id_type = media.schema[id_col].dataType.simpleString()
 
