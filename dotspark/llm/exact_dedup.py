@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import keyed, materialise
+from .skew import join_keyed
 
 #: The characters that do not count: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
@@ -53,19 +54,23 @@ def _found(rows: DataFrame, text_col: str, partitions: int | None) -> DataFrame:
     return materialise(ordered.mapInArrow(_runs, f"{shape}, _digest string"), "exact-runs")
 
 
+def _best(*ids: str) -> Column:
+    """Orders rows of a group: the most code points first, then known ids, then the smallest; ids of any type that sorts."""
+    return F.struct((-F.col("_points")).alias("_less"), F.col(ids[0]).isNull().alias("_unknown"), *ids)
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` (of the normalised UTF-8).
 
     Of equal texts the row with the most code points in its original text stays, then the smallest id.
     A null text counts as empty, so null, empty and all-white texts are one group. Rows that repeat an id
     count in ``group_size`` and share its verdict. A null id loses every tie and has ``kept`` false unless
-    all ids of its group are null. Other columns are not read; an empty table gives no rows.
+    all ids of its group are null. Ids may be of any type that sorts. Other columns are not read; an empty table gives no rows.
     """
     found = _found(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", partitions)
-    best = F.struct(F.col("_points"), F.col("_id").isNotNull().alias("known"), (-F.col("_id")).alias("low"))
-    groups = found.groupBy(F.col("_digest")).agg(F.max(best).alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    out = found.join(groups, "_digest")
-    keep = -F.col("_best.low")
+    groups = found.groupBy("_digest").agg(F.min(_best("_id")).alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    out = join_keyed(found, groups, ["_digest"], "group_size", found.count())
+    keep = F.col("_best._id")
     return out.select(
         F.col("_id").alias(id_col), keep.alias("keep_id"), "group_size", F.col("_id").eqNullSafe(keep).alias("kept"), F.col("_digest").alias("text_sha256")
     )
@@ -79,6 +84,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     docs, key = keyed(docs, "exact-rows")
     found = _found(docs.select(F.col(id_col).alias("_id"), F.col(key).alias("_row"), F.col(text_col).alias("_text")), "_text", None)
-    best = F.struct(F.col("_points"), F.col("_id").isNotNull().alias("known"), (-F.col("_id")).alias("low"), (-F.col("_row")).alias("row"))
-    kept = found.groupBy("_digest").agg(F.max(best).alias("_best")).select((-F.col("_best.row")).alias(key))
+    kept = found.groupBy("_digest").agg(F.min(_best("_id", "_row")).alias("_best")).select(F.col("_best._row").alias(key))
     return docs.join(kept, key, "left_semi").drop(key)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
 from .scratch import keyed, materialise
+from .skew import join_keyed
 from .words import mix, ngram_hashes, text_slices, utf8, word_hashes
 
 BANDS, ROWS = 48, 5
@@ -217,14 +218,15 @@ def _linked(docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -
     id_type = docs.schema["_id"].dataType.simpleString()
     banded = reps.select("_id", F.explode("_bands").alias("_key"))
     shared = banded.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1")
-    members = tiled(banded.join(shared, "_key"), "_key", F.ceil(F.col("_many") / BUCKET_BLOCK)).drop("_many")
+    bucketed = join_keyed(banded, shared, ["_key"], "_many", BANDS * reps.count())
+    members = tiled(bucketed, "_key", F.ceil(F.col("_many") / BUCKET_BLOCK)).drop("_many")
     sketched = members.join(reps.select("_id", *(f"_s{i}" for i in range(WORDS))), "_id")
     tiles = sketched.repartition(parts, "_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j")
     edges = tiles.mapInArrow(functools.partial(_bucket_edges, limit=sketch_limit(similarity)), f"a {id_type}, b {id_type}")
     clusters = connected_components(edges)
     clusters = materialise(clusters.select(F.col("id").alias("_id"), F.col("component").alias("_cluster")), "near-clusters")
-    sizes = clusters.join(reps.select("_id", "_n"), "_id").groupBy("_cluster").agg(F.ceil(F.sum("_n") / CLUSTER_BLOCK).cast("int").alias("_blocks"))
-    placed = tiled(clusters.join(sizes, "_cluster"), "_cluster", F.col("_blocks")).drop("_blocks")
+    sizes = clusters.join(reps.select("_id", "_n"), "_id").groupBy("_cluster").agg(F.ceil(F.sum("_n") / CLUSTER_BLOCK).cast("int").alias("_blocks"), F.count(F.lit(1)).alias("_many"))
+    placed = tiled(join_keyed(clusters, sizes, ["_cluster"], "_many", clusters.count()), "_cluster", F.col("_blocks")).drop("_blocks", "_many")
     wanted = clusters.select("_id")
     sets = docs.join(wanted, "_id", "left_semi").mapInArrow(functools.partial(_sets, shingle=shingle), f"_id {id_type}, _n long, _p long, _q long, _set binary")
     # Of rows that repeat an id only those of the representative's set: these are equal.
@@ -251,13 +253,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = signed.where("_n > 0 AND _id IS NOT NULL")
     tops = real.groupBy("_id").agg(F.max(F.struct("_n", "_p", "_q")).alias("_top")).select("_id", "_top.*")
     tops = materialise(tops, "near-tops")
-    classes = materialise(tops.groupBy("_n", "_p", "_q").agg(F.min("_id").alias("_rep")), "near-classes")
+    classes = materialise(tops.groupBy("_n", "_p", "_q").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_many")), "near-classes")
     # One row per representative, which has one class: rows that remain of its id have the class's set.
     reps = signed.join(classes.select("_n", "_p", "_q", F.col("_rep").alias("_id")), ["_id", "_n", "_p", "_q"], "left_semi")
     reps = materialise(reps.dropDuplicates(["_id"]), "near-reps")
     labels = _linked(rows.where(F.col("_id").isNotNull()), reps, shingle, similarity)
-    of_class = classes.join(labels, classes["_rep"] == labels["id"], "left").select("_n", "_p", "_q", F.coalesce("component", "_rep").alias("_component"))
-    of_id = tops.join(of_class, ["_n", "_p", "_q"]).select("_id", "_component")
+    of_class = classes.join(labels, classes["_rep"] == labels["id"], "left").select("_n", "_p", "_q", "_many", F.coalesce("component", "_rep").alias("_component"))
+    of_id = join_keyed(tops, of_class, ["_n", "_p", "_q"], "_many", tops.count()).select("_id", "_component")
     out = signed.select("_id", "_n").join(of_id, "_id", "left")
     out = out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

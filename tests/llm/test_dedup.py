@@ -4,8 +4,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from dotspark.llm import exact_dedup, near_dedup
+from dotspark.llm import exact_dedup, near_dedup, skew
 from dotspark.llm.components import connected_components
 
 
@@ -39,6 +40,26 @@ def test_exact_group_over_many_partitions(spark):
     assert columns(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(docs)
 
 
+def test_exact_ids_of_any_type(spark):
+    low = -(2**63)
+    for rows, want in (([("b", "x y"), ("a", "xy "), ("c", "z")], {("b", "a"), ("a", "a"), ("c", "c")}), ([(low, "xy"), (5, "x y"), (low + 1, "xy")], {(low, 5), (5, 5), (low + 1, 5)})):
+        got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id string, text string" if isinstance(rows[0][0], str) else "doc_id long, text string"))
+        assert got.schema["keep_id"].dataType == got.schema["doc_id"].dataType
+        assert {(r.doc_id, r.keep_id) for r in got.collect()} == want
+
+
+def test_hot_keys_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 3)
+    monkeypatch.setattr(skew, "SHARE", 5)
+    rows = spark.createDataFrame([(i % 3 if i % 2 else 9, i) for i in range(60)], "k long, v long")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("many"), F.min("v").alias("low"))
+    got = skew.join_keyed(rows, groups, ["k"], "many", 60).select("k", "v", "many", "low")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(groups, "k").select("k", "v", "many", "low").collect()))
+    edges = [(0, i) for i in range(1, 40)] + [(40 + i, 41 + i) for i in range(9)]
+    found = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(40)} | {40 + i: 40 for i in range(10)}
+
+
 def test_exact_drop(edge, edge_docs):
     got = exact_dedup.drop_exact_duplicates(edge)
     assert got.columns == edge.columns
