@@ -77,13 +77,14 @@ def _pass(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.R
     moved = np.flatnonzero(new.n != state.n)
     for i in range(0, len(moved), 1 << 16):
         part = moved[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array((a[part] - b[part]).astype(np.float32)) for a, b in ((new.z, state.z), (new.n, state.n)))], ["_at", "_z", "_n"])
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(a[part] - b[part]) for a, b in ((new.z, state.z), (new.n, state.n)))], ["_at", "_z", "_n"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> np.ndarray:
     """Weights by coordinate, from labelled rows that are not held out: by hash of the id, about ``train_docs``.
 
-    What comes to the driver each round is at most one row per coordinate.
+    What comes to the driver each round is at most one row per coordinate. A document with several labelled rows
+    is learned from as often, one with a null id or label never; rows that repeat an id are each a document.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
@@ -99,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(state)
         step = functools.partial(_pass, shared=shared)
-        moved = functools.reduce(DataFrame.unionAll, [shard.mapInArrow(step, "_at int, _z float, _n float") for shard in shards])
+        moved = functools.reduce(DataFrame.unionAll, [shard.mapInArrow(step, "_at int, _z double, _n double") for shard in shards])
         table = moved.groupBy("_at").agg((F.sum("_z") / SHARDS).alias("_z"), (F.sum("_n") / SHARDS).alias("_n")).toArrow()
         at = table.column("_at").to_numpy()
         state.z[at] += table.column("_z").to_numpy()

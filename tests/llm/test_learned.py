@@ -105,3 +105,62 @@ def test_a_rare_toxic_word_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
     weights = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
     assert weights[toxicity.features(pa.array(["zyxw"]))[0][0]] > 0
+
+
+def test_one_shard_is_plain_ftrl(spark, monkeypatch):
+    """Coordinate by coordinate as the algorithm is written down, document after document, round after round."""
+    monkeypatch.setattr(toxicity, "SHARDS", 1)
+    rows = corpus(120)
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.fit(docs, labels)
+    keys = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(doc_id, 11) AS k").collect()}
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.ROUNDS):
+        for i, t, _, y in sorted((r for r in rows if not is_held_out(r[0])), key=lambda r: keys[r[0]]):
+            at = sorted({int(x) for x in toxicity.features(pa.array([t]))[0]} | {(1 << toxicity.BITS) - 1})
+            w = {k: weight(k) for k in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for k in at:
+                old = n.get(k, 0.0)
+                n[k] = old + g * g
+                z[k] = z.get(k, 0.0) + g - (n[k] ** 0.5 - old**0.5) / toxicity.ALPHA * w[k]
+    want = {k: weight(k) for k in z if weight(k)}
+    assert set(np.flatnonzero(got)) == set(want)
+    assert all(abs(got[k] - w) < 1e-4 for k, w in want.items())
+
+
+def test_repeated_and_null_labels(spark):
+    rows = corpus(60)
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows] + [(None, "x"), (5, rows[5][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows] * 2 + [(None, 1), (7, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 62 and sum(r.doc_id is None for r in got) == 1
+
+
+def test_language_shares_against_sets(docs):
+    """The filters' corrected counts against plain sets of each language's n-grams, looked up one by one."""
+    filters = language_id.fit(docs)
+    texts = [t for i, t, *_ in corpus(60)]
+    got = language_id.shares(pa.array(texts), filters)
+    for text, mine in zip(texts, got, strict=True):
+        data, offsets = language_id._lowered(pa.array([text]))
+        rows = language_id._row_of(offsets)
+        hits, every = np.zeros(len(filters.langs)), 0
+        for order in language_id.ORDERS:
+            code, real = language_id._grams(data, rows, 0, len(data), order)
+            for gram in code[real]:
+                every += 1
+                hashed = int(language_id.mix(np.array([gram], np.uint64))[0])
+                slots = [(hashed >> 20 * i) & (len(filters.slots) - 1) for i in range(language_id.HASHES)]
+                for k in range(len(filters.langs)):
+                    hits[k] += all(int(filters.slots[s, 0]) >> k & 1 for s in slots)
+        wrong = filters.fill**language_id.HASHES
+        assert np.allclose(mine, np.clip((hits / every - wrong) / (1 - wrong), 0, 1))
