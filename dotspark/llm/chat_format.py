@@ -37,7 +37,7 @@ def carry_last(rows: DataFrame, keys: list[str], order: str, value: str, out: st
 
 def quote_level(line: Column) -> Column:
     """Number of ``>`` at the start of a line, spaces between them allowed."""
-    return F.length(F.regexp_replace(F.regexp_extract(line, r"^((?:[ \t]*>)*)", 1), "[^>]", ""))
+    return F.when(~F.contains(line, F.lit(">")), 0).otherwise(F.length(F.regexp_replace(F.regexp_extract(line, r"^((?:[ \t]*>)*)", 1), "[^>]", "")))
 
 
 def normalised(line: Column) -> Column:
@@ -53,7 +53,7 @@ def reply_links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to) of messages that quote an earlier one: lines to votes to the message quoted."""
     lines = messages.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("_no", "_line"))
     parsed = lines.select("conv_id", "turn", "_no", quote_level(F.col("_line")).alias("_level"), normalised(F.col("_line")).alias("_norm")).where("_norm <> ''")
-    hashed = parsed.select("conv_id", "turn", "_level", F.sha2("_norm", 256).alias("_hash"))
+    hashed = materialise(parsed.select("conv_id", "turn", "_level", F.sha2("_norm", 256).alias("_hash")), "chat-lines")
     # A line at level k of one message may be quoted at level k + 1 of another.
     quoted = hashed.where("_level > 0").select("conv_id", "turn", (F.col("_level") - 1).alias("_of"), "_hash")
     wanted = quoted.select("conv_id", "_of", "_hash").distinct()

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -23,6 +25,22 @@ CASES = {
 }
 
 
+def thread(conversations=40, turns=60, seed=8):
+    """Nested replies: a message quotes an earlier one's lines, quotes and all, and lines that many others have too."""
+    r, out = random.Random(seed), []
+    for c in range(conversations):
+        said = []
+        for t in range(turns):
+            own = [f"Line {c} {t} {i}" for i in range(r.randrange(1, 4))] + (["I agree."] if r.random() < 0.5 else [])
+            quoted = ["> " + line for line in said[r.randrange(len(said))].split("\n")] if said and r.random() < 0.6 else []
+            said.append("\n".join(quoted[: r.randrange(1, 8)] + own))
+        out += [(c, 3 * t, r.choice(["user", "assistant"]), text, "", "") for t, text in enumerate(said)]
+    return out
+
+
+CASES["thread"] = thread()
+
+
 @pytest.mark.parametrize("case", CASES)
 def test_against_sql(spark, case):
     rows = spark.createDataFrame(CASES[case], SCHEMA)
