@@ -1,178 +1,195 @@
-"""Stupid-backoff scores of whole documents against the n-gram counts of the whole corpus.
-
-Documents are dealt to blocks by id. A block explodes its texts to n-grams, and asks for the counts of its
-distinct ones: each (order, hash bucket) gets one packed list per block. A bucket puts the lists of all
-blocks together, which makes its part of the count table, and answers each block with the counts in the
-order asked. The block joins them to its n-grams and sums per document. A very common n-gram is one entry
-per block and not one per occurrence, so no bucket grows with it; blocks and buckets are both sized by the
-number of shuffle partitions.
-
-S(w | context) = c(context w) / c(context) if the n-gram is in the table (seen at least ``MIN_COUNT`` times
-in the corpus), else 0.4 S(w | shorter context); at the end c(w) / N. A document's first words have the
-context they have.
+"""Stupid-backoff scores of whole documents against the bigram counts of the whole corpus.
+
+1. Words are counted: (word, count), one row a word.
+2. Documents are exploded to rows (document, context, word, times), one for each distinct bigram of a document,
+   dealt by a hash of the context. A context that is too frequent for one task is dealt by its word as
+   well, and a bigram that is, by document. Rows travel in arrays, a few thousand to one, and are plain
+   rows again behind the shuffle.
+3. There the counts of the bigrams and of their contexts are sums over windows of one sort: the n-gram count
+   table is joined to the exploded n-grams where it is made. Counts of frequent words come from a broadcast
+   of bounded size, those of other words by a join.
+4. Each row's score times its number in the document is summed per document.
+
+S(w | v) = c(v w) / c(v) if the bigram was seen at least ``MIN_COUNT`` times in the corpus, else 0.4 c(w) / N; so
+scores a document's first word, without the 0.4. The documents are the corpus, so a bigram of theirs is
+seen once at least: with a bound of 1 nothing would ever back off.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .scratch import materialise
-from .words import ngram_hashes, utf8, word_hashes
+from .words import mix, text_slices, utf8, word_hashes
 
-ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
-#: Blocks and buckets for each shuffle partition: the lists of one stay small in a task's memory.
-BLOCKS_EACH = 1
-#: Bytes of a hash that are sent; its leading bits are the bucket.
-_KEPT = 6
+BACKOFF, MIN_COUNT = 0.4, 2
+#: Most words whose counts are broadcast.
+FREQUENT = 1 << 18
+#: A context or bigram is split if it holds more than one part in so many of a task's share.
+SPREAD = 4
+#: Bytes of text exploded at a time.
+SLICE = 1 << 23
+#: Contexts of a first word, and words behind a last one.
+START, END = np.uint64(0), np.uint64(1)
 
 
-def pack(hashes: np.ndarray) -> bytes:
-    """The low 48 bits of each hash, byte plane by byte plane (sorted hashes then compress)."""
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :_KEPT].T).tobytes()
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the texts with fewer rows than a short integer counts."""
+    for batch in text_slices(batches, most=SLICE):
+        for at in range(0, len(batch), 1 << 15):
+            yield batch.slice(at, 1 << 15)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(_KEPT, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :_KEPT] = planes.T
-    return out.view(np.uint64).ravel()
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches, most=SLICE):
+        words, counts = np.unique(word_hashes(*utf8(batch.column("_text")))[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["_w", "_c"])
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts in one byte each, those from 255 on also as (place, count)."""
-    large = np.flatnonzero(counts >= 255)
-    return len(large).to_bytes(8, "little") + large.astype(np.int64).tobytes() + counts[large].astype(np.int64).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
-
-
-def unpack_counts(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    large, value = np.frombuffer(data, np.int64, 2 * n, 8).reshape(2, n)
-    counts = np.frombuffer(data, np.uint8, -1, 8 + 16 * n).astype(np.int64)
-    counts[large] = value
-    return counts
-
-
-def buckets_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each hash by its leading bits, so that sorted hashes have ascending buckets."""
-    return ((hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-
-
-def _distinct(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-    raw, offsets = utf8(column)
-    words, bounds = word_hashes(raw, offsets)
-    grams, _ = ngram_hashes(words, bounds, order) if order > 1 else (words, bounds)
-    return np.unique(grams, return_counts=True)
-
-
-def _ask(blocks: pd.DataFrame, order: int, buckets: int) -> pd.DataFrame:
-    """One packed list of a block's distinct n-grams and their counts for each order and bucket."""
-    out = []
-    texts = pa.array(blocks["_text"], pa.string())
-    for n in range(1, order + 1):
-        grams, counts = _distinct(texts, n)
-        ends = np.searchsorted(buckets_of(grams, buckets), np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(ends)):
-            x, y = ends[b], ends[b + 1]
-            out.append((n, int(b), int(blocks["_block"].iloc[0]), pack(grams[x:y]), pack_counts(counts[x:y])))
-    return pd.DataFrame(out, columns=["_order", "_bucket", "_block", "_grams", "_counts"])
-
-
-def _answer(lists: pd.DataFrame, min_count: int) -> pd.DataFrame:
-    """A bucket's counts over all blocks, in the order in which each block asked; 0 below ``min_count`` from order 2 on."""
-    grams = np.concatenate([unpack(g) for g in lists["_grams"]])
-    own = np.concatenate([unpack_counts(c) for c in lists["_counts"]])
-    ends = np.cumsum([len(g) // _KEPT for g in lists["_grams"]])
-    _, which = np.unique(grams, return_inverse=True)
-    counts = np.bincount(which, own).astype(np.int64)
-    if int(lists["_order"].iloc[0]) > 1:
-        counts[counts < min_count] = 0
-    parts = np.split(counts[which], ends[:-1])
-    return pd.DataFrame({"_order": lists["_order"], "_bucket": lists["_bucket"], "_block": lists["_block"], "_counts": [pack_counts(p) for p in parts]})
-
-
-def _score(docs: pd.DataFrame, answers: pd.DataFrame, order: int) -> pd.DataFrame:
-    """Join a block's n-grams to the answered counts and sum the logarithms per document, ln N still to be taken off ``_plain`` times."""
-    if not len(docs):
-        return pd.DataFrame({"_id": [], "n_words": [], "_log": [], "_backed": [], "_plain": []})
-    raw, offsets = utf8(pa.array(docs["_text"], pa.string()))
-    words, bounds = word_hashes(raw, offsets)
+def exploded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, context, word) of every place of the texts, ends included, and the number of words of each text."""
+    words, bounds = word_hashes(*utf8(column))
     sizes = np.diff(bounds)
-    counted = []
-    for n in range(1, order + 1):
-        grams = ngram_hashes(words, bounds, n)[0] if n > 1 else words
-        _, which = np.unique(grams, return_inverse=True)
-        mine = answers[answers["_order"] == n].sort_values("_bucket")
-        table = np.concatenate([unpack_counts(c) for c in mine["_counts"]]) if len(mine) else np.zeros(0, np.int64)
-        counted.append(table[which])
-    # Place of each word in its row; the n-gram that ends at a word exists if n - 1 words stand before it.
-    place = np.arange(len(words)) - np.repeat(bounds[:-1], sizes)
-    log = np.log(np.maximum(counted[0], 1))
-    penalty, open_ = np.zeros(len(words)), np.ones(len(words), bool)
-    backed = np.zeros(len(words), bool)
-    for n in range(order, 1, -1):
-        has = place >= n - 1
-        numerator, context = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
-        numerator[has] = counted[n - 1]
-        # The context's count: the (n-1)-gram that ends one word earlier.
-        shorter = np.zeros(len(words), np.int64)
-        shorter[place >= n - 2] = counted[n - 2]
-        context[1:] = np.maximum(shorter[:-1], 1)
-        hit = open_ & has & (numerator > 0)
-        log[hit] = penalty[hit] + np.log(numerator[hit] / context[hit])
-        open_ &= ~hit
-        missed = open_ & has
-        penalty[missed] += np.log(BACKOFF)
-        backed |= missed
-    log[open_] += penalty[open_]
-    rows = np.repeat(np.arange(len(docs)), sizes)
-    per_doc = {name: np.bincount(rows, value, minlength=len(docs)) for name, value in (("_log", log), ("_backed", backed), ("_plain", open_))}
-    return pd.DataFrame({"_id": docs["_id"], "n_words": sizes, "_log": per_doc["_log"], "_backed": per_doc["_backed"].astype(np.int64), "_plain": per_doc["_plain"].astype(np.int64)})
-
-
-def _asker(order: int, buckets: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def ask(block: pd.DataFrame) -> pd.DataFrame:
-        return _ask(block, order, buckets)
-
-    return ask
-
-
-def _answerer(min_count: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def answer(lists: pd.DataFrame) -> pd.DataFrame:
-        return _answer(lists, min_count)
-
-    return answer
-
-
-def _scorer(order: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        return _score(docs, answers, order)
-
-    return score
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
+    some = np.flatnonzero(sizes)
+    # A text of n words has n + 1 places: each word behind the one before it, and the end behind the last.
+    starts = np.concatenate([[0], np.cumsum(sizes[some] + 1)])
+    context, word = np.full(starts[-1], START), np.full(starts[-1], END)
+    inner = np.ones(starts[-1], bool)
+    inner[starts[1:] - 1] = False
+    word[inner] = words
+    context[1:] = word[:-1]
+    context[starts[:-1]] = START
+    return np.repeat(some, sizes[some] + 1), context, word, sizes
+
+
+def _heavy(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """Bigrams that make more than one row in ``share`` of a slice, and in how many of its documents they are."""
+    for batch in _slices(batches):
+        row, context, word, _ = exploded(batch.column("_text"))
+        _, first = np.unique(mix(mix(context * np.uint64(0x9E3779B97F4A7C15) + word) ^ row.astype(np.uint64)), return_index=True)
+        pair = mix(context[first] * np.uint64(0x9E3779B97F4A7C15) + word[first])
+        _, at, counts = np.unique(pair, return_index=True, return_counts=True)
+        keep = counts * share > len(first)
+        at = first[at[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(counts[keep])], ["_a", "_b", "_k"])
+
+
+def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each value in a sorted table; -1 where it is not."""
+    at = np.minimum(np.searchsorted(table, values), max(len(table) - 1, 0))
+    return np.where(table[at] == values, at, -1) if len(table) else np.full(len(values), -1)
+
+
+def _pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Counts of the hot bigrams alone."""
+    _, _, pairs = shared.value
+    for batch in text_slices(batches, most=SLICE):
+        _, context, word, _ = exploded(batch.column("_text"))
+        at = _find(pairs, _pair_keys(context, word))
+        hit = np.flatnonzero(at >= 0)
+        _, first, counts = np.unique(at[hit], return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x[hit[first]].view(np.int64)) for x in (context, word)] + [pa.array(counts)], ["_a", "_b", "_all"])
+
+
+def _empty(rows: int, kind: pa.DataType) -> pa.ListArray:
+    """Lists of nothing; zipped with longer ones they give nulls."""
+    return pa.ListArray.from_arrays(pa.array(np.zeros(rows + 1, np.int32)), pa.array([], kind))
+
+
+_PACKED = "_part int, _slice long, _a array<long>, _b array<long>, _d array<smallint>, _k array<int>, _id array<{0}>, _n array<long>"
+
+
+def _pack(batches: Iterator[pa.RecordBatch], shared: Broadcast, parts: int) -> Iterator[pa.RecordBatch]:
+    """A slice's rows by part, in arrays, and its documents with their numbers of words in one more."""
+    hot, splits, pairs = shared.value
+    base = TaskContext.get().partitionId() << 32
+    for number, batch in enumerate(_slices(batches)):
+        row, context, word, sizes = exploded(batch.column("_text"))
+        part = (context >> np.uint64(11)) % np.uint64(parts)
+        at = _find(hot, context)
+        many = at >= 0
+        part[many] = mix(context[many] + word[many] % splits[at[many]]) % np.uint64(parts)
+        part[_find(pairs, _pair_keys(context, word)) >= 0] = np.uint64((base + number) % parts)
+        # By part, then context; equal rows come together.
+        key = part << np.uint64(44) | (context >> np.uint64(40)) << np.uint64(20) | mix(word + row.astype(np.uint64)) >> np.uint64(44)
+        order = np.argsort(key)
+        row, context, word, part = row[order], context[order], word[order], part[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(row)))
+        part = part[first].astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).astype(np.int32) if len(part) else np.zeros(1, np.int32)
+        rows = len(cuts) - 1
+        columns = [context[first].view(np.int64), word[first].view(np.int64), row[first].astype(np.int16), counts.astype(np.int32)]
+        lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(c)) for c in columns]
+        none = [_empty(rows, batch.column("_id").type), _empty(rows, pa.int64())]
+        where = [pa.array(part[cuts[:-1]] if rows else part, pa.int32()), pa.array(np.full(rows, base + number))]
+        names = ["_part", "_slice", "_a", "_b", "_d", "_k", "_id", "_n"]
+        yield pa.RecordBatch.from_arrays([*where, *lists, *none], names)
+        n, ends = len(batch), pa.array(np.array([0, len(batch)], np.int32))
+        documents = [pa.array([(base + number) % parts], pa.int32()), pa.array([base + number])]
+        documents += [_empty(1, pa.int64())] * 2 + [pa.ListArray.from_arrays(ends, pa.array(np.arange(n, dtype=np.int16))), _empty(1, pa.int32())]
+        documents += [pa.ListArray.from_arrays(ends, pa.concat_arrays([batch.column("_id")])), pa.ListArray.from_arrays(ends, pa.array(sizes.astype(np.int64)))]
+        yield pa.RecordBatch.from_arrays(documents, names)
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
     """One row per input row: id, ``n_words``, ``n_backoff`` (words that backed off), ``log_score`` (sum of ln S), ``mean_log``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered. All rows count for the n-gram table, repeated ones
     too. A null text counts as empty: no words, ``log_score`` 0 and ``mean_log`` null. Rows that repeat an id
-    are scored each; a null id is an id. Other columns are not read; an empty table gives no rows.
+    are scored each; a null id is an id. Other columns are not read; an empty table gives no rows. The rows
+    of ``docs`` come in the same order when they are read again (a table does; write others first).
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * BLOCKS_EACH
-    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(parts)).cast("int")
-    rows = docs.select(block.alias("_block"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    asked = rows.groupBy("_block").applyInPandas(_asker(order, parts), "_order int, _bucket int, _block int, _grams binary, _counts binary")
-    answered = asked.groupBy("_order", "_bucket").applyInPandas(_answerer(min_count), "_order int, _bucket int, _block int, _counts binary")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    words = materialise(rows.select("_text").mapInArrow(_count_words, "_w long, _c long").groupBy("_w").agg(F.sum("_c").alias("_c")), "lm-words")
+    # How many words have a count of 2^i or more: 64 rows; the bound of what is broadcast follows.
+    sizes = {r["_i"]: (r["n"], r["c"]) for r in words.groupBy(F.floor(F.log2("_c")).cast("int").alias("_i")).agg(F.count(F.lit(1)).alias("n"), F.sum("_c").alias("c")).collect()}
+    total = sum(c for _, c in sizes.values())
+    cut = min((i for i in range(65) if sum(n for j, (n, _) in sizes.items() if j >= i) <= FREQUENT), default=64)
+    frequent = F.broadcast(words.where(F.col("_c") >= 2.0**cut))
+    share = max(1, total // (SPREAD * parts))  # rows that one context or bigram may put into one task
+    hot = words.where(F.col("_c") > share).orderBy("_c", ascending=False).toArrow()  # at most SPREAD * parts words
+    heavy = rows.select("_text").mapInArrow(functools.partial(_heavy, share=2 * SPREAD * parts), "_a long, _b long, _k long").groupBy("_a", "_b").agg(F.sum("_k").alias("_k"))
+    pairs = heavy.where(F.col("_k") > share // 2).select("_a", "_b").toArrow()  # at most 2 * SPREAD * parts bigrams
+    hashes = [np.append(hot.column("_w").to_numpy(), 0).view(np.uint64)]  # the start is a context of every document
+    counts = np.append(hot.column("_c").to_numpy(), total)
+    order = np.argsort(hashes[0])
+    splits = np.minimum(counts // share + 1, parts).astype(np.uint64)
+    keys = np.sort(_pair_keys(*(pairs.column(c).to_numpy().view(np.uint64) for c in ("_a", "_b"))))
+    shared = spark.sparkContext.broadcast((hashes[0][order], splits[order], keys))
+    hot_pairs = F.broadcast(materialise(rows.select("_text").mapInArrow(functools.partial(_count_pairs, shared=shared), "_a long, _b long, _all long").groupBy("_a", "_b").agg(F.sum("_all").alias("_all")), "lm-hot"))
     id_type = rows.schema["_id"].dataType.simpleString()
-    summed = rows.groupBy("_block").cogroup(answered.groupBy("_block")).applyInPandas(_scorer(order), f"_id {id_type}, n_words long, _log double, _backed long, _plain long")
-    summed = materialise(summed, "lm-scores")
-    # N is known when all words are counted; one row, which every row needs.
-    total = summed.agg(F.greatest(F.sum("n_words"), F.lit(1)).alias("_total"))
-    out = summed.join(F.broadcast(total)).withColumn("_log", F.col("_log") - F.col("_plain") * F.log(F.col("_total")))
-    mean = F.when(F.col("n_words") > 0, F.round(F.col("_log") / F.col("n_words"), 6))
-    return out.select(F.col("_id").alias(id_col), "n_words", F.col("_backed").alias("n_backoff"), F.round("_log", 3).alias("log_score"), mean.alias("mean_log"))
+    packed = rows.mapInArrow(functools.partial(_pack, shared=shared, parts=parts), _PACKED.format(id_type)).repartitionById(parts, "_part")
+    flat = packed.select("_part", "_slice", F.inline(F.arrays_zip("_a", "_b", "_d", "_k", "_id", "_n")))
+    by = W.partitionBy("_part", "_a")
+    counted = flat.withColumn("_both", F.sum("_k").over(W.partitionBy("_part", "_a", "_b"))).withColumn("_of", F.sum("_k").over(by))
+    known = counted.join(hot_pairs, ["_a", "_b"], "left").join(frequent.withColumnsRenamed({"_w": "_a", "_c": "_ca"}), "_a", "left").join(frequent.withColumnsRenamed({"_w": "_b", "_c": "_cb"}), "_b", "left")
+    both, context = F.coalesce("_all", "_both"), F.coalesce("_ca", "_of")
+    first, last, pair = F.col("_a") == 0, F.col("_b") == 1, F.col("_a").isNotNull()
+    hit = ~first & (both >= min_count)
+    plain = pair & ~last & ~hit  # scored by the word alone
+    value = F.when(~pair | last, 0.0).when(hit, F.log(both / context)).otherwise(F.when(first, 0.0).otherwise(F.log(F.lit(BACKOFF))) + F.coalesce(F.log("_cb"), F.lit(0.0)))
+    each = known.select("_slice", "_d", F.when(plain & F.col("_cb").isNull(), F.col("_b")).alias("_rare"), (F.col("_k") * value).alias("_log"), F.when(plain, F.col("_k")).alias("_plain"), F.when(plain & ~first, F.col("_k")).alias("_backed"), "_id", "_n")
+    sums = lambda df, *keys: df.groupBy("_slice", "_d", *keys).agg(F.sum("_log").alias("_log"), F.sum("_plain").alias("_plain"), F.sum("_backed").alias("_backed"), F.first("_id", True).alias("_id"), F.max("_n").alias("_n"))
+    summed = materialise(sums(each, "_rare"), "lm-sums")
+    rare = summed.where("_rare IS NOT NULL").join(words.withColumnsRenamed({"_w": "_rare"}), "_rare").withColumn("_log", F.col("_log") + F.col("_plain") * F.log("_c")).drop("_c")
+    out = sums(summed.where("_rare IS NULL").unionByName(rare))
+    log = F.coalesce("_log", F.lit(0.0)) - F.coalesce("_plain", F.lit(0)) * F.lit(float(np.log(max(total, 1))))
+    mean = F.when(F.col("_n") > 0, F.round(F.col("_sum") / F.col("_n"), 6))
+    named = out.withColumn("_sum", log)
+    return named.select(F.col("_id").alias(id_col), F.col("_n").alias("n_words"), F.coalesce("_backed", F.lit(0)).cast("long").alias("n_backoff"), F.round("_sum", 3).alias("log_score"), mean.alias("mean_log"))

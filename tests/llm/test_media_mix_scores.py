@@ -4,6 +4,7 @@ import io
 import math
 import re
 import struct
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -37,6 +38,71 @@ def test_signatures_are_confirmed_and_carved(kind):
     assert media.confirmed(data[: len(data) - 3]) == []
 
 
+def page(serial, number, body, last=False):
+    head = b"OggS\x00" + bytes([4 if last else 0]) + struct.pack("<QII", 0, serial, number)
+    rest = bytes([1, len(body)]) + body
+    return head + struct.pack("<I", media.ogg_crc(head + b"\0\0\0\0" + rest)) + rest
+
+
+def flac(blocks=2):
+    """Constant frames of 192 samples, one channel of 16 bits."""
+    info = struct.pack(">HH", 192, 192) + bytes(6) + (44100 << 44 | 15 << 36 | 192 * blocks).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC\x80\x00\x00\x22" + info
+    for i in range(blocks):
+        head = bytes([0xFF, 0xF8, 0x19, 0x08, i])
+        frame = head + bytes([media.crc(head, 8, 0x07), 0x00]) + struct.pack(">h", 7 + i)
+        out += frame + media.crc(frame, 16, 0x8005).to_bytes(2, "big")
+    return out
+
+
+def wav(payload):
+    return b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+
+
+def pdf(extra=b""):
+    body = b"%PDF-1.4\n1 0 obj\n" + extra + b"endobj\n"
+    return body + b"xref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % len(body)
+
+
+def test_checksums():
+    assert media.crc(b"123456789", 16, 0x8005) == 0xFEE8 and media.crc(b"123456789", 32, 0x04C11DB7) == media.ogg_crc(b"123456789") == 0x89A1897F and media.crc(b"123456789", 8, 0x07) == 0xF4
+
+
+def test_streams_end_where_they_end():
+    ogg = page(1, 0, b"abc") + page(1, 1, b"de", last=True)
+    assert media.confirmed(b"x" + ogg + page(2, 0, b"f", last=True) + b"tail") == [("audio/ogg", 1, len(ogg)), ("audio/ogg", 1 + len(ogg), len(page(2, 0, b"f")))]
+    assert media.confirmed(ogg[:30] + b"?" + ogg[31:]) == [("audio/ogg", len(page(1, 0, b"abc")), len(page(1, 1, b"de")))]  # a bad page
+    for blocks in (1, 2, 5):
+        assert media.confirmed(b"junk" + flac(blocks) + b"tail") == [("audio/flac", 4, len(flac(blocks)))]
+    assert media.confirmed(flac()[:-1]) == []
+
+
+def test_media_inside_media():
+    inner = wav(b"ab" * 20)
+    assert media.confirmed(wav(b"  " + inner)) == [("audio/wav", 0, 46 + len(inner)), ("audio/wav", 46, len(inner))]
+    thumb = SAMPLES["image/jpeg"]
+    outer = b"\xff\xd8\xff\xe1" + struct.pack(">H", 2 + len(thumb)) + thumb + b"\xff\xda\x00\x02a\xff\x00b\xff\xd0c\xff\xc4\x00\x04\xff\xd9\xff\xda\x00\x02d\xff\xd9"
+    assert media.confirmed(outer) == [("image/jpeg", 0, len(outer)), ("image/jpeg", 6, len(thumb))]
+    nested = io.BytesIO()
+    with zipfile.ZipFile(nested, "w") as z:
+        z.writestr("in.zip", zipped())
+    found = media.confirmed(nested.getvalue())
+    assert found[0] == ("application/zip", 0, len(nested.getvalue())) and found[1][2] == len(zipped()) and len(found) == 2
+    one, embedding = pdf(), pdf(b"stream\n" + pdf() + b"\nendstream\n")
+    assert media.confirmed(one + one) == [("application/pdf", 0, len(one)), ("application/pdf", len(one), len(one))]
+    assert media.confirmed(embedding) == [("application/pdf", 0, len(embedding)), ("application/pdf", embedding.index(b"stream") + 7, len(one))]
+    updated = one + b"\n2 0 obj\nendobj\n"
+    updated += b"xref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % len(updated)
+    assert media.confirmed(updated) == [("application/pdf", 0, len(updated))]
+
+
+@pytest.mark.parametrize("word", [b"%PDF-1.", b"PK\x03\x04", b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02", b"GIF89a", b"OggS\x00", SAMPLES["image/png"][:41], b"RIFF", b"\x1f\x8b\x08", b"fLaC\x80\x00\x00\x22"])
+def test_repeated_magic_words_take_linear_time(word):
+    start = time.process_time()
+    assert media.confirmed(word * (1_000_000 // len(word))) == []
+    assert time.process_time() - start < 10  # a search to the end from each word takes minutes
+
+
 def test_magic_words_in_text_are_no_media():
     assert media.confirmed(b"RIFF and GIF89a and %PDF- and PK\x03\x04 and OggS in a text fLaC") == []
 
@@ -120,15 +186,30 @@ def brute_scores(docs, order, min_count):
     return {i: (len(w), sum(math.log(score(tuple(w[max(0, k - order + 1) : k]), x)) for k, x in enumerate(w))) for (i, _), w in zip(docs, words, strict=True)}
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_stupid_backoff(edge, edge_docs, order):
+@pytest.mark.parametrize("frequent", [lm_score.FREQUENT, 100, 0])
+@pytest.mark.parametrize("min_count", [1, 2, 3])
+def test_stupid_backoff(edge, edge_docs, monkeypatch, frequent, min_count):
+    """Whether a word's count comes from the broadcast or from the join."""
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
     docs = [(d[0], d[1]) for d in edge_docs]
-    got = lm_score.lm_scores(edge, order=order).collect()
-    want = brute_scores(docs, order, 2)
+    got = lm_score.lm_scores(edge, min_count=min_count).collect()
+    want = brute_scores(docs, 2, min_count)
     assert len(got) == len(docs)
     for r in got:
         assert r.n_words == want[r.doc_id][0] and abs(r.log_score - want[r.doc_id][1]) < 2e-3
 
 
+def test_hot_words_and_bigrams(spark):
+    """One word in every place, one bigram in every document, and all documents begin alike."""
+    docs = [(i, f"the end {'the ' * (i % 7)}w{i} the end") for i in range(400)] + [(None, "the end"), (None, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = brute_scores(docs[:-2] + [(-1, "the end"), (-2, None)], 2, 2)
+    got = lm_score.lm_scores(rows).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        n, log = want[r.doc_id if r.doc_id is not None else -1 if r.n_words else -2]
+        assert r.n_words == n and abs(r.log_score - log) < 2e-3
+
+
 def test_scores_of_an_empty_table(empty):
     assert lm_score.lm_scores(empty).count() == 0
