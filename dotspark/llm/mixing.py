@@ -55,15 +55,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> Da
     return rows.select("source", "source_size", F.coalesce(shared * F.col("_weight"), "_cap").alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """One row per input row: id, ``size``, ``source_size``, ``target`` (its source's), ``taken`` (words, repeats counted).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: the columns of ``also``, id, ``size``, ``source_size``, ``target`` (its source's), ``taken`` (words, repeats counted).
 
     ``taken`` is ``size`` times the whole passes, once more below the source's threshold. The one document
     that straddles the remainder of the budget is taken in part, to the word; rows with the same id, which
     share a hash, share that part in proportion. Null sources are one source; a null text has size 0.
     Choices depend on ids alone, so reruns agree. An empty table gives no rows; other columns are not read.
     """
-    rows = materialise(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes").withColumn("_hash", mix_hash(F.col("_id")))
+    rows = materialise(docs.select(*also, F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes").withColumn("_hash", mix_hash(F.col("_id")))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     # Whole passes over a source, and the words that a part of a pass must give.
     budget, size = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
@@ -83,4 +83,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     final = bounds.join(edge, F.col("source").eqNullSafe(F.col("_source")), "left").select(F.col("source").alias("_s"), "source_size", "target", "_passes", "_low", "_left", "_words")
     extra = F.when(F.col("_hash") < F.col("_low"), F.col("size")).when(F.col("_hash") == F.col("_low"), F.floor(F.col("size") * F.col("_left") / F.col("_words")).cast("long")).otherwise(F.lit(0))
     out = rows.join(final, F.col("source").eqNullSafe(F.col("_s")))
-    return out.select(F.col("_id").alias(id_col), "size", "source_size", F.col("target"), (F.col("size") * F.col("_passes") + F.coalesce(extra, F.lit(0))).cast("long").alias("taken"))
+    return out.select(*also, F.col("_id").alias(id_col), "size", "source_size", F.col("target"), (F.col("size") * F.col("_passes") + F.coalesce(extra, F.lit(0))).cast("long").alias("taken"))
