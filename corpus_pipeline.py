@@ -40,21 +40,22 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by source: a document comes as often as its whole passes, once more below the threshold.
 
-    The document that straddles a source's budget counts as taken when half of it or more is.
+    The document that straddles a source's budget counts as taken when half of it or more is. Rows that repeat an
+    id, or have none, are taken each by its own words.
     """
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int").alias("_times"))
-    times = taken.groupBy("_id").agg(F.max("_times").alias("_times")).where("_times > 0")
-    joined = docs.alias("d").join(times.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m._id")))
+    docs, key = keyed(docs, "mix-rows")
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
     copy = f"copy_{uuid.uuid4().hex}"  # no column of docs has this name
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("m._times"))).alias(copy)).drop(copy)
+    taken = mixing.mix(docs, also=(key,)).select(key, F.explode(F.array_repeat(F.lit(0), times)).alias(copy))
+    return docs.join(taken, key).drop(key, copy)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Tokens of each document, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids themselves."""
     path = tokenizer_path()
     coded = bpe.decode(bpe.encode(docs, path), path)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mix", mixed), ("bpe", tokens)]
