@@ -172,13 +172,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     splits = np.minimum(counts // share + 1, parts).astype(np.uint64)
     keys = np.sort(_pair_keys(*(pairs.column(c).to_numpy().view(np.uint64) for c in ("_a", "_b"))))
     shared = spark.sparkContext.broadcast((hashes[0][order], splits[order], keys))
-    hot_pairs = F.broadcast(materialise(rows.select("_text").mapInArrow(functools.partial(_count_pairs, shared=shared), "_a long, _b long, _all long").groupBy("_a", "_b").agg(F.sum("_all").alias("_all")), "lm-hot"))
     id_type = rows.schema["_id"].dataType.simpleString()
     packed = rows.mapInArrow(functools.partial(_pack, shared=shared, parts=parts), _PACKED.format(id_type)).repartitionById(parts, "_part")
-    flat = packed.select("_part", "_slice", F.inline(F.arrays_zip("_a", "_b", "_d", "_k", "_id", "_n")))
-    by = W.partitionBy("_part", "_a")
-    counted = flat.withColumn("_both", F.sum("_k").over(W.partitionBy("_part", "_a", "_b"))).withColumn("_of", F.sum("_k").over(by))
-    known = counted.join(hot_pairs, ["_a", "_b"], "left").join(frequent.withColumnsRenamed({"_w": "_a", "_c": "_ca"}), "_a", "left").join(frequent.withColumnsRenamed({"_w": "_b", "_c": "_cb"}), "_b", "left")
+    placed = packed.select("*", F.posexplode("_d").alias("_i", "_doc"))
+    flat = placed.select("_part", "_slice", F.col("_doc").alias("_d"), *(F.get(c, F.col("_i")).alias(c) for c in ("_a", "_b", "_k", "_id", "_n")))
+    # One sort, ordered alike, serves both windows; contexts come first in it, as the part is the same all along.
+    by = W.partitionBy("_a", "_part").orderBy("_b").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    counted = flat.withColumn("_both", F.sum("_k").over(W.partitionBy("_a", "_part", "_b"))).withColumn("_of", F.sum("_k").over(by))
+    split = F.broadcast(words.where(F.col("_c") > share).withColumnsRenamed({"_w": "_a", "_c": "_ca"}))
+    known = counted.join(split, "_a", "left").join(frequent.withColumnsRenamed({"_w": "_b", "_c": "_cb"}), "_b", "left")
+    if len(keys):
+        whole = rows.select("_text").mapInArrow(functools.partial(_count_pairs, shared=shared), "_a long, _b long, _all long")
+        known = known.join(F.broadcast(materialise(whole.groupBy("_a", "_b").agg(F.sum("_all").alias("_all")), "lm-hot")), ["_a", "_b"], "left")
+    else:
+        known = known.withColumn("_all", F.lit(None).cast("long"))
     both, context = F.coalesce("_all", "_both"), F.coalesce("_ca", "_of")
     first, last, pair = F.col("_a") == 0, F.col("_b") == 1, F.col("_a").isNotNull()
     hit = ~first & (both >= min_count)
