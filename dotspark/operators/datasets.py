@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ranking import positions
 from .sequences import free_ranges
 
 
@@ -14,7 +15,11 @@ def hash_order(seed: str, *keys: str) -> Column:
 
 def split_annotations(rows: DataFrame, key: str, fraction: float, seed: str = "s", by: list[str] | None = None) -> DataFrame:
     """``split``: train for the first floor(n * fraction) rows by hash (within ``by``), else test."""
-    group = W.partitionBy(*(by or []))
+    if not by:
+        ordered = positions(rows.withColumn("_hash", hash_order(seed, key)), ["_hash", key])
+        total = rows.agg(F.count(F.lit(1)).alias("_total"))  # one row
+        return ordered.join(F.broadcast(total)).withColumn("split", F.when(F.col("position") <= F.floor(F.col("_total") * fraction), "train").otherwise("test")).drop("_hash", "position", "_total")
+    group = W.partitionBy(*by)
     place = F.row_number().over(group.orderBy(hash_order(seed, key)))
     return rows.withColumn("split", F.when(place <= F.floor(F.count(F.lit(1)).over(group) * fraction), "train").otherwise("test"))
 

@@ -123,14 +123,38 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
 
 #: Cost of a pair that is too far apart.
 FORBIDDEN = 1e9
+#: Points of a side up to which a frame's pairs are not parted into components first.
+FEW = 64
+
+
+def _parts(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Smallest left place that chains of pairs reach from each pair: pairs of one value are one component."""
+    root = np.arange(n)
+    while True:
+        least = np.full(j.max() + 1, n)
+        np.minimum.at(least, j, root[i])
+        new = root.copy()
+        np.minimum.at(new, i, least[j])
+        if (new == root).all():
+            return root[i]
+        root = new
 
 
 def _optimal(pairs: pd.DataFrame) -> pd.DataFrame:
-    left, right = np.unique(pairs["gt_id"]), np.unique(pairs["det_id"])
-    cost = np.full((max(len(left), len(right)),) * 2, FORBIDDEN)
-    i, j = np.searchsorted(left, pairs["gt_id"]), np.searchsorted(right, pairs["det_id"])
-    cost[i, j] = np.sqrt(pairs["d2"])
-    return pairs[hungarian(cost)[i] == j]
+    """One assignment for each component of a frame's pairs; a frame of few points is one."""
+    left, i = np.unique(pairs["gt_id"], return_inverse=True)
+    j = np.unique(pairs["det_id"], return_inverse=True)[1]
+    part = _parts(i, j, len(left)) if max(len(left), j.max() + 1) > FEW else np.zeros(len(pairs), int)
+    order = np.argsort(part, kind="stable")
+    keep, cost = np.ones(len(pairs), bool), np.sqrt(pairs["d2"].to_numpy())
+    for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(rows) > 1:
+            a, x = np.unique(i[rows], return_inverse=True)
+            b, y = np.unique(j[rows], return_inverse=True)
+            matrix = np.full((max(len(a), len(b)),) * 2, FORBIDDEN)
+            matrix[x, y] = cost[rows]
+            keep[rows] = hungarian(matrix)[x] == y
+    return pairs[keep]
 
 
 def optimal_match(gt: DataFrame, preds: DataFrame, radius: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scores import f1, ratio
 from .matching import KEYS, greedy_match
+from .ranking import running
 
 THRESHOLDS = tuple(float(n) for n in range(1, 11))
 
@@ -74,14 +75,15 @@ def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def score_steps(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(score, cumulative tp and fp at and above it, totals), one row per distinct score.
+    """(score, its own positives and negatives ``p`` and ``n``, ``tp`` and ``fp`` at and above it, totals), one row per distinct score.
 
-    Counts per score come first, so the running sum goes over distinct scores and not over rows; round
-    scores to what matters before this if they are all distinct.
+    Counts per score come first; the running sums go over range partitions and the partitions' totals, so that
+    no task sees all scores.
     """
-    per = rows.groupBy(score).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n"))
-    down, every = W.orderBy(F.desc(score)), W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return per.select(F.col(score).alias("score"), F.sum("_p").over(down).alias("tp"), F.sum("_n").over(down).alias("fp"), F.sum("_p").over(every).alias("pos"), F.sum("_n").over(every).alias("neg"))
+    per = rows.groupBy(F.col(score).alias("score")).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    summed = running(per, F.desc("score"), {"p": "tp", "n": "fp"})
+    total = per.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))  # one row
+    return summed.join(F.broadcast(total))
 
 
 def pr_curve(steps: DataFrame) -> DataFrame:
@@ -93,15 +95,14 @@ def roc_curve(steps: DataFrame) -> DataFrame:
 
 
 def average_precision(steps: DataFrame) -> DataFrame:
-    before = F.coalesce(F.lag("recall").over(W.orderBy(F.desc("score"))), F.lit(0.0))
-    return pr_curve(steps).select(((F.col("recall") - before) * F.col("precision")).alias("v")).agg(F.sum("v").alias("average_precision"))
+    gain = ratio(F.col("p"), F.col("pos")) * ratio(F.col("tp"), F.col("tp") + F.col("fp"))
+    return steps.agg(F.sum(gain).alias("average_precision"))
 
 
 def roc_auc(steps: DataFrame) -> DataFrame:
-    """Area under the ROC curve by trapezoids from (0, 0)."""
-    at = W.orderBy(F.desc("score"))
-    x0, y0 = (F.coalesce(F.lag(c).over(at), F.lit(0.0)) for c in ("fpr", "tpr"))
-    return roc_curve(steps).select(((F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).alias("v")).agg(F.sum("v").alias("roc_auc"))
+    """Area under the ROC curve by trapezoids from (0, 0): what each step adds in width, times its mean height."""
+    height = (ratio(F.col("tp"), F.col("pos")) + ratio(F.col("tp") - F.col("p"), F.col("pos"))) / 2
+    return steps.agg(F.sum(ratio(F.col("n"), F.col("neg")) * height).alias("roc_auc"))
 
 
 def frame_stats(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def positions(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -18,6 +18,17 @@ def positions(rows: DataFrame, order: list[str]) -> DataFrame:
     return numbered.join(before, "_p").withColumn("position", F.col("_n") + F.col("_before")).drop("_p", "_n", "_before")
 
 
+def running(rows: DataFrame, order: Column, sums: dict[str, str]) -> DataFrame:
+    """Adds the running sums, named by ``sums``, in the total order ``order``, without one task that sees all rows."""
+    ranged = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    inside = W.partitionBy("_p").orderBy(order)
+    part = ranged.withColumns({new: F.sum(c).over(inside) for c, new in sums.items()})
+    totals = part.groupBy("_p").agg(*(F.max(new).alias(f"_{new}") for new in sums.values()))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    starts = totals.select("_p", *(F.coalesce(F.sum(f"_{new}").over(before), F.lit(0)).alias(f"_{new}") for new in sums.values()))
+    return part.join(starts, "_p").withColumns({new: F.col(new) + F.col(f"_{new}") for new in sums.values()}).drop("_p", *(f"_{new}" for new in sums.values()))
+
+
 def first_per_group(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each group: a preview of bounded size."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

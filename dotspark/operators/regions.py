@@ -6,33 +6,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType
 
 
-def label_mask(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
-    """Labels (from 1, in row-major order of first pixels) of a mask's regions; 0 outside.
+#: Pixels that are labelled at once.
+CELLS = 1 << 21
+
 
-    Minimum labels spread along rows and columns until nothing changes; all pixels at once.
+def spread_labels(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
+    """Each pixel of the masks (the last two axes) with the smallest place, from 1, in its region; height * width + 1 outside.
+
+    Minimum labels spread along rows and columns until nothing changes; all pixels of all masks at once.
     """
-    height, width = mask.shape
+    height, width = mask.shape[-2:]
     far = height * width + 1
     labels = np.where(mask, np.arange(1, height * width + 1).reshape(height, width), far)
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     while True:
         before = labels.copy()
         for dy, dx in steps:
-            a = (slice(0, height - dy), slice(max(0, -dx), width - max(0, dx)))
-            b = (slice(dy, height), slice(max(0, dx), width + min(0, dx)))
+            a = (..., slice(0, height - dy), slice(max(0, -dx), width - max(0, dx)))
+            b = (..., slice(dy, height), slice(max(0, dx), width + min(0, dx)))
             both = mask[a] & mask[b]
             least = np.minimum(labels[a], labels[b])
             labels[a] = np.where(both, least, labels[a])
             labels[b] = np.where(both, np.minimum(labels[b], least), labels[b])
         if (labels == before).all():
-            break
-    names, inverse = np.unique(np.where(mask, labels, 0), return_inverse=True)
+            return labels
+
+
+def label_mask(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
+    """Labels (from 1, in row-major order of first pixels) of a mask's regions; 0 outside."""
+    names, inverse = np.unique(np.where(mask, spread_labels(mask, connectivity), 0), return_inverse=True)
     return inverse.reshape(mask.shape) + (0 if names[0] == 0 else 1)
 
 
+def largest_regions(masks: np.ndarray) -> np.ndarray:
+    """Pixels of the largest 8-connected region of each mask (n, height, width); 0 without one."""
+    cells = masks.shape[1] * masks.shape[2] + 2
+    labels = np.where(masks, spread_labels(masks), 0) + (np.arange(len(masks)) * cells)[:, None, None]
+    return np.bincount(labels.ravel(), minlength=len(masks) * cells).reshape(-1, cells)[:, 1:].max(axis=1, initial=0)
+
+
 def regions(pixels: np.ndarray, mask: np.ndarray, connectivity: int = 8) -> list[tuple]:
     """(label, area, x, y, w, h, cx, cy, mass) of each region; the centroid weighs pixels by intensity."""
     labels = label_mask(mask, connectivity)
@@ -63,28 +79,43 @@ def mask_components(frames: DataFrame, width: int, threshold: int, connectivity:
     return frames.select("video_id", "t", "pixels").mapInPandas(find, REGION)
 
 
-def largest_area(frames: DataFrame, width: int, floor: int) -> DataFrame:
-    """(video_id, t, ``max_area``): pixels of the largest 8-connected region strictly above ``floor``; 0 without one."""
+def largest_in(column: str, width: int, floor: int) -> Column:
+    """Pixels of the largest 8-connected region strictly above ``floor`` in a gray array; 0 without one."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            areas = [int(np.bincount(label_mask(np.asarray(p).reshape(-1, width) > floor).ravel())[1:].max(initial=0)) for p in batch["pixels"]]
-            yield batch[["video_id", "t"]].assign(max_area=areas)
+    @F.pandas_udf(IntegerType())
+    def find(arrays: pd.Series) -> pd.Series:
+        sizes, out = arrays.map(len).to_numpy(), np.zeros(len(arrays), np.int64)
+        for size in np.unique(sizes):
+            which = np.flatnonzero(sizes == size)
+            most = max(1, CELLS // max(1, size))
+            for at in range(0, len(which), most):
+                part = which[at : at + most]
+                out[part] = largest_regions(np.stack(arrays.iloc[part].to_list()).reshape(len(part), -1, width) > floor)
+        return pd.Series(out)
 
-    return frames.select("video_id", "t", "pixels").mapInPandas(find, "video_id int, t long, max_area int")
+    return find(F.col(column))
+
+
+def largest_area(frames: DataFrame, width: int, floor: int) -> DataFrame:
+    """(video_id, t, ``max_area``) of each frame, see ``largest_in``."""
+    return frames.select("video_id", "t", largest_in("pixels", width, floor).alias("max_area"))
 
 
-def grow_region(seeds: DataFrame, width: int, threshold: int) -> DataFrame:
-    """(video_id, t, area, x, y, w, h) of the region of pixels >= ``threshold`` around each row's seed (sx, sy); area 0 if the seed is darker."""
+def grow_region(seeds: DataFrame, width: int, threshold: int, keep: list[str] | None = None) -> DataFrame:
+    """(video_id, t, columns of ``keep``, area, x, y, w, h) of the region of pixels >= ``threshold`` around each row's seed (sx, sy); area 0 if the seed is darker."""
+    keep = keep or []
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for video, t, flat, sx, sy in batch[["video_id", "t", "pixels", "sx", "sy"]].itertuples(index=False):
+            for flat, sx, sy in batch[["pixels", "sx", "sy"]].itertuples(index=False):
                 pixels = np.asarray(flat).reshape(-1, width)
                 labels = label_mask(pixels >= threshold)
                 ys, xs = np.nonzero((labels == labels[sy, sx]) & (labels > 0))
-                rows.append((video, t, len(xs), *((int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1) if len(xs) else (None,) * 4)))
-            yield pd.DataFrame(rows, columns=["video_id", "t", "area", "x", "y", "w", "h"]).astype({c: "Int32" for c in "xywh"})
+                rows.append((len(xs), *((int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1) if len(xs) else (None,) * 4)))
+            boxes = pd.DataFrame(rows, columns=["area", "x", "y", "w", "h"], index=batch.index).astype({c: "Int32" for c in "xywh"})
+            yield pd.concat([batch[["video_id", "t", *keep]], boxes], axis=1)
 
-    return seeds.mapInPandas(find, "video_id int, t long, area int, x int, y int, w int, h int")
+    kinds = {f.name: f.dataType.simpleString() for f in seeds.schema}
+    shape = ", ".join(f"{c} {kinds[c]}" for c in ["video_id", "t", *keep])
+    return seeds.select("video_id", "t", *keep, "pixels", "sx", "sy").mapInPandas(find, shape + ", area int, x int, y int, w int, h int")

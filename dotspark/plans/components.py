@@ -179,14 +179,6 @@ def blob_gate(t: Tables) -> DataFrame:
     return t.frame.select("t").join(areas.select("t", "max_area"), "t", "left").where("t % 4 = 3 OR max_area >= 6").select("t")
 
 
-@query("gt_filter", "WITH " + _REGIONS.replace("{op}", ">") + " SELECT video_id, count(*) AS n_total, count_if(bright AND n >= 4) AS n_kept FROM (SELECT f.video_id, list_max(f.pixels) >= 200 AS bright, coalesce(m.n, 0) AS n FROM {frame} f LEFT JOIN (SELECT t, max(n) AS n FROM (SELECT t, root, count(*) AS n FROM lab GROUP BY ALL) GROUP BY 1) m ON m.t = f.t) GROUP BY 1")
-def gt_filter(t: Tables) -> DataFrame:
-    """Ground truth whose crop is bright and has a region of 4 pixels: totals and what is kept."""
-    areas = regions.largest_area(t.frame, SIDE, 150)
-    joined = t.frame.join(areas, ["video_id", "t"])
-    return joined.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_total"), F.count_if((F.array_max("pixels") >= 200) & (F.col("max_area") >= 4)).alias("n_kept"))
-
-
 @query("grow_region", "WITH " + _REGIONS.replace("{op}", ">=") + ", s AS (SELECT t, (t * 7 % 64)::INT AS i FROM {frame}), g AS (SELECT l.* FROM lab l JOIN s ON s.t = l.t JOIN lab o ON o.t = s.t AND o.i = s.i AND o.root = l.root) SELECT f.video_id, f.t, count(g.i) AS area, min(g.i % 8) AS x, min(g.i // 8) AS y, max(g.i % 8) - min(g.i % 8) + 1 AS w, max(g.i // 8) - min(g.i // 8) + 1 AS h FROM {frame} f LEFT JOIN g ON g.t = f.t GROUP BY ALL")
 def grow_region(t: Tables) -> DataFrame:
     seeds = t.frame.withColumn("sx", F.expr("cast(t * 7 % 64 % 8 AS int)")).withColumn("sy", F.expr("cast(t * 7 % 64 div 8 AS int)"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import geometry, pixels, scores
-from ..operators import datasets, dedupe, detectors, filters, joins, metrics, regions, tracks
+from ..functions import geometry, scores
+from ..operators import datasets, dedupe, detectors, flows, metrics
 from ..sources.scratch import materialise
 from .components import _REGIONS
-from .registry import HEIGHT, SIDE, WIDTH, Tables, query
+from .matches import GREEDY
+from .registry import SIDE, Tables, query
 
 
 @query("detect_threshold", "WITH " + _REGIONS.replace("{op}", ">") + " SELECT video_id, t, x, y, w, h FROM (SELECT video_id, t, min(i % 8) AS x, min(i // 8) AS y, max(i % 8) - min(i % 8) + 1 AS w, max(i // 8) - min(i // 8) + 1 AS h FROM lab GROUP BY video_id, t, root) WHERE w * h BETWEEN 2 AND 32")
@@ -62,43 +63,82 @@ def patch_model(t: Tables) -> DataFrame:
 
 # --- L: flows -----------------------------------------------------------------------------------------------
 
+#: Frames of four videos in order, and points scaled to them.
+_FR = "(SELECT t % 4 AS video_id, t // 4 AS t, pixels FROM {frame})"
+_GT8 = "(SELECT gt_id, video_id, t, round_even(x / 8, 0) AS x, round_even(y / 8, 0) AS y FROM {gt} WHERE t < 200)"
+_PRED8 = "(SELECT det_id, video_id, t, x / 8 AS x, y / 8 AS y FROM {pred} WHERE coalesce(lower(trim(class)), 'positive') = 'positive' AND t < 200)"
 
-def refine_flow(frames: DataFrame, rounds: int = 1) -> DataFrame:
-    """Detect, gate by brightness and area, classify, dedupe, refine centers, gate by region, detect again."""
-    found = detectors.detect(frames, "threshold", width=SIDE, level=150)
-    # One join to the frames serves gate, score and refinement: frames stay partitioned by (video, t).
-    rows = filters.area_filter(found, 2).withColumn("det_id", F.xxhash64("video_id", "t", "x", "y")).join(frames, ["video_id", "t"])
-    bright = rows.where(pixels.bright_enough(F.col("pixels"), 180)).withColumn("confidence", scores.softmax_conf(F.lit(0.0), F.array_max("pixels") / 64.0 - 2.0))
-    positive = filters.classify(bright, 0.5, drop_negatives=True).select("video_id", "t", "det_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("confidence").alias("weight"))
-    once = dedupe.keep_heaviest(positive, 2.0)
-    c = pixels.centroid(F.col("pixels"), SIDE, SIDE, 2.0)
-    refined = once.join(frames, ["video_id", "t"]).select("video_id", "t", "det_id", "x", "y", "weight", c.alias("c"))
-    gated = refined.join(regions.largest_area(frames, SIDE, 150).where("max_area >= 2").select("video_id", "t"), ["video_id", "t"], "left_semi")
-    return gated.select("video_id", "t", "det_id", "x", "y", F.col("c.cx").alias("frame_cx"), F.col("c.cy").alias("frame_cy"), F.round("weight", 6).alias("weight"))
+
+def _frames(t: Tables) -> DataFrame:
+    return t.frame.select((F.col("t") % 4).cast("int").alias("video_id"), F.expr("t div 4").alias("t"), "pixels")
+
+
+def _gt8(t: Tables) -> DataFrame:
+    return t.gt.select("gt_id", "video_id", "t", F.bround(F.col("x") / 8).alias("x"), F.bround(F.col("y") / 8).alias("y"))
+
+
+def _pred8(t: Tables) -> DataFrame:
+    return t.pred.select("det_id", "video_id", "t", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y"), "class")
+
+
+_KEPT = f"""cr AS (SELECT *, list_transform(range(0, 16), lambda i: pixels[(y0 + i // 4) * 8 + x0 + i % 4 + 1]) AS crop FROM (
+        SELECT g.*, pixels, greatest(0, least(round_even(g.x - 2.0, 0)::INT, 4)) AS x0, greatest(0, least(round_even(g.y - 2.0, 0)::INT, 4)) AS y0 FROM {_GT8} g JOIN {_FR} f ON f.video_id = g.video_id AND f.t = g.t)),
+    px AS (SELECT gt_id, r.i::INT AS i FROM cr, range(0, 16) r(i) WHERE crop[r.i + 1] > 120),
+    reach AS (SELECT gt_id, i AS a, i AS b FROM px UNION SELECT r.gt_id, r.a, n.i FROM reach r JOIN px n ON n.gt_id = r.gt_id AND abs(n.i // 4 - r.b // 4) <= 1 AND abs(n.i % 4 - r.b % 4) <= 1),
+    area AS (SELECT gt_id, max(n) AS n FROM (SELECT gt_id, root, count(*) AS n FROM (SELECT gt_id, a, min(b) AS root FROM reach GROUP BY ALL) GROUP BY ALL) GROUP BY 1),
+    kept AS (SELECT cr.gt_id, video_id, t, x, y, list_sum(crop)::BIGINT AS weight FROM cr JOIN area USING (gt_id) WHERE list_max(crop) >= 180 AND n >= 4),
+    near AS (SELECT a.gt_id AS a, b.gt_id AS b FROM kept a JOIN kept b ON a.video_id = b.video_id AND a.t = b.t AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 1),
+    chain AS (SELECT gt_id AS a, gt_id AS b FROM kept UNION SELECT c.a, n.b FROM chain c JOIN near n ON c.b = n.a),
+    once AS (SELECT gt_id, video_id, t, x, y FROM (SELECT k.*, row_number() OVER (PARTITION BY root ORDER BY weight DESC, gt_id) AS n FROM kept k JOIN (SELECT a AS gt_id, min(b) AS root FROM chain GROUP BY 1) USING (gt_id)) WHERE n = 1),
+    shown AS (SELECT * FROM {_PRED8}),
+    pairs AS (SELECT *, row_number() OVER (PARTITION BY video_id, t ORDER BY d2, gt_id, det_id) AS k FROM (SELECT g.video_id, g.t, gt_id, det_id, (g.x - d.x) * (g.x - d.x) + (g.y - d.y) * (g.y - d.y) AS d2 FROM once g JOIN shown d ON g.video_id = d.video_id AND g.t = d.t) WHERE d2 <= 9),
+    walk AS (SELECT video_id, t, 0::BIGINT AS k, []::BIGINT[] AS ug, []::BIGINT[] AS up, false AS hit FROM (SELECT DISTINCT video_id, t FROM pairs)
+        UNION ALL SELECT r.video_id, r.t, r.k, CASE WHEN f.free THEN list_append(w.ug, r.gt_id) ELSE w.ug END, CASE WHEN f.free THEN list_append(w.up, r.det_id) ELSE w.up END, f.free
+        FROM walk w JOIN pairs r ON r.video_id = w.video_id AND r.t = w.t AND r.k = w.k + 1, LATERAL (SELECT NOT list_contains(w.ug, r.gt_id) AND NOT list_contains(w.up, r.det_id) AS free) f),
+    m AS (SELECT pairs.* FROM walk JOIN pairs USING (video_id, t, k) WHERE hit)"""
+
+
+def _evaluated(t: Tables) -> dict[str, DataFrame]:
+    return flows.evaluate(_gt8(t), _pred8(t), _frames(t), SIDE, SIDE, size=4, bright=180, floor=120, area=4, max_frames=200, dedupe_radius=1.0, thresholds=(1.0, 2.0, 3.0))
+
+
+@query("gt_filter", f"WITH RECURSIVE {_KEPT} SELECT g.video_id, count(*) AS n_total, count(k.gt_id) AS n_kept FROM cr g LEFT JOIN kept k USING (gt_id) GROUP BY 1")
+def gt_filter(t: Tables) -> DataFrame:
+    """Ground truth whose crop is bright and has a region of four pixels: totals within the video and what is kept."""
+    tested = flows.filter_gt(_gt8(t).where("t < 200"), _frames(t), SIDE, SIDE, 4, 180, 120, 4)
+    return tested.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_total"), F.count_if("kept").alias("n_kept"))
+
+
+@query("flow_evaluate", f"""WITH RECURSIVE {_KEPT}, c AS (SELECT th::DOUBLE AS threshold, (SELECT count(*) FROM m WHERE d2 <= th * th) AS tp, (SELECT avg(sqrt(d2)) FROM m WHERE d2 <= th * th) AS mean_err FROM range(1, 4) x(th)),
+    q AS (SELECT threshold, tp, (SELECT count(*) FROM shown) - tp AS fp, (SELECT count(*) FROM once) - tp AS fn, mean_err FROM c),
+    r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM q),
+    f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM r)
+    SELECT *, threshold = (SELECT threshold FROM f ORDER BY f1 DESC, fp, threshold LIMIT 1) AS best, (SELECT count(*) FROM {_GT8}) AS gt_total, (SELECT count(*) FROM kept) AS gt_kept, (SELECT count(*) FROM once) AS gt_final FROM f""")
+def flow_evaluate(t: Tables) -> DataFrame:
+    """Ground truth shifted, filtered by its crops and deduped, predictions filtered, metrics per threshold, the best one marked."""
+    return _evaluated(t)["metrics"]
+
+
+@query("flow_evaluate_rows", f"""WITH RECURSIVE {_KEPT}, o AS (SELECT 'tp' AS outcome, video_id, t, gt_id, det_id FROM m UNION ALL SELECT 'fn', video_id, t, gt_id, NULL FROM once WHERE gt_id NOT IN (SELECT gt_id FROM m) UNION ALL SELECT 'fp', video_id, t, NULL, det_id FROM shown WHERE det_id NOT IN (SELECT det_id FROM m)),
+    n AS (SELECT 'fn' AS outcome, g.gt_id AS id, d.det_id AS near_id, (g.x - d.x) * (g.x - d.x) + (g.y - d.y) * (g.y - d.y) AS d2 FROM once g JOIN shown d ON d.video_id = g.video_id AND d.t = g.t
+        UNION ALL SELECT 'fp', g.det_id, d.det_id, (g.x - d.x) * (g.x - d.x) + (g.y - d.y) * (g.y - d.y) FROM shown g JOIN shown d ON d.video_id = g.video_id AND d.t = g.t WHERE d.det_id IN (SELECT det_id FROM m)),
+    b AS (SELECT outcome, id, near_id, sqrt(d2) AS near_distance FROM (SELECT *, row_number() OVER (PARTITION BY outcome, id ORDER BY d2, near_id) AS k FROM n) WHERE k = 1)
+    SELECT o.outcome, o.video_id, o.t, o.gt_id, o.det_id, b.near_id, b.near_distance FROM o LEFT JOIN b ON b.outcome = o.outcome AND b.id = CASE o.outcome WHEN 'fn' THEN o.gt_id ELSE o.det_id END""")
+def flow_evaluate_rows(t: Tables) -> DataFrame:
+    """The outcome rows of the evaluation with the nearest rows of their frame."""
+    return _evaluated(t)["rows"].select("outcome", "video_id", "t", "gt_id", "det_id", "near_id", "near_distance")
 
 
 @query("flow_refine")
 def flow_refine(t: Tables) -> DataFrame:
-    return refine_flow(t.frame)
+    return flows.refine(t.frame, SIDE, SIDE)
 
 
 @query("flow_ranges")
 def flow_ranges(t: Tables) -> DataFrame:
-    """Range detections to frames, tracks by intensity curve, selected rows exported as x, y, t."""
-    rows = t.det.select("video_id", F.expr("det_id % 5").alias("obj_id"), "det_id", "w", "h", (F.col("x") / 4).alias("x"), (F.col("y") / 4).alias("y"), "weight", F.col("t").alias("t_start"), (F.col("t") + F.col("det_id") % 3).alias("t_end"))
-    spread = joins.expand_ranges(rows).withColumn("det_id", F.col("det_id") * 4 + F.col("t") % 4)
-    linked = tracks.link_tracks(spread, 3, 8.0)
-    return tracks.select_tracks(linked, "weight", 3, 20.0).where("selected").select("track_id", "x", "y", "t")
-
-
-@query("flow_evaluate")
-def flow_evaluate(t: Tables) -> DataFrame:
-    """Ground truth shifted and deduped, predictions filtered, metrics per threshold, the best one marked."""
-    gt = filters.shift_time(t.gt, 0, 700).withColumnRenamed("gt_id", "det_id")
-    once = dedupe.keep_heaviest(gt.select("video_id", "t", "det_id", "x", "y", "weight"), 2.0).withColumnRenamed("det_id", "gt_id")
-    found = metrics.threshold_metrics(once, filters.positive_only(t.pred).where("t < 700"))
-    best = metrics.best_threshold(found).select(F.col("threshold").alias("_best"))
-    return found.crossJoin(F.broadcast(best)).withColumn("best", F.col("threshold") == F.col("_best")).drop("_best")
+    """Range detections to frames, patches, tracks by intensity curve, refined centers exported as x, y, t."""
+    rows = t.det.select("video_id", F.expr("det_id % 5").alias("obj_id"), "det_id", "w", "h", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y"), F.col("t").alias("t_start"), (F.col("t") + F.col("det_id") % 3).alias("t_end"))
+    return flows.track_ranges(rows, _frames(t), SIDE, SIDE, bright=150)
 
 
 @query("flow_prepare", "SELECT d.det_id, coalesce(CASE WHEN d.det_id % 2 = 0 THEN d.x + 0.5 END, d.x + d.w / 2.0) AS x, coalesce(CASE WHEN d.det_id % 2 = 0 THEN d.y + 0.5 END, d.y + d.h / 2.0) AS y, ln(least(greatest(d.confidence, 1e-8), 1 - 1e-8)) AS pos_log, ln(least(greatest(1 - d.confidence, 1e-8), 1 - 1e-8)) AS neg_log FROM {det} d")
@@ -109,42 +149,81 @@ def flow_prepare(t: Tables) -> DataFrame:
     return rows.select("det_id", F.coalesce("rx", F.col("x") + F.col("w") / 2.0).alias("x"), F.coalesce("ry", F.col("y") + F.col("h") / 2.0).alias("y"), scores.log_prob(F.col("confidence")).alias("pos_log"), scores.log_prob(1 - F.col("confidence")).alias("neg_log"))
 
 
-@query("flow_group_report")
-def flow_group_report(t: Tables) -> DataFrame:
-    """Evaluation of several models over all videos in one job, rolled up by group."""
-    models = ("global", "without_0")
+_MODELS = {"global": "true", "without_0": "det_id % 5 > 0", "video_1_only": "video_id = 1"}
+
+
+def _report(t: Tables) -> tuple[DataFrame, DataFrame]:
     gt = t.gt.withColumn("grp", F.concat(F.lit("g"), (F.col("video_id") % 3).cast("string")))
-    # The model goes into the video key, so that one matching serves all of them.
-    key = lambda df, k: df.withColumn("video_id", F.col("video_id") * len(models) + k)
-    every_gt = key(gt, 0).unionByName(key(gt, 1))
-    every_pred = key(t.pred, 0).unionByName(key(t.pred.where("det_id % 5 > 0"), 1))
-    counts = metrics.frame_counts(every_gt, every_pred, 10.0).groupBy("video_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    model = F.element_at(F.array(*[F.lit(m) for m in models]), (F.col("video_id") % len(models) + 1).cast("int"))
-    named = counts.select(F.concat_ws("/", model, F.concat(F.lit("g"), (F.floor(F.col("video_id") / len(models)) % 3).cast("string"))).alias("grp"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), "tp", "fp", "fn")
-    return metrics.group_rollup(named)
+    base = t.pred.groupBy("video_id").agg(F.count(F.lit(1)).alias("tp"), F.min("det_id").alias("fp"), F.max("t").alias("fn")).where("video_id <> 2")
+    return flows.group_report(gt, {k: t.pred.where(w) for k, w in _MODELS.items()}, base, 10.0)
+
+
+_REPORT = GREEDY.split("m AS (")[0].replace("{gt}", "{every_gt}").replace("{pred}", "{every_pred}") + """m AS (SELECT r.* FROM walk JOIN r USING (video_id, t, k) WHERE hit),
+    e AS (SELECT i AS model_no, v AS video_id FROM range(0, 3) a(i), range(0, 4) b(v)),
+    n AS (SELECT e.*, ['global', 'without_0', 'video_1_only'][model_no + 1] AS model, 'g' || video_id % 3 AS grp, (SELECT count(*) FROM {gt} g WHERE g.video_id = e.video_id) AS n_gt,
+        (SELECT count(*) FROM {pred} d WHERE d.video_id = e.video_id AND (model_no = 0 OR model_no = 1 AND det_id % 5 > 0 OR model_no = 2 AND video_id = 1)) AS n_pred, (SELECT count(*) FROM m WHERE m.video_id = e.video_id * 3 + model_no) AS hits FROM e),
+    c AS (SELECT model, grp, video_id, CASE WHEN n_pred = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n_pred > 0 THEN hits END AS tp, CASE WHEN n_pred > 0 THEN n_pred - hits END AS fp, CASE WHEN n_pred > 0 THEN n_gt - hits END AS fn FROM n)"""
+_EVERY = {"{every_gt}": "(SELECT gt_id, video_id * 3 + i AS video_id, t, x, y FROM {gt}, range(0, 3) a(i))", "{every_pred}": "(SELECT det_id, video_id * 3 + i AS video_id, t, x, y FROM {pred}, range(0, 3) a(i) WHERE i = 0 OR i = 1 AND det_id % 5 > 0 OR i = 2 AND video_id = 1)"}
+for _name, _sql in _EVERY.items():
+    _REPORT = _REPORT.replace(_name, _sql)
+
+
+@query("flow_group_report", f"""WITH {_REPORT} SELECT model || '/' || grp AS grp, count(*) AS videos_total, coalesce(sum(tp), 0) AS tp, coalesce(sum(fp), 0) AS fp, coalesce(sum(fn), 0) AS fn, count_if(status = 'ok') AS n_ok, count_if(status = 'error') AS n_error,
+    CASE WHEN count_if(status = 'error') > 0 THEN 'no predictions' ELSE '' END AS errors, CASE WHEN count_if(status = 'ok') = 0 THEN 'error' WHEN count_if(status = 'error') > 0 THEN 'partial' ELSE 'ok' END AS status,
+    coalesce(sum(tp) / nullif(sum(tp + fp), 0), 0) AS precision, coalesce(sum(tp) / nullif(sum(tp + fn), 0), 0) AS recall, coalesce(2 * sum(tp) / nullif(sum(2 * tp + fp + fn), 0), 0) AS f1, coalesce(sum(tp) / nullif(sum(tp + fp + fn), 0), 0) AS accuracy FROM c GROUP BY model, grp""")
+def flow_group_report(t: Tables) -> DataFrame:
+    """Evaluation of several models over all videos in one job, rolled up by model and group."""
+    return _report(t)[1]
 
 
-@query("flow_ingest")
+@query("flow_report_rows", f"""WITH {_REPORT}, b AS (SELECT video_id, count(*) AS base_tp, min(det_id) AS base_fp, max(t) AS base_fn FROM {{pred}} WHERE video_id <> 2 GROUP BY 1)
+    SELECT model, video_id, grp, status, tp, fp, fn, base_tp, base_fp, base_fn FROM c LEFT JOIN b USING (video_id)""")
+def flow_report_rows(t: Tables) -> DataFrame:
+    """The rows of the report: each model on each video, with the baseline's counts."""
+    return _report(t)[0].select("model", "video_id", "grp", "status", "tp", "fp", "fn", "base_tp", "base_fp", "base_fn")
+
+
+_ANN = "(SELECT event_id, video || CASE event_id % 3 WHEN 0 THEN '' ELSE '_positive' END AS name, video, (event_id % 4)::INT AS video_id, t // 4 AS t, x % 8 AS x, y % 8 AS y, w, h FROM {named})"
+_OLD = "(SELECT DISTINCT ON (name) name, split, class FROM (SELECT x % 8 || '_' || y % 8 || '_' || t // 4 || '_' || event_id % 4 AS name, 'train' AS split, 'positive' AS class FROM {named} WHERE event_id % 6 = 0))"
+
+
+@query("flow_ingest", f"""WITH f AS (SELECT DISTINCT video_id, t FROM {_FR}), o AS (SELECT * FROM {_OLD}),
+    a AS (SELECT * FROM {_ANN} WHERE w > 0 AND h > 0 AND video <> 'clip0_b0' AND video IN (SELECT video FROM {{named}} WHERE event_id % 7 > 1)),
+    p AS (SELECT DISTINCT x || '_' || y || '_' || a.t || '_' || a.video_id AS name FROM a JOIN f ON f.video_id = a.video_id AND f.t = a.t),
+    k AS (SELECT f.*, r.k FROM f ANTI JOIN a ON a.video_id = f.video_id AND a.t = f.t, range(0, 3) r(k)),
+    n AS (SELECT DISTINCT video_id, t, ('0x' || substr(md5('nx:' || video_id || ':' || t || ':' || k), 1, 12))::BIGINT % 4 + 2 AS x, ('0x' || substr(md5('ny:' || video_id || ':' || t || ':' || k), 1, 12))::BIGINT % 4 + 2 AS y FROM k),
+    c AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5('n:' || video_id || ':' || t || ':' || x || ':' || y)) AS i FROM n),
+    g AS (SELECT DISTINCT x || '_' || y || '_' || t || '_' || c.video_id AS name FROM c JOIN (SELECT video_id, count(*) * 2 AS m FROM a GROUP BY 1) w ON w.video_id = c.video_id AND i <= m),
+    s AS (SELECT name, 'positive' AS class, row_number() OVER (ORDER BY md5('s:' || name)) AS i, (SELECT count(*) FROM p) AS m FROM p UNION ALL SELECT name, 'negative', row_number() OVER (ORDER BY md5('s:' || name)), (SELECT count(*) FROM g WHERE name NOT IN (SELECT name FROM p)) FROM g WHERE name NOT IN (SELECT name FROM p))
+    SELECT split, class, count(*) AS n FROM (SELECT split, class FROM o UNION ALL SELECT CASE WHEN i <= floor(m * 0.8::DOUBLE) THEN 'train' ELSE 'test' END, class FROM s WHERE name NOT IN (SELECT name FROM o)) GROUP BY ALL""")
 def flow_ingest(t: Tables) -> DataFrame:
-    """Names paired with videos, done ones skipped, annotations split, negatives made: counts by split and class."""
-    names = t.named.select(F.concat_ws("_", "video", F.lit("a")).alias("name"), "video", "event_id", "t", "x", "y", "w", "h").where("w > 0 AND h > 0")
-    paired = names.join(joins.prefix_pair(names, t.named.select(F.col("video").alias("stem"))), "name")
-    todo = joins.pending(paired, t.spark.sql("SELECT 'clip0_b0' AS stem"), ["stem"])
-    positives = datasets.split_annotations(todo, "event_id", 0.8).select("split", F.lit("positive").alias("class"))
-    wanted = t.spark.range(4).select(F.col("id").alias("video_id"), F.lit(200).alias("n"))
-    negatives = datasets.make_negatives(t.det.select("video_id", "t"), 3, wanted, WIDTH, HEIGHT, 5).withColumn("_k", F.concat_ws(":", *(F.col(c).cast("string") for c in ("video_id", "t", "x", "y"))))
-    every = positives.unionByName(datasets.split_annotations(negatives, "_k", 0.8).select("split", F.lit("negative").alias("class")))
-    return every.groupBy("split", "class").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("flow_labels")
-def flow_labels(t: Tables) -> DataFrame:
-    """Label files: boxes to lines, lines checked, a count per issue."""
-    from ..sources import tables
+    """Annotations paired with videos, done ones skipped, patches cut, negatives made, split and appended; then counts by split and class."""
+    n = t.named
+    ann = n.select("event_id", F.expr("concat(video, CASE event_id % 3 WHEN 0 THEN '' ELSE '_positive' END)").alias("name"), F.expr("cast(event_id % 4 AS int)").alias("video_id"), F.expr("t div 4").alias("t"), F.expr("x % 8").alias("x"), F.expr("y % 8").alias("y"), "w", "h")
+    stems = n.where("event_id % 7 > 1").select(F.col("video").alias("stem"))
+    old = n.where("event_id % 6 = 0").select(F.expr("concat_ws('_', x % 8, y % 8, t div 4, event_id % 4)").alias("name"), F.lit("train").alias("split"), F.lit("positive").alias("class")).distinct()
+    index = flows.ingest(ann, stems, t.spark.sql("SELECT 'clip0_b0' AS stem"), _frames(t), old, SIDE, SIDE)
+    return index.groupBy("split", "class").agg(F.count(F.lit(1)).alias("n"))
 
-    line = F.concat(F.lit("0 "), geometry.box_to_norm(F.col("x") - 4, F.col("y") - 3, F.col("w"), F.col("h"), F.lit(50), F.lit(30)))
-    lines = t.det.select("det_id", F.when(F.col("det_id") % 50 == 0, F.lit("0 0.5")).otherwise(F.coalesce(line, F.lit(""))).alias("line"))
-    return tables.label_issues(lines).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+
+_LABELS = "(SELECT 's' || det_id % 700 AS stem, CASE WHEN det_id % 97 = 0 THEN '0 0.5' WHEN w > 0 AND h > 0 THEN printf('0 %.10f %.10f %.10f %.10f', (x + w / 2.0) / 50.0::DOUBLE, (y + h / 2.0) / 30.0::DOUBLE, w / 50.0::DOUBLE, h / 30.0::DOUBLE) ELSE '' END AS line FROM (SELECT det_id, greatest(x - 4, 0) AS x, greatest(y - 3, 0) AS y, least(x - 4 + w, 50) - greatest(x - 4, 0) AS w, least(y - 3 + h, 30) - greatest(y - 3, 0) AS h FROM {det}))"
+
+
+@query("flow_labels", f"""WITH l AS (SELECT stem, string_agg(line, chr(10) ORDER BY line) AS text, count_if(line = '0 0.5') AS issues FROM {_LABELS} GROUP BY 1),
+    p AS (SELECT l.*, CASE WHEN substr(stem, 2)::INT % 9 > 0 THEN 'd/' || stem || '.png' END AS image FROM l), g AS (SELECT stem, sha2_ AS hash FROM (SELECT stem, sha256(image || '|' || text) AS sha2_ FROM p WHERE image IS NOT NULL AND issues = 0)),
+    e AS (SELECT stem, CASE WHEN substr(stem, 2)::INT % 2 = 0 THEN hash ELSE 'other' END AS held FROM g WHERE substr(stem, 2)::INT % 5 = 0)
+    SELECT (SELECT count(*) FROM p) AS label_files_found, (SELECT count(*) FROM p WHERE image IS NULL) AS missing_images, (SELECT count(*) FROM p WHERE issues > 0) AS bad_files,
+    (SELECT count(*) FROM g LEFT JOIN e USING (stem) WHERE held IS DISTINCT FROM hash) AS pairs_to_copy, (SELECT count(*) FROM g JOIN e USING (stem) WHERE held = hash) AS skipped_existing, (SELECT count(*) FROM g JOIN e USING (stem) WHERE held <> hash) AS renamed""")
+def flow_labels(t: Tables) -> DataFrame:
+    """Label files of the boxes, paired with images and checked, then planned against what is there: the counts of the manifest."""
+    box = geometry.box_to_norm(F.col("x") - 4, F.col("y") - 3, F.col("w"), F.col("h"), F.lit(50), F.lit(30))
+    line = F.when(F.col("det_id") % 97 == 0, "0 0.5").otherwise(F.coalesce(F.concat(F.lit("0 "), box), F.lit("")))
+    lines = t.det.select(F.expr("concat('s', det_id % 700)").alias("stem"), line.alias("line"))
+    number = F.substring("stem", 2, 9).cast("int")
+    images = lines.select("stem").distinct().where(number % 9 > 0).select("stem", F.concat(F.lit("d/"), "stem", F.lit(".png")).alias("path"))
+    files = lines.groupBy("stem").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text")).join(images, "stem")
+    held = files.where(number % 5 == 0).select("stem", F.when(number % 2 == 0, F.sha2(F.concat_ws("|", "path", "text"), 256)).otherwise(F.lit("other")).alias("hash"))
+    return flows.ingest_labels(lines, images, held, "web")[1]
 
 
 @query("flow_corrections")

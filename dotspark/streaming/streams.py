@@ -133,3 +133,21 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append", checkpoint
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now and return its result as a table written below ``path``.
+
+    A batch that is run again overwrites its own part. In complete mode the last batch is the result.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{path}/rows")
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("_last"))  # one row
+        rows = rows.join(F.broadcast(last)).where(F.col("batch") == F.col("_last")).drop("_last")
+    return rows.drop("batch")
