@@ -35,7 +35,7 @@ FREQUENT = 1 << 18
 #: A context or bigram is split if it holds more than one part in so many of a task's share.
 SPREAD = 4
 #: Bytes of text exploded at a time.
-SLICE = 1 << 23
+SLICE = 1 << 22
 #: Contexts of a first word, and words behind a last one.
 START, END = np.uint64(0), np.uint64(1)
 
