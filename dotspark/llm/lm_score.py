@@ -34,21 +34,21 @@ BACKOFF, MIN_COUNT = 0.4, 2
 FREQUENT = 1 << 18
 #: A context or bigram is split if it holds more than one part in so many of a task's share.
 SPREAD = 4
-#: Bytes of text exploded at a time.
-SLICE = 1 << 22
+#: Bytes of text counted, and exploded, at a time.
+COUNTED, SLICE = 1 << 21, 1 << 22
 #: Contexts of a first word, and words behind a last one.
 START, END = np.uint64(0), np.uint64(1)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Slices of the texts with fewer rows than a short integer counts."""
-    for batch in text_slices(batches, most=SLICE):
+    for batch in text_slices(batches, most=most):
         for at in range(0, len(batch), 1 << 15):
             yield batch.slice(at, 1 << 15)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, most=SLICE):
+    for batch in text_slices(batches, most=COUNTED):
         words, counts = np.unique(word_hashes(*utf8(batch.column("_text")))[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["_w", "_c"])
 
@@ -71,7 +71,7 @@ def exploded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def _heavy(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
     """Bigrams that make more than one row in ``share`` of a slice, and in how many of its documents they are."""
-    for batch in _slices(batches):
+    for batch in _slices(batches, COUNTED):
         row, context, word, _ = exploded(batch.column("_text"))
         _, first = np.unique(mix(mix(context * np.uint64(0x9E3779B97F4A7C15) + word) ^ row.astype(np.uint64)), return_index=True)
         pair = mix(context[first] * np.uint64(0x9E3779B97F4A7C15) + word[first])
@@ -94,7 +94,7 @@ def _pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 def _count_pairs(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     """Counts of the hot bigrams alone."""
     _, _, pairs = shared.value
-    for batch in text_slices(batches, most=SLICE):
+    for batch in text_slices(batches, most=COUNTED):
         _, context, word, _ = exploded(batch.column("_text"))
         at = _find(pairs, _pair_keys(context, word))
         hit = np.flatnonzero(at >= 0)
@@ -114,7 +114,7 @@ def _pack(batches: Iterator[pa.RecordBatch], shared: Broadcast, parts: int) -> I
     """A slice's rows by part, in arrays, and its documents with their numbers of words in one more."""
     hot, splits, pairs = shared.value
     base = TaskContext.get().partitionId() << 32
-    for number, batch in enumerate(_slices(batches)):
+    for number, batch in enumerate(_slices(batches, SLICE)):
         row, context, word, sizes = exploded(batch.column("_text"))
         part = (context >> np.uint64(11)) % np.uint64(parts)
         at = _find(hot, context)
@@ -124,18 +124,22 @@ def _pack(batches: Iterator[pa.RecordBatch], shared: Broadcast, parts: int) -> I
         # By part, then context; equal rows come together.
         key = part << np.uint64(44) | (context >> np.uint64(40)) << np.uint64(20) | mix(word + row.astype(np.uint64)) >> np.uint64(44)
         order = np.argsort(key)
-        row, context, word, part = row[order], context[order], word[order], part[order]
+        del key, at, many
+        row, part = row[order].astype(np.int16), part[order].astype(np.int32)
+        context = context[order]
+        word = word[order]
+        del order
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (context[1:] != context[:-1]) | (word[1:] != word[:-1])
         first = np.flatnonzero(new)
         counts = np.diff(np.append(first, len(row)))
-        part = part[first].astype(np.int64)
+        part = part[first]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).astype(np.int32) if len(part) else np.zeros(1, np.int32)
         rows = len(cuts) - 1
-        columns = [context[first].view(np.int64), word[first].view(np.int64), row[first].astype(np.int16), counts.astype(np.int32)]
+        columns = [context[first].view(np.int64), word[first].view(np.int64), row[first], counts.astype(np.int32)]
         lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(c)) for c in columns]
         none = [_empty(rows, batch.column("_id").type), _empty(rows, pa.int64())]
-        where = [pa.array(part[cuts[:-1]] if rows else part, pa.int32()), pa.array(np.full(rows, base + number))]
+        where = [pa.array(part[cuts[:-1]] if rows else part), pa.array(np.full(rows, base + number))]
         names = ["_part", "_slice", "_a", "_b", "_d", "_k", "_id", "_n"]
         yield pa.RecordBatch.from_arrays([*where, *lists, *none], names)
         n, ends = len(batch), pa.array(np.array([0, len(batch)], np.int32))
