@@ -2,9 +2,10 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from dotspark.operators import matching, metrics
+from dotspark.operators import matching, metrics, regions
 
 SCHEMA = "video_id long, t long, {} long, x double, y double"
 
@@ -61,6 +62,25 @@ def test_hungarian_against_all_permutations():
         assert cost[range(n), got].sum() == min(cost[range(n), p].sum() for p in itertools.permutations(range(n)))
 
 
+def test_components_change_no_assignment(monkeypatch):
+    """A frame's pairs in parts have as many matches, and as short ones, as its pairs in one matrix."""
+    r = np.random.default_rng(9)
+    for _ in range(20):
+        pairs = pd.DataFrame({"gt_id": r.integers(0, 30, 50), "det_id": r.integers(0, 30, 50), "d2": r.integers(1, 400, 50).astype(float)}).drop_duplicates(["gt_id", "det_id"], ignore_index=True)
+        monkeypatch.setattr(matching, "FEW", 1000)
+        whole = matching._optimal(pairs)
+        monkeypatch.setattr(matching, "FEW", 0)
+        parts = matching._optimal(pairs)
+        assert len(parts) == len(whole) and abs(np.sqrt(parts["d2"]).sum() - np.sqrt(whole["d2"]).sum()) < 1e-9
+        assert parts["gt_id"].is_unique and parts["det_id"].is_unique
+
+
+def test_largest_regions():
+    masks = np.random.default_rng(3).random((40, 6, 7)) < 0.45
+    assert regions.largest_regions(masks).tolist() == [int(np.bincount(regions.label_mask(m).ravel())[1:].max(initial=0)) for m in masks]
+    assert regions.largest_regions(np.zeros((2, 3, 3), bool)).tolist() == [0, 0]
+
+
 def test_empty_sides(spark):
     none = points(spark, "gt_id", [])
     some = points(spark, "det_id", [(0, 0, 1, 1.0, 1.0)])
