@@ -2,9 +2,11 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dotspark.llm import mixing
+from dotspark.llm.scratch import keyed
 from tests.llm.test_dedup import brute_near
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -76,3 +78,26 @@ def test_related_languages(spark, many):
     rows += [(10_000, "the quick brown fox", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == list(range(30 * many))
+
+
+def test_rows_of_a_table_are_numbered_without_a_copy(spark, tmp_path):
+    """A scanned table's numbers differ by row and stay; joined or made rows are copied; clashing names do no harm."""
+    path = str(tmp_path / "docs")
+    spark.range(1000).selectExpr("id % 7 AS doc_id", "CAST(id AS string) AS text").repartition(3).write.parquet(path)
+    table = spark.read.parquet(path)
+    rows, key = keyed(table, "test-rows")
+    assert rows.columns == ["doc_id", "text", key]
+    assert not [f for f in rows.inputFiles() if "/test-rows-" in f and "/test-rows-files-" not in f]
+    first = {r["text"]: r[key] for r in rows.collect()}
+    assert len(set(first.values())) == len(first) == 1000
+    assert first == {r["text"]: r[key] for r in rows.repartition(5).collect()}
+    twice = table.withColumn("_twice", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    for other in (twice, twice.withColumnRenamed("_twice", "_metadata"), spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string")):
+        rows, key = keyed(other, "test-rows")
+        assert rows.select(key).distinct().count() == other.count()
+    clash = str(tmp_path / "clash")
+    table.withColumn("_metadata", F.lit(1)).write.parquet(clash)
+    rows, key = keyed(spark.read.parquet(clash), "test-rows")
+    assert rows.select(key).distinct().count() == 1000 and "_metadata" in rows.columns
+    spark.read.parquet(path).limit(0).write.parquet(str(tmp_path / "empty"))
+    assert keyed(spark.read.parquet(str(tmp_path / "empty")), "test-rows")[0].count() == 0
