@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, exact_dedup, language_id, lm_score, media, mixing, near_dedup, token_count, toxicity
+from . import bpe, chat_format, exact_dedup, language_id, lexical_search, lm_score, media, mixing, near_dedup, secret_scan, spelling, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_count": op1_token_count,
     "op2_language_id": op2_language_id,
@@ -74,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_lm_score": op10_lm_score,
+    "op11_spelling": op11_spelling,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
@@ -126,4 +141,45 @@ ORACLES: dict[str, str] = {
               FROM m JOIN b ON b.conv_id = m.conv_id AND b.turn = m.turn LEFT JOIN r ON r.conv_id = b.conv_id AND r.branch = b.branch)
         SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' AS formatted FROM c
     """,
+    "op11_spelling": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+') AS ws FROM documents),
+        r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS run FROM d) WHERE length(run) >= 7 GROUP BY ALL),
+        h AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r),
+        b AS (SELECT run, n, list_transform(range(8 * (length(x) // 2)), lambda i: (('0x' || substr(x, 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)::BIGINT) & 1) AS bits FROM h),
+        c AS (SELECT run, n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bits), lambda v, bit: xor(v >> 1, 3988292384 * (xor(v, bit) & 1)))) AS crc FROM b),
+        w AS (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM c),
+        v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        k AS (SELECT word, n, word AS whole, i, substr(word, 1, i - 1) || '$' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        p AS (SELECT a.word, b.word AS near, b.n FROM k a JOIN k b ON a.hole = b.hole AND a.word <> b.word
+              UNION SELECT k.word, v.word, v.n FROM k JOIN v ON k.short = v.word
+              UNION SELECT v.word, k.word, k.n FROM k JOIN v ON k.short = v.word),
+        o AS (SELECT word, near, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+        f AS (SELECT v.word, v.n, coalesce(o.n_near, 0) AS n_near, CASE WHEN o.n >= 10 * v.n THEN o.near END AS form, CASE WHEN o.n >= 10 * v.n THEN o.n END AS form_n FROM v LEFT JOIN o ON o.word = v.word AND o.place = 1),
+        t AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, t.root FROM f JOIN t ON f.form = t.word)
+        SELECT f.word, f.n, f.n_near, f.form, f.form_n, t.root FROM f JOIN t ON f.word = t.word
+    """,
+    "op12_lexical_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+        m AS (SELECT doc_id, 75 + (25 * n * docs) // total AS m FROM n, g),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), g),
+        s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM f JOIN i USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
+    """,
+    "op13_secret_scan": r"""
+        WITH k AS (SELECT * FROM (VALUES (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6), (1, 'access', '(AKIA[A-Z0-9]+)()', 20), (2, 'hex', '([0-9a-f]{24,})()', 24), (3, 'live', '([A-Za-z0-9+/_-]{16,})()', 16)) x(kind, name, pattern, least)),
+        d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+        m AS (SELECT r, kind, unnest(list_slice(regexp_split_to_array(t, pattern), 1, -2)) AS gap, unnest(regexp_extract_all(t, pattern, 0)) AS hit, unnest(regexp_extract_all(t, pattern, CASE kind WHEN 0 THEN 2 ELSE 0 END)) AS value,
+              generate_subscripts(regexp_extract_all(t, pattern, 0), 1) AS no FROM d, k WHERE regexp_matches(t, pattern)),
+        p AS (SELECT r, kind, value, sum(length(gap) + length(hit)) OVER (PARTITION BY r, kind ORDER BY no)::BIGINT AS e, length(hit) AS size FROM m),
+        q AS (SELECT r, kind, value, e - size AS s, e, regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8 AS random FROM p JOIN k USING (kind) WHERE length(value) >= least),
+        c AS (SELECT q.*, owner, doc_id FROM q JOIN d USING (r) WHERE kind < 3 OR random AND NOT EXISTS (SELECT 1 FROM q b WHERE b.r = q.r AND b.kind < 3 AND b.s < q.e AND b.e > q.s)),
+        o AS (SELECT value, count(DISTINCT owner) <= 2 AND count(DISTINCT (owner, coalesce(doc_id::VARCHAR, ''))) <= 10 AS few FROM c GROUP BY value),
+        z AS (SELECT c.*, few, name || ':' || s || ':' || e AS span FROM c JOIN o USING (value) JOIN k USING (kind) WHERE kind < 3 OR few),
+        a AS (SELECT r, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans, count_if(random AND few) AS n_live, count_if(NOT few) AS n_copied FROM z GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied FROM d LEFT JOIN a USING (r)
+    """,
 }
