@@ -112,7 +112,7 @@ def _statistics(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterato
     n_terms, found = len(shared.value.terms), automaton(shared)
     holds, documents, total = np.zeros(n_terms, np.int64), 0, 0
     for batch in text_slices(batches):
-        sizes, _, terms, _ = _frequencies(batch, found, max(n_terms, 1))
+        sizes, _, terms, _ = _frequencies(batch, found, n_terms)
         holds += np.bincount(terms, minlength=n_terms)
         documents += int(np.count_nonzero(sizes))
         total += int(sizes.sum())
@@ -140,7 +140,7 @@ def _best(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.R
     least = np.ones(queries.size, np.int64)  # a document of a lower score is beaten by TOP others
     kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)]  # item, score, id is null, id
     for batch in text_slices(batches):
-        sizes, rows, terms, times = _frequencies(batch, found, max(n_terms, 1))
+        sizes, rows, terms, times = _frequencies(batch, found, n_terms)
         lengths = np.array([75 + 25 * int(n) * queries.documents // queries.total if n else 75 for n in sizes], np.int64)
         gains = queries.weights[terms] * (1_000_000_000 * times // (1000 * times + 12 * lengths[rows]))
         ids = batch.column("_id")
@@ -166,7 +166,9 @@ def _best(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.R
 def _block(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = items.collect()  # a block's items: bounded by BLOCK_CHARS
-    queries = _queries(rows)
+    queries, kind = _queries(rows), items.schema["_id"].dataType.simpleString()
+    if not queries.terms:
+        return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
     shared = spark.sparkContext.broadcast(queries)
     counted = docs.mapInArrow(lambda batches: _statistics(batches, shared), "_term long, _count long").groupBy("_term").agg(F.sum("_count").alias("_count"))
     counts = {r._term: r._count for r in counted.collect()}  # a row per term of the block
@@ -177,7 +179,7 @@ def _block(docs: DataFrame, items: DataFrame) -> DataFrame:
     best = docs.mapInArrow(lambda batches: _best(batches, weighed), "_item long, doc_id long, score long")
     first = W.partitionBy("_item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = best.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= TOP)
-    names = spark.createDataFrame([(i, r._id) for i, r in enumerate(rows)], f"_item long, item_id {items.schema['_id'].dataType.simpleString()}")
+    names = spark.createDataFrame([(i, r._id) for i, r in enumerate(rows)], f"_item long, item_id {kind}")
     return ranked.join(F.broadcast(names), "_item").select("item_id", "rank", "doc_id", "score")
 
 

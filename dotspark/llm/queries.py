@@ -91,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_secret_scan": op13_secret_scan,
 }
 
+#: The words before an assigned value, each ASCII letter in either case (RE2 would fold further letters).
+_EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
@@ -170,7 +173,7 @@ ORACLES: dict[str, str] = {
         SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
     """,
     "op13_secret_scan": r"""
-        WITH k AS (SELECT * FROM (VALUES (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6), (1, 'access', '(AKIA[A-Z0-9]+)()', 20), (2, 'hex', '([0-9a-f]{24,})()', 24), (3, 'live', '([A-Za-z0-9+/_-]{16,})()', 16)) x(kind, name, pattern, least)),
+        WITH k AS (SELECT * FROM (VALUES (0, 'assign', '({EITHER})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6), (1, 'access', '(AKIA[A-Z0-9]+)()', 20), (2, 'hex', '([0-9a-f]{24,})()', 24), (3, 'live', '([A-Za-z0-9+/_-]{16,})()', 16)) x(kind, name, pattern, least)),
         d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
         m AS (SELECT r, kind, unnest(list_slice(regexp_split_to_array(t, pattern), 1, -2)) AS gap, unnest(regexp_extract_all(t, pattern, 0)) AS hit, unnest(regexp_extract_all(t, pattern, CASE kind WHEN 0 THEN 2 ELSE 0 END)) AS value,
               generate_subscripts(regexp_extract_all(t, pattern, 0), 1) AS no FROM d, k WHERE regexp_matches(t, pattern)),
@@ -181,5 +184,5 @@ ORACLES: dict[str, str] = {
         z AS (SELECT c.*, few, name || ':' || s || ':' || e AS span FROM c JOIN o USING (value) JOIN k USING (kind) WHERE kind < 3 OR few),
         a AS (SELECT r, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans, count_if(random AND few) AS n_live, count_if(NOT few) AS n_copied FROM z GROUP BY r)
         SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied FROM d LEFT JOIN a USING (r)
-    """,
+    """.replace("{EITHER}", _EITHER),
 }
