@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .ranking import positions
+from .ranking import draws, first_by_hash
 from .sequences import free_ranges
 
 
@@ -15,21 +15,13 @@ def hash_order(seed: str, *keys: str) -> Column:
 
 def split_annotations(rows: DataFrame, key: str, fraction: float, seed: str = "s", by: list[str] | None = None) -> DataFrame:
     """``split``: train for the first floor(n * fraction) rows by hash (within ``by``), else test."""
-    if not by:
-        ordered = positions(rows.withColumn("_hash", hash_order(seed, key)), ["_hash", key])
-        total = rows.agg(F.count(F.lit(1)).alias("_total"))  # one row
-        return ordered.join(F.broadcast(total)).withColumn("split", F.when(F.col("position") <= F.floor(F.col("_total") * fraction), "train").otherwise("test")).drop("_hash", "position", "_total")
-    group = W.partitionBy(*by)
-    place = F.row_number().over(group.orderBy(hash_order(seed, key)))
-    return rows.withColumn("split", F.when(place <= F.floor(F.count(F.lit(1)).over(group) * fraction), "train").otherwise("test"))
+    return first_by_hash(rows, by or [], hash_order(seed, key), [F.floor(F.col("n") * fraction)], ["train", "test"])
 
 
 def split_stratified(rows: DataFrame, key: str, label: str, shares: tuple[float, float] = (0.8, 0.15), seed: str = "s") -> DataFrame:
     """train / val / test within each label: floors of the shares, the remainder is test."""
-    group = W.partitionBy(label)
-    place, n = F.row_number().over(group.orderBy(hash_order(seed, key))), F.count(F.lit(1)).over(group)
-    train, val = F.floor(n * shares[0]), F.floor(n * shares[1])
-    return rows.withColumn("split", F.when(place <= train, "train").when(place <= train + val, "val").otherwise("test"))
+    train, val = (F.floor(F.col("n") * share) for share in shares)
+    return first_by_hash(rows, [label], hash_order(seed, key), [train, train + val], ["train", "val", "test"])
 
 
 def split_pairs(rows: DataFrame, name: str, fraction: float, by: list[str]) -> DataFrame:
@@ -78,6 +70,17 @@ def weighted_resample(rows: DataFrame, key: str, weight: Column, seed: str = "r"
     return rows.withColumn("_times", times).where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
 
 
+def draw_resample(rows: DataFrame, key: str, label: str, seed: str = "d") -> DataFrame:
+    """As many draws with replacement as there are rows, each class as likely as the others: (draw, the row's columns).
+
+    A row's weight is the inverse of its class's size, in whole millionths of the number of rows.
+    """
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    n = rows.count()
+    weighed = rows.join(sizes, label).withColumn("_weight", F.expr(f"{n}L * 1000000 div _n"))
+    return draws(weighed, "_weight", [key], n, seed).drop("_n", "_weight")
+
+
 def combine_groups(parts: dict[str, DataFrame], name: str) -> DataFrame:
     """Union of groups with their name before each row's own."""
     frames = [df.withColumn("grp", F.lit(g)).withColumn(name, F.concat_ws("__", F.lit(g), F.col(name))) for g, df in parts.items()]

@@ -81,7 +81,7 @@ def score_steps(rows: DataFrame, score: str = "score", label: str = "label") ->
     no task sees all scores.
     """
     per = rows.groupBy(F.col(score).alias("score")).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    summed = running(per, F.desc("score"), {"p": "tp", "n": "fp"})
+    summed = running(per, ["score"], {"p": "tp", "n": "fp"}, descending=True)
     total = per.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))  # one row
     return summed.join(F.broadcast(total))
 

@@ -409,6 +409,11 @@ def split_annotations(t: Tables) -> DataFrame:
     return datasets.split_annotations(t.named, "event_id", 0.8, by=["video"]).select("event_id", "split")
 
 
+@query("split_global", "SELECT event_id, x, y, CASE WHEN row_number() OVER (ORDER BY md5('s:' || event_id)) <= floor(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM {named}")
+def split_global(t: Tables) -> DataFrame:
+    return datasets.split_annotations(t.named, "event_id", 0.8).select("event_id", "x", "y", "split")
+
+
 @query("split_stratified", "SELECT doc_id, CASE WHEN p <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN p <= floor(n * 0.8::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5('s:' || doc_id)) AS p, count(*) OVER (PARTITION BY quality) AS n FROM labels)")
 def split_stratified(t: Tables) -> DataFrame:
     return datasets.split_stratified(t.read("labels"), "doc_id", "quality").select("doc_id", "split")
@@ -449,6 +454,14 @@ def weighted_resample(t: Tables) -> DataFrame:
     return datasets.weighted_resample(t.read("embeddings").select("vec_id", "label"), "vec_id", 0.35 * F.col("label")).select("vec_id", "copy")
 
 
+@query("draw_resample", """WITH w AS (SELECT vec_id, (count(*) OVER () * 1000000 // count(*) OVER (PARTITION BY label))::BIGINT AS w FROM embeddings),
+    l AS (SELECT vec_id, w, (sum(w) OVER (ORDER BY vec_id))::BIGINT AS upto FROM w),
+    d AS (SELECT k AS draw, ('0x' || substr(md5('d:' || k), 1, 15))::BIGINT % (SELECT max(upto) FROM l) AS p FROM range(0, (SELECT count(*) FROM embeddings)) x(k))
+    SELECT draw, vec_id FROM d JOIN l ON p >= upto - w AND p < upto""")
+def draw_resample(t: Tables) -> DataFrame:
+    return datasets.draw_resample(t.read("embeddings").select("vec_id", "label"), "vec_id", "label").select("draw", "vec_id")
+
+
 @query("combine_groups", "SELECT route || '__' || path AS path, route AS grp FROM {video}")
 def combine_groups(t: Tables) -> DataFrame:
     return datasets.combine_groups({r: t.video.where(F.col("route") == r).select("path") for r in ("day", "night")}, "path").select("path", "grp")
