@@ -15,8 +15,8 @@ from .scratch import materialise
 
 #: Turns that one window partition spans when the last of something is carried forward.
 SPAN = 1000
-#: Digits of a turn in a reply path.
-DIGITS = 10
+#: Digits of a turn in a reply path: those of the longest whole number.
+DIGITS = 19
 
 
 def carry_last(rows: DataFrame, keys: list[str], order: str, value: str, out: str, itself: bool) -> DataFrame:
@@ -27,7 +27,7 @@ def carry_last(rows: DataFrame, keys: list[str], order: str, value: str, out: st
     """
     span = F.floor(F.col(order) / SPAN)
     rows = rows.withColumn("_span", span)
-    near = W.partitionBy(*keys, "_span").orderBy(order).rangeBetween(W.unboundedPreceding, 0 if itself else -1)
+    near = W.partitionBy(*keys, "_span").orderBy(F.col(order).cast("decimal(20,0)")).rangeBetween(W.unboundedPreceding, 0 if itself else -1)
     lasts = rows.where(F.col(value).isNotNull()).groupBy(*keys, "_span").agg(F.max_by(value, order).alias("_last"))
     spans = rows.select(*keys, "_span").distinct().join(lasts, [*keys, "_span"], "left")
     before = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
@@ -46,7 +46,9 @@ def normalised(line: Column) -> Column:
 
 
 def _path(turn: Column) -> Column:
-    return F.lpad(turn.cast("string"), DIGITS, "0")
+    """A turn as text that sorts like the number: a negative one by what it lacks of 10^19, behind a minus."""
+    below = F.concat(F.lit("-"), F.lpad((turn.cast("decimal(20,0)") + F.lit("1" + "0" * DIGITS).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), DIGITS, "0"))
+    return F.when(turn < 0, below).otherwise(F.lpad(turn.cast("string"), DIGITS, "0"))
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def reply_links(messages: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, ``reply_to``, ``depth``, ``reply_path``, ``text`` without quotes, ``formatted``.
 
-    ``reply_path`` sorts a conversation's messages into reply order (turns of ten digits, one per branch);
+    ``reply_path`` sorts a conversation's messages into reply order (turns of 19 digits, one per branch);
     ``depth`` counts the branches. A message that quotes no earlier one replies to the one before it, the
     first one to none. The latest message wins among those with as many quoted lines. Messages that repeat a
     turn are each kept, with the same links. A null text counts as empty; a null role is ``unknown``. A

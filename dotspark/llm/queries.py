@@ -137,9 +137,9 @@ ORACLES: dict[str, str] = {
         o AS (SELECT *, CASE WHEN link IS NOT NULL AND link <> previous THEN turn END AS opens FROM t),
         b AS (SELECT conv_id, turn, coalesce(link, previous) AS reply_to, coalesce(max(opens) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS branch, opens IS NOT NULL AS first FROM o),
         e AS (SELECT x.conv_id, x.turn AS branch, x.reply_to AS spot, p.branch AS under FROM b x JOIN b p ON p.conv_id = x.conv_id AND p.turn = x.reply_to WHERE x.first),
-        r AS (SELECT conv_id, branch, lpad(spot::VARCHAR, 10, '0') AS prefix, 1 AS depth FROM e WHERE under = -1
-              UNION ALL SELECT e.conv_id, e.branch, r.prefix || '.' || lpad(e.spot::VARCHAR, 10, '0'), r.depth + 1 FROM e JOIN r ON r.conv_id = e.conv_id AND r.branch = e.under),
-        c AS (SELECT m.conv_id, m.turn, m.role, b.reply_to, coalesce(r.depth, 0) AS depth, concat_ws('.', r.prefix, lpad(m.turn::VARCHAR, 10, '0')) AS reply_path,
+        r AS (SELECT conv_id, branch, lpad(spot::VARCHAR, 19, '0') AS prefix, 1 AS depth FROM e WHERE under = -1
+              UNION ALL SELECT e.conv_id, e.branch, r.prefix || '.' || lpad(e.spot::VARCHAR, 19, '0'), r.depth + 1 FROM e JOIN r ON r.conv_id = e.conv_id AND r.branch = e.under),
+        c AS (SELECT m.conv_id, m.turn, m.role, b.reply_to, coalesce(r.depth, 0) AS depth, concat_ws('.', r.prefix, lpad(m.turn::VARCHAR, 19, '0')) AS reply_path,
               trim(array_to_string(list_filter(regexp_split_to_array(m.text, '\r?\n'), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), ' ') AS text
               FROM m JOIN b ON b.conv_id = m.conv_id AND b.turn = m.turn LEFT JOIN r ON r.conv_id = b.conv_id AND r.branch = b.branch)
         SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' AS formatted FROM c

@@ -58,3 +58,11 @@ def test_order_and_links(spark):
     assert [out[t].reply_to for t in range(8)] == [None, 0, 0, 2, 2, 2, 1, 6]
     assert [t for t in sorted(out, key=lambda t: out[t].reply_path)][:3] == [0, 2, 4]
     assert out[4].text == "Nested."
+
+
+def test_turns_of_any_size_keep_their_order(spark):
+    """Paths sort like the turns, from the smallest to the greatest whole number."""
+    turns = [-(2**63), -(2**63) + 1, -(10**12), -11, -5, -1, 0, 1, 9, 10, 1700000000001, 1700000000999, 2**63 - 1]
+    rows = spark.createDataFrame([("c", t, "user", f"line {t}") for t in turns], "conv_id string, turn long, role string, text string")
+    out = chat_format.conversations(rows).collect()
+    assert [r.turn for r in sorted(out, key=lambda r: r.reply_path)] == turns and len({r.reply_path for r in out}) == len(turns)

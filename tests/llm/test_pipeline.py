@@ -101,3 +101,14 @@ def test_rows_of_a_table_are_numbered_without_a_copy(spark, tmp_path):
     assert rows.select(key).distinct().count() == 1000 and "_metadata" in rows.columns
     spark.read.parquet(path).limit(0).write.parquet(str(tmp_path / "empty"))
     assert keyed(spark.read.parquet(str(tmp_path / "empty")), "test-rows")[0].count() == 0
+
+
+def test_a_table_read_twice_is_numbered_by_row(spark, tmp_path):
+    """Rows of a path that is given twice are rows of their own, and one of each group of equal texts stays."""
+    path, single = str(tmp_path / "docs"), str(tmp_path / "more")
+    spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    spark.createDataFrame([(4, "d")], "doc_id long, text string").write.parquet(single)
+    for paths, rows_in, texts in (((path, path), 6, 2), ((path, single), 4, 3), ((path, single, path), 7, 3)):
+        rows, key = keyed(spark.read.parquet(*paths), "test-rows")
+        assert rows.count() == rows.select(key).distinct().count() == rows_in
+        assert corpus_pipeline.exact(spark, spark.read.parquet(*paths), "").count() == texts
