@@ -93,14 +93,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64("_id", F.lit(11))
     # The sample's ids are bounded by ``train_docs``, so they may go to every task; the texts stay where they are.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select(F.pmod(order, F.lit(SHARDS)).cast("int").alias("_shard"), order.alias("_order"), "_label", "_text")
-    train = materialise(rows.repartition(SHARDS, "_shard"), "toxicity-train", ["_shard"])
-    # A shard reads its folder alone. Spark 4.1 puts the union of single partitions into one task, one shard after another.
+    train = materialise(rows.repartitionByRange(SHARDS, "_shard"), "toxicity-train", ["_shard"])
+    # A shard reads its folder alone, in one task: FTRL is a sequence.
     shards = [train.where(F.col("_shard") == i).select("_order", "_label", "_text").coalesce(1).sortWithinPartitions("_order", "_text").select("_label", "_text") for i in range(SHARDS)]
     state = State()
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(state)
         step = functools.partial(_pass, shared=shared)
-        moved = functools.reduce(DataFrame.unionAll, [shard.mapInArrow(step, "_at int, _z double, _n double") for shard in shards])
+        # An exchange behind each shard makes it a stage of its own, and these run side by side; the union of bare
+        # single partitions would be one task that takes one shard after another.
+        moved = functools.reduce(DataFrame.unionAll, [shard.mapInArrow(step, "_at int, _z double, _n double").repartition("_at") for shard in shards])
         table = moved.groupBy("_at").agg((F.sum("_z") / SHARDS).alias("_z"), (F.sum("_n") / SHARDS).alias("_n")).toArrow()
         at = table.column("_at").to_numpy()
         state.z[at] += table.column("_z").to_numpy()
