@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.scratch import materialise as written
 from . import regions, stacking
 from .dedupe import proximity_merge
 
@@ -109,31 +110,41 @@ def blobs(frames: DataFrame, width: int, sigmas: tuple[float, ...] = (1.0, 1.6),
 @detector("rolling")
 def rolling(frames: DataFrame, width: int, window: int = 5, level: int = 40, min_area: int = 1) -> DataFrame:
     """Regions of frame minus rolling mean (the frame included); the first ``window`` frames warm up and give nothing."""
-    spread = stacking.rolling_background(frames, window)
-    at = W.partitionBy("video_id", "i").orderBy("t")
-    lit = spread.withColumn("_n", F.row_number().over(at)).where(F.col("_n") > window)
-    diff = lit.groupBy("video_id", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.greatest(F.lit(0), F.floor(F.col("v") - F.col("background"))).cast("int").alias("d")))), lambda s: s["d"]).alias("pixels"))
-    return threshold(diff, width, level, min_area)
+    return threshold(_above(stacking.rolling_background(frames, window, warm=window)), width, level, min_area)
+
+
+def _above(folded: DataFrame) -> DataFrame:
+    """Whole frames of what tiles lie above their background, in whole values."""
+    diff = F.zip_with("pixels", "background", lambda p, b: F.greatest(F.lit(0), F.floor(p - b)).cast("int")).alias("pixels")
+    return stacking.glue(folded.select("video_id", "t", "tile", diff), ["video_id", "t"], "pixels")
 
 
 @detector("ewma")
 def ewma(frames: DataFrame, width: int, alpha: float = 0.2, level: int = 40, min_area: int = 1) -> DataFrame:
     """Regions of frame minus the exponentially weighted mean of the frames before it."""
-    background = stacking.ewma_background(frames, alpha).groupBy("video_id", "t").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("tile", "background"))), lambda s: s["background"])).alias("background"))
-    diff = frames.join(background, ["video_id", "t"]).select("video_id", "t", F.zip_with("pixels", "background", lambda p, b: F.greatest(F.lit(0), F.floor(p - b)).cast("int")).alias("pixels"))
-    return threshold(diff, width, level, min_area)
+    return threshold(_above(stacking.ewma_background(frames, alpha)), width, level, min_area)
 
 
-def score_patches(rows: DataFrame, scorer: Callable[[np.ndarray], float] | None, column: str = "pixels") -> DataFrame:
-    """Adds ``score`` by a function of a patch's pixels; null without a function, and where it gives NaN."""
-    if scorer is None:
-        return rows.withColumn("score", F.lit(None).cast("double"))
+def in_batches(score: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    """A scorer out of a function of many patches, (n, pixels) to n scores, that is called once for each size in a batch."""
 
     @F.pandas_udf(DoubleType())
     def run(patches: pd.Series) -> pd.Series:
-        return patches.map(lambda p: float(scorer(np.asarray(p, float))) if p is not None else None)
+        out = np.full(len(patches), np.nan)
+        sizes = np.array([-1 if p is None else len(p) for p in patches])
+        for size in np.unique(sizes[sizes >= 0]):
+            at = np.flatnonzero(sizes == size)
+            out[at] = score(np.stack(patches.iloc[at].to_list()).astype(float).reshape(len(at), size))
+        return pd.Series(out)
 
-    return rows.withColumn("score", F.nanvl(run(F.col(column)), F.lit(None).cast("double")))
+    return run
+
+
+def score_patches(rows: DataFrame, scorer: Callable[[Column], Column] | None, column: str = "pixels") -> DataFrame:
+    """Adds ``score`` by a function of the patch's column; null without a function or a patch, and where it gives NaN."""
+    if scorer is None:
+        return rows.withColumn("score", F.lit(None).cast("double"))
+    return rows.withColumn("score", F.when(F.col(column).isNotNull(), F.nanvl(scorer(F.col(column)).cast("double"), F.lit(None).cast("double"))))
 
 
 def mask_boxes(frames: DataFrame, boxes: DataFrame, width: int) -> DataFrame:
@@ -173,5 +184,6 @@ def patch_model(rows: DataFrame, label: str, weights: DataFrame, epochs: tuple[i
         model = LogisticRegression(featuresCol="_f", labelCol=label, weightCol="weight", maxIter=n, predictionCol="_p").fit(train)
         result = model.transform(ready).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("_p") == F.col(label)).cast("double")).alias("accuracy")).withColumn("epoch", F.lit(n))
         out = result if out is None else out.unionByName(result)
+    out = written(out, "patch-model")  # a row a model and split: the models score all rows once
     best = out.where("split = 'val'").agg(F.max_by("epoch", F.struct("accuracy", -F.col("epoch"))).alias("_best"))
     return out.crossJoin(F.broadcast(best)).select("epoch", "split", "n", F.round("accuracy", 4).alias("accuracy"), (F.col("epoch") == F.col("_best")).alias("chosen"))

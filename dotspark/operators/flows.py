@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry, pixels, scores
 from ..sources import tables
@@ -16,8 +18,11 @@ def with_crop(rows: DataFrame, frames: DataFrame, width: int, height: int, size:
     corner ``_x0``, ``_y0``. Rows beyond the video vanish."""
     w, h = min(size, width), min(size, height)
     box = geometry.crop_box(F.col("x"), F.col("y"), F.lit(w), F.lit(h), F.lit(width), F.lit(height))
-    placed = rows.withColumn("_x0", box.x).withColumn("_y0", box.y).join(frames.select(*KEYS, "pixels"), KEYS)
-    return placed.withColumn(name, geometry.gather(F.col("pixels"), F.lit(width), F.lit(height), F.col("_x0"), F.col("_y0"), w, h, "pad")).drop("pixels")
+    placed = rows.withColumn("_x0", box.x).withColumn("_y0", box.y)
+    columns = [c for c in placed.columns if c not in KEYS]
+    # All crops of a frame are cut where its pixels are.
+    cut = F.transform("_points", lambda p: F.struct(*(p[c].alias(c) for c in columns), geometry.gather(F.col("pixels"), F.lit(width), F.lit(height), p["_x0"], p["_y0"], w, h, "pad").alias(name)))
+    return regions.points_of_frames(placed, frames, columns).select(*KEYS, F.inline(cut))
 
 
 def filter_gt(gt: DataFrame, frames: DataFrame, width: int, height: int, size: int, bright: int, floor: int, area: int) -> DataFrame:
@@ -28,39 +33,54 @@ def filter_gt(gt: DataFrame, frames: DataFrame, width: int, height: int, size: i
     return cropped.withColumn("weight", pixels.crop_weight(F.col("crop"))).withColumn("kept", good).drop("crop", "_x0", "_y0")
 
 
-def evaluate(gt: DataFrame, preds: DataFrame, frames: DataFrame, width: int, height: int, *, size: int = 10, bright: int = 50, floor: int = 50, area: int = 4, offset: int = 0, max_frames: int | None = None, dedupe_radius: float = 2.0, thresholds: tuple[float, ...] = metrics.THRESHOLDS) -> dict[str, DataFrame]:
+class Evaluation:
     """Evaluation against ground truth: shift, filter by crop, dedupe, match over thresholds.
 
-    ``metrics``: per threshold with ``best``, and how much ground truth there was (``gt_total``), passed the filter
-    (``gt_kept``) and was left after deduplication (``gt_final``). ``rows``: hits, misses and false alarms at
-    the largest threshold, misses with the nearest prediction of their frame, false alarms with the nearest hit.
+    The sides are made once, when this is; ``metrics`` and ``rows`` match them.
     """
-    shifted = filters.shift_time(gt, offset, max_frames).select(*KEYS, "gt_id", "x", "y")
-    tested = materialise(filter_gt(shifted, frames, width, height, size, bright, floor, area), "evaluate-gt")
-    once = dedupe.keep_heaviest(tested.where("kept").withColumnRenamed("gt_id", "det_id"), dedupe_radius).withColumnRenamed("det_id", "gt_id")
-    once = materialise(once, "evaluate-once")
-    shown = filters.positive_only(preds)
-    shown = shown if max_frames is None else shown.where(F.col("t") < max_frames)
-    found = metrics.threshold_metrics(once, shown, thresholds)
-    best = metrics.best_threshold(found).select(F.col("threshold").alias("_best"))
-    totals = shifted.agg(F.count(F.lit(1)).alias("gt_total")).join(tested.agg(F.count_if("kept").alias("gt_kept"))).join(once.agg(F.count(F.lit(1)).alias("gt_final")))  # one row
-    out = found.join(F.broadcast(best.join(totals))).withColumn("best", F.col("threshold") == F.col("_best")).drop("_best")
-    rows = metrics.outcomes(once, shown, max(thresholds))
-    miss = rows.where("outcome = 'fn'").select(*KEYS, "gt_id", F.col("gt_x").alias("x"), F.col("gt_y").alias("y"))
-    alarm = rows.where("outcome = 'fp'").select(*KEYS, "det_id", F.col("pred_x").alias("x"), F.col("pred_y").alias("y"))
-    hit = rows.where("outcome = 'tp'").select(*KEYS, F.col("det_id").alias("near_id"), F.col("pred_x").alias("x"), F.col("pred_y").alias("y"))
-    point = lambda df: df.select(*KEYS, F.col("det_id").alias("near_id"), "x", "y")
-    near = matching.nearest(miss, point(shown), "gt_id", "near_id").select(F.lit("fn").alias("outcome"), F.col("gt_id").alias("id"), "near_id", F.col("distance").alias("near_distance"))
-    near = near.unionByName(matching.nearest(alarm, hit, "det_id", "near_id").select(F.lit("fp").alias("outcome"), F.col("det_id").alias("id"), "near_id", F.col("distance").alias("near_distance")))
-    named = rows.withColumn("id", F.when(F.col("outcome") == "fn", F.col("gt_id")).otherwise(F.col("det_id")))
-    return {"metrics": out, "rows": named.join(near, ["outcome", "id"], "left").drop("id")}
-
-
-def refine(frames: DataFrame, width: int, height: int, *, level: int = 150, bright: int = 180, floor: int = 150, area: int = 2, radius: float = 2.0, size: int = 3, sigma: float = 2.0, rounds: int = 1, again_level: int = 120, grow: int = 190, min_side: int = 3) -> DataFrame:
+
+    def __init__(self, gt: DataFrame, preds: DataFrame, frames: DataFrame, width: int, height: int, *, size: int = 10, bright: int = 50, floor: int = 50, area: int = 4, offset: int = 0, max_frames: int | None = None, dedupe_radius: float = 2.0, thresholds: tuple[float, ...] = metrics.THRESHOLDS) -> None:
+        self.thresholds = thresholds
+        self.shifted = filters.shift_time(gt, offset, max_frames).select(*KEYS, "gt_id", "x", "y")
+        self.tested = materialise(filter_gt(self.shifted, frames, width, height, size, bright, floor, area), "evaluate-gt")
+        once = dedupe.keep_heaviest(self.tested.where("kept").withColumnRenamed("gt_id", "det_id"), dedupe_radius).withColumnRenamed("det_id", "gt_id")
+        self.once = materialise(once, "evaluate-once")
+        shown = filters.positive_only(preds)
+        self.shown = shown if max_frames is None else shown.where(F.col("t") < max_frames)
+
+    def metrics(self) -> DataFrame:
+        """Per threshold with ``best``, and how much ground truth there was (``gt_total``), passed the filter
+        (``gt_kept``) and was left after deduplication (``gt_final``)."""
+        found = metrics.threshold_metrics(self.once, self.shown, self.thresholds)
+        best = metrics.best_threshold(found).select(F.col("threshold").alias("_best"))
+        count = lambda df, c, name: df.agg(c.alias(name))
+        totals = count(self.shifted, F.count(F.lit(1)), "gt_total").join(count(self.tested, F.count_if("kept"), "gt_kept")).join(count(self.once, F.count(F.lit(1)), "gt_final"))  # one row
+        return found.join(F.broadcast(best.join(totals))).withColumn("best", F.col("threshold") == F.col("_best")).drop("_best")
+
+    def rows(self) -> DataFrame:
+        """Hits, misses and false alarms at the largest threshold; misses with the nearest prediction of their frame,
+        false alarms with the nearest hit."""
+        rows = materialise(metrics.outcomes(self.once, self.shown, max(self.thresholds)), "evaluate-rows")
+        miss = rows.where("outcome = 'fn'").select(*KEYS, "gt_id", F.col("gt_x").alias("x"), F.col("gt_y").alias("y"))
+        alarm = rows.where("outcome = 'fp'").select(*KEYS, "det_id", F.col("pred_x").alias("x"), F.col("pred_y").alias("y"))
+        hit = rows.where("outcome = 'tp'").select(*KEYS, F.col("det_id").alias("near_id"), F.col("pred_x").alias("x"), F.col("pred_y").alias("y"))
+        shown = self.shown.select(*KEYS, F.col("det_id").alias("near_id"), "x", "y")
+        near = matching.nearest(miss, shown, "gt_id", "near_id").select(F.lit("fn").alias("outcome"), F.col("gt_id").alias("id"), "near_id", F.col("distance").alias("near_distance"))
+        near = near.unionByName(matching.nearest(alarm, hit, "det_id", "near_id").select(F.lit("fp").alias("outcome"), F.col("det_id").alias("id"), "near_id", F.col("distance").alias("near_distance")))
+        named = rows.withColumn("id", F.when(F.col("outcome") == "fn", F.col("gt_id")).otherwise(F.col("det_id")))
+        return named.join(near, ["outcome", "id"], "left").drop("id")
+
+
+def bright_scorer(crop: Column) -> Column:
+    """A scorer that stands where no model is given: the two-class confidence of the brightest pixel."""
+    return scores.softmax_conf(F.lit(0.0), F.array_max(crop) / 64.0 - 2.0)
+
+
+def refine(frames: DataFrame, width: int, height: int, *, level: int = 150, bright: int = 180, floor: int = 150, area: int = 2, radius: float = 2.0, size: int = 3, sigma: float = 2.0, rounds: int = 1, again_level: int = 120, grow: int = 190, min_side: int = 3, scorer: Callable[[Column], Column] = bright_scorer) -> DataFrame:
     """Detection refinement: (keys, x, y, weight), one row per key and rounded place.
 
-    Detect; recenter by the crop's centroid if it is bright; gate by area; classify; keep the heaviest of
-    near ones; refine the center in a fixed patch; gate by a bright region. Then ``rounds`` of blacking out what
+    Detect; recenter by the crop's centroid if it is bright; gate by area; classify by ``scorer``, a function of the
+    crop's column to a confidence (see ``detectors.in_batches`` for models); keep the heaviest of near ones; refine the center in a fixed patch; gate by a bright region. Then ``rounds`` of blacking out what
     is known and detecting again; regions grown from the detections replace those near them where they are
     large; the region gate again; rebuild the slim table.
     """
@@ -68,22 +88,20 @@ def refine(frames: DataFrame, width: int, height: int, *, level: int = 150, brig
     def gated(rows: DataFrame) -> DataFrame:
         return with_crop(rows, frames, width, height, size).where(regions.largest_in("crop", size, floor) >= area).drop("crop", "_x0", "_y0")
 
-    def centered(rows: DataFrame) -> DataFrame:
-        c = pixels.centroid(F.col("crop"), size, size, sigma)
-        return with_crop(rows, frames, width, height, size).withColumn("c", c).withColumn("x", F.col("_x0") + F.col("c.cx")).withColumn("y", F.col("_y0") + F.col("c.cy")).drop("c", "_x0", "_y0")
-
     def refined(boxes: DataFrame) -> DataFrame:
         points = filters.area_filter(boxes, area).select(*KEYS, F.xxhash64(*KEYS, "x", "y", "w", "h").alias("det_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-        seen = with_crop(points, frames, width, height, size).where(pixels.bright_enough(F.col("crop"), bright)).withColumn("confidence", scores.softmax_conf(F.lit(0.0), F.array_max("crop") / 64.0 - 2.0))
-        heavy = filters.classify(seen, 0.5, drop_negatives=True).withColumn("weight", pixels.crop_weight(F.col("crop"))).select(*KEYS, "det_id", "x", "y", "weight")
-        return gated(centered(dedupe.keep_heaviest(heavy, radius)).drop("crop"))
+        seen = with_crop(points, frames, width, height, size).where(pixels.bright_enough(F.col("crop"), bright)).withColumn("confidence", scorer(F.col("crop")))
+        # The crop that is scored is the one whose centroid a kept row moves to: it is cut once.
+        heavy = filters.classify(seen, 0.5, drop_negatives=True).withColumn("weight", pixels.crop_weight(F.col("crop"))).withColumn("c", pixels.centroid(F.col("crop"), size, size, sigma))
+        kept = dedupe.keep_heaviest(heavy.select(*KEYS, "det_id", "x", "y", "weight", (F.col("_x0") + F.col("c.cx")).alias("_cx"), (F.col("_y0") + F.col("c.cy")).alias("_cy")), radius)
+        return gated(kept.withColumn("x", F.col("_cx")).withColumn("y", F.col("_cy")).drop("_cx", "_cy"))
 
     boxes = materialise(detectors.detect(frames, "threshold", width=width, level=level), "refine-boxes")
     if rounds:
         boxes = detectors.redetect(frames, boxes, width, rounds, radius, "threshold", materialise, level=again_level)
     rows = materialise(refined(boxes).select(*KEYS, "det_id", "x", "y", "weight"), "refine-rows")
-    seeds = rows.join(frames, KEYS).withColumn("sx", F.least(F.greatest(F.bround("x").cast("int"), F.lit(0)), F.lit(width - 1))).withColumn("sy", F.least(F.greatest(F.bround("y").cast("int"), F.lit(0)), F.lit(height - 1)))
-    grown = regions.grow_region(seeds, width, grow, keep=["det_id", "weight"])
+    seeds = rows.withColumn("sx", F.least(F.greatest(F.bround("x").cast("int"), F.lit(0)), F.lit(width - 1))).withColumn("sy", F.least(F.greatest(F.bround("y").cast("int"), F.lit(0)), F.lit(height - 1)))
+    grown = regions.grow_region(seeds, frames, width, grow, keep=["det_id", "weight"])
     square = geometry.min_square(F.col("x") + (F.col("w") - 1) / 2.0, F.col("y") + (F.col("h") - 1) / 2.0, F.col("x"), F.col("y"), F.col("w"), F.col("h"))
     large = grown.where("area > 0").withColumn("side", square["side"]).where(F.col("side") >= min_side)
     candidates = large.select(*KEYS, (-F.col("det_id") - 1).alias("det_id"), (F.col("x") + (F.col("w") - 1) / 2.0).alias("x"), (F.col("y") + (F.col("h") - 1) / 2.0).alias("y"), (F.col("weight") * F.col("area")).alias("weight"))
@@ -91,12 +109,13 @@ def refine(frames: DataFrame, width: int, height: int, *, level: int = 150, brig
     return joins.rebuild_slim(gated(replaced), "det_id", ["weight"])
 
 
-def track_ranges(ranges: DataFrame, frames: DataFrame, width: int, height: int, *, size: int = 4, bright: int = 0, max_gap: int = 3, radius: float = 8.0, min_points: int = 3, min_range: float = 20.0) -> DataFrame:
+def track_ranges(ranges: DataFrame, frames: DataFrame, width: int, height: int, *, size: int = 4, bright: int = 0, max_gap: int = 3, radius: float = 8.0, min_points: int = 3, min_range: float = 20.0, **hill: float) -> DataFrame:
     """Range detections to tracks: (track_id, x, y, t) of the rows of selected tracks.
 
     Ranges (keys without t, ``t_start``, ``t_end``, x, y, w, h, obj_id) spread over their frames; each row moves to the
     brightest pixel around it, is scored by its patch's sum and dropped below ``bright``; rows link to tracks;
-    tracks are selected by length, intensity range and hill shape; centers are refined in the patch.
+    tracks are selected by length, intensity range and hill shape (``hill``: options of ``tracks.hill_shape``); centers
+    are refined in the patch.
     """
     spread = joins.expand_ranges(ranges).withColumn("det_id", F.xxhash64("video_id", "obj_id", "det_id", "t"))
     snapped = with_crop(spread, frames, width, height, size).withColumn("b", pixels.brightest_pixel(F.col("crop"), size))
@@ -104,7 +123,7 @@ def track_ranges(ranges: DataFrame, frames: DataFrame, width: int, height: int,
     patched = with_crop(moved, frames, width, height, size)
     scored = patched.withColumn("weight", pixels.crop_weight(F.col("crop")).cast("double")).withColumn("c", pixels.centroid(F.col("crop"), size, size, 1.5))
     linked = tracks.link_tracks(scored.drop("crop"), max_gap, radius)
-    chosen = tracks.select_tracks(linked, "weight", min_points, min_range, window=1, edge_low=0.0, edge_high=1.0, min_up=1, min_down=1).where("selected")
+    chosen = tracks.select_tracks(linked, "weight", min_points, min_range, **hill).where("selected")
     return chosen.select("track_id", (F.col("_x0") + F.col("c.cx")).alias("x"), (F.col("_y0") + F.col("c.cy")).alias("y"), "t")
 
 
@@ -143,12 +162,12 @@ def ingest(annotations: DataFrame, stems: DataFrame, done: DataFrame, frames: Da
     todo = filters.valid_annotations(joins.pending(paired, done, ["stem"]))
     none = existing.select("name").limit(0)
     cut = lambda rows: datasets.extract_patches(rows.select(*KEYS, "x", "y"), frames, none, width, height, size).select("name").distinct()
-    positives = cut(todo)
+    positives = materialise(cut(todo), "ingest-positives")
     wanted = todo.groupBy("video_id").agg((F.count(F.lit(1)) * ratio).alias("n"))
     margin = min(size // 2, (min(width, height) - 1) // 2)
-    negatives = cut(datasets.make_negatives(frames.select(*KEYS).join(todo.select(*KEYS).distinct(), KEYS, "left_anti"), per_frame, wanted, width, height, margin))
+    negatives = materialise(cut(datasets.make_negatives(frames.select(*KEYS).join(todo.select(*KEYS).distinct(), KEYS, "left_anti"), per_frame, wanted, width, height, margin)).join(positives, "name", "left_anti"), "ingest-negatives")
     split = lambda rows, label: datasets.split_annotations(rows, "name", fraction).select("name", "split", F.lit(label).alias("class"))
-    fresh = split(positives, "positive").unionByName(split(negatives.join(positives, "name", "left_anti"), "negative"))
+    fresh = split(positives, "positive").unionByName(split(negatives, "negative"))
     return sets.keyed_append(existing, fresh, ["name"], ["class"])
 
 

@@ -10,9 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import materialise
+
 KEYS = ["video_id", "t"]
 
 
@@ -163,15 +165,70 @@ def optimal_match(gt: DataFrame, preds: DataFrame, radius: float) -> DataFrame:
     return by_frame(pairs, _optimal, pairs.schema)
 
 
+#: Others of a frame up to which a row meets all of them; beyond, rings of cells are searched.
+ALL = 64
+#: Others that the fullest cell of a frame may hold, about, when the search begins.
+CELL = 16
+
+
 def nearest(rows: DataFrame, others: DataFrame, row_id: str, other_id: str) -> DataFrame:
     """For each row the nearest of the others in its frame: (keys, row id, other id, ``distance``); null if none.
 
-    Ties go to the smaller other id.
+    Ties go to the smaller other id. In a frame of more than ``ALL`` others a row looks into its cell of a grid and
+    the eight around it; what it finds is the nearest if it is nearer than a cell is wide. Only rows
+    that are not done go on, to cells twice as wide, so a row meets about as many others however dense its frame is.
     """
-    o = others.select(*KEYS, F.col(other_id).alias("_oid"), F.col("x").alias("_ox"), F.col("y").alias("_oy"))
+    points = others.where("x IS NOT NULL AND y IS NOT NULL").groupBy(*KEYS, F.col("x").alias("_ox"), F.col("y").alias("_oy")).agg(F.min(other_id).alias("_oid"))
+    sizes = points.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), *(f(c).alias(f"_{f.__name__}{c}") for f in (F.min, F.max) for c in ("_ox", "_oy")))
+    dense = materialise(sizes.where(F.col("_n") > ALL), "nearest-dense")
+    asked = rows.select(*KEYS, row_id, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if dense.isEmpty():
+        found = _of_few(asked, points, row_id)
+    else:
+        few = _of_few(asked.join(dense, KEYS, "left_anti"), points.join(dense, KEYS, "left_anti"), row_id)
+        found = few.unionByName(_by_rings(asked, points, dense, row_id))
+    best = found.groupBy(*KEYS, row_id).agg(F.min("_best").alias("_best"))
+    return best.select(*KEYS, row_id, F.col("_best._oid").alias(other_id), F.sqrt("_best._d2").alias("distance"))
+
+
+def _closest() -> Column:
     d2 = (F.col("x") - F.col("_ox")) * (F.col("x") - F.col("_ox")) + (F.col("y") - F.col("_oy")) * (F.col("y") - F.col("_oy"))
-    joined = rows.join(o, KEYS, "left").withColumn("_d2", d2)
-    best = joined.groupBy(*KEYS, row_id).agg(F.min_by("_oid", F.when(F.col("_oid").isNotNull(), F.struct("_d2", "_oid"))).alias(other_id), F.min("_d2").alias("_d2"))
-    return best.select(*KEYS, row_id, other_id, F.sqrt("_d2").alias("distance"))
-
-
+    return F.min(F.when(d2.isNotNull(), F.struct(d2.alias("_d2"), F.col("_oid")))).alias("_best")
+
+
+def _of_few(rows: DataFrame, points: DataFrame, row_id: str) -> DataFrame:
+    return rows.join(points, KEYS, "left").groupBy(*KEYS, row_id).agg(_closest())
+
+
+def ring_candidates(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """Rows (keys, x, y, ``_w``) with the points (keys, _ox, _oy, ``_w``) of their cell of width ``_w`` and of the eight around it."""
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("_c")
+    around = rows.select("*", near).withColumn("_cx", F.floor(F.col("x") / F.col("_w")) + F.col("_c.a")).withColumn("_cy", F.floor(F.col("y") / F.col("_w")) + F.col("_c.b")).drop("_c")
+    celled = points.withColumn("_cx", F.floor(F.col("_ox") / F.col("_w"))).withColumn("_cy", F.floor(F.col("_oy") / F.col("_w"))).drop("_w")
+    return around.join(celled, [*KEYS, "_cx", "_cy"]).drop("_cx", "_cy")
+
+
+def first_widths(points: DataFrame, dense: DataFrame) -> DataFrame:
+    """(keys, ``_w``): the width at which a frame's fullest cell holds about ``CELL`` points, if they lie evenly in it."""
+    area = (F.col("_max_ox") - F.col("_min_ox")) * (F.col("_max_oy") - F.col("_min_oy"))
+    line = F.greatest(F.col("_max_ox") - F.col("_min_ox"), F.col("_max_oy") - F.col("_min_oy"))
+    even = dense.select(*KEYS, F.greatest(2 * F.sqrt(area / F.col("_n")), line / F.col("_n"), F.lit(1e-9)).alias("_w"))
+    cell = points.join(even, KEYS).groupBy(*KEYS, "_w", F.floor(F.col("_ox") / F.col("_w")), F.floor(F.col("_oy") / F.col("_w"))).agg(F.count(F.lit(1)).alias("_in"))
+    return cell.groupBy(*KEYS, "_w").agg(F.max("_in").alias("_in")).select(*KEYS, (F.col("_w") / F.pow(F.lit(2.0), F.ceil(F.greatest(F.lit(0.0), F.log2(F.col("_in") / CELL) / 2)))).alias("_w"))
+
+
+def _by_rings(rows: DataFrame, points: DataFrame, dense: DataFrame, row_id: str) -> DataFrame:
+    widths = materialise(first_widths(points, dense), "nearest-widths")
+    points = materialise(points.join(widths, KEYS), "nearest-points")
+    left = rows.join(widths, KEYS)
+    missing = left.where("x IS NULL OR y IS NULL").select(*KEYS, row_id, F.lit(None).cast(f"struct<_d2: double, _oid: {points.schema['_oid'].dataType.simpleString()}>").alias("_best"))
+    out, left = missing, materialise(left.where("x IS NOT NULL AND y IS NOT NULL").distinct(), "nearest-left")
+    scale = 1.0
+    while not left.isEmpty():
+        wide = ring_candidates(left, points.withColumn("_w", F.col("_w") * scale))
+        found = wide.groupBy(*KEYS, row_id, "x", "y", "_w").agg(_closest()).where(F.col("_best._d2") < F.col("_w") * F.col("_w"))
+        done = materialise(found.select(*KEYS, row_id, "x", "y", "_best"), "nearest-done")
+        out = out.unionByName(done.select(*KEYS, row_id, "_best"))
+        scale *= 2
+        left = materialise(left.join(done, [*KEYS, row_id, "x", "y"], "left_anti").withColumn("_w", F.col("_w") * 2), "nearest-left")
+    return out

@@ -123,6 +123,27 @@ def distribution(column: str) -> list[Column]:
     return [F.min(column).alias("min"), at(0.25).alias("p25"), at(0.5).alias("p50"), F.avg(column).alias("mean"), at(0.75).alias("p75"), F.max(column).alias("max")]
 
 
+#: Size of a quantile sketch.
+SKETCH = 800
+
+
+def sketch_error(k: int = SKETCH) -> float:
+    """Rank error of a KLL sketch of size ``k`` that a query exceeds about once in a hundred times, as a part of the rows."""
+    return 2.446 / k**0.9433
+
+
+def sketched_distribution(rows: DataFrame, keys: list[str], column: str, k: int = SKETCH) -> DataFrame:
+    """Per key min, p25, p50, p75 and max of a column by mergeable KLL sketches, and ``n``.
+
+    Each task sketches its rows and the sketches are merged, so a key's rows need not meet; ranks are
+    within ``sketch_error(k)``. ``distribution`` is the exact form. Nulls do not count.
+    """
+    value = F.col(column).cast("double")
+    sketch = rows.groupBy(*keys).agg(F.expr(f"kll_sketch_agg_double(cast({column} AS double), {k})").alias("_s"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(column).alias("n"))
+    at = lambda q, name: F.when(F.col("n") > 0, F.expr(f"kll_sketch_get_quantile_double(_s, {q}D)")).alias(name)
+    return sketch.select(*keys, "n", "min", at(0.25, "p25"), at(0.5, "p50"), at(0.75, "p75"), "max")
+
+
 def per_frame_distribution(rows: DataFrame, spine: DataFrame) -> DataFrame:
     """Distribution of rows per frame over all frames of the spine, empty ones as 0, with and without counts."""
     counts = spine.join(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), KEYS, "left").withColumn("n", F.coalesce("n", F.lit(0)))

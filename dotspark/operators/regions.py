@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import IntegerType
 
 
@@ -36,10 +36,53 @@ def spread_labels(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
             return labels
 
 
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end (behind the last) of each run of set pixels along the rows, in row-major order."""
+    edge = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    edge[:, 1:-1] = mask
+    step = np.diff(edge, axis=1)
+    rows, starts = np.nonzero(step == 1)
+    return rows, starts, np.nonzero(step == -1)[1]
+
+
 def label_mask(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
-    """Labels (from 1, in row-major order of first pixels) of a mask's regions; 0 outside."""
-    names, inverse = np.unique(np.where(mask, spread_labels(mask, connectivity), 0), return_inverse=True)
-    return inverse.reshape(mask.shape) + (0 if names[0] == 0 else 1)
+    """Labels (from 1, in row-major order of first pixels) of a mask's regions; 0 outside.
+
+    Regions are components of runs: a run touches those of the row above that overlap it, which are neighbours in
+    order. Smallest places spread over these links by pointer jumping, so rounds grow with the logarithm.
+    """
+    rows, starts, ends = _runs(mask)
+    out = np.zeros(mask.shape, np.int64)
+    n = len(rows)
+    if not n:
+        return out
+    reach = 1 if connectivity == 8 else 0
+    width = mask.shape[1] + 2
+    # Runs of the row above that end behind this one's start and begin before its end (one pixel more across corners).
+    above = (rows - 1) * width
+    first = np.searchsorted(rows * width + ends, above + starts - reach, side="right")
+    last = np.searchsorted(rows * width + starts, above + ends + reach, side="left")
+    touching = np.maximum(last - first, 0)
+    touching[rows == 0] = 0
+    a = np.repeat(np.arange(n), touching)
+    b = np.repeat(first - np.concatenate([[0], np.cumsum(touching)[:-1]]), touching) + np.arange(touching.sum())
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        while not (new == new[new]).all():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    names = np.unique(root, return_inverse=True)[1] + 1
+    flat, width = out.ravel(), mask.shape[1]
+    sizes = ends - starts
+    at = np.repeat(rows * width + starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    flat[at] = np.repeat(names, sizes)
+    return out
 
 
 def largest_regions(masks: np.ndarray) -> np.ndarray:
@@ -49,17 +92,27 @@ def largest_regions(masks: np.ndarray) -> np.ndarray:
     return np.bincount(labels.ravel(), minlength=len(masks) * cells).reshape(-1, cells)[:, 1:].max(axis=1, initial=0)
 
 
+def boxes(labels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Area, x, y, w, h of each label from 1 on; and the rows, columns and labels (from 0) of all pixels."""
+    ys, xs = np.nonzero(labels)
+    of = labels[ys, xs] - 1
+    n = int(labels.max(initial=0))
+    low, high = np.full((2, n), 1 << 30), np.full((2, n), -1)
+    for k, places in enumerate((xs, ys)):
+        np.minimum.at(low[k], of, places)
+        np.maximum.at(high[k], of, places)
+    return np.bincount(of, minlength=n), low[0], low[1], high[0] - low[0] + 1, high[1] - low[1] + 1, ys, xs, of
+
+
 def regions(pixels: np.ndarray, mask: np.ndarray, connectivity: int = 8) -> list[tuple]:
     """(label, area, x, y, w, h, cx, cy, mass) of each region; the centroid weighs pixels by intensity."""
-    labels = label_mask(mask, connectivity)
-    out = []
-    for k in range(1, int(labels.max(initial=0)) + 1):
-        ys, xs = np.nonzero(labels == k)
-        v = pixels[ys, xs].astype(float)
-        mass = v.sum()
-        cx, cy = ((xs * v).sum() / mass, (ys * v).sum() / mass) if mass > 0 else (xs.mean(), ys.mean())
-        out.append((k, len(xs), int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1, float(cx), float(cy), float(mass)))
-    return out
+    area, x, y, w, h, ys, xs, of = boxes(label_mask(mask, connectivity))
+    v = pixels[ys, xs].astype(float)
+    total = lambda weights: np.bincount(of, weights, minlength=len(area))
+    mass = total(v)
+    lit = mass > 0
+    cx, cy = (np.where(lit, total(c * v) / np.where(lit, mass, 1), total(c) / np.maximum(area, 1)) for c in (xs, ys))
+    return list(zip(range(1, len(area) + 1), *(c.tolist() for c in (area, x, y, w, h, cx, cy, mass)), strict=True))
 
 
 REGION = "video_id int, t long, label int, area int, x int, y int, w int, h int, cx double, cy double, mass double"
@@ -101,21 +154,41 @@ def largest_area(frames: DataFrame, width: int, floor: int) -> DataFrame:
     return frames.select("video_id", "t", largest_in("pixels", width, floor).alias("max_area"))
 
 
-def grow_region(seeds: DataFrame, width: int, threshold: int, keep: list[str] | None = None) -> DataFrame:
-    """(video_id, t, columns of ``keep``, area, x, y, w, h) of the region of pixels >= ``threshold`` around each row's seed (sx, sy); area 0 if the seed is darker."""
+def grow_region(seeds: DataFrame, frames: DataFrame, width: int, threshold: int, keep: list[str] | None = None) -> DataFrame:
+    """(video_id, t, columns of ``keep``, area, x, y, w, h) of the region of pixels >= ``threshold`` around each row's seed (sx, sy); area 0 if the seed is darker.
+
+    A frame's seeds come to it as a list, and its pixels are labelled once for all of them.
+    """
     keep = keep or []
+    kinds = {f.name: f.dataType.simpleString() for f in seeds.schema}
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for flat, sx, sy in batch[["pixels", "sx", "sy"]].itertuples(index=False):
-                pixels = np.asarray(flat).reshape(-1, width)
-                labels = label_mask(pixels >= threshold)
-                ys, xs = np.nonzero((labels == labels[sy, sx]) & (labels > 0))
-                rows.append((len(xs), *((int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1) if len(xs) else (None,) * 4)))
-            boxes = pd.DataFrame(rows, columns=["area", "x", "y", "w", "h"], index=batch.index).astype({c: "Int32" for c in "xywh"})
-            yield pd.concat([batch[["video_id", "t", *keep]], boxes], axis=1)
+            out = []
+            for video, t, flat, points in batch[["video_id", "t", "pixels", "_points"]].itertuples(index=False):
+                labels = label_mask(np.asarray(flat).reshape(-1, width) >= threshold)
+                area, *box = boxes(labels)[:5]
+                for p in points:
+                    k = labels[p["sy"], p["sx"]] - 1
+                    out.append((video, t, *(p[c] for c in keep), *((int(area[k]), *(int(c[k]) for c in box)) if k >= 0 else (0, None, None, None, None))))
+            frame = pd.DataFrame(out, columns=["video_id", "t", *keep, "area", "x", "y", "w", "h"])
+            yield frame.astype({c: "Int32" for c in "xywh"})
 
-    kinds = {f.name: f.dataType.simpleString() for f in seeds.schema}
     shape = ", ".join(f"{c} {kinds[c]}" for c in ["video_id", "t", *keep])
-    return seeds.select("video_id", "t", *keep, "pixels", "sx", "sy").mapInPandas(find, shape + ", area int, x int, y int, w int, h int")
+    return points_of_frames(seeds, frames, [*keep, "sx", "sy"]).mapInPandas(find, shape + ", area int, x int, y int, w int, h int")
+
+
+#: Points of a frame that meet its pixels together.
+TOGETHER = 4096
+
+
+def points_of_frames(rows: DataFrame, frames: DataFrame, columns: list[str]) -> DataFrame:
+    """(video_id, t, pixels, ``_points``): each frame with the list of its rows' ``columns``.
+
+    A frame's pixels are sent once and not once for each of its rows; a frame with very many rows is met by lists
+    of ``TOGETHER``. Rows beyond the video vanish.
+    """
+    keys = ["video_id", "t"]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*columns[:1]))
+    listed = rows.withColumn("_list", F.floor((place - 1) / TOGETHER)).groupBy(*keys, "_list").agg(F.collect_list(F.struct(*columns)).alias("_points"))
+    return listed.join(frames.select(*keys, "pixels"), keys).select(*keys, "pixels", "_points")

@@ -16,11 +16,17 @@ def assign(active: list[dict], points: list[tuple], t: int, max_gap: int, radius
     """Link one frame's points (id, x, y) to active tracks {track, t, x, y}, cheapest pair first.
 
     A pair is allowed if 0 < gap <= max_gap and distance <= radius * gap; it costs distance + time_scale *
-    gap; ties go to the earlier point and then the older track. Unlinked points get None.
+    gap; ties go to the earlier point and then the older track. Unlinked points get None. A point looks only at
+    the tracks of its cell, as wide as the longest step, and of the eight around it.
     """
+    reach = max(radius * max_gap, 1e-9)
+    cells: dict[tuple, list[dict]] = {}
+    for track in active:
+        cells.setdefault((track["x"] // reach, track["y"] // reach), []).append(track)
     pairs = []
     for i, (_, x, y) in enumerate(points):
-        for track in active:
+        cx, cy = x // reach, y // reach
+        for track in (k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in cells.get((cx + dx, cy + dy), ())):
             gap = t - track["t"]
             if 0 < gap <= max_gap:
                 far = math.hypot(x - track["x"], y - track["y"])
@@ -35,35 +41,72 @@ def assign(active: list[dict], points: list[tuple], t: int, max_gap: int, radius
     return [(p, linked.get(i)) for i, p in enumerate(points)]
 
 
-def link_rows(rows: pd.DataFrame, max_gap: int, radius: float) -> Iterator[tuple]:
-    """(det_id, track_id) of one key's rows in order of t; a track is named by its first detection."""
-    active: list[dict] = []
-    for t, frame in rows.sort_values(["t", "det_id"]).groupby("t", sort=True):
-        active = [a for a in active if t - a["t"] <= max_gap]
-        for (det, x, y), track in assign(active, list(zip(frame["det_id"], frame["x"], frame["y"], strict=True)), t, max_gap, radius):
+class Linker:
+    """Links the frames of one key in order; holds the tracks that are still open and nothing else."""
+
+    def __init__(self, max_gap: int, radius: float) -> None:
+        self.max_gap, self.radius, self.open = max_gap, radius, []
+
+    def frame(self, t: int, points: list[tuple]) -> list[tuple]:
+        """(det_id, track_id) of a frame's points (id, x, y); a track is named by its first detection."""
+        self.open = [a for a in self.open if t - a["t"] <= self.max_gap]
+        out = []
+        for (det, x, y), track in assign(self.open, points, t, self.max_gap, self.radius):
             if track is None:
-                active.append({"track": det, "t": t, "x": x, "y": y})
-                yield det, det
+                self.open.append({"track": det, "t": t, "x": x, "y": y})
             else:
                 track.update(t=t, x=x, y=y)
-                yield det, track["track"]
+            out.append((det, det if track is None else track["track"]))
+        return out
 
 
-def link_tracks(rows: DataFrame, max_gap: int, radius: float, keys: tuple[str, ...] = ("video_id", "obj_id")) -> DataFrame:
-    """Rows (keys, t, det_id, x, y) with ``track_id``: gap-bounded greedy linking within each key.
+def segments(rows: DataFrame, max_gap: int, radius: float, keys: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``_segment``, such that no chain of links crosses from one of a key's segments to another.
 
-    A key's rows are split where no row lies within ``max_gap`` frames of the next: no track crosses such a
-    place, so a long video's key is linked in independent segments and never as one group.
+    Rows fall into cells as long as the longest gap and as wide as the longest step. Where a cell is empty along
+    time, or along x or y of what is left together, no link can cross. Only the cells, far fewer than the rows of a
+    dense key, are put in order.
     """
-    order = W.partitionBy(*keys).orderBy("t")
-    breaks = F.when(F.col("t") - F.lag("t").over(order) > max_gap, 1).otherwise(0)
-    parted = rows.withColumn("_break", breaks).withColumn("_segment", F.sum("_break").over(order.rangeBetween(W.unboundedPreceding, 0)))
+    reach = max(radius * max_gap, 1e-9)
+    cell = {"_ct": F.floor(F.col("t") / max(max_gap, 1)), "_cx": F.coalesce(F.floor(F.col("x") / reach), F.lit(0)), "_cy": F.coalesce(F.floor(F.col("y") / reach), F.lit(0))}
+    placed = rows.withColumns(cell)
+    cells, within = placed.select(*keys, *cell).distinct(), list(keys)
+    for c in cell:
+        order = W.partitionBy(*within).orderBy(c)
+        cells = cells.withColumn("_far", F.when(F.col(c) - F.lag(c).over(order) > 1, 1).otherwise(0))
+        cells = cells.withColumn(f"_s{c}", F.sum("_far").over(order.rangeBetween(W.unboundedPreceding, 0))).drop("_far")
+        within.append(f"_s{c}")
+    named = cells.select(*keys, *cell, F.concat_ws("-", *(F.col(f"_s{c}").cast("string") for c in cell)).alias("_segment"))
+    return placed.join(named, [*keys, *cell]).drop(*cell)
 
-    def link(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(link_rows(part, max_gap, radius)), columns=["det_id", "track_id"])
 
-    found = parted.select(*keys, "_segment", "t", "det_id", "x", "y").groupBy(*keys, "_segment").applyInPandas(link, "det_id long, track_id long")
-    return rows.join(found, "det_id")
+def link_tracks(rows: DataFrame, max_gap: int, radius: float, keys: tuple[str, ...] = ("video_id", "obj_id")) -> DataFrame:
+    """Rows (keys, t, det_id, x, y) with ``track_id``: gap-bounded greedy linking within each key.
+
+    Segments of a key that no link can join are dealt to tasks and sorted there by Spark; Python reads a stream of
+    rows, of which it holds one frame and the open tracks.
+    """
+    parted = segments(rows, max_gap, radius, keys).select(*keys, "_segment", "t", "det_id", "x", "y")
+    group = [*keys, "_segment"]
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, t, points, linker = None, None, [], None
+        for batch in batches:
+            out = []
+            for *own, at, det, x, y in zip(*(batch[c].tolist() for c in (*group, "t", "det_id", "x", "y")), strict=True):
+                if (own, at) != (key, t):
+                    if points:
+                        out += linker.frame(t, points)
+                    if own != key:
+                        linker = Linker(max_gap, radius)
+                    key, t, points = own, at, []
+                points.append((det, x, y))
+            yield pd.DataFrame(out, columns=["det_id", "track_id"])
+        if points:
+            yield pd.DataFrame(linker.frame(t, points), columns=["det_id", "track_id"])
+
+    ordered = parted.repartition(*group).sortWithinPartitions(*group, "t", "det_id")
+    return rows.join(ordered.mapInPandas(link, "det_id long, track_id long"), "det_id")
 
 
 def motion(rows: DataFrame) -> DataFrame:

@@ -129,7 +129,8 @@ def _spans(t: Tables) -> DataFrame:
 
 @query("rolling_background", "SELECT video_id, t, i, v, avg(v) OVER (PARTITION BY video_id, i ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS background FROM (SELECT video_id, t, r.i, pixels[r.i + 1] AS v FROM {frame}, range(0, 64) r(i))")
 def rolling_background(t: Tables) -> DataFrame:
-    return stacking.rolling_background(t.frame, 5)
+    folded = stacking.rolling_background(t.frame, 5)
+    return folded.select("video_id", "t", F.inline(F.transform(F.arrays_zip("pixels", "background"), lambda p, i: F.struct((F.col("tile") * stacking.TILE + i).alias("i"), p["pixels"].alias("v"), p["background"].alias("background")))))
 
 
 @query("ewma_background", """WITH RECURSIVE f AS (SELECT video_id, t, pixels, row_number() OVER (PARTITION BY video_id ORDER BY t) AS k FROM {frame}),
@@ -181,5 +182,5 @@ def blob_gate(t: Tables) -> DataFrame:
 
 @query("grow_region", "WITH " + _REGIONS.replace("{op}", ">=") + ", s AS (SELECT t, (t * 7 % 64)::INT AS i FROM {frame}), g AS (SELECT l.* FROM lab l JOIN s ON s.t = l.t JOIN lab o ON o.t = s.t AND o.i = s.i AND o.root = l.root) SELECT f.video_id, f.t, count(g.i) AS area, min(g.i % 8) AS x, min(g.i // 8) AS y, max(g.i % 8) - min(g.i % 8) + 1 AS w, max(g.i // 8) - min(g.i // 8) + 1 AS h FROM {frame} f LEFT JOIN g ON g.t = f.t GROUP BY ALL")
 def grow_region(t: Tables) -> DataFrame:
-    seeds = t.frame.withColumn("sx", F.expr("cast(t * 7 % 64 % 8 AS int)")).withColumn("sy", F.expr("cast(t * 7 % 64 div 8 AS int)"))
-    return regions.grow_region(seeds, SIDE, 150)
+    seeds = t.frame.select("video_id", "t", F.expr("cast(t * 7 % 64 % 8 AS int)").alias("sx"), F.expr("cast(t * 7 % 64 div 8 AS int)").alias("sy"))
+    return regions.grow_region(seeds, t.frame, SIDE, 150)

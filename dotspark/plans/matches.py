@@ -202,10 +202,20 @@ def score_summary(t: Tables) -> DataFrame:
     return t.det.groupBy("video_id").agg(*metrics.distribution("confidence"))
 
 
-@query("per_frame_distribution", "SELECT video_id, " + _DIST.replace("{c}", "n") + ", count_if(n > 0) AS with_rows, count_if(n = 0) AS without_rows FROM (SELECT v AS video_id, f AS t, count(d.det_id) AS n FROM range(0, 4) a(v), range(0, 720) b(f) LEFT JOIN {pred} d ON d.video_id = v AND d.t = f GROUP BY ALL) GROUP BY 1")
+@query("per_frame_distribution", "SELECT video_id, " + _DIST.replace("{c}", "n") + ", count_if(n > 0) AS with_rows, count_if(n = 0) AS without_rows FROM (SELECT s.video_id, s.t, count(d.det_id) AS n FROM (SELECT DISTINCT video_id, t FROM {det}) s LEFT JOIN {pred} d ON d.video_id = s.video_id AND d.t = s.t GROUP BY ALL) GROUP BY 1")
 def per_frame_distribution(t: Tables) -> DataFrame:
-    spine = t.spark.range(4 * 720).select((F.col("id") % 4).alias("video_id"), F.expr("id div 4").alias("t"))
-    return metrics.per_frame_distribution(t.pred, spine)
+    """Positives of every frame that has a row of any kind; a frame without positives counts as zero."""
+    return metrics.per_frame_distribution(t.pred, t.det.select("video_id", "t").distinct())
+
+
+@query("sketched_summary", "SELECT video_id, count(*) AS n, true AS within FROM {det} GROUP BY 1")
+def sketched_summary(t: Tables) -> DataFrame:
+    """The quartiles that a sketch gives have, in the whole column, a rank within the sketch's error."""
+    found = metrics.sketched_distribution(t.det, ["video_id"], "confidence")
+    ranked = t.det.join(found, "video_id").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), *(F.avg((F.col("confidence") < F.col(c)).cast("double")).alias(f"{c}_low") for c in ("p25", "p50", "p75")), *(F.avg((F.col("confidence") <= F.col(c)).cast("double")).alias(f"{c}_high") for c in ("p25", "p50", "p75")))
+    error = metrics.sketch_error()
+    within = [(F.col(f"{c}_low") <= q + error) & (F.col(f"{c}_high") >= q - error) for c, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
+    return ranked.select("video_id", "n", (within[0] & within[1] & within[2]).alias("within"))
 
 
 @query("frame_union", "SELECT video_id, t FROM {gt} UNION SELECT video_id, t FROM {pred}")

@@ -44,7 +44,7 @@ def detect_frames(t: Tables) -> DataFrame:
 
 @query("score_patches", "SELECT t, list_avg(pixels) / 255 AS score FROM {frame}")
 def score_patches(t: Tables) -> DataFrame:
-    return detectors.score_patches(t.frame, lambda p: p.mean() / 255).select("t", "score")
+    return detectors.score_patches(t.frame, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, v: a + v) / F.size(p) / 255).select("t", "score")
 
 
 @query("redetect")
@@ -98,14 +98,18 @@ _KEPT = f"""cr AS (SELECT *, list_transform(range(0, 16), lambda i: pixels[(y0 +
     m AS (SELECT pairs.* FROM walk JOIN pairs USING (video_id, t, k) WHERE hit)"""
 
 
-def _evaluated(t: Tables) -> dict[str, DataFrame]:
-    return flows.evaluate(_gt8(t), _pred8(t), _frames(t), SIDE, SIDE, size=4, bright=180, floor=120, area=4, max_frames=200, dedupe_radius=1.0, thresholds=(1.0, 2.0, 3.0))
+def _evaluated(t: Tables, max_frames: int | None) -> flows.Evaluation:
+    return flows.Evaluation(_gt8(t), _pred8(t), _frames(t), SIDE, SIDE, size=4, bright=180, floor=120, area=4, max_frames=max_frames, dedupe_radius=1.0, thresholds=(1.0, 2.0, 3.0))
 
 
-@query("gt_filter", f"WITH RECURSIVE {_KEPT} SELECT g.video_id, count(*) AS n_total, count(k.gt_id) AS n_kept FROM cr g LEFT JOIN kept k USING (gt_id) GROUP BY 1")
+#: The same without a frame cap.
+_ALL = _KEPT.replace(" AND t < 200", "").replace(" WHERE t < 200", "")
+
+
+@query("gt_filter", f"WITH RECURSIVE {_ALL} SELECT g.video_id, count(*) AS n_total, count(k.gt_id) AS n_kept FROM cr g LEFT JOIN kept k USING (gt_id) GROUP BY 1")
 def gt_filter(t: Tables) -> DataFrame:
     """Ground truth whose crop is bright and has a region of four pixels: totals within the video and what is kept."""
-    tested = flows.filter_gt(_gt8(t).where("t < 200"), _frames(t), SIDE, SIDE, 4, 180, 120, 4)
+    tested = flows.filter_gt(_gt8(t), _frames(t), SIDE, SIDE, 4, 180, 120, 4)
     return tested.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_total"), F.count_if("kept").alias("n_kept"))
 
 
@@ -116,17 +120,17 @@ def gt_filter(t: Tables) -> DataFrame:
     SELECT *, threshold = (SELECT threshold FROM f ORDER BY f1 DESC, fp, threshold LIMIT 1) AS best, (SELECT count(*) FROM {_GT8}) AS gt_total, (SELECT count(*) FROM kept) AS gt_kept, (SELECT count(*) FROM once) AS gt_final FROM f""")
 def flow_evaluate(t: Tables) -> DataFrame:
     """Ground truth shifted, filtered by its crops and deduped, predictions filtered, metrics per threshold, the best one marked."""
-    return _evaluated(t)["metrics"]
+    return _evaluated(t, 200).metrics()
 
 
-@query("flow_evaluate_rows", f"""WITH RECURSIVE {_KEPT}, o AS (SELECT 'tp' AS outcome, video_id, t, gt_id, det_id FROM m UNION ALL SELECT 'fn', video_id, t, gt_id, NULL FROM once WHERE gt_id NOT IN (SELECT gt_id FROM m) UNION ALL SELECT 'fp', video_id, t, NULL, det_id FROM shown WHERE det_id NOT IN (SELECT det_id FROM m)),
+@query("flow_evaluate_rows", f"""WITH RECURSIVE {_ALL}, o AS (SELECT 'tp' AS outcome, video_id, t, gt_id, det_id FROM m UNION ALL SELECT 'fn', video_id, t, gt_id, NULL FROM once WHERE gt_id NOT IN (SELECT gt_id FROM m) UNION ALL SELECT 'fp', video_id, t, NULL, det_id FROM shown WHERE det_id NOT IN (SELECT det_id FROM m)),
     n AS (SELECT 'fn' AS outcome, g.gt_id AS id, d.det_id AS near_id, (g.x - d.x) * (g.x - d.x) + (g.y - d.y) * (g.y - d.y) AS d2 FROM once g JOIN shown d ON d.video_id = g.video_id AND d.t = g.t
         UNION ALL SELECT 'fp', g.det_id, d.det_id, (g.x - d.x) * (g.x - d.x) + (g.y - d.y) * (g.y - d.y) FROM shown g JOIN shown d ON d.video_id = g.video_id AND d.t = g.t WHERE d.det_id IN (SELECT det_id FROM m)),
     b AS (SELECT outcome, id, near_id, sqrt(d2) AS near_distance FROM (SELECT *, row_number() OVER (PARTITION BY outcome, id ORDER BY d2, near_id) AS k FROM n) WHERE k = 1)
     SELECT o.outcome, o.video_id, o.t, o.gt_id, o.det_id, b.near_id, b.near_distance FROM o LEFT JOIN b ON b.outcome = o.outcome AND b.id = CASE o.outcome WHEN 'fn' THEN o.gt_id ELSE o.det_id END""")
 def flow_evaluate_rows(t: Tables) -> DataFrame:
     """The outcome rows of the evaluation with the nearest rows of their frame."""
-    return _evaluated(t)["rows"].select("outcome", "video_id", "t", "gt_id", "det_id", "near_id", "near_distance")
+    return _evaluated(t, None).rows().select("outcome", "video_id", "t", "gt_id", "det_id", "near_id", "near_distance")
 
 
 @query("flow_refine")

@@ -96,7 +96,9 @@ def test_segments_do_not_change_tracks(spark):
     got = {r.det_id: r.track_id for r in tracks.link_tracks(rows, 2, 3.0).collect()}
     want = {}
     for key, part in rows.toPandas().groupby(["video_id", "obj_id"]):
-        want |= dict(tracks.link_rows(part, 2, 3.0))
+        linker = tracks.Linker(2, 3.0)
+        for t, frame in part.sort_values(["t", "det_id"]).groupby("t"):
+            want |= dict(linker.frame(t, list(zip(frame["det_id"], frame["x"], frame["y"], strict=True))))
     assert got == want
 
 
