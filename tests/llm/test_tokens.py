@@ -100,3 +100,10 @@ def test_a_small_store_changes_nothing(library):
     small = bpe.Encoder(PATH, kept=3)
     for text in ("one two three", "three four two one", "one two three four five"):
         assert small.encode([text])[0].tolist() == ids(library, text)
+
+
+def test_round_trip_is_decode_of_encode(edge, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = lambda df: sorted((r.doc_id or 0, r.ids, r.decoded) for r in df.collect())
+    assert rows(bpe.round_trip(edge, path)) == rows(bpe.decode(bpe.encode(edge, path), path))
+    assert bpe.round_trip(empty, path).collect() == []
