@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -83,7 +84,7 @@ def _pass(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.R
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> np.ndarray:
     """Weights by coordinate, from labelled rows that are not held out: by hash of the id, about ``train_docs``.
 
-    What comes to the driver each round is at most one row per coordinate. A document with several labelled rows
+    What comes to the driver each round is at most one row per coordinate and shard. A document with several labelled rows
     is learned from as often, one with a null id or label never; rows that repeat an id are each a document.
     """
     spark = docs.sparkSession
@@ -100,13 +101,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(state)
         step = functools.partial(_pass, shared=shared)
-        # An exchange behind each shard makes it a stage of its own, and these run side by side; the union of bare
-        # single partitions would be one task that takes one shard after another.
-        moved = functools.reduce(DataFrame.unionAll, [shard.mapInArrow(step, "_at int, _z double, _n double").repartition("_at") for shard in shards])
-        table = moved.groupBy("_at").agg((F.sum("_z") / SHARDS).alias("_z"), (F.sum("_n") / SHARDS).alias("_n")).toArrow()
-        at = table.column("_at").to_numpy()
-        state.z[at] += table.column("_z").to_numpy()
-        state.n[at] += table.column("_n").to_numpy()
+        # A job for each shard, side by side; one job over a union of single partitions would be one task.
+        with ThreadPoolExecutor(SHARDS) as jobs:
+            tables = list(jobs.map(lambda shard: shard.mapInArrow(step, "_at int, _z double, _n double").toArrow(), shards))
+        for table in tables:
+            at = table.column("_at").to_numpy()
+            state.z[at] += table.column("_z").to_numpy() / SHARDS
+            state.n[at] += table.column("_n").to_numpy() / SHARDS
         shared.destroy()
     return state.weights().astype(np.float32)
 
