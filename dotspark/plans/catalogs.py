@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import naming
-from ..operators import datasets, joins, metrics, sets
-from ..sources import tables
+from ..operators import datasets, filters, joins, metrics, sets
+from ..sources import tables, versions
 from ..sources.scratch import shared_dir
+from ..streaming import streams
 from .registry import SIDE, Tables, query
 
 # --- A: scans and sinks -----------------------------------------------------------------------------
@@ -58,6 +60,68 @@ def newest_file(t: Tables) -> DataFrame:
     return files.groupBy("table").agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
 
 
+_LOG = """(SELECT page_id, '2025-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || 'T' || lpad((page_id % 24)::VARCHAR, 2, '0') AS timestamp, CASE page_id % 5 WHEN 0 THEN 'cleaner' ELSE 'ingestor' END AS actor, page_id % 7 = 0 AS dry_run, grp, page_id % 11 = 0 AS had_error FROM {video})"""
+
+
+@query("listed_sources", "SELECT source, count(*) AS n, sum(doc_id)::BIGINT AS ids, true AS newest FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def listed_sources(t: Tables) -> DataFrame:
+    """Documents as files in a folder per source, found by listing these folders; the newest file of a source is among its own."""
+    root = f"{shared_dir(t.spark)}/listed-{uuid.uuid4().hex}"
+    t.read("documents").where("source IS NOT NULL").select("doc_id", "source").repartition(4, "source").write.partitionBy("source").parquet(root)
+    files = tables.file_catalog(t.spark, root, ("parquet",)).withColumn("source", F.regexp_extract("path", "/source=([^/]*)/", 1))
+    newest = files.groupBy("source").agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
+    rows = t.spark.read.parquet(root).withColumn("path", F.col("_metadata.file_path")).groupBy("source", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    read = rows.select("source", "n", "ids", name.alias("file")).join(files.select("source", name.alias("file")), ["source", "file"])
+    marked = read.join(newest.select("source", name.alias("file"), F.lit(True).alias("_newest")), ["source", "file"], "left")
+    return marked.groupBy("source").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.coalesce(F.bool_or("_newest"), F.lit(False)).alias("newest"))
+
+
+@query("table_versions", "SELECT 1 AS version, count(*) AS n, sum(det_id)::BIGINT AS ids FROM {det} UNION ALL SELECT 2, count(*), sum(det_id)::BIGINT FROM {det} WHERE w * h >= 20 UNION ALL SELECT 3, count(*), sum(det_id)::BIGINT FROM (SELECT det_id FROM {det} WHERE w * h >= 20 UNION ALL SELECT det_id FROM {det} WHERE w * h < 5)")
+def table_versions(t: Tables) -> DataFrame:
+    """A table overwritten in place by what an area gate leaves of it, then appended to; every version can still be read."""
+    versions.register(t.spark)
+    root = f"{shared_dir(t.spark)}/versions-{uuid.uuid4().hex}"
+    put = lambda rows, mode: rows.write.format("versioned").mode(mode).save(root)
+    read = lambda n=None: (t.spark.read.format("versioned") if n is None else t.spark.read.format("versioned").option("version", n)).load(root)
+    rows = t.det.select("det_id", "w", "h")
+    put(rows, "append")
+    put(filters.area_filter(read(), 20), "overwrite")
+    put(rows.where("w * h < 5"), "append")
+    counts = [read(n).agg(F.count(F.lit(1)).alias("n"), F.sum("det_id").alias("ids")).select(F.lit(n).alias("version"), "n", "ids") for n in (1, 2)]
+    return counts[0].unionByName(counts[1]).unionByName(read().agg(F.count(F.lit(1)).alias("n"), F.sum("det_id").alias("ids")).select(F.lit(3).alias("version"), "n", "ids"))
+
+
+@query("log_appends", f"SELECT actor, grp, count(*) AS n, max(timestamp) AS latest FROM {_LOG} WHERE page_id % 13 > 0 GROUP BY ALL")
+def log_appends(t: Tables) -> DataFrame:
+    """A change log appended to twice, read as a whole; broken lines are passed over."""
+    return tables.parse_change_log(t.spark.read.format("linelog").load(_appended(t)).select("value")).groupBy("meta.actor", "meta.grp").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("latest"))
+
+
+@query("live_log", f"SELECT actor, count(*) AS n, count(DISTINCT timestamp) AS times FROM {_LOG} WHERE page_id % 13 > 0 GROUP BY 1")
+def live_log(t: Tables) -> DataFrame:
+    """The log as a stream, run after each append with one checkpoint: every line comes once."""
+    target = f"{shared_dir(t.spark)}/log-{uuid.uuid4().hex}"
+
+    def run(path: str) -> None:
+        lines = t.spark.readStream.format("linelog").load(path)
+        streams.ingest_new_files(tables.parse_change_log(lines.select("value")), f"{target}/rows", f"{target}/checkpoint").awaitTermination()
+
+    _appended(t, run)
+    return t.spark.read.parquet(f"{target}/rows").groupBy("meta.actor").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("timestamp").alias("times"))
+
+
+def _appended(t: Tables, after: Callable[[str], None] | None = None) -> str:
+    """The change log's lines in two appends; ``after`` is called behind each."""
+    versions.register(t.spark)
+    path = f"{shared_dir(t.spark)}/log-{uuid.uuid4().hex}"
+    for k in (0, 1):
+        _log_lines(t.video.where(F.col("page_id") % 2 == k)).write.format("linelog").mode("append").save(path)
+        if after:
+            after(path)
+    return path
+
+
 @query("snapshot_scan")
 def snapshot_scan(t: Tables) -> DataFrame:
     return tables.snapshot(t.spark, t.sf_dir)
@@ -80,25 +144,22 @@ def resolve_by_priority(t: Tables) -> DataFrame:
     return tables.resolve_by_priority(files, rules)
 
 
-_LOG = """(SELECT page_id, '2025-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || 'T' || lpad((page_id % 24)::VARCHAR, 2, '0') AS timestamp, CASE page_id % 5 WHEN 0 THEN 'cleaner' ELSE 'ingestor' END AS actor, page_id % 7 = 0 AS dry_run, grp, page_id % 11 = 0 AS had_error FROM {video})"""
-
-
-def _log_lines(t: Tables) -> DataFrame:
+def _log_lines(videos: DataFrame) -> DataFrame:
     """A change log in JSON lines, every 13th line broken."""
     stamp = F.expr("concat('2025-01-', lpad(cast(page_id % 28 + 1 AS string), 2, '0'), 'T', lpad(cast(page_id % 24 AS string), 2, '0'))")
     meta = F.struct(F.expr("CASE page_id % 5 WHEN 0 THEN 'cleaner' ELSE 'ingestor' END").alias("actor"), F.expr("page_id % 7 = 0").alias("dry_run"), "grp", F.array(F.expr("concat('v', page_id % 40)"), F.expr("concat('v', page_id % 9)")).alias("pairs"))
     line = F.to_json(F.struct(stamp.alias("timestamp"), meta.alias("meta"), F.expr("page_id % 11 = 0").alias("had_error")))
-    return t.video.select(F.when(F.col("page_id") % 13 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    return videos.select(F.when(F.col("page_id") % 13 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
 
 
 @query("changelog_scan", f"SELECT timestamp, actor, dry_run, grp, had_error FROM {_LOG} WHERE page_id % 13 > 0")
 def changelog_scan(t: Tables) -> DataFrame:
-    return tables.parse_change_log(_log_lines(t)).select("timestamp", "meta.actor", "meta.dry_run", "meta.grp", "had_error")
+    return tables.parse_change_log(_log_lines(t.video)).select("timestamp", "meta.actor", "meta.dry_run", "meta.grp", "had_error")
 
 
 @query("ingest_index", f"SELECT grp, video, max(timestamp) AS timestamp FROM (SELECT *, unnest(['v' || page_id % 40, 'v' || page_id % 9]) AS video FROM {_LOG}) WHERE page_id % 13 > 0 AND NOT dry_run AND actor = 'ingestor' AND NOT had_error GROUP BY ALL")
 def ingest_index(t: Tables) -> DataFrame:
-    return tables.ingest_index(tables.parse_change_log(_log_lines(t)), ("ingestor",))
+    return tables.ingest_index(tables.parse_change_log(_log_lines(t.video)), ("ingestor",))
 
 
 def _written(t: Tables, name: str, rows: DataFrame) -> str:

@@ -6,6 +6,7 @@ once all input is in. Event time is ``ts`` (timestamp).
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.tracks import assign
+from ..operators.tracks import Linker
 
 
 def event_time(rows: DataFrame, column: str = "ts") -> DataFrame:
@@ -72,15 +73,17 @@ def ingest_new_files(stream: DataFrame, target: str, checkpoint: str) -> Streami
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: A detection as it waits in the state: id, x, y.
+POINT = struct.Struct("<qdd")
 TRACKED = "video_id long, obj_id long, det_id long, t long, track_id long"
 
 
 class TrackLinker(StatefulProcessor):
     """Links a key's detections to tracks as time goes on.
 
-    Rows wait in a buffer until the watermark passes their frame, so that order within it does not matter;
-    then frames are linked one by one, and tracks older than the gap close. State is the buffer and the
-    open tracks of the key.
+    Rows wait, frame by frame, until the watermark passes their frame, so that order within it does not matter; then
+    that frame's timer links it to the open tracks and lets it go. State is a map of frames and the open
+    tracks of the key; what a timer reads and writes is its own frame and these tracks.
     """
 
     def __init__(self, max_gap: int, radius: float, frame_ms: int) -> None:
@@ -88,33 +91,27 @@ class TrackLinker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", "det_id long, t long, x double, y double")
+        self.frames = handle.getMapState("frames", "t long", "points binary")
         self.open = handle.getListState("open", "track long, t long, x double, y double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         for part in rows:
-            for r in part[["det_id", "t", "x", "y"]].itertuples(index=False):
-                self.buffer.appendValue((int(r.det_id), int(r.t), float(r.x), float(r.y)))
-                self.handle.registerTimer((int(r.t) + 1) * self.frame_ms)
+            for t, frame in part.groupby("t"):
+                points = b"".join(POINT.pack(*p) for p in frame[["det_id", "x", "y"]].itertuples(index=False))
+                known = self.frames.containsKey((int(t),))
+                self.frames.updateValue((int(t),), ((bytes(self.frames.getValue((int(t),))[0]) if known else b"") + points,))
+                if not known:
+                    self.handle.registerTimer((int(t) + 1) * self.frame_ms)
         yield pd.DataFrame({c.split()[0]: [] for c in TRACKED.split(", ")})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        end = expiredTimerInfo.getExpiryTimeInMs() // self.frame_ms
-        held = sorted(self.buffer.get(), key=lambda r: (r[1], r[0]))
-        ready = [r for r in held if r[1] < end]
-        active = [{"track": a[0], "t": a[1], "x": a[2], "y": a[3]} for a in self.open.get()]
-        out = []
-        for t in sorted({r[1] for r in ready}):
-            active = [a for a in active if t - a["t"] <= self.max_gap]
-            points = [(r[0], r[2], r[3]) for r in ready if r[1] == t]
-            for (det, x, y), track in assign(active, points, t, self.max_gap, self.radius):
-                if track is None:
-                    track = {"track": det}
-                    active.append(track)
-                track.update(t=t, x=x, y=y)
-                out.append((key[0], key[1], det, t, track["track"]))
-        for state, rows in ((self.buffer, [r for r in held if r[1] >= end]), (self.open, [(a["track"], a["t"], a["x"], a["y"]) for a in active])):
-            state.put(rows) if rows else state.clear()
+        t = expiredTimerInfo.getExpiryTimeInMs() // self.frame_ms - 1
+        points = sorted(POINT.iter_unpack(bytes(self.frames.getValue((t,))[0])))
+        self.frames.removeKey((t,))
+        linker = Linker(self.max_gap, self.radius)
+        linker.open = [{"track": a[0], "t": a[1], "x": a[2], "y": a[3]} for a in self.open.get()]
+        out = [(key[0], key[1], det, t, track) for det, track in linker.frame(t, points)]
+        self.open.put([(a["track"], a["t"], a["x"], a["y"]) for a in linker.open])
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")])
 
     def close(self) -> None:

@@ -172,12 +172,12 @@ def plain_regions(pixels, cut):
                                 todo.append((i, j))
                 ys, xs = map(np.array, zip(*cells, strict=True))
                 v = pixels[ys, xs]
-                out.append((xs.min(), ys.min(), np.ptp(xs) + 1, np.ptp(ys) + 1, round((xs * v).sum() / v.sum(), 6), round((ys * v).sum() / v.sum(), 6), round(pixels[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1].max() / 255, 6)))
+                out.append((xs.min(), ys.min(), np.ptp(xs) + 1, np.ptp(ys) + 1, round((xs * v).sum() / v.sum(), 5), round((ys * v).sum() / v.sum(), 5), round(pixels[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1].max() / 255, 6)))
     return out
 
 
 def found_boxes(df):
-    return sorted((r.video_id, r.t, r.x, r.y, r.w, r.h, round(r.cx, 6), round(r.cy, 6), round(r.confidence, 6)) for r in df.collect())
+    return sorted((r.video_id, r.t, r.x, r.y, r.w, r.h, round(r.cx, 5), round(r.cy, 5), round(r.confidence, 6)) for r in df.collect())
 
 
 @pytest.fixture(scope="module")
