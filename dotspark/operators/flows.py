@@ -135,16 +135,17 @@ def group_report(gt: DataFrame, models: dict[str, DataFrame], baselines: DataFra
     by model and group.
     """
     names = list(models)
-    # The model goes into the video key, so that one matching serves all of them.
-    key = lambda df, k: df.withColumn("video_id", F.col("video_id") * len(names) + k)
+    # The model goes into the video key, as text before it, so that one matching serves all of them.
+    kind = gt.schema["video_id"].dataType
+    key = lambda df, k: df.withColumn("video_id", F.concat(F.lit(f"{k}:"), F.col("video_id").cast("string")))
     truth, shown = None, None
     for k, name in enumerate(names):
         g, p = key(gt, k).select(*KEYS, "gt_id", "x", "y"), key(models[name], k).select(*KEYS, "det_id", "x", "y")
         truth, shown = (g, p) if truth is None else (truth.unionByName(g), shown.unionByName(p))
     counts = metrics.frame_counts(truth, shown, radius).groupBy("video_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), F.sum("n_pred").alias("n_pred"))
-    model = F.element_at(F.array(*[F.lit(m) for m in names]), (F.pmod(F.col("video_id"), F.lit(len(names))) + 1).cast("int"))
+    model = F.element_at(F.array(*[F.lit(m) for m in names]), F.split_part("video_id", F.lit(":"), F.lit(1)).cast("int") + 1)
     none = F.col("n_pred") == 0
-    rows = counts.select(model.alias("model"), F.floor(F.col("video_id") / len(names)).alias("video_id"), F.when(none, "error").otherwise("ok").alias("status"), F.when(none, "no predictions").alias("error"), *(F.when(~none, F.col(c)).alias(c) for c in ("tp", "fp", "fn")))
+    rows = counts.select(model.alias("model"), F.regexp_replace("video_id", "^[0-9]+:", "").cast(kind).alias("video_id"), F.when(none, "error").otherwise("ok").alias("status"), F.when(none, "no predictions").alias("error"), *(F.when(~none, F.col(c)).alias(c) for c in ("tp", "fp", "fn")))
     videos = gt.select("video_id", "grp").distinct()
     base = baselines.select("video_id", *(F.col(c).alias(f"base_{c}") for c in ("tp", "fp", "fn")))
     full = rows.join(videos, "video_id").join(base, "video_id", "left")

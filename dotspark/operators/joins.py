@@ -160,6 +160,18 @@ def box_overlaps(left: DataFrame, right: DataFrame, cell: float, left_id: str =
     return joined.where(meet).select(*KEYS, left_id, right_id).distinct()
 
 
+#: Rows of the smaller side of a spine.
+SPINE = 100_000
+
+
 def spine_missing(left: DataFrame, right: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
-    """Combinations of two small key tables that ``present`` lacks."""
-    return left.crossJoin(right).join(present.select(*keys).distinct(), keys, "left_anti")
+    """Combinations of two key tables that ``present`` lacks.
+
+    Every row meets every row of the smaller side, which is sent to all tasks; it is counted first and refused beyond
+    ``SPINE`` rows.
+    """
+    sizes = [side.limit(SPINE + 1).count() for side in (left, right)]
+    if min(sizes) > SPINE:
+        raise ValueError(f"both sides of a spine have more than {SPINE} rows")
+    whole = left.crossJoin(F.broadcast(right)) if sizes[1] <= sizes[0] else F.broadcast(left).crossJoin(right)
+    return whole.join(present.select(*keys).distinct(), keys, "left_anti")

@@ -378,7 +378,7 @@ def missing_outputs(t: Tables) -> DataFrame:
     """Per video the required outputs that are not there."""
     required = t.spark.sql("SELECT * FROM VALUES (0, 'fn'), (1, 'fp'), (2, 'summary') AS o(k, name)")
     present = t.video.crossJoin(F.broadcast(required)).where("NOT ((page_id + k) % 3 = 0 OR page_id % 7 = k)").select("page_id", "name")
-    return joins.spine_missing(t.video.select("page_id"), F.broadcast(required.select("name")), present, ["page_id", "name"]).groupBy("page_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("missing"))
+    return joins.spine_missing(t.video.select("page_id"), required.select("name"), present, ["page_id", "name"]).groupBy("page_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("missing"))
 
 
 # --- D: rollups ------------------------------------------------------------------------------------------
