@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geometry, scores
 from ..operators import datasets, dedupe, detectors, flows, metrics
 from ..sources.scratch import materialise
-from .components import _REGIONS
+from .components import _REGIONS, _comp
 from .matches import GREEDY
 from .registry import SIDE, Tables, query
 
@@ -230,7 +230,8 @@ def flow_labels(t: Tables) -> DataFrame:
     return flows.ingest_labels(lines, images, held, "web")[1]
 
 
-@query("flow_corrections")
+@query("flow_corrections", f"""WITH {_comp("(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, t, x, y, w, h ORDER BY det_id % 2, det_id) AS o FROM {det}) WHERE o = 1)", 9)}
+    SELECT det_id, video_id, t, x, y FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY weight DESC, det_id) AS n FROM c) WHERE n = 1""")
 def flow_corrections(t: Tables) -> DataFrame:
     rows = t.det.select("det_id", "video_id", "t", "x", "y", "w", "h", "weight", (F.col("det_id") % 2).alias("source_rank"))
     return dedupe.merge_corrections(rows, 3.0, ["x", "y", "w", "h"])[0].select("det_id", "video_id", "t", "x", "y")

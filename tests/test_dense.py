@@ -278,7 +278,7 @@ def plain_links(part, max_gap, radius):
     """Greedy linking with all pairs of a frame."""
     active, out = [], {}
     for t, frame in part.sort_values(["t", "det_id"]).groupby("t"):
-        points = frame[["det_id", "x", "y"]].values.tolist()
+        points = list(zip(frame["det_id"].tolist(), frame["x"].tolist(), frame["y"].tolist(), strict=True))
         pairs = sorted((math.hypot(x - a[2], y - a[3]) + 0.5 * (t - a[1]), i, a[0]) for i, (_, x, y) in enumerate(points) for a in active if 0 < t - a[1] <= max_gap and math.hypot(x - a[2], y - a[3]) <= radius * max(1, t - a[1]))
         linked, used = {}, set()
         for _, i, name in pairs:
@@ -286,9 +286,9 @@ def plain_links(part, max_gap, radius):
                 linked[i] = name
                 used.add(name)
         for i, (det, x, y) in enumerate(points):
-            name = linked.get(i, int(det))
+            name = linked.get(i, det)
             active = [a for a in active if a[0] != name] + [(name, t, x, y)]
-            out[int(det)] = name
+            out[det] = name
     return out
 
 
