@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry, pixels, scores
-from ..sources import tables
+from ..sources import tables, versions
 from ..sources.scratch import materialise
 from . import datasets, dedupe, detectors, filters, joins, matching, metrics, regions, sets, tracks
 from .matching import KEYS
@@ -172,6 +172,20 @@ def ingest(annotations: DataFrame, stems: DataFrame, done: DataFrame, frames: Da
     return sets.keyed_append(existing, fresh, ["name"], ["class"])
 
 
+def record_index(index: DataFrame, root: str, actor: str, timestamp: str) -> int:
+    """Put a data set's index in place as the next version below ``root`` and append a line to its change log; the version.
+
+    Who begins from the same version and commits later fails, and then logs nothing.
+    """
+    spark = index.sparkSession
+    versions.register(spark)
+    index.write.format("versioned").mode("overwrite").save(f"{root}/index")
+    found = versions.current(f"{root}/index")
+    line = F.to_json(F.struct(F.lit(found["version"]).alias("version"), F.lit(timestamp).alias("timestamp"), F.struct(F.lit(actor).alias("actor"), F.lit(False).alias("dry_run")).alias("meta"), F.lit(False).alias("had_error")))
+    spark.range(1).select(line.alias("value")).write.format("linelog").mode("append").save(f"{root}/log")
+    return found["version"]
+
+
 def ingest_labels(lines: DataFrame, images: DataFrame, existing: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     """Label ingest: the copy plan (path, stem, action, target) and one row of counts.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry, scores
 from ..operators import datasets, dedupe, detectors, flows, metrics
-from ..sources.scratch import materialise
+from ..sources.scratch import materialise, shared_dir
 from .components import _REGIONS, _comp
 from .matches import GREEDY
 from .registry import SIDE, Tables, query
@@ -191,35 +193,69 @@ _ANN = "(SELECT event_id, video || CASE event_id % 3 WHEN 0 THEN '' ELSE '_posit
 _OLD = "(SELECT DISTINCT ON (name) name, split, class FROM (SELECT x % 8 || '_' || y % 8 || '_' || t // 4 || '_' || event_id % 4 AS name, 'train' AS split, 'positive' AS class FROM {named} WHERE event_id % 6 = 0))"
 
 
-@query("flow_ingest", f"""WITH f AS (SELECT DISTINCT video_id, t FROM {_FR}), o AS (SELECT * FROM {_OLD}),
+_INGESTED = f"""WITH f AS (SELECT DISTINCT video_id, t FROM {_FR}), o AS (SELECT * FROM {_OLD}),
     a AS (SELECT * FROM {_ANN} WHERE w > 0 AND h > 0 AND video <> 'clip0_b0' AND video IN (SELECT video FROM {{named}} WHERE event_id % 7 > 1)),
     p AS (SELECT DISTINCT x || '_' || y || '_' || a.t || '_' || a.video_id AS name FROM a JOIN f ON f.video_id = a.video_id AND f.t = a.t),
     k AS (SELECT f.*, r.k FROM f ANTI JOIN a ON a.video_id = f.video_id AND a.t = f.t, range(0, 3) r(k)),
     n AS (SELECT DISTINCT video_id, t, ('0x' || substr(md5('nx:' || video_id || ':' || t || ':' || k), 1, 12))::BIGINT % 4 + 2 AS x, ('0x' || substr(md5('ny:' || video_id || ':' || t || ':' || k), 1, 12))::BIGINT % 4 + 2 AS y FROM k),
     c AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5('n:' || video_id || ':' || t || ':' || x || ':' || y)) AS i FROM n),
     g AS (SELECT DISTINCT x || '_' || y || '_' || t || '_' || c.video_id AS name FROM c JOIN (SELECT video_id, count(*) * 2 AS m FROM a GROUP BY 1) w ON w.video_id = c.video_id AND i <= m),
-    s AS (SELECT name, 'positive' AS class, row_number() OVER (ORDER BY md5('s:' || name)) AS i, (SELECT count(*) FROM p) AS m FROM p UNION ALL SELECT name, 'negative', row_number() OVER (ORDER BY md5('s:' || name)), (SELECT count(*) FROM g WHERE name NOT IN (SELECT name FROM p)) FROM g WHERE name NOT IN (SELECT name FROM p))
-    SELECT split, class, count(*) AS n FROM (SELECT split, class FROM o UNION ALL SELECT CASE WHEN i <= floor(m * 0.8::DOUBLE) THEN 'train' ELSE 'test' END, class FROM s WHERE name NOT IN (SELECT name FROM o)) GROUP BY ALL""")
+    s AS (SELECT name, 'positive' AS class, row_number() OVER (ORDER BY md5('s:' || name)) AS i, (SELECT count(*) FROM p) AS m FROM p UNION ALL SELECT name, 'negative', row_number() OVER (ORDER BY md5('s:' || name)), (SELECT count(*) FROM g WHERE name NOT IN (SELECT name FROM p)) FROM g WHERE name NOT IN (SELECT name FROM p))"""
+
+
+@query("flow_ingest", _INGESTED + """ SELECT split, class, count(*) AS n FROM (SELECT split, class FROM o UNION ALL SELECT CASE WHEN i <= floor(m * 0.8::DOUBLE) THEN 'train' ELSE 'test' END, class FROM s WHERE name NOT IN (SELECT name FROM o)) GROUP BY ALL""")
 def flow_ingest(t: Tables) -> DataFrame:
     """Annotations paired with videos, done ones skipped, patches cut, negatives made, split and appended; then counts by split and class."""
+    return _index(t)[1].groupBy("split", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("flow_ingest_log", _INGESTED + """ SELECT version, actor, n_rows, n_positive, count(*) AS logged FROM (SELECT 1 AS version, 'seed' AS actor, count(*) AS n_rows, count(*) AS n_positive FROM o
+    UNION ALL SELECT 2, 'ingestor', count(*), count_if(class = 'positive') FROM (SELECT class FROM o UNION ALL SELECT class FROM s WHERE name NOT IN (SELECT name FROM o))) GROUP BY ALL""")
+def flow_ingest_log(t: Tables) -> DataFrame:
+    """The index kept as a table in versions, and a change log with a line for each: the log's lines with what their version holds."""
+    root = f"{shared_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
+    old, new = _index(t)
+    flows.record_index(old, root, "seed", "2025-01-01T00:00:00")
+    flows.record_index(new, root, "ingestor", "2025-01-02T00:00:00")
+    log = t.spark.read.format("linelog").load(f"{root}/log").select(F.from_json("value", "version int, timestamp string, meta struct<actor: string>").alias("r")).select("r.version", "r.meta.actor")
+    held = None
+    for n in (1, 2):
+        part = t.spark.read.format("versioned").option("version", n).load(f"{root}/index").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("class") == "positive").alias("n_positive")).withColumn("version", F.lit(n))
+        held = part if held is None else held.unionByName(part)
+    return log.join(held, "version").groupBy("version", "actor", "n_rows", "n_positive").agg(F.count(F.lit(1)).alias("logged"))
+
+
+def _index(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The index before and after an ingest."""
     n = t.named
     ann = n.select("event_id", F.expr("concat(video, CASE event_id % 3 WHEN 0 THEN '' ELSE '_positive' END)").alias("name"), F.expr("cast(event_id % 4 AS int)").alias("video_id"), F.expr("t div 4").alias("t"), F.expr("x % 8").alias("x"), F.expr("y % 8").alias("y"), "w", "h")
     stems = n.where("event_id % 7 > 1").select(F.col("video").alias("stem"))
     old = n.where("event_id % 6 = 0").select(F.expr("concat_ws('_', x % 8, y % 8, t div 4, event_id % 4)").alias("name"), F.lit("train").alias("split"), F.lit("positive").alias("class")).distinct()
-    index = flows.ingest(ann, stems, t.spark.sql("SELECT 'clip0_b0' AS stem"), _frames(t), old, SIDE, SIDE)
-    return index.groupBy("split", "class").agg(F.count(F.lit(1)).alias("n"))
+    return old, flows.ingest(ann, stems, t.spark.sql("SELECT 'clip0_b0' AS stem"), _frames(t), old, SIDE, SIDE)
 
 
 _LABELS = "(SELECT 's' || det_id % 700 AS stem, CASE WHEN det_id % 97 = 0 THEN '0 0.5' WHEN w > 0 AND h > 0 THEN printf('0 %.10f %.10f %.10f %.10f', (x + w / 2.0) / 50.0::DOUBLE, (y + h / 2.0) / 30.0::DOUBLE, w / 50.0::DOUBLE, h / 30.0::DOUBLE) ELSE '' END AS line FROM (SELECT det_id, greatest(x - 4, 0) AS x, greatest(y - 3, 0) AS y, least(x - 4 + w, 50) - greatest(x - 4, 0) AS w, least(y - 3 + h, 30) - greatest(y - 3, 0) AS h FROM {det}))"
 
 
-@query("flow_labels", f"""WITH l AS (SELECT stem, string_agg(line, chr(10) ORDER BY line) AS text, count_if(line = '0 0.5') AS issues FROM {_LABELS} GROUP BY 1),
+_PLANNED = f"""WITH l AS (SELECT stem, string_agg(line, chr(10) ORDER BY line) AS text, count_if(line = '0 0.5') AS issues FROM {_LABELS} GROUP BY 1),
     p AS (SELECT l.*, CASE WHEN substr(stem, 2)::INT % 9 > 0 THEN 'd/' || stem || '.png' END AS image FROM l), g AS (SELECT stem, sha2_ AS hash FROM (SELECT stem, sha256(image || '|' || text) AS sha2_ FROM p WHERE image IS NOT NULL AND issues = 0)),
-    e AS (SELECT stem, CASE WHEN substr(stem, 2)::INT % 2 = 0 THEN hash ELSE 'other' END AS held FROM g WHERE substr(stem, 2)::INT % 5 = 0)
-    SELECT (SELECT count(*) FROM p) AS label_files_found, (SELECT count(*) FROM p WHERE image IS NULL) AS missing_images, (SELECT count(*) FROM p WHERE issues > 0) AS bad_files,
+    e AS (SELECT stem, CASE WHEN substr(stem, 2)::INT % 2 = 0 THEN hash ELSE 'other' END AS held FROM g WHERE substr(stem, 2)::INT % 5 = 0)"""
+
+
+@query("flow_labels", _PLANNED + """ SELECT (SELECT count(*) FROM p) AS label_files_found, (SELECT count(*) FROM p WHERE image IS NULL) AS missing_images, (SELECT count(*) FROM p WHERE issues > 0) AS bad_files,
     (SELECT count(*) FROM g LEFT JOIN e USING (stem) WHERE held IS DISTINCT FROM hash) AS pairs_to_copy, (SELECT count(*) FROM g JOIN e USING (stem) WHERE held = hash) AS skipped_existing, (SELECT count(*) FROM g JOIN e USING (stem) WHERE held <> hash) AS renamed""")
 def flow_labels(t: Tables) -> DataFrame:
     """Label files of the boxes, paired with images and checked, then planned against what is there: the counts of the manifest."""
+    return _labels_ingested(t)[1]
+
+
+@query("flow_label_plan", _PLANNED + " SELECT 'labels/' || stem AS path, stem, CASE WHEN held IS NULL THEN 'copy' WHEN held = hash THEN 'skip' ELSE 'rename' END AS action, CASE WHEN held IS NULL THEN stem WHEN held <> hash THEN stem || '__src_web' END AS target FROM g LEFT JOIN e USING (stem)")
+def flow_label_plan(t: Tables) -> DataFrame:
+    """The plan itself: what is done with each label file, and under which name."""
+    return _labels_ingested(t)[0].select("path", "stem", "action", "target")
+
+
+def _labels_ingested(t: Tables) -> tuple[DataFrame, DataFrame]:
     box = geometry.box_to_norm(F.col("x") - 4, F.col("y") - 3, F.col("w"), F.col("h"), F.lit(50), F.lit(30))
     line = F.when(F.col("det_id") % 97 == 0, "0 0.5").otherwise(F.coalesce(F.concat(F.lit("0 "), box), F.lit("")))
     lines = t.det.select(F.expr("concat('s', det_id % 700)").alias("stem"), line.alias("line"))
@@ -227,7 +263,7 @@ def flow_labels(t: Tables) -> DataFrame:
     images = lines.select("stem").distinct().where(number % 9 > 0).select("stem", F.concat(F.lit("d/"), "stem", F.lit(".png")).alias("path"))
     files = lines.groupBy("stem").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text")).join(images, "stem")
     held = files.where(number % 5 == 0).select("stem", F.when(number % 2 == 0, F.sha2(F.concat_ws("|", "path", "text"), 256)).otherwise(F.lit("other")).alias("hash"))
-    return flows.ingest_labels(lines, images, held, "web")[1]
+    return flows.ingest_labels(lines, images, held, "web")
 
 
 @query("flow_corrections", f"""WITH {_comp("(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, t, x, y, w, h ORDER BY det_id % 2, det_id) AS o FROM {det}) WHERE o = 1)", 9)}
