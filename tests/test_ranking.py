@@ -23,7 +23,7 @@ def table(spark, tmp_path_factory):
     return frame, frame.toPandas()
 
 
-@pytest.fixture(params=[(8, "true"), (32, "false")], ids=str)
+@pytest.fixture(params=[(32, "true")], ids=str)
 def partitions(request, spark):
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.shuffle.partitions", request.param[0])
@@ -33,7 +33,7 @@ def partitions(request, spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("partitions", [(8, "true"), (32, "true"), (32, "false"), (200, "false")], indirect=True, ids=str)
+@pytest.mark.parametrize("partitions", [(8, "true"), (32, "false"), (200, "true")], indirect=True, ids=str)
 def test_positions(table, partitions):
     frame, rows = table
     for order in (["key"], ["score", "key"]):
