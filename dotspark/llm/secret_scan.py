@@ -23,6 +23,7 @@ TOKEN = r"[A-Za-z0-9+/_-]{16,}"
 #: Name, pattern, group of the value and its least length; the last kind is only added where it looks live.
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24), ("live", TOKEN, 0, 16))
 BASE = 3
+MATCHES = "array<struct<kind:int,no:int,gap:int,size:int,length:int,hash:string,random:boolean>>"
 #: Different characters that a random value has at least; owners and repositories that a live one has at most.
 DIFFERENT, OWNERS, REPOSITORIES = 8, 2, 10
 
@@ -36,7 +37,7 @@ def _matches(text: Column, kind: int) -> Column:
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= DIFFERENT)
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(sizes)).alias("gap"), sizes.alias("size"), of(group).alias("value"))
     each = F.transform(zipped, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("no"), m["gap"].alias("gap"), m["size"].alias("size"), F.length(m["value"]).alias("length"), F.sha2(m["value"], 256).alias("hash"), mixed(m["value"]).alias("random")))
-    return F.when(text.rlike(pattern), each).otherwise(F.slice(each, 1, 0))
+    return F.when(text.rlike(pattern), each).otherwise(F.array().cast(MATCHES))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
