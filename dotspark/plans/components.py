@@ -64,7 +64,21 @@ def _objects(t: Tables) -> DataFrame:
     return t.det.select("video_id", F.expr("det_id % 5").alias("obj_id"), "t", "det_id", F.expr("x / 4").alias("x"), F.expr("y / 4").alias("y"), F.col("weight"))
 
 
-@query("link_tracks")
+#: Linking step by step, within runs of an object's rows that no longer gap cuts: pairs of one row with earlier ones that cost the
+#: same are a step, in order of frame, cost and row; it takes the oldest of their tracks that was not continued yet.
+LINKED = """WITH RECURSIVE e AS (SELECT det_id, video_id * 5 + det_id % 5 AS obj, t, x / 4 AS x, y / 4 AS y, coalesce(t - lag(t) OVER (PARTITION BY video_id, det_id % 5 ORDER BY t, det_id) > 3, false) AS cut FROM {det}),
+    o AS (SELECT *, count_if(cut) OVER (PARTITION BY obj ORDER BY t, det_id) AS run FROM e),
+    c AS (SELECT p.obj, p.run, p.t, p.det_id AS p, d.det_id AS d, p.t - d.t AS gap, sqrt((p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y)) AS far FROM o p JOIN o d ON p.obj = d.obj AND p.run = d.run AND p.t - d.t BETWEEN 1 AND 3),
+    g AS (SELECT obj, run, p, list(d) AS ds, row_number() OVER (PARTITION BY obj, run ORDER BY t, far + 0.5::DOUBLE * gap, p) AS k FROM c WHERE far <= 8 * gap GROUP BY obj, run, t, p, far + 0.5::DOUBLE * gap),
+    walk AS (SELECT DISTINCT obj, run, 0::BIGINT AS k, []::BIGINT[] AS used, []::BIGINT[] AS ps, []::BIGINT[] AS names FROM o
+        UNION ALL SELECT w.obj, w.run, g.k, CASE WHEN b.hit THEN list_append(used, b.best.d) ELSE used END, CASE WHEN b.hit THEN list_append(ps, g.p) ELSE ps END, CASE WHEN b.hit THEN list_append(names, b.best.name) ELSE names END
+        FROM walk w JOIN g ON g.obj = w.obj AND g.run = w.run AND g.k = w.k + 1, LATERAL (SELECT f.best, f.best IS NOT NULL AND NOT list_contains(w.ps, g.p) AS hit FROM
+            (SELECT list_min(list_transform(list_filter(g.ds, lambda d: NOT list_contains(w.used, d)), lambda d: {'name': coalesce(w.names[list_position(w.ps, d)], d), 'd': d})) AS best) f) b),
+    l AS (SELECT unnest(ps) AS det_id, unnest(names) AS name FROM (SELECT ps, names, row_number() OVER (PARTITION BY obj, run ORDER BY k DESC) AS n FROM walk) WHERE n = 1)
+    SELECT o.det_id, coalesce(name, o.det_id) AS track_id FROM o LEFT JOIN l USING (det_id)"""
+
+
+@query("link_tracks", LINKED)
 def link_tracks(t: Tables) -> DataFrame:
     return tracks.link_tracks(_objects(t), 3, 8.0).select("det_id", "track_id")
 

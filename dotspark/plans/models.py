@@ -24,12 +24,23 @@ def detect_log(t: Tables) -> DataFrame:
     return detectors.detect(t.frame, "log", width=SIDE)
 
 
-@query("detect_rolling")
+#: Boxes of the regions of 8 by 8 frames ``fr`` above a level: centers weigh by value, the confidence is the greatest value in the box.
+_BOXES = """, b AS (SELECT video_id, t, min(i % 8) AS x, min(i // 8) AS y, max(i % 8) - min(i % 8) + 1 AS w, max(i // 8) - min(i // 8) + 1 AS h, sum(v * (i % 8)) / sum(v)::DOUBLE AS cx, sum(v * (i // 8)) / sum(v)::DOUBLE AS cy FROM lab GROUP BY video_id, t, root)
+    SELECT b.*, list_max(list_transform(list_filter(range(0, 64), lambda i: i % 8 BETWEEN b.x AND b.x + b.w - 1 AND i // 8 BETWEEN b.y AND b.y + b.h - 1), lambda i: fr.pixels[i + 1])) / 255::DOUBLE AS confidence FROM b JOIN fr ON fr.video_id = b.video_id AND fr.t = b.t"""
+_MOVING = _REGIONS.replace("RECURSIVE ", "").replace("{op} 150", "> 40").replace("{frame}", "fr") + _BOXES
+
+
+@query("detect_rolling", """WITH RECURSIVE v AS (SELECT video_id, t, r.i::INT AS i, pixels[r.i + 1] AS p FROM {frame}, range(0, 64) r(i)),
+    m AS (SELECT *, avg(p) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean, row_number() OVER w AS k FROM v WINDOW w AS (PARTITION BY video_id, i ORDER BY t)),
+    fr AS (SELECT video_id, t, list(greatest(0, floor(p - mean))::INT ORDER BY i) AS pixels FROM m WHERE k > 5 GROUP BY ALL), """ + _MOVING)
 def detect_rolling(t: Tables) -> DataFrame:
     return detectors.detect(t.frame, "rolling", width=SIDE)
 
 
-@query("detect_ewma")
+@query("detect_ewma", """WITH RECURSIVE f AS (SELECT video_id, t, pixels, row_number() OVER (PARTITION BY video_id ORDER BY t) AS k FROM {frame}),
+    s AS (SELECT video_id, t, k, pixels, list_transform(pixels, lambda p: p::DOUBLE) AS state, NULL::DOUBLE[] AS mean FROM f WHERE k = 1
+        UNION ALL SELECT f.video_id, f.t, f.k, f.pixels, list_transform(list_zip(s.state, f.pixels), lambda z: (1 - 0.2::DOUBLE) * z[1] + 0.2::DOUBLE * z[2]), s.state FROM s JOIN f ON f.video_id = s.video_id AND f.k = s.k + 1),
+    fr AS (SELECT video_id, t, list_transform(list_zip(pixels, mean), lambda z: greatest(0, floor(z[1] - z[2]))::INT) AS pixels FROM s WHERE k > 1), """ + _MOVING)
 def detect_ewma(t: Tables) -> DataFrame:
     return detectors.detect(t.frame, "ewma", width=SIDE)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import shared_dir
 from ..streaming import streams
-from .components import _objects
+from .components import LINKED, _objects
 from .registry import ORACLES, Tables, query
 
 
@@ -128,7 +128,7 @@ def live_ingest(t: Tables) -> DataFrame:
     return t.spark.read.parquet(target).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("live_link_tracks")
+@query("live_link_tracks", LINKED)
 def live_link_tracks(t: Tables) -> DataFrame:
     """Tracks linked by state and timers as frames come in; equal to ``link_tracks`` on the table."""
     rows = _objects(t).select("video_id", "obj_id", "det_id", "t", "x", "y").withColumn("t", F.col("t") + 473352).withColumn("ts", F.timestamp_millis(F.col("t") * 3600000))
