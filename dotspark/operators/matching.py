@@ -10,10 +10,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.scratch import materialise
+from . import greedy
 
 KEYS = ["video_id", "t"]
 
@@ -34,43 +37,141 @@ def distance_pairs(left: DataFrame, right: DataFrame, radius: float, left_id: st
     return a.join(b, [*KEYS, "_cx", "_cy"]).select(*KEYS, left_id, right_id, d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
 
-def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk sorted pairs, frame by frame, and keep those with both ends free; state lasts for one frame."""
-    frame, left, right = None, set(), set()
+def whole_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole frames, and where each frame begins, from batches that are sorted by frame."""
+
+    def cuts(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(max(rows.num_rows - 1, 0), bool)
+        for k in KEYS:
+            codes = rows[k].combine_chunks().dictionary_encode(null_encoding="encode")
+            codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy()
+            new |= codes[1:] != codes[:-1]
+        return np.flatnonzero(new) + 1
+
+    def run(parts: list[pa.Table]) -> tuple[pa.Table, np.ndarray]:
+        whole = pa.concat_tables(parts).combine_chunks()
+        return whole, np.concatenate([[0], cuts(whole)])
+
+    held, last = [], None
     for batch in batches:
-        keep = []
-        for v, t, g, d in zip(*(batch[c].tolist() for c in (*KEYS, "gt_id", "det_id")), strict=True):
-            if (v, t) != frame:
-                frame, left, right = (v, t), set(), set()
-            free = g not in left and d not in right
-            keep.append(free)
-            if free:
-                left.add(g)
-                right.add(d)
-        yield batch[keep]
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        own = lambda n: tuple(part[k][n].as_py() for k in KEYS)  # noqa: B023, E731
+        ends = cuts(part)
+        # The last frame may go on in the next batch.
+        cut = int(ends[-1]) if len(ends) else 0
+        if cut or (held and own(0) != last):
+            if cut:
+                held.append(part.slice(0, cut))
+            yield run(held)
+            held = []
+        held.append(part.slice(cut))
+        last = own(part.num_rows - 1)
+    if held:
+        yield run(held)
+
+
+def _points(gt: DataFrame, preds: DataFrame) -> DataFrame:
+    """Both sides' points, by frames that are dealt to tasks and sorted there by Spark, each side by its id."""
+    g = gt.select(*KEYS, F.lit(0).alias("_side"), "gt_id", F.lit(None).cast(preds.schema["det_id"].dataType).alias("det_id"), "x", "y")
+    p = preds.select(*KEYS, F.lit(1).alias("_side"), F.lit(None).cast(gt.schema["gt_id"].dataType).alias("gt_id"), "det_id", "x", "y")
+    return g.unionByName(p).repartition(*KEYS).sortWithinPartitions(*KEYS, "_side", "gt_id", "det_id")
+
+
+class _Matched:
+    """The greedy matching of a table of whole frames: row numbers ``left`` and ``right`` of the pairs, and ``d2``."""
+
+    def __init__(self, rows: pa.Table, starts: np.ndarray, radius: float) -> None:
+        self.rows, self.starts, self.ends = rows, starts, np.append(starts[1:], rows.num_rows)
+        self.side = rows["_side"].to_numpy()
+        x, y = (rows[c].cast(pa.float64()).to_numpy() for c in "xy")
+        # Equal ids of a side stand next to each other; ``id`` numbers the different ones.
+        same = np.zeros(rows.num_rows, bool)
+        for c in ("gt_id", "det_id"):
+            column = rows[c].combine_chunks()
+            same[1:] |= pc.fill_null(pc.equal(column.slice(1), column.slice(0, len(column) - 1)), False).to_numpy(zero_copy_only=False)
+        same[starts] = False
+        self.id = np.cumsum(~same)
+        known = np.logical_and.reduce([rows[k].is_valid().to_numpy() for k in KEYS])
+        self.middle = starts + np.add.reduceat((self.side == 0).astype(np.int64), starts)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, m, b in zip(self.starts.tolist(), self.middle.tolist(), self.ends.tolist(), strict=True):
+            if a < m < b and known[a]:
+                sides = x[a:m], y[a:m], x[m:b], y[m:b], radius
+                i, j = greedy.in_plain(*sides, self.id[a:m], self.id[m:b]) if same[a:b].any() else greedy.by_distance(*sides)
+                left.append(i + a)
+                right.append(j + m)
+        self.left, self.right = np.concatenate(left), np.concatenate(right)
+        dx, dy = x[self.left] - x[self.right], y[self.left] - y[self.right]
+        self.d2, self.repeated = dx * dx + dy * dy, same.any()
+
+    def pairs(self) -> pa.Table:
+        ids = self.rows.take(self.right)["det_id"]
+        return self.rows.take(self.left).select([*KEYS, "gt_id"]).append_column("det_id", ids).append_column("d2", pa.array(self.d2))
+
+    def counts(self) -> pa.Table:
+        tp = np.bincount(np.searchsorted(self.starts, self.left, "right") - 1, minlength=len(self.starts))
+        out = self.rows.take(self.starts).select(KEYS)
+        for name, n in (("n_gt", self.middle - self.starts), ("n_pred", self.ends - self.middle), ("tp", tp)):
+            out = out.append_column(name, pa.array(n.astype(np.int64)))
+        return out
+
+    def all(self) -> pa.Table:
+        """Pairs, and the rows of either side whose id has none. A matched id that several rows share brings all of them."""
+        left, right, d2 = self.left, self.right, self.d2
+        free = ~np.isin(self.id, self.id[np.concatenate([left, right])])
+        if self.repeated:
+            last = np.searchsorted(self.id, self.id, "right")
+            first = np.searchsorted(self.id, self.id, "left")
+            many = [(p, q, d) for i, j, d in zip(left, right, d2, strict=True) for p in range(first[i], last[i]) for q in range(first[j], last[j])]
+            left, right, d2 = (np.array(c) for c in zip(*many, strict=True)) if many else (left, right, d2)
+        miss, alarm = np.flatnonzero(free & (self.side == 0)), np.flatnonzero(free & (self.side == 1))
+        none = lambda n: np.full(n, -1, np.int64)
+        g, p = np.concatenate([left, miss, none(len(alarm))]), np.concatenate([right, none(len(miss)), alarm])
+        take = lambda at, c: self.rows[c].combine_chunks().take(pa.array(at, mask=at < 0))
+        out = {k: take(np.where(g < 0, p, g), k) for k in KEYS} | {"gt_id": take(g, "gt_id"), "det_id": take(p, "det_id")}
+        out |= {"gt_x": take(g, "x"), "gt_y": take(g, "y"), "pred_x": take(p, "x"), "pred_y": take(p, "y")}
+        far = np.concatenate([d2, np.zeros(len(miss) + len(alarm))])
+        outcome = np.repeat(["tp", "fn", "fp"], [len(d2), len(miss), len(alarm)])
+        return pa.table({"outcome": pa.array(outcome, pa.string())} | out | {"d2": pa.array(far, mask=(g < 0) | (p < 0))})
+
+
+def _matched(points: DataFrame, radius: float, form: str, schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_frames(batches):
+            yield from getattr(_Matched(rows, starts, radius), form)().to_batches(max_chunksize=1 << 16)
+
+    return points.mapInArrow(run, schema)
+
+
+def _kinds(points: DataFrame, *columns: str) -> str:
+    return ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def greedy_match(gt: DataFrame, preds: DataFrame, radius: float) -> DataFrame:
     """(video_id, t, gt_id, det_id, d2) of the greedy one-to-one matching of each frame.
 
-    Pairs are taken nearest first, ties by gt id and det id. A pair whose ends have no other partner is
-    matched in SQL; only contested ones are walked in Python. As pairs come nearest first, the
-    matching at a smaller radius is the part of this one within it: one pass serves every threshold.
+    Pairs are taken nearest first, ties by gt id and det id. As pairs come nearest first, the matching at a smaller
+    radius is the part of this one within it: one pass serves every threshold. Only the points are shuffled; a frame's
+    pairs are found where its points are, between places and at widening radii (see ``greedy``), so that a frame costs about
+    its points and not their pairs.
     """
-    pairs = distance_pairs(gt, preds, radius)
-    by = lambda c: F.count(F.lit(1)).over(_window(c))
-    marked = pairs.withColumn("_g", by("gt_id")).withColumn("_d", by("det_id"))
-    lone = marked.where("_g = 1 AND _d = 1").drop("_g", "_d")
-    contested = marked.where("_g > 1 OR _d > 1").drop("_g", "_d")
-    # Frames are dealt to partitions and sorted there by Spark; Python sees a stream of pairs, not groups.
-    walked = contested.repartition(*KEYS).sortWithinPartitions(*KEYS, "d2", "gt_id", "det_id").mapInPandas(_greedy, pairs.schema)
-    return lone.unionByName(walked)
+    points = _points(gt, preds)
+    return _matched(points, radius, "pairs", _kinds(points, *KEYS, "gt_id", "det_id") + ", d2 double")
+
 
+def greedy_counts(gt: DataFrame, preds: DataFrame, radius: float) -> DataFrame:
+    """(video_id, t, n_gt, n_pred, tp) of that matching, one row per frame of either side."""
+    points = _points(gt, preds)
+    return _matched(points, radius, "counts", _kinds(points, *KEYS) + ", n_gt long, n_pred long, tp long")
 
-def _window(column: str):  # noqa: ANN202
-    from pyspark.sql import Window
 
-    return Window.partitionBy(*KEYS, column)
+def greedy_outcomes(gt: DataFrame, preds: DataFrame, radius: float) -> DataFrame:
+    """(outcome, video_id, t, gt_id, det_id, gt_x, gt_y, pred_x, pred_y, d2) of that matching (tp) and of the rows without a partner (fn, fp), in one pass."""
+    points = _points(gt, preds)
+    x, y = (points.schema[c].dataType.simpleString() for c in "xy")
+    return _matched(points, radius, "all", "outcome string, " + _kinds(points, *KEYS, "gt_id", "det_id") + f", gt_x {x}, gt_y {y}, pred_x {x}, pred_y {y}, d2 double")
 
 
 def by_frame(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scores import f1, ratio
-from .matching import KEYS, greedy_match
+from .matching import KEYS, greedy_counts, greedy_match, greedy_outcomes
 from .ranking import running
 
 THRESHOLDS = tuple(float(n) for n in range(1, 11))
@@ -36,21 +36,13 @@ def threshold_metrics(gt: DataFrame, preds: DataFrame, thresholds: tuple[float,
 
 def frame_counts(gt: DataFrame, preds: DataFrame, radius: float) -> DataFrame:
     """Per frame: n_gt, n_pred, tp, fp, fn."""
-    one = lambda rows, **v: rows.select(*KEYS, *(F.lit(v.get(k, 0)).alias(k) for k in ("n_gt", "n_pred", "tp")))
-    every = one(gt, n_gt=1).unionByName(one(preds, n_pred=1)).unionByName(one(greedy_match(gt, preds, radius), tp=1))
-    summed = every.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("n_gt", "n_pred", "tp")))
-    return summed.withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_gt") - F.col("tp"))
+    return greedy_counts(gt, preds, radius).withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_gt") - F.col("tp"))
 
 
 def outcomes(gt: DataFrame, preds: DataFrame, radius: float) -> DataFrame:
     """TP, FP and FN rows with both ids and coordinates where they exist."""
-    matches = greedy_match(gt, preds, radius)
-    g = gt.select(*KEYS, "gt_id", F.col("x").alias("gt_x"), F.col("y").alias("gt_y"))
-    p = preds.select(*KEYS, "det_id", F.col("x").alias("pred_x"), F.col("y").alias("pred_y"))
-    both = matches.join(g, [*KEYS, "gt_id"]).join(p, [*KEYS, "det_id"]).withColumn("outcome", F.lit("tp"))
-    fn = g.join(matches, [*KEYS, "gt_id"], "left_anti").withColumn("outcome", F.lit("fn"))
-    fp = p.join(matches, [*KEYS, "det_id"], "left_anti").withColumn("outcome", F.lit("fp"))
-    return both.unionByName(fn, True).unionByName(fp, True).select("outcome", *KEYS, "gt_id", "det_id", "gt_x", "gt_y", "pred_x", "pred_y", F.sqrt("d2").alias("distance"))
+    rows = greedy_outcomes(gt, preds, radius)
+    return rows.select("outcome", *KEYS, "gt_id", "det_id", "gt_x", "gt_y", "pred_x", "pred_y", F.sqrt("d2").alias("distance"))
 
 
 def best_threshold(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -227,8 +227,10 @@ def frame_union(t: Tables) -> DataFrame:
 def recompose(t: Tables) -> DataFrame:
     """Ground truth is hits and misses, predictions are hits and false alarms."""
     o = metrics.outcomes(t.gt, t.pred, 10.0)
-    gt = o.where("outcome IN ('tp', 'fn')").select(F.lit("gt").alias("side"), F.col("gt_id").alias("id"), F.col("gt_x").alias("x"), F.col("gt_y").alias("y"))
-    return gt.unionByName(o.where("outcome IN ('tp', 'fp')").select(F.lit("pred").alias("side"), F.col("det_id").alias("id"), F.col("pred_x").alias("x"), F.col("pred_y").alias("y")))
+    # Both sides of a row at once, so that frames are matched once.
+    side = lambda name, key, p: F.struct(F.lit(name).alias("side"), F.col(key).alias("id"), F.col(f"{p}_x").alias("x"), F.col(f"{p}_y").alias("y"))
+    sides = F.array(F.when(F.col("outcome") != "fp", side("gt", "gt_id", "gt")), F.when(F.col("outcome") != "fn", side("pred", "det_id", "pred")))
+    return o.select(F.explode(F.array_compact(sides)).alias("s")).select("s.*")
 
 
 _SCORED = "(SELECT doc_id, quality AS label, ((doc_id * 7919) % 97 + quality * 30) / 127.0::DOUBLE AS score FROM labels WHERE quality IS NOT NULL)"
