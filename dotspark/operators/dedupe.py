@@ -1,45 +1,100 @@
 """Component dedupe and proximity merges of detections.
 
 Tables have ``video_id``, ``t``, an id, ``x``, ``y`` and a weight. Everything is local to a frame, so the
-Python steps see one frame's contested rows at a time; rows without a neighbour stay in SQL.
+Python steps see one frame at a time, of components its places alone.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .matching import KEYS, by_frame, distance_pairs
 
 
-def _neighbours(rows: DataFrame, radius: float) -> DataFrame:
-    """(keys, a, b) of pairs with a < b at most ``radius`` apart."""
-    left, right = rows.withColumnRenamed("det_id", "a"), rows.withColumnRenamed("det_id", "b")
-    return distance_pairs(left, right, radius, "a", "b").where("a < b")
+#: Points of a cell that are tried against a neighbouring cell's before all of them are.
+TRIED = 8
 
 
-def _roots(edges: pd.DataFrame) -> pd.DataFrame:
-    """Smallest id of each id's component in one frame."""
-    parent: dict = {}
+def _linked(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+    """A number for each point, equal where chains of steps of at most ``radius`` lead from one point to the other.
 
-    def find(v):  # noqa: ANN001, ANN202
-        while parent.setdefault(v, v) != v:
+    Points of one cell are near each other, as its diagonal is the radius; of two cells it is enough to find one near pair. A few
+    points of each are tried first, the others only where that left the cells apart.
+    """
+    width = radius / np.sqrt(2) * (1 - 1e-6)
+    kx, ky = (np.floor((v - v.min()) / width).astype(np.int64) + 3 for v in (x, y))
+    span = int(ky.max()) + 6
+    cells, of = np.unique(kx * span + ky, return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    size = np.bincount(of)
+    start = np.cumsum(size) - size
+    parent = list(range(len(cells)))
+
+    def find(v: int) -> int:
+        while parent[v] != v:
             parent[v] = parent[parent[v]]
             v = parent[v]
         return v
 
-    for a, b in zip(edges["a"], edges["b"], strict=True):
-        x, y = find(a), find(b)
-        parent[max(x, y)] = min(x, y)
-    ids = sorted(parent)
-    return pd.DataFrame({"video_id": edges["video_id"].iloc[0], "t": edges["t"].iloc[0], "det_id": ids, "component": [find(v) for v in ids]})
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (x[i] - x[j]) * (x[i] - x[j]) + (y[i] - y[j]) * (y[i] - y[j]) <= radius * radius
+
+    left, right = [], []
+    for step in (dx * span + dy for dx in range(3) for dy in range(-2, 3) if dx or dy > 0):
+        at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
+        hit = np.flatnonzero(cells[at] == cells + step)
+        left.append(hit)
+        right.append(at[hit])
+    a, b = np.concatenate(left), np.concatenate(right)
+    for k in range(TRIED):
+        for m in range(TRIED):
+            some = np.flatnonzero((size[a] > k) & (size[b] > m))
+            for p in some[near(order[start[a[some]] + k], order[start[b[some]] + m])].tolist():
+                parent[find(int(a[p]))] = find(int(b[p]))
+    for p in np.flatnonzero((size[a] > TRIED) | (size[b] > TRIED)).tolist():
+        c, d = int(a[p]), int(b[p])
+        if find(c) != find(d):
+            others = order[start[d] : start[d] + size[d]]
+            for i in range(start[c], start[c] + size[c]):
+                if near(order[i], others).any():
+                    parent[find(c)] = find(d)
+                    break
+    return np.array([find(v) for v in range(len(cells))])[of]
+
+
+def _roots(places: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """A frame's places (x, y and the smallest ``_id`` there) with the smallest id of their component."""
+    x, y = places["x"].to_numpy(float), places["y"].to_numpy(float)
+    wide = max(np.ptp(x), np.ptp(y))
+    if radius > 0 and wide / radius < 1 << 29:
+        number = _linked(x, y, radius)
+    elif radius > 0:  # too wide for cells of that size: places so far apart are few
+        number = np.arange(len(x))
+        for i in range(len(x)):
+            close = (x - x[i]) * (x - x[i]) + (y - y[i]) * (y - y[i]) <= radius * radius
+            number[np.isin(number, number[close])] = number[close].min()
+    else:
+        number = np.arange(len(x))
+    return places[[*KEYS, "x", "y"]].assign(component=places["_id"].groupby(number).transform("min").to_numpy())
 
 
 def components(rows: DataFrame, radius: float) -> DataFrame:
-    """``rows`` with ``component``: the smallest id that chains of neighbours in the frame reach."""
-    edges = _neighbours(rows, radius)
-    found = by_frame(edges.select(*KEYS, "a", "b"), _roots, "video_id long, t long, det_id long, component long")
-    return rows.join(found, [*KEYS, "det_id"], "left").withColumn("component", F.coalesce("component", "det_id"))
+    """``rows`` with ``component``: the smallest id that chains of neighbours in the frame reach.
+
+    Rows of one place belong together, so that only a frame's places are linked, and they without listing their pairs.
+    """
+    known = [F.col(k).isNotNull() for k in KEYS] + [F.abs(F.col(c).cast("double")) < float("inf") for c in "xy"]
+    places = rows.where(functools.reduce(operator.and_, known)).groupBy(*KEYS, "x", "y").agg(F.min("det_id").alias("_id"))
+    kinds = {f.name: f.dataType.simpleString() for f in places.schema}
+    shape = ", ".join(f"{c} {kinds[c]}" for c in (*KEYS, "x", "y")) + f", component {kinds['_id']}"
+    found = by_frame(places, functools.partial(_roots, radius=radius), shape)
+    return rows.join(found, [*KEYS, "x", "y"], "left").select(*rows.columns, F.coalesce("component", "det_id").alias("component"))
 
 
 def keep_heaviest(rows: DataFrame, radius: float) -> DataFrame:
@@ -58,24 +113,30 @@ def replace_regions(originals: DataFrame, candidates: DataFrame, radius: float)
     return marked.where("_any = 0 OR _n = 1").drop("_any", "_n", "component")
 
 
-def _spread(edges: pd.DataFrame) -> pd.DataFrame:
-    """Walk a frame's ids upwards and drop those with a kept neighbour."""
-    near: dict = {}
-    for a, b in zip(edges["a"], edges["b"], strict=True):
-        near.setdefault(b, []).append(a)
-    dropped: set = set()
-    for v in sorted(near):
-        if any(a not in dropped for a in near[v]):
-            dropped.add(v)
-    ids = sorted(dropped)
-    return pd.DataFrame({"video_id": [edges["video_id"].iloc[0]] * len(ids), "t": [edges["t"].iloc[0]] * len(ids), "det_id": ids})
+def _spread(rows: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """Walk a frame's rows by id and return those that are near a kept one. Kept ones are apart: a cell holds few of them."""
+    kept, near = {}, []
+    width = radius or 1.0
+    for v, x, y in sorted(rows[["det_id", "x", "y"]].itertuples(index=False, name=None)):
+        if not (math.isfinite(x) and math.isfinite(y)):
+            continue
+        cx, cy = math.floor(x / width), math.floor(y / width)
+        around = (p for dx in (-1, 0, 1) for dy in (-1, 0, 1) for p in kept.get((cx + dx, cy + dy), ()))
+        if any((x - a) * (x - a) + (y - b) * (y - b) <= radius * radius for a, b in around):
+            near.append(v)
+        else:
+            kept.setdefault((cx, cy), []).append((x, y))
+    return pd.DataFrame({"video_id": [rows["video_id"].iloc[0]] * len(near), "t": [rows["t"].iloc[0]] * len(near), "det_id": near})
 
 
 def proximity_merge(base: DataFrame, new: DataFrame, radius: float) -> DataFrame:
     """Rows of ``new`` farther than ``radius`` from every base row and from every earlier kept new row, by id."""
-    taken = distance_pairs(new, base.withColumnRenamed("det_id", "base_id"), radius, "det_id", "base_id").select(*KEYS, "det_id").distinct()
-    free = new.join(taken, [*KEYS, "det_id"], "left_anti")
-    crowded = by_frame(_neighbours(free, radius).select(*KEYS, "a", "b"), _spread, "video_id long, t long, det_id long")
+    # Places are met by places: rows of one place have the same neighbours.
+    place = F.struct("x", "y")
+    places = lambda rows, name: rows.select(*KEYS, "x", "y").distinct().withColumn(name, place)
+    taken = distance_pairs(places(new, "_at"), places(base, "_base"), radius, "_at", "_base").select(*KEYS, "_at.x", "_at.y").distinct()
+    free = new.join(taken, [*KEYS, "x", "y"], "left_anti")
+    crowded = by_frame(free.where("video_id IS NOT NULL AND t IS NOT NULL").select(*KEYS, "det_id", "x", "y"), functools.partial(_spread, radius=radius), "video_id long, t long, det_id long")
     return free.join(crowded, [*KEYS, "det_id"], "left_anti")
 
 

@@ -178,20 +178,27 @@ def by_frame(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     """Apply ``fn`` to the rows of each frame. Spark deals and sorts the frames; a partition is one stream of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(batch):
                 continue
-            keys = batch[KEYS].to_numpy()
-            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)]
+            new = np.zeros(len(batch), bool)
+            for k in KEYS:
+                column = batch[k].to_numpy()
+                new[1:] |= column[1:] != column[:-1]
+                new[0] |= bool(held) and held[-1][k].iloc[-1] != column[0]
+            starts = np.flatnonzero(new).tolist()
+            if not starts:
+                held.append(batch)
+                continue
             # The last frame may go on in the next batch.
-            out = [fn(batch.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            held = batch.iloc[starts[-1] :]
+            whole = [pd.concat([*held, batch.iloc[: starts[0]]], ignore_index=True)] if held or starts[0] else []
+            out = [fn(f) for f in [*whole, *(batch.iloc[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True))] if len(f)]
+            held = [batch.iloc[starts[-1] :]]
             if out:
                 yield pd.concat(out)
-        if held is not None and len(held):
-            yield fn(held)
+        if held:
+            yield fn(pd.concat(held, ignore_index=True))
 
     return rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInPandas(run, schema)
 
