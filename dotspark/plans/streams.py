@@ -75,7 +75,8 @@ def _closing(rows: DataFrame, **values: object) -> DataFrame:
 def _ended(t: Tables) -> DataFrame:
     """The events in two batches, in order of time, and the row that ends them."""
     rows = _events(t)
-    middle = rows.agg(F.expr("percentile_approx(unix_micros(ts), 0.5)").alias("_middle"))  # one row
+    # Each batch finds the border again: it must not depend on the order in which partitions are merged, as an approximate median does.
+    middle = rows.agg(F.expr("(min(unix_micros(ts)) + max(unix_micros(ts))) div 2").alias("_middle"))  # one row
     marked = rows.join(F.broadcast(middle)).withColumn("_late", F.unix_micros("ts") > F.col("_middle")).drop("_middle")
     return _in_batches(t, marked.where("NOT _late").drop("_late"), marked.where("_late").drop("_late"), _closing(rows))
 
