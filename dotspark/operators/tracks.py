@@ -5,31 +5,36 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from . import greedy
+
 #: Pixels added to a link's cost for each frame of gap.
 TIME_SCALE = 0.5
 
 
+#: Pairs of points and tracks up to which a frame is linked pair by pair.
+FEW = 1024
+
+
 def assign(active: list[dict], points: list[tuple], t: int, max_gap: int, radius: float, time_scale: float = TIME_SCALE) -> list[tuple[tuple, dict | None]]:
     """Link one frame's points (id, x, y) to active tracks {track, t, x, y}, cheapest pair first.
 
     A pair is allowed if 0 < gap <= max_gap and distance <= radius * gap; it costs distance + time_scale *
-    gap; ties go to the earlier point and then the older track. Unlinked points get None. A point looks only at
-    the tracks of its cell, as wide as the longest step, and of the eight around it.
+    gap; ties go to the earlier point and then the older track. Unlinked points get None. In a frame of more than ``FEW``
+    pairs places are linked and not points, at widening radii (see ``greedy``): tracks of one place and gap wait there in line.
     """
-    reach = max(radius * max_gap, 1e-9)
-    cells: dict[tuple, list[dict]] = {}
-    for track in active:
-        cells.setdefault((track["x"] // reach, track["y"] // reach), []).append(track)
+    if len(active) * len(points) > FEW:
+        return _assign_many(active, points, t, max_gap, radius, time_scale)
     pairs = []
     for i, (_, x, y) in enumerate(points):
-        cx, cy = x // reach, y // reach
-        for track in (k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in cells.get((cx + dx, cy + dy), ())):
+        for track in active:
             gap = t - track["t"]
             if 0 < gap <= max_gap:
-                far = math.hypot(x - track["x"], y - track["y"])
+                dx, dy = x - track["x"], y - track["y"]
+                far = math.sqrt(dx * dx + dy * dy)
                 if far <= radius * max(1, gap):
                     pairs.append((far + time_scale * gap, i, track["track"], track))
     linked: dict[int, dict] = {}
@@ -41,6 +46,24 @@ def assign(active: list[dict], points: list[tuple], t: int, max_gap: int, radius
     return [(p, linked.get(i)) for i, p in enumerate(points)]
 
 
+def _assign_many(active: list[dict], points: list[tuple], t: int, max_gap: int, radius: float, time_scale: float) -> list[tuple[tuple, dict | None]]:
+    near = sorted((a for a in active if 0 < t - a["t"] <= max_gap), key=lambda a: a["track"])
+    column = lambda rows, c: np.array([r[c] for r in rows], float)
+    gaps = np.array([t - a["t"] for a in near], float)
+    left, right = greedy.Queues(column(points, 1), column(points, 2)), greedy.Queues(column(near, "x"), column(near, "y"), gaps)
+    gap = right.extra
+
+    def cost(d2: np.ndarray, j: np.ndarray) -> np.ndarray:
+        far = np.sqrt(d2)
+        return np.where(far <= radius * np.maximum(1, gap[j]), far + time_scale * gap[j], np.inf)
+
+    least = min((time_scale * g for g in set(gaps.tolist())), default=0.0)
+    # The least offset stands for all: what costs less than it and a width lies within that width, whatever its gap.
+    got = greedy.match(left, right, radius * max(1, max_gap), cost, lambda r: r * (1 - 1e-9) + least)
+    linked = dict(zip(*(g.tolist() for g in got), strict=True))
+    return [(p, near[linked[i]] if i in linked else None) for i, p in enumerate(points)]
+
+
 class Linker:
     """Links the frames of one key in order; holds the tracks that are still open and nothing else."""
 
