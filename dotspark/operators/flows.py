@@ -122,7 +122,9 @@ def track_ranges(ranges: DataFrame, frames: DataFrame, width: int, height: int,
     moved = snapped.where(F.col("b.value") >= bright).select(*KEYS, "obj_id", "det_id", (F.col("_x0") + F.col("b.px")).cast("double").alias("x"), (F.col("_y0") + F.col("b.py")).cast("double").alias("y"))
     patched = with_crop(moved, frames, width, height, size)
     scored = patched.withColumn("weight", pixels.crop_weight(F.col("crop")).cast("double")).withColumn("c", pixels.centroid(F.col("crop"), size, size, 1.5))
-    linked = tracks.link_tracks(scored.drop("crop"), max_gap, radius)
+    # Linking reads its rows more than once, and so does the choice of tracks: each is made once.
+    scored = materialise(scored.drop("crop", "b"), "ranges-scored")
+    linked = materialise(tracks.link_tracks(scored, max_gap, radius), "ranges-linked")
     chosen = tracks.select_tracks(linked, "weight", min_points, min_range, **hill).where("selected")
     return chosen.select("track_id", (F.col("_x0") + F.col("c.cx")).alias("x"), (F.col("_y0") + F.col("c.cy")).alias("y"), "t")
 
