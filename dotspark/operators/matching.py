@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.scratch import materialise
-from . import greedy
+from . import assignment, greedy
 
 KEYS = ["video_id", "t"]
 
@@ -80,9 +80,12 @@ def _points(gt: DataFrame, preds: DataFrame) -> DataFrame:
 
 
 class _Matched:
-    """The greedy matching of a table of whole frames: row numbers ``left`` and ``right`` of the pairs, and ``d2``."""
+    """A matching of a table of whole frames: row numbers ``left`` and ``right`` of the pairs, and ``d2``.
 
-    def __init__(self, rows: pa.Table, starts: np.ndarray, radius: float) -> None:
+    ``by_point`` matches the two sides of a frame, and ``by_id`` those of one in which points share an id.
+    """
+
+    def __init__(self, rows: pa.Table, starts: np.ndarray, radius: float, by_point: Callable = greedy.by_distance, by_id: Callable = greedy.in_plain) -> None:
         self.rows, self.starts, self.ends = rows, starts, np.append(starts[1:], rows.num_rows)
         self.side = rows["_side"].to_numpy()
         x, y = (rows[c].cast(pa.float64()).to_numpy() for c in "xy")
@@ -99,7 +102,7 @@ class _Matched:
         for a, m, b in zip(self.starts.tolist(), self.middle.tolist(), self.ends.tolist(), strict=True):
             if a < m < b and known[a]:
                 sides = x[a:m], y[a:m], x[m:b], y[m:b], radius
-                i, j = greedy.in_plain(*sides, self.id[a:m], self.id[m:b]) if same[a:b].any() else greedy.by_distance(*sides)
+                i, j = by_id(*sides, self.id[a:m], self.id[m:b]) if same[a:b].any() else by_point(*sides)
                 left.append(i + a)
                 right.append(j + m)
         self.left, self.right = np.concatenate(left), np.concatenate(right)
@@ -137,10 +140,10 @@ class _Matched:
         return pa.table({"outcome": pa.array(outcome, pa.string())} | out | {"d2": pa.array(far, mask=(g < 0) | (p < 0))})
 
 
-def _matched(points: DataFrame, radius: float, form: str, schema: str) -> DataFrame:
+def _matched(points: DataFrame, radius: float, form: str, schema: str, *how: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_frames(batches):
-            yield from getattr(_Matched(rows, starts, radius), form)().to_batches(max_chunksize=1 << 16)
+            yield from getattr(_Matched(rows, starts, radius, *how), form)().to_batches(max_chunksize=1 << 16)
 
     return points.mapInArrow(run, schema)
 
@@ -251,7 +254,7 @@ def _parts(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def _optimal(pairs: pd.DataFrame) -> pd.DataFrame:
-    """One assignment for each component of a frame's pairs; a frame of few points is one."""
+    """One assignment for each component of a frame's listed pairs; a frame of few points is one. The plain form of ``assignment``, to compare with."""
     left, i = np.unique(pairs["gt_id"], return_inverse=True)
     j = np.unique(pairs["det_id"], return_inverse=True)[1]
     part = _parts(i, j, len(left)) if max(len(left), j.max() + 1) > FEW else np.zeros(len(pairs), int)
@@ -268,9 +271,13 @@ def _optimal(pairs: pd.DataFrame) -> pd.DataFrame:
 
 
 def optimal_match(gt: DataFrame, preds: DataFrame, radius: float) -> DataFrame:
-    """The matching of each frame with the most pairs within the radius and then the least total distance."""
-    pairs = distance_pairs(gt, preds, radius)
-    return by_frame(pairs, _optimal, pairs.schema)
+    """(video_id, t, gt_id, det_id, d2) of the one-to-one matching of each frame with the most pairs within the radius and then the least total distance.
+
+    Only the points are shuffled. A frame is assigned where its points are, between places with as many points as lie on
+    them (see ``assignment``), so that its cost grows with its places and not with the square of its points.
+    """
+    points = _points(gt, preds)
+    return _matched(points, radius, "pairs", _kinds(points, *KEYS, "gt_id", "det_id") + ", d2 double", assignment.by_distance, assignment.by_id)
 
 
 #: Others of a frame up to which a row meets all of them; beyond, rings of cells are searched.
